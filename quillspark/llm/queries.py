@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
