@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import packing, simhash, substring
 
 QUERIES = {
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op5_packing": packing.op5_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
