@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring
+from . import ordermin, packing, simhash, substring
 
 QUERIES = {
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_order_min_hash": ordermin.op6_order_min_hash,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
