@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ordermin, packing, simhash, substring
+from . import ordermin, packing, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_order_min_hash": ordermin.op6_order_min_hash,
