@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ordermin, packing, simhash, substring, toxicity
+from . import ordermin, packing, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_order_min_hash": ordermin.op6_order_min_hash,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
