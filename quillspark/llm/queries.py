@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, ordermin, packing, secrets, simhash, substring, toxicity
+from . import langid, mixing, ordermin, packing, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_language_id": langid.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_order_min_hash": ordermin.op6_order_min_hash,
     "op7_secret_scan": secrets.op7_secret_scan,
