@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neighbours, ordermin, packing, secrets, simhash, substring, toxicity
+from . import htmltext, langid, mixing, neighbours, ordermin, packing, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_order_min_hash": ordermin.op6_order_min_hash,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_learned_partitions": neighbours.op8_learned_partitions,
+    "op9_html_main_text": htmltext.op9_html_main_text,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
