@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import search
+from . import extraction, pages, search
 
-_PLANS = (search,)
+_PLANS = (search, pages, extraction)
 QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}

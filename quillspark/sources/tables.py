@@ -66,4 +66,4 @@ def page_blocks(markdown: Column) -> Column:
 def transcript_page(markdown: Column, page: Column) -> Column:
     """The block of one page of a transcript; the whole text where the page is missing."""
     found = F.filter(page_blocks(markdown), lambda p: F.regexp_extract(p, r"^#{1,3} Page (\d+)", 1) == page.cast("string"))
-    return F.coalesce(F.btrim(F.get(found, 0)), markdown)
+    return F.coalesce(F.regexp_replace(F.get(found, 0), r"^\s+|\s+$", ""), markdown)
