@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import page_class, page_confidence
 
 SPARSE, RATIO, FEW = 60, 0.30, 3
+#: Added before rounding, so that a value halfway between two rounds alike wherever its last bit is.
+TIE = 1e-12
 
 
 def scored(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page, text) with confidence, classification and whether the page is sparse."""
-    return pages.withColumn("confidence", F.round(page_confidence(F.col("text")), 6)).withColumn("classification", page_class(F.col("confidence"))).withColumn("sparse", F.length(F.btrim(F.coalesce("text", F.lit("")))) < SPARSE)
+    return pages.withColumn("confidence", F.round(page_confidence(F.col("text")) + TIE, 6)).withColumn("classification", page_class(F.col("confidence"))).withColumn("sparse", F.length(F.btrim(F.coalesce("text", F.lit("")))) < SPARSE)
 
 
 def rescue_gate(pages: DataFrame, most: int = 500) -> DataFrame:

@@ -190,9 +190,9 @@ SQL = {
     "composed_texts": f"SELECT doc_id, sha256(text) AS text_sha256 FROM ({COMPOSED})",
     "extract_recording_refs": f'WITH {_REFS} SELECT doc_id, nth, start, "end", ref, book, page, number FROM ref',
     "extract_money": f"SELECT doc_id, replace(regexp_extract(text, 'Policy Amount: \\$([0-9][0-9,]*(?:\\.[0-9]{{2}})?)', 1), ',', '')::DECIMAL(18,2)::DOUBLE AS amount, 0.85::DOUBLE AS confidence FROM ({COMPOSED})",
-    "extract_dates": "SELECT o_orderkey AS doc_id, o_orderdate::DATE::VARCHAR AS effective_date FROM orders",
+    "extract_dates": "SELECT o_orderkey AS doc_id, o_orderdate::DATE::VARCHAR AS effective_date FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 + 1",
     "date_formats": "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS parsed FROM orders",
-    "extract_insured_and_estate": "SELECT o_orderkey AS doc_id, c_name AS insured, CASE o_custkey % 3 WHEN 0 THEN 'fee_simple' WHEN 1 THEN 'leasehold' ELSE 'unknown' END AS estate FROM orders JOIN customer ON o_custkey = c_custkey",
+    "extract_insured_and_estate": "SELECT o_orderkey AS doc_id, c_name AS insured, CASE o_custkey % 3 WHEN 0 THEN 'fee_simple' WHEN 1 THEN 'leasehold' ELSE 'unknown' END AS estate FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 + 1",
     "extract_parties_dedup": f"""WITH t AS ({COMPOSED}), x AS ({_PARTY_ROWS}), c AS (SELECT doc_id, rule, role, nth, {_CLEAN.format("name")} AS name FROM x),
 k AS (SELECT * FROM c WHERE length(name) BETWEEN 3 AND 100 AND NOT regexp_matches(name, '^[a-z]') AND NOT regexp_matches(lower(name), 'the following|hereinafter|set forth|undersigned') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name), role ORDER BY rule, nth) = 1)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rule, nth) - 1)::INT AS ordinal, name, role, regexp_matches(lower(name), '\\b(llc|inc|corp|corporation|company|bank|trust|association|partnership|lp|ltd|n\\.a\\.)\\b') AS is_entity FROM k QUALIFY ordinal < 12""",

@@ -39,7 +39,7 @@ def chunks_per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
 
 def page_quality_confidence(spark: SparkSession, d: str) -> DataFrame:
     ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    c = F.round(page_confidence(ascii_), 6)
+    c = F.round(page_confidence(ascii_) + quality.TIE, 6)
     return _docs(spark, d).select("doc_id", c.alias("confidence"), page_class(c).alias("classification"))
 
 
@@ -103,7 +103,7 @@ _CONF = r"""CASE WHEN length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) = 0
 _CLASS = "CASE WHEN {0} < 0.45 THEN 'mixed_low_quality' WHEN {0} < 0.8 THEN 'scanned_typed' ELSE 'clean_text' END"
 _P = "SELECT conv_id AS doc_id, turn + 1 AS page, text FROM conversations"
 _SPARSE = "length(trim(text)) < 60"
-_SCORED = f"SELECT *, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, page, text, round({_CONF.replace('(t)', '(text)').replace('(t,', '(text,')}, 6) AS c FROM ({_P}))"
+_SCORED = f"SELECT *, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, page, text, round({_CONF.replace('(t)', '(text)').replace('(t,', '(text,')} + 1e-12, 6) AS c FROM ({_P}))"
 
 QUERIES = {
     f.__name__: f
@@ -118,7 +118,7 @@ SELECT c.doc_id, idx, start, "end", c.doc_id || ':chunk:' || lpad(idx::VARCHAR,
   WHEN regexp_extract(t, '\b[Pp]age ([0-9]+)', 1) <> '' THEN ', page ' || regexp_extract(t, '\b[Pp]age ([0-9]+)', 1) ELSE '' END || '.' AS context
 FROM (SELECT doc_id, text || ' See Page ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ' of Schedule B.' ELSE '.' END AS t FROM documents)""",
     "chunks_per_doc_cap": f'SELECT doc_id, count(*) AS n_chunks, max("end") AS last_token FROM ({_windows(20, 15, 400)}) GROUP BY doc_id',
-    "page_quality_confidence": f"SELECT doc_id, c AS confidence, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, round({_CONF}, 6) AS c FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents))",
+    "page_quality_confidence": f"SELECT doc_id, c AS confidence, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, round({_CONF} + 1e-12, 6) AS c FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents))",
     "page_classification_counts": f"SELECT classification, count(*) AS n, sum(({_SPARSE})::INT)::BIGINT AS n_sparse FROM ({_SCORED}) GROUP BY classification",
     "sparse_page_rescue_gate": f"SELECT *, n_sparse > 0 AND (n_sparse / n_pages >= 0.30 OR n_pages <= 3) AS rescue FROM (SELECT doc_id, count(*) AS n_pages, sum(({_SPARSE})::INT)::BIGINT AS n_sparse FROM ({_P}) WHERE page <= 500 GROUP BY doc_id)",
     "rescued_pages": f"SELECT doc_id, page, page % 2 = 0 AND length(text || ' ' || text) > length(text) AS rescued, length(CASE WHEN page % 2 = 0 THEN text || ' ' || text ELSE text END)::INT AS n_chars FROM ({_P})",
