@@ -11,7 +11,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,8 +19,6 @@ from .common import cut, map_arrow, ship, table
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this family. Fixed values, public.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MOST_CACHED = 200_000
-_MOST_LETTERS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -31,30 +28,31 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_names() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
+    """Token ids as little-endian unsigned 32-bit bytes, those that the tokenizers library gives.
 
-    Byte-level BPE merges within pre-tokens only, so the ids of short pre-tokens are kept; the tables start anew when they are full.
+    Reads a byte-level BPE vocabulary in which ids follow the order of merges; the merging itself is done by the faster of the
+    installed libraries. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PRE_TOKENS).findall
-        self.known: dict[str, bytes] = {}
+        names = _byte_names()
+        special = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
+        ranks = {bytes(map(names.__getitem__, t)): i for t, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=False).items() if t not in special}
+        self._encode = tiktoken.Encoding("byte-level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        if len(self.known) > _MOST_CACHED:
-            self.known.clear()
-        new = list({w for p in parts for w in p if w not in self.known})
-        ids = self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []
-        fresh = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, ids, strict=True)}
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= _MOST_LETTERS)
-        known = self.known if all(len(w) <= _MOST_LETTERS for w in new) else self.known | fresh
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [bytes(self._encode(t, set())) for t in texts]
 
 
 def pieces(docs: DataFrame, length: int = 1024, path: str | None = None) -> DataFrame:
