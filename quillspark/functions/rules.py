@@ -39,49 +39,49 @@ EXCEPTIONS = [
     ("standard", r"\bdefects?\b|\badverse claims?\b|\bgap exception\b"),
 ]
 INSTRUMENTS = [
-    ("warranty_deed", "warranty deed"),
-    ("grant_deed", "grant deed"),
-    ("quitclaim_deed", "quitclaim deed"),
-    ("special_warranty_deed", "special warranty deed"),
-    ("trustees_deed", "trustee.?s deed"),
-    ("tax_deed", "tax deed"),
-    ("deed_of_trust", "deed of trust"),
-    ("mortgage", "mortgage"),
-    ("release", "release|satisfaction|reconveyance"),
-    ("assignment", "assignment"),
-    ("affidavit", "affidavit"),
-    ("court_order", "court order|judgment of (foreclosure|partition)"),
+    ("warranty_deed", r"\bwarranty\s+deed\b"),
+    ("grant_deed", r"\bgrant\s+deed\b"),
+    ("quitclaim_deed", r"\bquitclaim\s+deed\b"),
+    ("special_warranty_deed", r"\bspecial\s+warranty\s+deed\b"),
+    ("trustees_deed", r"\btrustee'?s?\s+deed\b"),
+    ("tax_deed", r"\btax\s+deed\b"),
+    ("deed_of_trust", r"\bdeed\s+of\s+trust\b"),
+    ("mortgage", r"\bmortgage\b"),
+    ("release", r"\b(release|satisfaction|reconveyance)\b"),
+    ("assignment", r"\bassignment\b"),
+    ("affidavit", r"\baffidavit\b"),
+    ("court_order", r"\bcourt\s+order|judgment\s+of\s+(foreclosure|partition)\b"),
 ]
 LIENS = [
-    ("deed_of_trust", "deed of trust"),
-    ("mortgage", "mortgage"),
-    ("mechanics", "mechanic.?s lien"),
-    ("federal_tax", "(irs|federal tax) lien"),
-    ("state_tax", "state tax lien"),
-    ("property_tax", "tax lien"),
-    ("judgment", "judgment lien|abstract of judgment"),
-    ("hoa", "hoa (lien|assessment)"),
-    ("ucc", "ucc-1|uniform commercial code"),
-    ("child_support", "child support lien"),
-    ("special_assessment", "special assessment"),
+    ("deed_of_trust", r"\bdeed\s+of\s+trust\b"),
+    ("mortgage", r"\bmortgage\b"),
+    ("mechanics_lien", r"\bmechanic'?s?\s+lien\b"),
+    ("irs_lien", r"\birs\s+(tax\s+)?lien|\bfederal\s+tax\s+lien\b"),
+    ("state_tax_lien", r"\bstate\s+tax\s+lien\b"),
+    ("tax_lien", r"\btax\s+lien\b"),
+    ("judgment_lien", r"\bjudgment\s+lien|\babstract\s+of\s+judgment\b"),
+    ("hoa_lien", r"\bhoa\s+(lien|assessment)|\bhomeowners?\s+association\s+lien\b"),
+    ("ucc_filing", r"\bucc[-\s]?1\b|\buniform\s+commercial\s+code\b"),
+    ("child_support", r"\bchild\s+support\s+lien\b"),
+    ("assessment", r"\bspecial\s+assessment\b"),
 ]
-RELEASED = "released|satisfied|paid in full|reconveyed|terminated|cancelled"
+RELEASED = r"\b(released|satisfied|paid\s+in\s+full|reconveyed|terminated|cancelled)\b"
 EASEMENTS = [
-    ("utility", "utility"),
-    ("drainage", "drainage"),
-    ("conservation", "conservation"),
-    ("right_of_way", r"right.of.way|\brow\b"),
-    ("ingress_egress", "ingress"),
-    ("access", "access"),
-    ("party_wall", "party wall"),
+    ("utility", r"\butility\s+easement\b"),
+    ("drainage", r"\bdrainage\s+easement\b"),
+    ("conservation", r"\bconservation\s+easement\b"),
+    ("right_of_way", r"\bright[\s-]of[\s-]way\b|\brow\b"),
+    ("ingress_egress", r"\bingress\s+and\s+egress|\bingress[\s/]egress\b"),
+    ("access", r"\baccess\s+easement\b"),
+    ("party_wall", r"\bparty\s+wall\b"),
 ]
-EASEMENT_TRIGGER = "easement|right.of.way|ingress and egress"
+EASEMENT_TRIGGER = r"easement|right.of.way|ingress and egress"
 RESTRICTIONS = [
-    ("ccr", "cc&rs?|covenants, conditions and restrictions"),
-    ("hoa_declaration", "hoa declaration|declaration of covenants"),
-    ("deed_restriction", "deed restrictions?"),
-    ("zoning", "zoning (overlay|restriction|district)"),
-    ("historic", "historic (designation|district|landmark)"),
+    ("ccr", r"\bcc&?r'?s?\b|\bcovenants?,?\s+conditions?,?\s+and\s+restrictions?\b"),
+    ("hoa_declaration", r"\bhoa\s+declaration|\bdeclaration\s+of\s+covenants?\b"),
+    ("deed_restriction", r"\bdeed\s+restrictions?\b"),
+    ("zoning_overlay", r"\bzoning\s+overlay|\bzoning\s+restriction|\bzoning\s+district\b"),
+    ("historic_designation", r"\bhistoric(?:\s+designation|\s+district|\s+landmark)\b"),
 ]
 DISCRIMINATORY = "race|color|religion|national origin|familial status|discriminat(ory|ion)|deleted pursuant to|fair housing act"
 LEGAL_TYPES = [
@@ -89,19 +89,26 @@ LEGAL_TYPES = [
     ("section_township_range", r"\bsec(tion)?\.? [0-9]+.*\b(township|twp)|\b(township|twp).*\bsec(tion)?\.? [0-9]+"),
     ("platted", r"\blot|block|plat|subdivision|tract\b"),
 ]
-STANDARD_PHRASES = (
-    "rights or claims of parties in possession|easements, or claims of easements, not shown by the public records|"
-    "encroachments, overlaps, boundary line disputes|any lien, or right to a lien, for services|taxes or special assessments which are not shown|"
-    "unpatented mining claims|defects, liens, encumbrances, adverse claims|facts, rights, interests or claims which are not shown"
+STANDARD_PHRASES = "|".join(
+    (
+        "rights or claims of parties in possession",
+        "encroachments, overlaps",
+        "easements or claims of easements not shown",
+        "any lien, or right to a lien, for services",
+        "taxes or special assessments which are not shown",
+        "discrepancies, conflicts in boundary lines",
+        "general exceptions",
+        "defects, liens, encumbrances, adverse claims",
+    )
 )
 #: field, section title, query, structured fields
 SECTIONS = [
-    ("s1_vesting_and_estate", "Vesting and estate", "vested owner title estate fee simple", "vesting,estate_or_interest,proposed_insured,effective_date"),
-    ("s2_legal_description", "Legal description", "legal description lot block parcel", "legal_description"),
-    ("s3_chain_of_title", "Chain of title", "grantor grantee deed recorded conveyance", "chain_of_title,parties"),
-    ("s4_open_encumbrances_and_liens", "Open encumbrances and liens", "mortgage lien judgment lender amount", "open_liens,released_liens"),
-    ("s5_easements_and_restrictions", "Easements and restrictions", "easement right of way restriction covenant", "easements,restrictions"),
-    ("s6_requirements_schedule_b_i", "Requirements", "requirement payment release recordation", "schedule_b_requirements"),
-    ("s7_exceptions_schedule_b_ii", "Exceptions", "exception standard specific survey", "schedule_b_exceptions"),
-    ("s8_taxes_and_survey_matters", "Taxes and survey matters", "taxes assessment survey encroachment", "taxes,survey_matters"),
+    ("s1_vesting_and_estate", "Vesting and Estate", "Schedule A vested owner, estate or interest, proposed insured, effective date", "vesting,estate_or_interest,proposed_insured,effective_date"),
+    ("s2_legal_description", "Legal Description", "legal description parcel lot block subdivision metes bounds APN", "legal_description"),
+    ("s3_chain_of_title", "Chain of Title", "deeds chain of title grantor grantee recording book page instrument number", "chain_of_title,parties"),
+    ("s4_open_encumbrances_and_liens", "Open Encumbrances and Liens", "open liens mortgages deeds of trust judgments unreleased encumbrances", "open_liens,released_liens"),
+    ("s5_easements_and_restrictions", "Easements and Restrictions", "easements restrictions covenants rights of way utility access declarations", "easements,restrictions"),
+    ("s6_requirements_schedule_b_i", "Requirements - Schedule B-I", "Schedule B part I requirements payoff releases execution recordation title company", "schedule_b_requirements"),
+    ("s7_exceptions_schedule_b_ii", "Exceptions - Schedule B-II", "Schedule B part II exceptions standard exceptions taxes survey matters mineral rights", "schedule_b_exceptions"),
+    ("s8_taxes_and_survey_matters", "Taxes and Survey Matters", "tax certificate assessed taxes delinquent taxes survey encroachments boundary matters", "taxes,survey_matters"),
 ]

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 #: The words that measures don't count.
 STOPWORDS = (
-    "about above after again against also because been before being below between both could does doing down during each "
-    "from further have having here into itself just more most other over same should some such than that their them then "
-    "there these they this those through under until very were what when where which while will with would your"
+    "the a an and or of to in on for with by is are was were be been being as at this that these those it its from into but if any no not must should shall will may can "
+    "each every all some such than then so also which who whom what when where how"
 ).split()
+#: The words that don't tie a draft to its evidence.
+GENERIC_WORDS = "must should shall will with from this that these those have been into before after each every their there where which while until than then also".split()
 #: Substrings whose coming or going makes an edit a change of citation.
 CITATION_MARKS = ("book", "page", "instrument", "schedule", "exhibit", "deed")
 

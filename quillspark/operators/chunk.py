@@ -55,12 +55,12 @@ def chunk_id(doc_id: Column, idx: Column, text: Column) -> Column:
     return F.concat(doc_id.cast("string"), F.lit(":chunk:"), F.lpad(idx.cast("string"), 4, "0"), F.lit(":"), F.substring(F.sha1(text), 1, 10))
 
 
-def context_sentence(doc_id: Column, text: Column) -> Column:
-    """Where a chunk is from: the first schedule it names, else the first page, else its document."""
-    schedule = F.upper(F.regexp_extract(text, r"(?i)\bschedule ([a-c])\b", 1))
-    page = F.regexp_extract(text, r"\b[Pp]age ([0-9]+)", 1)
-    doc = F.concat(F.lit("This passage is from document "), doc_id.cast("string"))
-    return F.when(schedule != "", F.concat(doc, F.lit(", Schedule "), schedule, F.lit("."))).when(page != "", F.concat(doc, F.lit(", page "), page, F.lit("."))).otherwise(F.concat(doc, F.lit(".")))
+def context_sentence(doc_id: Column, doc_type: Column, text: Column) -> Column:
+    """Where a chunk is from: the first schedule it names, else the first page, else its document alone."""
+    schedule = F.replace(F.regexp_extract(text, r"(?i)\b(Schedule\s+[A-Z](?:[-\s]+Section\s+[IVX]+)?)\b", 1), F.lit("\n"), F.lit(" "))
+    page = F.regexp_extract(text, r"(?i)\b(Page\s+[0-9]+)\b", 1)
+    where = F.when(schedule != "", F.concat(schedule, F.lit(" of "))).when(page != "", F.concat(page, F.lit(" of "))).otherwise("")
+    return F.concat(F.lit("This chunk comes from "), where, doc_id.cast("string"), F.lit(", a "), doc_type, F.lit("."))
 
 
 def last_page_before(text: Column, offset: Column, marker: str = r"\b[Pp]age ([0-9]+)") -> Column:
@@ -71,6 +71,6 @@ def last_page_before(text: Column, offset: Column, marker: str = r"\b[Pp]age ([0
 
 def vesting_chunks(parties: DataFrame) -> DataFrame:
     """One chunk for each vesting party (doc_id, ordinal, name, role), not under the cap of windows."""
-    owner = F.concat(F.lit("Title is vested in "), F.col("name"), F.lit("."))
-    other = F.concat(F.col("name"), F.lit(" appears as "), F.col("role"), F.lit("."))
+    owner = F.concat(F.lit("Schedule A vested owner: "), F.col("name"), F.lit(". Role: owner."))
+    other = F.concat(F.lit("Schedule A vesting party: "), F.col("name"), F.lit(". Role: "), F.col("role"), F.lit("."))
     return parties.select("doc_id", "ordinal", F.when(F.col("role") == "owner", owner).otherwise(other).alias("text"))

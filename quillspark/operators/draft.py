@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import SECTIONS
-from ..functions.text import containment, content_tokens, jaccard
+from ..functions.text import GENERIC_WORDS, containment, jaccard
+from ..functions.text import content_tokens as _content_tokens
 
 SNIPPET = 220
 
 
+def content_tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(GENERIC_WORDS)) -> Column:
+    return _content_tokens(text, stop)
+
+
 def section_table(spark) -> DataFrame:
     """The eight sections: field, name, query, structured fields; eight rows, so joins broadcast it."""
     return spark.createDataFrame([(i, f, n, q, s.split(",")) for i, (f, n, q, s) in enumerate(SECTIONS)], "ordinal int, field string, name string, query string, structured array<string>")
@@ -97,7 +102,7 @@ def fallback_sentences(facts: DataFrame) -> DataFrame:
 
 def gaps(facts: DataFrame, fields: list[str]) -> DataFrame:
     """matter_id, ordinal, gap: a line for each structured field that is empty."""
-    listed = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f), F.lit(False)), F.lit(None)).otherwise(F.lit(f"No {f.replace('_', ' ')} found in the documents.")) for f in fields)))
+    listed = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f), F.lit(False)), F.lit(None)).otherwise(F.lit(f"Structured extraction did not contain {f.replace('_', ' ')}.")) for f in fields)))
     return facts.select("matter_id", F.posexplode(listed).alias("ordinal", "gap"))
 
 

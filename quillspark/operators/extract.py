@@ -138,7 +138,7 @@ def easements(docs: DataFrame, cap: int = CAPS["easements"]) -> DataFrame:
 
 def restrictions(docs: DataFrame, cap: int = CAPS["restrictions"]) -> DataFrame:
     """doc_id, ordinal, type, description, discriminatory."""
-    trigger = "|".join(f"(?:{p})" for _, p in rules.RESTRICTIONS).replace("(overlay", "(?:overlay").replace("(designation", "(?:designation")
+    trigger = "|".join(f"(?:{p})" for _, p in rules.RESTRICTIONS)
     facts = _keyword_facts(docs, trigger, rules.RESTRICTIONS, "other", 240, cap)
     return facts.select("doc_id", "ordinal", "type", F.col("window").alias("description"), F.lower("window").rlike(rules.DISCRIMINATORY).alias("discriminatory"))
 

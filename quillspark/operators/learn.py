@@ -12,7 +12,7 @@ WINDOW = 20
 MOST_RULES = 7
 LONGEST_RULE = 240
 #: Words that wording rules don't count.
-WORDING_STOPWORDS = "that this with from have been were will which their there shall into upon also such more than when where what your they them then".split()
+WORDING_STOPWORDS = "the and for with from that this have has was were are any all into their there these those section policy document extracted extraction structured subject based confirmation".split()
 EVENT = ["matter_id", "section", "field_path", "before", "after"]
 
 
@@ -78,14 +78,14 @@ def distilled(events: DataFrame, previous: DataFrame) -> DataFrame:
 
     found = F.array_compact(
         F.array(
-            rule(F.col("words").isNotNull(), F.concat(F.lit("Use the operator's words: "), F.col("words"), F.lit(".")), "wording", 0.6),
-            rule(F.col("citation_fix") > 0, F.lit("Cite book, page or instrument for every recorded fact."), "citation_fix", 0.85),
-            rule(F.col("fact_correction") > 0, F.lit("Check names, dates and amounts against the source."), "fact_correction", 0.8),
-            rule(F.col("addition") > 0, F.lit("Include the details that operators keep adding."), "addition", 0.7),
-            rule(F.col("risk_rating") > 0, F.lit("Raise the flag when a lien or gap is open."), "risk_rating", 0.75),
+            rule(F.col("words").isNotNull(), F.concat(F.lit("Prefer terminology added by operators: "), F.col("words"), F.lit(".")), "wording", 0.6),
+            rule(F.col("citation_fix") > 0, F.lit("Cite Book, Page, and Instrument Number for every recorded reference."), "citation_fix", 0.85),
+            rule(F.col("fact_correction") > 0, F.lit("Verify named parties, dates, and dollar amounts against the source chunk before asserting them."), "fact_correction", 0.8),
+            rule(F.col("addition") > 0, F.lit("Surface gaps and missing facts as explicit bullet findings instead of omitting them."), "addition", 0.7),
+            rule(F.col("risk_rating") > 0, F.lit("Escalate flags to yellow/red when liens or extraction gaps exist; never leave green by default."), "risk_rating", 0.75),
         )
     )
-    default = F.array(F.struct(F.lit("Keep to the operator's style.").alias("text"), F.lit("wording").alias("trigger"), F.lit(0.5).alias("confidence")))
+    default = F.array(F.struct(F.lit("Adopt the operator's phrasing for this section's standard wording.").alias("text"), F.lit("wording").alias("trigger"), F.lit(0.5).alias("confidence")))
     chosen = F.slice(F.when(F.size(found) > 0, found).otherwise(default), 1, MOST_RULES)
     numbered = F.transform(chosen, lambda r, i: F.struct(F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), r["text"].alias("text"), r["trigger"].alias("trigger"), r["confidence"].alias("confidence")))
     return joined.select("section", (F.coalesce("version", F.lit(0)) + 1).alias("version"), numbered.alias("rules"))

@@ -184,7 +184,7 @@ o AS (SELECT doc_id, win, {first_match_sql("win", types, "other")} AS type, (row
 
 _PARTY_ROWS = " UNION ALL ".join(f"SELECT doc_id, {k} AS rule, '{r}' AS role, unnest(regexp_extract_all(text, {_lit(p)}, 1)) AS name, generate_subscripts(regexp_extract_all(text, {_lit(p)}, 1), 1) AS nth FROM t" for k, (r, p) in enumerate(extract.PARTIES))
 _RESTRICTED = f"SELECT doc_id, text || ' ' || CASE doc_id % 5 WHEN 0 THEN 'Deed restrictions on race or color apply' WHEN 1 THEN 'Declaration of covenants of record' WHEN 2 THEN 'Zoning district R-1' WHEN 3 THEN 'Historic landmark designation' ELSE 'no matter' END || '.' AS text FROM ({COMPOSED})"
-_TRIGGER = "|".join(f"(?:{p})" for _, p in rules.RESTRICTIONS).replace("(overlay", "(?:overlay").replace("(designation", "(?:designation")
+_TRIGGER = "|".join(f"(?:{p})" for _, p in rules.RESTRICTIONS)
 
 SQL = {
     "composed_texts": f"SELECT doc_id, sha256(text) AS text_sha256 FROM ({COMPOSED})",
@@ -197,7 +197,7 @@ SQL = {
 k AS (SELECT * FROM c WHERE length(name) BETWEEN 3 AND 100 AND NOT regexp_matches(name, '^[a-z]') AND NOT regexp_matches(lower(name), 'the following|hereinafter|set forth|undersigned') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name), role ORDER BY rule, nth) = 1)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rule, nth) - 1)::INT AS ordinal, name, role, regexp_matches(lower(name), '\\b(llc|inc|corp|corporation|company|bank|trust|association|partnership|lp|ltd|n\\.a\\.)\\b') AS is_entity FROM k QUALIFY ordinal < 12""",
     "classify_liens": f"""WITH {_REFS}, x AS (SELECT *, {first_match_sql("win", rules.LIENS, "")} AS lien_type FROM keyed), f AS (SELECT * FROM x WHERE lien_type <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY nth) = 1)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1)::INT AS ordinal, key, lien_type, CASE WHEN regexp_matches(lower(win), '{rules.RELEASED}') THEN 'released' ELSE 'open' END AS status,
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1)::INT AS ordinal, key, lien_type, CASE WHEN regexp_matches(lower(win), {_lit(rules.RELEASED)}) THEN 'released' ELSE 'open' END AS status,
   replace(nullif(regexp_extract(win, {_lit(extract.MONEY)}, 1), ''), ',', '')::DECIMAL(18,2)::DOUBLE AS amount, {_CLEAN.format(f"nullif(regexp_extract(win, {_GRANTED}, 1), '')")} AS creditor FROM f QUALIFY ordinal < 30""",
     "chain_of_title": f"""WITH {_REFS}, u AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY nth) = 1), x AS (SELECT *, {first_match_sql("lead", rules.INSTRUMENTS, "")} AS instrument FROM u)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1)::INT AS ordinal, key, instrument FROM x WHERE instrument <> '' QUALIFY ordinal < 20""",

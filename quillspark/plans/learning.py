@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CITATION_MARKS, STOPWORDS, edit_type
+from ..functions.text import CITATION_MARKS, GENERIC_WORDS, STOPWORDS, edit_type
 from ..operators import draft, evaluate, learn
 from ..sources import tables
 from ..sources.tables import table
@@ -123,9 +123,7 @@ def best_evidence_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_snippet_span(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import content_tokens
-
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.array_sort(content_tokens(F.col("text"))).alias("tokens"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.array_sort(draft.content_tokens(F.col("text"))).alias("tokens"))
     cut = _hits(spark, d).join(items, "key").select("key", "hit_id", draft.snippet(F.col("text"), F.col("tokens")).alias("s"))
     return cut.select("key", "hit_id", "s.start", "s.end", F.sha2("s.snippet", 256).alias("snippet_sha256"))
 
@@ -237,8 +235,11 @@ QUERIES = {
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
-def _content(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+'), lambda w: length(w) >= 4 AND NOT list_contains({_STOP}, w)))"
+def _content(x: str, stop: str = "") -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+'), lambda w: length(w) >= 4 AND NOT list_contains({stop or _STOP}, w)))"
+
+
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in GENERIC_WORDS) + "]"
 
 
 def _diffs(x: str) -> str:
@@ -298,12 +299,12 @@ SELECT query_id, edit_id, score, row_number() OVER (PARTITION BY query_id ORDER
     "filtered_log": f"WITH {_LOG} SELECT edit_id, matter_id, edit_type, seq FROM log WHERE section = 'click'",
     "json_props_coercion": "SELECT event_id, TRY_CAST(props->>'$.k' AS INT) AS k, coalesce(props->>'$.k', '') AS as_list FROM events",
     "flat_keys_to_map": "SELECT event_id, 's' || (event_id % 8 + 1) || '_' || event_type AS section, trunc(value)::INT::VARCHAR AS value FROM events",
-    "groundable_filter": f"""WITH {_HITS}, ht AS (SELECT DISTINCT key, unnest({_content("text")}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text")}) AS token FROM benchmark),
+    "groundable_filter": f"""WITH {_HITS}, ht AS (SELECT DISTINCT key, unnest({_content("text", _GENERIC)}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text", _GENERIC)}) AS token FROM benchmark),
 sh AS (SELECT key, count(ht.token) / count(*) AS share FROM e LEFT JOIN ht USING (key, token) GROUP BY key)
 SELECT item_id AS key, 'e' || item_id AS edit_id, round(share, 6) AS share FROM benchmark LEFT JOIN sh ON key = item_id WHERE share IS NULL OR share >= 0.25 OR item_id NOT IN (SELECT key FROM hits)""",
-    "best_evidence_argmax": f"""WITH {_HITS}, ht AS (SELECT key, hit_id, rank, unnest({_content("text")}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text")}) AS token FROM benchmark)
+    "best_evidence_argmax": f"""WITH {_HITS}, ht AS (SELECT key, hit_id, rank, unnest({_content("text", _GENERIC)}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text", _GENERIC)}) AS token FROM benchmark)
 SELECT key, hit_id, count(*) AS overlap FROM e JOIN ht USING (key, token) GROUP BY key, hit_id, rank QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, rank, hit_id) = 1""",
-    "citation_snippet_span": f"""WITH {_HITS}, b AS (SELECT item_id AS key, {_content("text")} AS tokens FROM benchmark),
+    "citation_snippet_span": f"""WITH {_HITS}, b AS (SELECT item_id AS key, {_content("text", _GENERIC)} AS tokens FROM benchmark),
 c AS (SELECT key, hit_id, text, list_filter(list_transform(tokens, lambda t: instr(lower(text), t) - 1), lambda p: p >= 0) AS ps FROM hits JOIN b USING (key)),
 m AS (SELECT *, CASE WHEN len(ps) > 0 THEN floor(list_sum(ps) / len(ps)) ELSE 0 END::INT AS mid FROM c)
 SELECT key, hit_id, greatest(0, mid - 220)::INT AS start, least(length(text), mid + 220)::INT AS "end", sha256(substr(text, greatest(0, mid - 220) + 1, least(length(text), mid + 220) - greatest(0, mid - 220))) AS snippet_sha256 FROM m""",
@@ -331,7 +332,7 @@ UNION ALL SELECT k, 's6_requirements_schedule_b_i', CASE WHEN k % 4 = 2 THEN '2
 UNION ALL SELECT k, 's7_exceptions_schedule_b_ii', CASE WHEN k % 2 = 1 THEN '2 exceptions, 1 standard and 1 specific.' ELSE 'No exceptions were found.' END FROM f
 UNION ALL SELECT k, 's8_taxes_and_survey_matters', CASE WHEN k % 3 > 0 OR k % 7 = 0 THEN (k % 3) || CASE WHEN k % 3 = 1 THEN ' tax item, ' ELSE ' tax items, ' END || CASE WHEN k % 7 = 0 THEN '1 survey matter: encroachment.' ELSE '0 survey matters.' END ELSE 'No taxes or survey matters were found.' END FROM f""",
     "section_gaps": """WITH f AS (SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT k, list_filter([CASE WHEN k % 2 <> 0 THEN 'vesting' END, CASE WHEN k % 3 <> 0 THEN 'open liens' END, 'released liens'], lambda x: x IS NOT NULL) AS l FROM f)
-SELECT k AS matter_id, (generate_subscripts(l, 1) - 1)::INT AS ordinal, 'No ' || unnest(l) || ' found in the documents.' AS gap FROM g""",
+SELECT k AS matter_id, (generate_subscripts(l, 1) - 1)::INT AS ordinal, 'Structured extraction did not contain ' || unnest(l) || '.' AS gap FROM g""",
     "open_questions_cap": "SELECT matter_id, section_ordinal, ordinal, gap, row_number() OVER (PARTITION BY matter_id ORDER BY section_ordinal, ordinal)::INT AS n FROM (SELECT l_suppkey % 50 AS matter_id, l_linenumber AS section_ordinal, l_orderkey AS ordinal, min('gap ' || l_partkey) AS gap FROM lineitem GROUP BY ALL) QUALIFY n <= 20",
 }
 _RATED = "SELECT l_orderkey AS matter_id, CASE WHEN l_returnflag = 'R' AND l_linenumber = 6 THEN 'red' WHEN l_returnflag = 'A' AND l_linenumber > 4 THEN 'yellow' ELSE 'green' END AS flag, (l_partkey % 97 = 0)::INT AS g, (l_suppkey % 41 = 0)::INT AS o, (l_partkey % 5 = 0)::INT AS w, l_partkey % 3 = 0 AS h FROM lineitem"

@@ -30,7 +30,7 @@ def chunk_ids_and_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_context_sentence(spark: SparkSession, d: str) -> DataFrame:
     noted = F.concat(F.col("text"), F.lit(" See Page "), (F.col("doc_id") % 9).cast("string"), F.when(F.col("doc_id") % 2 == 0, " of Schedule B.").otherwise("."))
-    return _docs(spark, d).select("doc_id", chunk.context_sentence(F.col("doc_id"), noted).alias("context"))
+    return table(spark, d, "documents").select("doc_id", chunk.context_sentence(F.col("doc_id"), F.col("lang"), noted).alias("context"))
 
 
 def chunks_per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +114,9 @@ SQL = {
     "chunk_ids_and_spans": f"""WITH {_SPANS}, w AS ({_windows(600, 520, 400)}),
 c AS (SELECT w.doc_id, w.idx, a.start::INT AS start, b.stop::INT AS "end" FROM w JOIN s a ON a.doc_id = w.doc_id AND a.tok = w.first JOIN s b ON b.doc_id = w.doc_id AND b.tok + 1 = w."end")
 SELECT c.doc_id, idx, start, "end", c.doc_id || ':chunk:' || lpad(idx::VARCHAR, 4, '0') || ':' || substr(sha1(substr(text, start + 1, "end" - start)), 1, 10) AS chunk_id FROM c JOIN documents d USING (doc_id)""",
-    "chunk_context_sentence": r"""SELECT doc_id, 'This passage is from document ' || doc_id || CASE WHEN regexp_extract(t, '(?i)\bschedule ([a-c])\b', 1) <> '' THEN ', Schedule ' || upper(regexp_extract(t, '(?i)\bschedule ([a-c])\b', 1))
-  WHEN regexp_extract(t, '\b[Pp]age ([0-9]+)', 1) <> '' THEN ', page ' || regexp_extract(t, '\b[Pp]age ([0-9]+)', 1) ELSE '' END || '.' AS context
-FROM (SELECT doc_id, text || ' See Page ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ' of Schedule B.' ELSE '.' END AS t FROM documents)""",
+    "chunk_context_sentence": r"""SELECT doc_id, 'This chunk comes from ' || CASE WHEN s <> '' THEN s || ' of ' WHEN p <> '' THEN p || ' of ' ELSE '' END || doc_id || ', a ' || lang || '.' AS context
+FROM (SELECT doc_id, lang, replace(regexp_extract(t, '(?i)\b(Schedule\s+[A-Z](?:[-\s]+Section\s+[IVX]+)?)\b', 1), chr(10), ' ') AS s, regexp_extract(t, '(?i)\b(Page\s+[0-9]+)\b', 1) AS p
+  FROM (SELECT doc_id, lang, text || ' See Page ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ' of Schedule B.' ELSE '.' END AS t FROM documents))""",
     "chunks_per_doc_cap": f'SELECT doc_id, count(*) AS n_chunks, max("end") AS last_token FROM ({_windows(20, 15, 400)}) GROUP BY doc_id',
     "page_quality_confidence": f"SELECT doc_id, c AS confidence, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, round({_CONF} + 1e-12, 6) AS c FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents))",
     "page_classification_counts": f"SELECT classification, count(*) AS n, sum(({_SPARSE})::INT)::BIGINT AS n_sparse FROM ({_SCORED}) GROUP BY classification",
