@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, ship, table
 
 
+_MOST_HELD = 1_000_000
+
+
 @dataclass
 class Router:
     """A network of one hidden layer over parts."""
@@ -104,7 +107,7 @@ def train_router(x: np.ndarray, share: np.ndarray, hidden: int = 128, epochs: in
     return Router(mean, *w)
 
 
-def fit(vectors: DataFrame, rows: int, sample: int = 8192, part_rows: int = 512, k: int = 10, neighbours: int = 20, aim: float = 0.94) -> Router:
+def fit(vectors: DataFrame, rows: int, sample: int = 8192, part_rows: int = 1024, k: int = 10, neighbours: int = 20, aim: float = 0.94) -> Router:
     """The router from at most about `sample` of `rows` vectors (vec_id, v), with parts of about `part_rows` rows, and 2 to 256 of them.
 
     The number of parts a query goes to is the least for which `aim` of the `neighbours` nearest in the sample are in them, as measured on a fifth of the sample.
@@ -180,6 +183,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, store, sorted_ = None, [], [], None
+        best, held = [], 0
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in best[0]], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             where = np.stack([batch.column("part").to_numpy(), batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)], axis=1)
             starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)]) if len(where) else []
@@ -198,8 +206,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
                     by = np.argsort(all_ids, kind="stable")
                     sorted_ = all_ids[by], np.concatenate(store)[by]
                 for i in range(0, len(piece), 256):
-                    out = _best(piece.column("vec_id").to_numpy()[i : i + 256], _matrix(piece.column("v").slice(i, 256)), *sorted_, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+                    best.append(_best(piece.column("vec_id").to_numpy()[i : i + 256], _matrix(piece.column("v").slice(i, 256)), *sorted_, k))
+                    held += len(best[-1][0])
+                if held > _MOST_HELD:  # parts in one task are merged, within bounded memory
+                    best = [_merged(best, k)]
+                    held = len(best[0][0])
+                    if held > _MOST_HELD // 2:
+                        yield emit()
+                        best, held = [], 0
+        if best:
+            best = [_merged(best, k)]
+            yield emit()
 
     found = together.mapInArrow(answer, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -222,6 +239,15 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.
     return query_ids[q[keep]], ids[at[keep]], exact[keep]
 
 
+def _merged(best: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query out of several lists."""
+    q, ids, scores = (np.concatenate(x) for x in zip(*best, strict=True))
+    by = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[by], ids[by], scores[by]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], scores[keep]
+
+
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.where("vec_id % 20 = 0"))
