@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.rules import SECTIONS
 from ..functions.text import GENERIC_WORDS, containment, jaccard
 from ..functions.text import content_tokens as _content_tokens
@@ -72,29 +73,35 @@ def adopted(sentences: DataFrame, edits: DataFrame, least: float = 0.5) -> DataF
     return sentences.join(first, ["key", "ordinal"], "left").select("key", "ordinal", F.coalesce("after", "text").alias("text"), F.col("after").isNotNull().alias("adopted"))
 
 
-def _counted(n: Column, one: str, many: str) -> Column:
-    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+def _said(*parts: Column | str) -> Column:
+    """The parts joined; absent ones are left out."""
+    return F.concat_ws("", *(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
 def fallback_sentences(facts: DataFrame) -> DataFrame:
     """matter_id, section, text: the template sentence of each section, or its variant for nothing found.
 
-    facts, one row a matter: owners (array), estate, insured, effective_date, legal_type, legal_text, parcel, links (array of text), liens (array of text), easements (array of kinds),
+    facts, one row a matter: owners (array), estate, insured, effective_date, legal_type, legal_text, parcel, links (array of text), liens (array of text), easements and restrictions (arrays of kinds),
     requirements (array of categories), exceptions (array of (category, is_standard)), taxes (int), surveys (array of kinds). Counts take the whole list, descriptions three of it.
     """
-    kinds = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c))), ", ")
+    n = lambda c: F.size(c).cast("string")
+    some = lambda c: F.size(c) > 0
+    kinds = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: F.replace(x, F.lit("_"), F.lit(" "))))), ", ")
     three = lambda c: F.array_join(F.slice(F.col(c), 1, 3), "; ")
-    some = lambda c: F.size(F.col(c)) > 0
+    given = lambda before, c, after="": F.concat(F.lit(before), F.col(c), F.lit(after))
     standard = F.size(F.filter("exceptions", lambda e: e["is_standard"]))
+    r = rules
+    burdens = F.concat_ws(r.BURDENS[2], F.when(some("easements"), F.concat(n("easements"), F.lit(r.BURDENS[1]), kinds("easements"))), F.when(some("restrictions"), F.concat(n("restrictions"), F.lit(r.BURDENS[3]), kinds("restrictions"))))
+    matters = F.concat_ws(r.TAXES[2], F.when(F.col("taxes") > 0, F.concat(F.col("taxes").cast("string"), F.lit(r.TAXES[1]))), F.when(some("surveys"), F.concat(n("surveys"), F.lit(r.TAXES[3]), kinds("surveys"), F.lit(r.TAXES[4]))))
     sentences = {
-        "s1_vesting_and_estate": F.when(some("owners"), F.concat(F.lit("Title is vested in "), F.array_join("owners", ", "), F.coalesce(F.concat(F.lit(" in "), F.col("estate")), F.lit("")), F.coalesce(F.concat(F.lit("; proposed insured "), F.col("insured")), F.lit("")), F.coalesce(F.concat(F.lit("; effective "), F.col("effective_date")), F.lit("")), F.lit("."))).otherwise("No vesting was found."),
-        "s2_legal_description": F.when(F.col("legal_text").isNotNull(), F.concat(F.lit("The land is described as "), F.col("legal_type"), F.lit(": "), F.substring("legal_text", 1, 240), F.coalesce(F.concat(F.lit(" (parcel "), F.col("parcel"), F.lit(")")), F.lit("")), F.lit("."))).otherwise("No legal description was found."),
-        "s3_chain_of_title": F.when(some("links"), F.concat(_counted(F.size("links"), "instrument", "instruments"), F.lit(" in the chain: "), three("links"), F.lit("."))).otherwise("No chain of title was found."),
-        "s4_open_encumbrances_and_liens": F.when(some("liens"), F.concat(_counted(F.size("liens"), "open lien", "open liens"), F.lit(": "), three("liens"), F.lit("."))).otherwise("No open liens were found."),
-        "s5_easements_and_restrictions": F.when(some("easements"), F.concat(_counted(F.size("easements"), "easement", "easements"), F.lit(": "), kinds("easements"), F.lit("."))).otherwise("No easements were found."),
-        "s6_requirements_schedule_b_i": F.when(some("requirements"), F.concat(_counted(F.size("requirements"), "requirement", "requirements"), F.lit(": "), kinds("requirements"), F.lit("."))).otherwise("No requirements were found."),
-        "s7_exceptions_schedule_b_ii": F.when(some("exceptions"), F.concat(_counted(F.size("exceptions"), "exception", "exceptions"), F.lit(", "), standard.cast("string"), F.lit(" standard and "), (F.size("exceptions") - standard).cast("string"), F.lit(" specific."))).otherwise("No exceptions were found."),
-        "s8_taxes_and_survey_matters": F.when((F.col("taxes") > 0) | some("surveys"), F.concat(_counted(F.col("taxes"), "tax item", "tax items"), F.lit(", "), _counted(F.size("surveys"), "survey matter", "survey matters"), F.when(some("surveys"), F.concat(F.lit(": "), kinds("surveys"))).otherwise(""), F.lit("."))).otherwise("No taxes or survey matters were found."),
+        "s1_vesting_and_estate": _said(r.OWNERS[0], F.when(some("owners"), F.array_join("owners", ", ")).otherwise(r.OWNERS[1]), given(r.OWNERS[2], "estate"), given(r.OWNERS[3], "insured"), given(r.OWNERS[4], "effective_date"), r.OWNERS[5]),
+        "s2_legal_description": F.when(F.col("legal_text").isNotNull(), _said(r.LEGAL[0], F.col("legal_type"), r.LEGAL[1], F.substring("legal_text", 1, 240), r.LEGAL[2], given(r.LEGAL[3], "parcel"), r.LEGAL[4])).otherwise(r.NO_LEGAL),
+        "s3_chain_of_title": F.when(some("links"), _said(r.CHAIN[0], n("links"), r.CHAIN[1], three("links"), r.CHAIN[2])).otherwise(r.NO_CHAIN),
+        "s4_open_encumbrances_and_liens": F.when(some("liens"), _said(r.OPEN_LIENS[0], n("liens"), r.OPEN_LIENS[1], three("liens"), r.OPEN_LIENS[2])).otherwise(r.NO_LIENS),
+        "s5_easements_and_restrictions": F.when(burdens != "", _said(r.BURDENS[0], burdens, r.BURDENS[4])).otherwise(r.NO_BURDENS),
+        "s6_requirements_schedule_b_i": F.when(some("requirements"), _said(r.B_ONE[0], n("requirements"), r.B_ONE[1], kinds("requirements"), r.B_ONE[2])).otherwise(r.NO_B_ONE),
+        "s7_exceptions_schedule_b_ii": F.when(some("exceptions"), _said(r.B_TWO[0], n("exceptions"), r.B_TWO[1], standard.cast("string"), r.B_TWO[2], (F.size("exceptions") - standard).cast("string"), r.B_TWO[3])).otherwise(r.NO_B_TWO),
+        "s8_taxes_and_survey_matters": F.when(matters != "", _said(r.TAXES[0], matters, r.TAXES[5])).otherwise(r.NO_TAXES),
     }
     listed = F.array(*(F.struct(F.lit(k).alias("section"), v.alias("text")) for k, v in sentences.items()))
     return facts.select("matter_id", F.inline(listed))

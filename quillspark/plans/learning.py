@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.text import CITATION_MARKS, GENERIC_WORDS, STOPWORDS, edit_type
 from ..operators import draft, evaluate, learn
 from ..sources import tables
@@ -190,6 +191,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 == 0, F.array(*(text("deed ", k + i) for i in range(4)))).otherwise(none).alias("links"),
         F.when(k % 3 == 0, F.array(text("mortgage in favor of bank ", k % 10))).otherwise(none).alias("liens"),
         F.when(k % 4 == 1, F.array(F.lit("utility"), F.lit("access"), F.lit("utility"))).otherwise(none).alias("easements"),
+        F.when(k % 8 == 1, F.array(F.lit("deed_restriction"))).otherwise(none).alias("restrictions"),
         F.when(k % 4 == 2, F.array(F.lit("payment"), F.lit("survey"))).otherwise(none).alias("requirements"),
         F.when(k % 2 == 1, F.array(F.struct(F.lit("tax").alias("category"), F.lit(True).alias("is_standard")), F.struct(F.lit("lease").alias("category"), F.lit(False).alias("is_standard")))).otherwise(F.array().cast("array<struct<category:string,is_standard:boolean>>")).alias("exceptions"),
         (k % 3).cast("int").alias("taxes"), F.when(k % 7 == 0, F.array(F.lit("encroachment"))).otherwise(none).alias("surveys"),
@@ -285,6 +287,22 @@ def _vector(source: str, name: str) -> str:
 {name} AS (SELECT section, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY section, id)) AS w FROM {name}_s)"""
 
 
+def _sections_sql() -> str:
+    r = rules
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = {
+        "s1_vesting_and_estate": f"{q(r.OWNERS[0])} || CASE WHEN k % 2 = 0 THEN c_name ELSE {q(r.OWNERS[1])} END || CASE WHEN k % 4 = 0 THEN {q(r.OWNERS[2] + 'fee simple')} ELSE '' END || CASE WHEN k % 3 = 0 THEN {q(r.OWNERS[3])} || c_name ELSE '' END || CASE WHEN k % 6 = 0 THEN {q(r.OWNERS[4] + '1996-01-05')} ELSE '' END || {q(r.OWNERS[5])}",
+        "s2_legal_description": f"CASE WHEN k % 3 = 1 THEN {q(r.LEGAL[0] + 'platted' + r.LEGAL[1] + 'Lot ')} || k || {q(' of the plat' + r.LEGAL[2])} || CASE WHEN k % 2 = 1 THEN {q(r.LEGAL[3] + 'P-')} || k ELSE '' END || {q(r.LEGAL[4])} ELSE {q(r.NO_LEGAL)} END",
+        "s3_chain_of_title": f"CASE WHEN k % 5 = 0 THEN {q(r.CHAIN[0] + '4' + r.CHAIN[1] + 'deed ')} || k || '; deed ' || (k + 1) || '; deed ' || (k + 2) || {q(r.CHAIN[2])} ELSE {q(r.NO_CHAIN)} END",
+        "s4_open_encumbrances_and_liens": f"CASE WHEN k % 3 = 0 THEN {q(r.OPEN_LIENS[0] + '1' + r.OPEN_LIENS[1] + 'mortgage in favor of bank ')} || (k % 10) || {q(r.OPEN_LIENS[2])} ELSE {q(r.NO_LIENS)} END",
+        "s5_easements_and_restrictions": f"CASE WHEN k % 8 = 1 THEN {q(r.BURDENS[0] + '3' + r.BURDENS[1] + 'access, utility' + r.BURDENS[2] + '1' + r.BURDENS[3] + 'deed restriction' + r.BURDENS[4])} WHEN k % 4 = 1 THEN {q(r.BURDENS[0] + '3' + r.BURDENS[1] + 'access, utility' + r.BURDENS[4])} ELSE {q(r.NO_BURDENS)} END",
+        "s6_requirements_schedule_b_i": f"CASE WHEN k % 4 = 2 THEN {q(r.B_ONE[0] + '2' + r.B_ONE[1] + 'payment, survey' + r.B_ONE[2])} ELSE {q(r.NO_B_ONE)} END",
+        "s7_exceptions_schedule_b_ii": f"CASE WHEN k % 2 = 1 THEN {q(r.B_TWO[0] + '2' + r.B_TWO[1] + '1' + r.B_TWO[2] + '1' + r.B_TWO[3])} ELSE {q(r.NO_B_TWO)} END",
+        "s8_taxes_and_survey_matters": f"CASE WHEN k % 3 > 0 OR k % 7 = 0 THEN {q(r.TAXES[0])} || concat_ws({q(r.TAXES[2])}, CASE WHEN k % 3 > 0 THEN (k % 3) || {q(r.TAXES[1])} END, CASE WHEN k % 7 = 0 THEN {q('1' + r.TAXES[3] + 'encroachment' + r.TAXES[4])} END) || {q(r.TAXES[5])} ELSE {q(r.NO_TAXES)} END",
+    }
+    return "WITH f AS (SELECT o_orderkey AS k, c_name FROM orders JOIN customer ON o_custkey = c_custkey) " + " UNION ALL ".join(f"SELECT k AS matter_id, '{name}' AS section, {text} AS text FROM f" for name, text in rows.items())
+
+
 SQL = {
     "diff_full_outer_events": f"WITH {_DIFF} SELECT edit_id, matter_id, section, field_path, edit_type FROM events_of",
     "edit_type_classification": f"WITH tt{TURN}, nx AS (SELECT x.conv_id, x.turn, x.text AS b, y.text AS a FROM tt x LEFT JOIN tt y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT conv_id, turn, {_EDIT} AS edit_type FROM nx",
@@ -322,15 +340,7 @@ SELECT key, count(*) AS n_rules, round(avg(CASE WHEN len(t) > 0 AND len(list_int
     "paired_eval_delta": "WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pre' ELSE 'post' END AS condition, m.metric, round_even(avg((doc_id * m.f % 11) / 10.0::DOUBLE), 4) AS v FROM labels, (VALUES "
     + ", ".join(f"('{m}', {i + 3})" for i, m in enumerate(evaluate.METRICS))
     + ") AS m(metric, f) GROUP BY ALL), p AS (SELECT metric, max(v) FILTER (condition = 'pre') AS pre, max(v) FILTER (condition = 'post') AS post FROM c GROUP BY metric) SELECT metric, pre, post, round_even(post - pre, 4) AS delta, round_even((pre - post) / CASE WHEN pre = 0 THEN 1e-9 ELSE pre END, 4) AS pct_reduction FROM p",
-    "fallback_section_text": """WITH f AS (SELECT o_orderkey AS k, c_name FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT k AS matter_id, 's1_vesting_and_estate' AS section, CASE WHEN k % 2 = 0 THEN 'Title is vested in ' || c_name || CASE WHEN k % 4 = 0 THEN ' in fee simple' ELSE '' END || CASE WHEN k % 3 = 0 THEN '; proposed insured ' || c_name ELSE '' END || CASE WHEN k % 6 = 0 THEN '; effective 1996-01-05' ELSE '' END || '.' ELSE 'No vesting was found.' END AS text FROM f
-UNION ALL SELECT k, 's2_legal_description', CASE WHEN k % 3 = 1 THEN 'The land is described as platted: ' || substr('Lot ' || k || ' of the plat', 1, 240) || CASE WHEN k % 2 = 1 THEN ' (parcel P-' || k || ')' ELSE '' END || '.' ELSE 'No legal description was found.' END FROM f
-UNION ALL SELECT k, 's3_chain_of_title', CASE WHEN k % 5 = 0 THEN '4 instruments in the chain: deed ' || k || '; deed ' || (k + 1) || '; deed ' || (k + 2) || '.' ELSE 'No chain of title was found.' END FROM f
-UNION ALL SELECT k, 's4_open_encumbrances_and_liens', CASE WHEN k % 3 = 0 THEN '1 open lien: mortgage in favor of bank ' || (k % 10) || '.' ELSE 'No open liens were found.' END FROM f
-UNION ALL SELECT k, 's5_easements_and_restrictions', CASE WHEN k % 4 = 1 THEN '3 easements: access, utility.' ELSE 'No easements were found.' END FROM f
-UNION ALL SELECT k, 's6_requirements_schedule_b_i', CASE WHEN k % 4 = 2 THEN '2 requirements: payment, survey.' ELSE 'No requirements were found.' END FROM f
-UNION ALL SELECT k, 's7_exceptions_schedule_b_ii', CASE WHEN k % 2 = 1 THEN '2 exceptions, 1 standard and 1 specific.' ELSE 'No exceptions were found.' END FROM f
-UNION ALL SELECT k, 's8_taxes_and_survey_matters', CASE WHEN k % 3 > 0 OR k % 7 = 0 THEN (k % 3) || CASE WHEN k % 3 = 1 THEN ' tax item, ' ELSE ' tax items, ' END || CASE WHEN k % 7 = 0 THEN '1 survey matter: encroachment.' ELSE '0 survey matters.' END ELSE 'No taxes or survey matters were found.' END FROM f""",
+    "fallback_section_text": _sections_sql(),
     "section_gaps": """WITH f AS (SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT k, list_filter([CASE WHEN k % 2 <> 0 THEN 'vesting' END, CASE WHEN k % 3 <> 0 THEN 'open liens' END, 'released liens'], lambda x: x IS NOT NULL) AS l FROM f)
 SELECT k AS matter_id, (generate_subscripts(l, 1) - 1)::INT AS ordinal, 'Structured extraction did not contain ' || unnest(l) || '.' AS gap FROM g""",
     "open_questions_cap": "SELECT matter_id, section_ordinal, ordinal, gap, row_number() OVER (PARTITION BY matter_id ORDER BY section_ordinal, ordinal)::INT AS n FROM (SELECT l_suppkey % 50 AS matter_id, l_linenumber AS section_ordinal, l_orderkey AS ordinal, min('gap ' || l_partkey) AS gap FROM lineitem GROUP BY ALL) QUALIFY n <= 20",
