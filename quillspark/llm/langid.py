@@ -88,7 +88,7 @@ class Model:
             if not len(left):
                 break
             if k == 1:
-                out[left] += math.log(1 / (len(self.alphabet.letters) + 2))
+                out[left] += math.log(1 / (len(self.alphabet.letters) + 2)) + (self.backoffs[0][0] if len(self.backoffs[0]) else 0)
                 break
             at, seen = _lookup(self.context_hashes[k - 1], mix((own >> np.uint64(BITS)) + np.uint64(k)))
             out[left[seen]] += self.backoffs[k - 1][at[seen]]
@@ -199,9 +199,10 @@ def fit(docs: DataFrame, each: int = 250, order: int = 4) -> Model:
     as many serve for calibration. Copies count once.
     """
     labelled = docs.where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("of"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 * F.col("of")
-    rows = labelled.join(counts, "lang").where(share < each * 1.25).select("lang", "text", (share >= each).alias("apart")).distinct().collect()
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)), F.col("lang")) if counts else F.lit(0)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 * number
+    rows = labelled.where(share < each * 1.25).select("lang", "text", (share >= each).alias("apart")).distinct().collect()
     texts: tuple[dict, dict] = {}, {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         texts[r["apart"]].setdefault(r["lang"], []).append(r["text"])
