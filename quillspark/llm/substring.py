@@ -114,7 +114,8 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     seen = cut(_anchors(docs, length, True).join(shared, "anchor").where("not agreed or doc_id > least").select("doc_id", "tag", "run", "agreed"), "seeds")
     listed = seen.where("not agreed").groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
     windows = cut(_open_windows(docs.join(listed, _KEY).select("doc_id", "tag", "text", "runs"), length), "windows")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
+    # as a table of its own it leaves the join free to split a common window
+    least = cut(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least"), "shared-windows")
     repeated = windows.join(least, "window").where("doc_id > least").select("doc_id", "tag", "run")
     return seen.where("agreed").select("doc_id", "tag", "run").unionByName(repeated).groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
 
