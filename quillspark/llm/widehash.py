@@ -1,16 +1,17 @@
-"""SimHash near-duplicates at a similarity: wide fingerprints, sampled blocks, verified distance and similarity.
-
-At a Jaccard similarity of 0.8 two SimHashes differ in some 15 % of their bits, too many for any few blocks of 64 bits to stay alike. The
-fingerprint is therefore 512 bits wide, and a block is a fixed sample of its bits: a pair at the threshold shares one of `tables` blocks with a
-chance of 1 - (1 - 0.85^key_bits)^tables, 0.96 as set, and closer pairs more surely, while unlike pairs meet under a block once in 2^key_bits.
-Pairs whose distance allows for the similarity are at last held to it by their sets of shingles.
-Equal fingerprints are compared once. A block that more than `largest` fingerprints share isn't paired: each of
-its members is held against two of them, and the other tables tell them apart further.
+"""Near-duplicates at a similarity: an exact join of the texts' sets of shingles by their rarest ones.
+
+Texts are compared as sets of different shingles; texts of one set are compared once. All sets are put into one order, from rare shingles
+to frequent ones. If the first shingle that two sets have in common stands at place i of a set of n, at most n - i are common: what partners
+are then large and small enough follows, and past some place there are none. So a set is looked up by a few of its rarest shingles only, and every pair
+at the similarity meets under one, where it is held to the sets themselves. Any order gives the same pairs; how rare a shingle is may thus be
+counted by buckets of hashes. The members of a family whose likeness is below the threshold differ in more rare shingles than they are looked up by.
+A shingle that more than `largest` sets are looked up by isn't paired at once: its members are first held against a few of them, which joins up most
+of a family of near copies, and all pairs of what then still lies in different components follow.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,100 +19,113 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, texts
+from .common import cut, map_arrow, ship, texts
 from .simhash import components, shingles
-from .words import mix
 
-LANES = 8
-WIDTH = 64 * LANES
+BUCKETS, CHUNKS = 1 << 20, 64
+ROUNDS, HUBS = 3, 4
 
 
-def wide_fingerprint(text: bytes | None, size: int) -> bytes:
-    found = shingles(text, size)
-    if not found:
-        return bytes(WIDTH // 8)
-    lanes = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    total = np.zeros(WIDTH, np.int64)
-    for i in range(0, len(found), 255):
-        part = found[i : i + 255]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
-        total += np.unpackbits(mix(h[:, None] ^ lanes).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(total * 2 > len(found)).tobytes()
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The hashes of the different shingles of a text, ascending."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, set(shingles(text, size))), np.uint64))
 
 
-def most_bits(similarity: float) -> int:
-    """The expected distance of two fingerprints of so similar sets of one size, and two standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(WIDTH * p + 2 * math.sqrt(WIDTH * p * (1 - p)))
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall into each bucket of hashes."""
+    ship(sets.sparkSession)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total.astype("<u4").reshape(CHUNKS, -1)], pa.binary())})
 
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, set: the hashes of the different shingles of each text."""
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows.column("counts"))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column("id"), "set": [np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(t, size)), np.uint64)).view(np.int64) for t in texts(batch)]}
+    found = sets.select("set").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.zeros(BUCKETS, "<u4")
 
-    return map_arrow(docs.select("id", "text"), run, "id long, set array<long>", 512)
 
-
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 160, key_bits: int = 24, largest: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, largest: int = 32) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over links between documents whose shingles are similar, itself included.
 
     docs needs doc_id and text. Null and empty texts are copies of one another. A null doc_id has the component of its text. Empty table: no rows.
     """
 
-    def fingerprints(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": [wide_fingerprint(t, size) for t in texts(batch)]}
-
-    fps = cut(map_arrow(docs.select("doc_id", "text"), fingerprints, "doc_id long, fp binary", 1024), "wide")
-    low = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.xxhash64("fp")), "distinct")
-    # two bits of a table may serve another; which ones is fixed by the seed
-    rng = np.random.default_rng(20)
-    chosen = np.stack([rng.choice(WIDTH, key_bits, replace=False) for _ in range(tables)])
-    weight = 1 << np.arange(key_bits, dtype=np.int64)
-
-    def keys(batch: pa.RecordBatch) -> dict:
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-        key = (bits[:, chosen] * weight).sum(axis=2) + (np.arange(tables, dtype=np.int64) << key_bits)
-        return {"key": key.ravel(), "id": batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))}
-
-    keyed = map_arrow(low.select("fp", "id"), keys, "key long, id long", 512)
-    groups = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("n > 1"), "blocks")
+    def as_sets(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(t, size) for t in texts(batch)]
+        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "row": batch.column("row"), "id": ids, "set": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))}
+
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    made = cut(map_arrow(numbered, as_sets, "doc_id long, row long, id long, set array<long>", 512), "sets")
+    low = cut(made.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("n")), "distinct")
+    again = made.select("id", "row").join(low.where("n > 1").select("id", F.col("row").alias("kept")), "id").where("row <> kept").select("row")
+    sets = made.join(again, "row", "left_anti").select("id", "set")
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(sets))
+    share = (1 + similarity) / similarity
+
+    def lookups(batch: pa.RecordBatch) -> dict:
+        column = batch.column("set")
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((h, counts.value[h % np.uint64(BUCKETS)], of))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        n = sizes[of]
+        most = np.floor((n - place) * share - n + 1e-6).astype(np.int64)  # the size of the largest partner
+        kept = most >= np.ceil(similarity * n - 1e-6)
+        return {"key": h[order][kept].view(np.int64), "id": batch.column("id").take(pa.array(of[kept])), "size": n[kept], "most": most[kept]}
+
+    keyed = cut(map_arrow(sets, lookups, "key long, id long, size long, most long", 512), "lookups")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("most") - F.col("size")).alias("reach")).where("n > 1 and reach >= 0").select("key", "n")
     shared = cut(keyed.join(groups, "key"), "shared")
-    most = most_bits(similarity)
-    of = low.select("id", "fp")
+    crowd = shared.where(F.col("n") > largest).drop("n")
 
-    def candidates(of_tables: DataFrame) -> DataFrame:
-        few = of_tables.where(F.col("n") <= largest)
-        pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-        crowd = of_tables.where(F.col("n") > largest).select(F.col("id").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b")
-        return pairs.unionByName(crowd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("key", *(F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "key"))
 
-    def near(batch: pa.RecordBatch) -> dict | None:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-        kept = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
-        return {c: batch.column(c).filter(kept) for c in ("a", "b")}
+    fit = (F.col("most_a") >= F.col("size_b")) & (F.col("most_b") >= F.col("size_a"))
+    as_pair = (F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = cut(pairs, "pairs").join(of.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
-        close = cut(map_arrow(both.select("a", "b", "x", "y"), near, "a long, b long"), "close")
-        # what is left is few; sets of shingles settle it
-        asked = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        named = cut(low.where("low is not null").join(asked, "id").select("id", F.col("low").alias("doc_id")), "asked")
-        sets = cut(_shingle_sets(docs.select("doc_id", "text").join(named, "doc_id").dropDuplicates(["id"]), size), "sets")
-        held = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        asked = cut(pairs.distinct(), "pairs")
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        of = cut(sets.join(wanted, "id", "left_semi"), "asked")
+        held = asked.join(of.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         common = held.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
-        return common.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b")
-
-    # a tenth of the tables joins up most of a large group; the others are asked only for what lies between different components
-    begun = F.col("key") < (max(1, tables // 10) << key_bits)
-    early = cut(components(verified(candidates(shared.where(begun)))), "early")
-    at = lambda end: early.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    within = lambda pairs: pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")).where("of_a <> of_b")
-    late = within(verified(within(candidates(shared.where(~begun))).select("a", "b"))).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-    joined = components(late).select(F.col("node").alias("of"), F.col("component").alias("last"))
-    step = low.select("id").join(early, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("of"))
-    found = step.join(joined, "of", "left").select(F.col("id").alias("node"), F.coalesce("last", "of").alias("component"))
-    grouped = cut(low.join(found, low.id == found.node, "left").select("fp", "low", F.coalesce("component", "id").alias("component")), "grouped")
+        return cut(common.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b"), "close")
+
+    few = shared.where(F.col("n") <= largest).drop("n")
+    edges = verified(side(few, "a").join(side(few, "b"), "key").where((F.col("id_a") < F.col("id_b")) & fit).select(*as_pair))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """The crowded lookups under keys that different components share, with their component."""
+        found = cut(components(links), "found").select(F.col("node").alias("id"), F.col("component").alias("of"))
+        rows = crowd.join(found, "id", "left").withColumn("of", F.coalesce("of", "id"))
+        open_ = rows.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("key")
+        return cut(rows.join(open_, "key"), "crowded")
+
+    left = labelled(edges)
+    for salt in range(ROUNDS):
+        if left.isEmpty():
+            break
+        hub = left.groupBy("key").agg(F.min_by(F.struct("id", "of", "size", "most"), F.xxhash64("id", "key", F.lit(salt))).alias("h"))
+        near = side(left, "a").join(hub.select("key", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("id", "of", "size", "most"))), "key").where((F.col("of_a") != F.col("of_b")) & fit)
+        few_hubs = near.groupBy("id_a").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("id_b", "id_a").alias("at"), "id_b"))), 1, HUBS).alias("hubs"))
+        edges = edges.unionByName(verified(few_hubs.select("id_a", F.explode("hubs.id_b").alias("id_b")).select(*as_pair)))
+        left = labelled(edges)
+    if not left.isEmpty():
+        # all pairs of what is left: those outside a key's most common component against all of the key
+        common = left.groupBy("key", "of").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("of", "n").alias("main"))
+        marked = left.join(common, "key").withColumn("out", F.col("of") != F.col("main")).drop("main")
+        rest = side(marked.where("out"), "a").join(side(marked, "b"), "key").where((F.col("of_a") != F.col("of_b")) & fit & (~F.col("out_b") | (F.col("id_a") < F.col("id_b")))).select(*as_pair)
+        edges = edges.unionByName(verified(rest))
+    found = components(edges)
+    grouped = cut(low.join(found, low.id == found.node, "left").select("id", "low", F.coalesce("component", "id").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    return fps.join(grouped.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return made.select("doc_id", "id").join(grouped.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")

@@ -123,6 +123,42 @@ def test_wide_near_duplicates(spark, odd):
     assert widehash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def near_by_sets(texts, size=5, similarity=0.8):
+    """doc_id to the smallest doc_id reachable, by all pairs of sets of shingles."""
+    sets = {i: {" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for i, t in texts.items() if (w := t.split())}
+    up = {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            x, y = sets[i], sets[j]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and root(i) != root(j):
+                both = len(x & y)
+                if both >= similarity * (len(x) + len(y) - both):
+                    a, b = sorted((root(i), root(j)))
+                    up[b] = a
+    return {i: root(i) for i in texts}
+
+
+def wide_components(spark, texts):
+    return {r["doc_id"]: r["component_id"] for r in widehash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_wide_repeated_lines_count_once(spark):
+    line = "home | products | about us | contact"
+    own = [[f"d{d}w{k}" for k in range(40)] for d in range(2)]
+    base = " ".join(f"w{k}" for k in range(300))
+    texts = {1: " ".join(own[0] + [line] * 20), 2: " ".join(own[1] + [line] * 20), 3: base, 4: " ".join([base] + [line] * 10), 5: "one " * 50, 6: "one " * 80}
+    wanted = near_by_sets(texts)
+    assert wanted == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
+    assert wide_components(spark, texts) == wanted
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
