@@ -11,6 +11,7 @@ of a family of near copies, and all pairs of what then still lies in different c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,15 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, set(shingles(text, size))), np.uint64))
 
 
-def _counts(sets: DataFrame) -> np.ndarray:
+def _counts(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles fall into each bucket of hashes."""
-    ship(sets.sparkSession)
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
+            for t in texts(batch):
+                np.add.at(total, (shingle_set(t, size) % np.uint64(BUCKETS)).astype(np.int64), 1)
         if total.any():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total.astype("<u4").reshape(CHUNKS, -1)], pa.binary())})
 
@@ -46,7 +48,7 @@ def _counts(sets: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows.column("counts"))
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    found = sets.select("set").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    found = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.zeros(BUCKETS, "<u4")
 
 
@@ -55,37 +57,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lar
 
     docs needs doc_id and text. Null and empty texts are copies of one another. A null doc_id has the component of its text. Empty table: no rows.
     """
-
-    def as_sets(batch: pa.RecordBatch) -> dict:
-        found = [shingle_set(t, size) for t in texts(batch)]
-        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "row": batch.column("row"), "id": ids, "set": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))}
-
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    made = cut(map_arrow(numbered, as_sets, "doc_id long, row long, id long, set array<long>", 512), "sets")
-    low = cut(made.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.count("*").alias("n")), "distinct")
-    again = made.select("id", "row").join(low.where("n > 1").select("id", F.col("row").alias("kept")), "id").where("row <> kept").select("row")
-    sets = made.join(again, "row", "left_anti").select("id", "set")
-    counts = docs.sparkSession.sparkContext.broadcast(_counts(sets))
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, size))
     share = (1 + similarity) / similarity
 
+    def name(found: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
+
     def lookups(batch: pa.RecordBatch) -> dict:
-        column = batch.column("set")
-        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((h, counts.value[h % np.uint64(BUCKETS)], of))
-        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        n = sizes[of]
-        most = np.floor((n - place) * share - n + 1e-6).astype(np.int64)  # the size of the largest partner
-        kept = most >= np.ceil(similarity * n - 1e-6)
-        return {"key": h[order][kept].view(np.int64), "id": batch.column("id").take(pa.array(of[kept])), "size": n[kept], "most": most[kept]}
-
-    keyed = cut(map_arrow(sets, lookups, "key long, id long, size long, most long", 512), "lookups")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("most") - F.col("size")).alias("reach")).where("n > 1 and reach >= 0").select("key", "n")
-    shared = cut(keyed.join(groups, "key"), "shared")
+        out: dict = {"id": [], "size": [], "keys": [], "most": []}
+        for t in texts(batch):
+            h = shingle_set(t, size)
+            n = len(h)
+            most = np.floor((n - np.arange(n)) * share - n + 1e-6).astype(np.int32)  # the size of the largest partner
+            most = most[most >= math.ceil(similarity * n - 1e-6)]
+            keys = h[np.lexsort((h, counts.value[h % np.uint64(BUCKETS)]))[: len(most)]]
+            for c, x in zip(out, (name(h), n, keys.view(np.int64), most), strict=True):
+                out[c].append(x)
+        return {"doc_id": batch.column("doc_id").cast(pa.int64()), **out}
+
+    made = cut(map_arrow(docs.select("doc_id", "text"), lookups, "doc_id long, id long, size int, keys array<long>, most array<int>", 512), "lookups")
+    low = cut(made.groupBy("id").agg(F.min("doc_id").alias("low")), "distinct")
+    keyed = made.select("id", "size", F.explode(F.arrays_zip("keys", "most")).alias("k")).select(F.col("k.keys").alias("key"), "id", "size", F.col("k.most").alias("most"))
+    # a key that all ids but one look up by in vain, or only copies, is none
+    groups = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.max(F.col("most") - F.col("size")).alias("reach")).where("x <> y and reach >= 0").select("key")
+    several = cut(keyed.join(cut(groups, "blocks"), "key").distinct(), "several")
+    shared = cut(several.join(several.groupBy("key").agg(F.count("*").alias("n")), "key"), "shared")
     crowd = shared.where(F.col("n") > largest).drop("n")
 
+    def as_sets(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(t, size) for t in texts(batch)]
+        return {"id": list(map(name, found)), "set": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
+
+    # only those that share a key are asked for
+    asked = cut(low.join(shared.select("id").distinct(), "id"), "asked")
+    theirs = docs.select("doc_id", "text").join(asked.select(F.col("low").alias("at")).distinct(), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
+    sets = cut(map_arrow(theirs, as_sets, "id long, set array<long>", 512).join(asked.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+
     def side(rows: DataFrame, end: str) -> DataFrame:
         return rows.select("key", *(F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "key"))
 
@@ -93,10 +100,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, lar
     as_pair = (F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = cut(pairs.distinct(), "pairs")
-        wanted = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        of = cut(sets.join(wanted, "id", "left_semi"), "asked")
-        held = asked.join(of.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        held = cut(pairs.distinct(), "pairs").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         common = held.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
         return cut(common.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b"), "close")
 

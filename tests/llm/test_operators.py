@@ -159,6 +159,23 @@ def test_wide_repeated_lines_count_once(spark):
     assert wide_components(spark, texts) == wanted
 
 
+def test_wide_large_family(spark):
+    """Thousands of texts below the threshold to one another, and among them pairs just above it."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for i in range(0, 3000, 2):
+        x = list(base)
+        for k in rng.sample(range(0, 60, 6), 3):
+            x[k] = f"v{rng.randrange(40)}"
+        y = list(x)
+        y[rng.randrange(60)] = f"n{i}"
+        texts[i], texts[i + 1] = " ".join(x), " ".join(y)
+    wanted = near_by_sets(texts)
+    assert 300 < len(set(wanted.values())) < 2900
+    assert wide_components(spark, texts) == wanted
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
