@@ -176,6 +176,16 @@ def test_wide_large_family(spark):
     assert wide_components(spark, texts) == wanted
 
 
+def test_wide_short_texts(spark):
+    texts = {}
+    for i in range(0, 60, 2):
+        words = [f"t{i}w{k}" for k in range(9)]
+        texts[i], texts[i + 1] = " ".join(words[:8]), " ".join(words)
+    wanted = near_by_sets(texts)
+    assert all(wanted[i] == i - i % 2 for i in texts)
+    assert wide_components(spark, texts) == wanted
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
