@@ -21,7 +21,8 @@ from .common import map_arrow, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
+_ANY = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PARTS = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Fixed values of the HTML standard: elements without content, elements whose text isn't shown, inline elements.
@@ -51,6 +52,18 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element has the attribute hidden, other than until-found, or a style by which it isn't shown."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, *values in _ANY.findall(attributes):
+        value = entities.unescape(next((v for v in values if v), ""))
+        if name.lower() == "hidden" and value.strip().lower() != "until-found" or name.lower() == "style" and _UNSHOWN.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order: entities decoded, white space as one space, none empty."""
     out: list[Block] = []
@@ -109,7 +122,7 @@ def blocks(page: str) -> list[Block]:
             del stack[i:]
             links = sum(t == "a" for t, _ in stack)
             continue
-        if tag in UNSEEN or _HIDDEN.search(m[3]) and tag not in VOID:
+        if tag in UNSEEN or tag not in VOID and _hidden(m[3]):
             if m[3].endswith("/"):
                 continue
             if tag not in UNSEEN:
@@ -118,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if close is None and tag in ("head", "select", "button", "svg", "math"):
                 continue
-            at = close.end() if close else end
+            at = close.end() if close else _parents_end(page, {t for t, _ in stack}, at)
             continue
         if tag in VOID:
             if tag in ("br", "img", "input"):
@@ -145,6 +158,22 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _parents_end(page: str, open_: set[str], at: int) -> int:
+    """The place of the end tag that closes one of the open elements around an element without an end; the page's end if there is none."""
+    depth: dict[str, int] = {}
+    for m in _TOKEN.finditer(page, at):
+        tag = (m[2] or "").lower()
+        if not tag or tag in VOID or m[3].endswith("/"):
+            continue
+        if not m[1]:
+            depth[tag] = depth.get(tag, 0) + 1
+        elif depth.get(tag):
+            depth[tag] -= 1
+        elif tag in open_:
+            return m.start()
+    return len(page)
+
+
 def _after_element(page: str, tag: str, at: int) -> int:
     """The place after the end of an element whose start tag ended at `at`."""
     depth = 1

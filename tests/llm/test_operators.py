@@ -419,6 +419,14 @@ def test_blocks():
     assert htmltext.blocks("") == [] and [b.text for b in htmltext.blocks("a < b <3 <")] == ["a < b <3 <"]
 
 
+def test_blocks_hide_only_what_is_hidden():
+    of = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert of('<div style="overflow:hidden"><p>a <a href="/hidden/valley" title="Hidden gems">b</a></p></div><p style="overflow-x: hidden">c</p>') == ["a b", "c"]
+    assert of('<p>a</p><div HIDDEN>b</div><div hidden="">c</div><p style="color:red; visibility: hidden">d</p><p style="Display:none">e</p><p hidden="until-found">f</p><p data-x="hidden">g</p>') == ["a", "f", "g"]
+    for tag in ("noscript", "object", "video", "iframe", "template", "textarea"):
+        assert of(f"<body><div><p>a</p><{tag}>x<b>y</b></div><p>b</p></body>") == ["a", "b"]
+
+
 def test_labeller(labeller):
     rng = np.random.default_rng(99)
     pages = [made_page(rng) for _ in range(200)]
