@@ -7,6 +7,7 @@ tokenised once and never shuffled: what travels is a short row for each piece.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,9 @@ from .common import cut, map_arrow, ship, table
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this family. Fixed values, public.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken's matcher gives up on runs of white space of somewhere under a million characters.
+LONG_RUN = 1 << 16
+_LONG = re.compile(rf"\s{{{LONG_RUN}}}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,7 +43,8 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, those that the tokenizers library gives.
 
     Reads a byte-level BPE vocabulary in which ids follow the order of merges; the merging itself is done by the faster of the
-    installed libraries. Special tokens' strings are ordinary text.
+    installed libraries. Texts that hold an added token's string, or a run of white space too long for the other's pattern, are left to
+    tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -47,12 +52,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         names = _byte_names()
-        special = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
-        ranks = {bytes(map(names.__getitem__, t)): i for t, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=False).items() if t not in special}
+        self._library = Tokenizer.from_file(path)
+        special = {t.content for t in self._library.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(names.__getitem__, t)): i for t, i in self._library.get_vocab(with_added_tokens=False).items() if t not in special}
         self._encode = tiktoken.Encoding("byte-level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
+        self._special = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [bytes(self._encode(t, set())) for t in texts]
+        return [self._by_library(t) if self._special.search(t) or len(t) >= LONG_RUN and _LONG.search(t) else bytes(self._encode(t, set())) for t in texts]
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, length: int = 1024, path: str | None = None) -> DataFrame:

@@ -219,6 +219,15 @@ def test_token_ids_are_the_librarys():
         assert np.frombuffer(e.encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_token_ids_of_long_runs_and_added_tokens():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    n = 1_600_000
+    for x in ("a" + " " * n + "b", "a" + "\n" * n, "x <|endoftext|><|endoftext|> y", "<|endoftext|>", "<|endoftext", "a " * (1 << 16), " " * ((1 << 16) - 1)):
+        assert np.frombuffer(e.encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 101, 300)
