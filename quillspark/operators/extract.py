@@ -172,10 +172,11 @@ def exceptions(docs: DataFrame, cap: int = CAPS["exceptions"]) -> DataFrame:
 
 
 def legal_description(text: Column) -> Column:
-    """(type, text, lot, block, apn) after the first anchor, up to the next heading; null for boilerplate or less than 40 characters."""
+    """(type, text, lot, block, apn) after the first anchor, up to the next heading, of 3000 characters the first 2000; null for boilerplate or less than 40 characters."""
     anchors = ["legal description", "described as follows", "real property described as", "land referred to", "property description", "lot"]
-    block = F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?is)\b{a}\b\s*:?\s*(.{{40,2000}}?)(?=\n\s*\n|schedule [a-d]\b|\z)", 1), F.lit("")) for a in anchors))
-    clean = F.btrim(F.regexp_replace(block, r"\s+", " "))
+    body = F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?is)\b{a}\b\s*:?\s*(.{{40,3000}})", 1), F.lit("")) for a in anchors))
+    block = F.regexp_extract(body, r"(?is)^(.{40,}?)(?=\n\s*\n|schedule [a-d]\b|\z)", 1)
+    clean = F.btrim(F.substring(F.btrim(F.regexp_replace(block, r"\s+", " ")), 1, 2000))
     fits = (F.length(clean) >= 40) & F.lower(clean).rlike("lot|block|section|township|unit|feet|north|south|east|west|parcel|subdivision|tract") & ~F.lower(clean).rlike("^(see|as shown|this policy)")
     pick = lambda p: F.nullif(F.regexp_extract(clean, p, 1), F.lit(""))
     described = F.struct(first_match(clean, rules.LEGAL_TYPES, "metes_and_bounds").alias("type"), clean.alias("text"), pick(r"(?i)\blot ([0-9A-Za-z]+)").alias("lot"), pick(r"(?i)\bblock ([0-9A-Za-z]+)").alias("block"), F.nullif(F.regexp_extract(text, r"(?i)\b(?:APN|parcel (?:no\.?|number|id)):? ?([0-9-]{4,})", 1), F.lit("")).alias("apn"))

@@ -173,3 +173,12 @@ def test_streaming_log(spark, tmp_path):
     q = edit_log.unique(edit_log.read(spark, log, schema, "parquet")).writeStream.format("memory").queryName("uniq").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("uniq").count() == 2
+
+
+def test_a_long_legal_description_is_kept(spark):
+    calls = " ".join(f"thence North {k} degrees East {k} feet to an iron pin;" for k in range(100, 200))
+    rows = [(1, f"Legal description: {calls}"), (2, f"Legal description: {calls[:2500]}\n\nSchedule B"), (3, f"Legal description: {calls[:300]}\n\nSchedule B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["t"] for r in docs.select("doc_id", extract.legal_description(F.col("text"))["text"].alias("t")).collect()}
+    assert len(calls) > 3800
+    assert found == {1: calls[:2000].strip(), 2: calls[:2000].strip(), 3: calls[:300].strip()}
