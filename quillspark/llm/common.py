@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) a temporary one that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where both are one process (as in tests) a temporary one is set if it's unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -57,13 +60,20 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 2048) -> DataFrame:
+def free(columns: list[str], name: str) -> str:
+    """The name, with as many underscores after it as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, rows: int = 2048) -> DataFrame:
     """mapInArrow with f on slices of at most so many rows; f returns columns by name in schema's order, or None for no rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,8 @@
 Each token scores the log-odds of its word, or of a beginning of it, between toxic and clean labelled texts under a
 Dirichlet prior, less its uncertainty; tokens without evidence cost a small drift. All maximal-scoring segments of a text are
 found in one linear scan. Under extreme-value statistics a segment's score becomes a chance of arising in clean text
-of that length, segments are summed, and a logistic curve fitted on labelled texts kept apart turns the sum into a score.
+of that length; those for which it is small are the toxic passages. Segments are summed, several weak ones counting together, and a
+logistic curve fitted on labelled texts kept apart turns the sum into a score.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_arrow, table
 
@@ -66,9 +68,9 @@ class Scorer(dict):
         return len(words), maximal_segments(np.flatnonzero(scores > 0), scores, self.model.drift)
 
     def __call__(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
-        """The number of tokens, the evidence in nats, and the segments."""
+        """The number of tokens, the evidence in nats, and the significant segments."""
         n, found = self.segments(text)
-        return n, sum_statistic([s for *_, s in found], n, self.model.rate), found
+        return n, sum_statistic([s for *_, s in found], n, self.model.rate), significant(found, n, self.model.rate)
 
     def probability(self, n: int, nats: float) -> float:
         a, b, c = self.model.curve
@@ -79,23 +81,31 @@ def maximal_segments(hits: np.ndarray, scores: np.ndarray, drift: float) -> list
     """All maximal-scoring segments of a sequence in which all but the hits score -drift, in time linear in the hits.
 
     Candidates are kept on a list with the cumulative scores left of and up to them; one that adds to an earlier one is merged with it.
+    Each keeps the place of the last candidate before it that began lower: none between the two begins lower than it does, so a search
+    for a lower beginning goes from place to place, and no step of it is taken again once a candidate stands behind it.
     """
-    kept: list[tuple[int, int, float, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
-    for i in hits.tolist():
+    for i, s in zip(hits.tolist(), scores[hits].tolist(), strict=True):
         left = total - drift * (i - last)
-        total, last = left + float(scores[i]), i + 1
+        total, last = left + s, i + 1
         start, low = i, left
-        while kept:
+        while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= low:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= total:
                 break
             start, low = kept[j][0], kept[j][2]
             del kept[j:]
-        kept.append((start, i + 1, low, total))
-    return [(a, b, high - low) for a, b, low, high in kept]
+        kept.append((start, i + 1, low, total, j))
+    return [(a, b, high - low) for a, b, low, high, _ in kept]
+
+
+def significant(found: list[tuple[int, int, float]], n: int, rate: float, chance: float = 0.05) -> list[tuple[int, int, float]]:
+    """The segments whose score the best segment of clean text of n tokens reaches with at most this chance, 1 - exp(-n exp(-rate * score))."""
+    least = (math.log(n) - math.log(-math.log1p(-chance))) / rate if n else 0.0
+    return [x for x in found if x[2] >= least]
 
 
 def sum_statistic(scores: list[float], n: int, rate: float) -> float:
@@ -149,7 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, prior: float = 1.0
 
     At most about `each` labelled documents of each class are used, a fifth of them for the curve alone. A word counts
     once for each pair of neighbours it has, so copies of a text don't count again. `prior` is the least Dirichlet mass of a word, and only evidence
-    `sure` standard deviations from none is kept, at most `features` of it. Without labels nothing scores.
+    `sure` standard deviations from none is kept, the surest `features` of it: a bound on the model that is sent to the tasks, which leaves out the
+    weakest evidence only where the sample shows more. Rows that repeat a doc_id are each read; one that `labels` calls both toxic and clean is toxic.
+    Rows without doc_id aren't learnt from. Without labels nothing scores.
     """
     chosen = _sample(labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), each)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).persist()
@@ -207,27 +219,32 @@ def hash_of(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity (double, 0 to 1) and passages (array of first, end, score; in tokens).
+def score(docs: DataFrame, model: Model, toxicity: str = "toxicity", passages: str = "passages") -> DataFrame:
+    """docs with toxicity (double, 0 to 1) and its significant passages (array of first, end, score; in tokens), under the names given.
 
-    docs needs text and keeps its other columns. A null or empty text has no passages and the score of no evidence.
+    docs needs text and keeps its other columns; one that has a name given is replaced. A null or empty text has no passages and the score of no evidence.
+    A row's score depends on its text and the model alone, so equal texts tie and repeated rows come out alike. Empty table: no rows.
     """
-    schema = docs.drop("toxicity", "passages").schema
-    names = schema.names
+    kept = [f.name for f in docs.schema if f.name.lower() not in (toxicity.lower(), passages.lower())]
+    docs = docs.drop(toxicity, passages)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(kept))))  # Arrow functions don't take all names
+    spans = StructType.fromDDL("x array<struct<first:int,end:int,score:double>>")["x"].dataType
+    schema = StructType([*plain.schema, StructField("toxicity", DoubleType()), StructField("passages", spans)])
     scorer = Scorer(model)
+    place = kept.index("text")
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [scorer(t) for t in batch.column("text").to_pylist()]
-        return {n: batch.column(n) for n in names} | {
+        found = [scorer(t) for t in batch.column(place).to_pylist()]
+        return {f"c{i}": batch.column(i) for i in range(len(kept))} | {
             "toxicity": [scorer.probability(n, nats) for n, nats, _ in found],
             "passages": [[{"first": a, "end": b, "score": s} for a, b, s in x] for *_, x in found],
         }
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_arrow(docs.select(names), run, f"{ddl}, toxicity double, passages array<struct<first:int,end:int,score:double>>", 1024)
+    return map_arrow(plain, run, schema, 1024).toDF(*kept, toxicity, passages)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_passages of each row of documents; a null doc_id is not held out, a null or empty text has the score of no evidence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     out = score(docs, fit(docs, labels))
