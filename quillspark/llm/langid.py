@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
@@ -24,7 +25,7 @@ from .words import mix
 BITS = 12  # of a character's number in an n-gram's key
 OTHER, SPACE = 0, 1
 _MASK = (1 << BITS) - 1
-_LONGEST = 200_000
+_PIECE = 1 << 17
 
 
 @dataclass
@@ -45,12 +46,15 @@ class Alphabet:
         return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
-def _sequence(numbers: np.ndarray, order: int) -> np.ndarray:
-    """Runs of spaces as one, after order - 1 spaces that begin the text."""
+def _sequence(numbers: np.ndarray, order: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Runs of spaces as one, after the order - 1 numbers before it; the text's beginning has spaces before it."""
+    before = np.full(order - 1, SPACE, np.uint64) if before is None else before
     space = numbers == SPACE
     keep = ~space
     keep[1:] |= ~space[:-1]
-    return np.concatenate([np.full(order - 1, SPACE, np.uint64), numbers[keep].astype(np.uint64)])
+    if len(before) and before[-1] != SPACE:
+        keep[:1] = True
+    return np.concatenate([before, numbers[keep].astype(np.uint64)])
 
 
 def _keys(seq: np.ndarray, n: int) -> np.ndarray:
@@ -94,25 +98,44 @@ class Model:
             out[left[seen]] += self.backoffs[k - 1][at[seen]]
         return out
 
+    def pieces(self, text: str) -> Iterator[tuple[np.ndarray, bool]]:
+        """The sequence of a text in pieces, each with the order - 1 numbers before it, and whether it has letters. Pieces bound the memory; the scores are those of the whole."""
+        before = None
+        for a in range(0, len(text), _PIECE):
+            x = self.alphabet.numbers(text[a : a + _PIECE])
+            seq = _sequence(x, self.order, before)
+            before = seq[len(seq) - self.order + 1 :]
+            yield seq, bool((x != SPACE).any())
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character in nats, by text and language, and whether a text has letters. Without: infinite."""
-        parts, of = [], []
-        for i, t in enumerate(texts):
-            for a in range(0, len(t or ""), _LONGEST):
-                x = self.alphabet.numbers(t[a : a + _LONGEST])
-                if (x != SPACE).any():
-                    parts.append(_sequence(x, self.order))
-                    of.append(i)
-        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        if parts:
-            seq = np.concatenate(parts)
+        total, count, has = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        parts: list[np.ndarray] = []
+        of: list[int] = []
+        held = 0
+
+        def add() -> None:
+            nonlocal held
             ends = np.cumsum([len(p) for p in parts])
-            scores = self.scored(np.concatenate([seq, np.full(self.order - 1, SPACE, np.uint64)]))
+            scores = self.scored(np.concatenate([*parts, np.full(self.order - 1, SPACE, np.uint64)]))
             for i, p, end in zip(of, parts, ends.tolist(), strict=True):
                 begin = end - len(p)  # the n-gram of a number starts order - 1 before it
                 total[i] -= scores[begin : end - self.order + 1].sum(axis=0, dtype=np.float64)
                 count[i] += len(p) - self.order + 1
-        has = count > 0
+            parts.clear()
+            of.clear()
+            held = 0
+
+        for i, t in enumerate(texts):
+            for seq, letters in self.pieces(t or ""):
+                has[i] |= letters
+                parts.append(seq)
+                of.append(i)
+                held += len(seq)
+                if held >= _PIECE:
+                    add()
+        if parts:
+            add()
         return np.where(has[:, None], total / np.maximum(count, 1)[:, None], np.inf), has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +159,7 @@ def _lookup(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: dict[str, list[str]], order: int = 4, letters: int = 4000) -> Model:
-    """The models of the given texts by language, with at most so many letters, the most frequent ones."""
+    """The models of the given texts by language, with at most so many letters, the most frequent ones: an n-gram's key has 12 bits a letter. Rarer letters are one letter, as unseen ones are."""
     if not 1 <= order <= 5:
         raise ValueError("order: 1 to 5")
     found = Counter(c for x in texts.values() for t in x for c in t.lower() if c.isalpha())
@@ -192,17 +215,20 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, each: int = 250, order: int = 4) -> Model:
+def fit(docs: DataFrame, each: int = 250, order: int = 4, most_chars: int = 4_000_000) -> Model:
     """The model from docs (doc_id, text, lang) with a language.
 
     Of each language at most about `each` documents, chosen by a hash of doc_id, are trained on, whole, and a quarter
-    as many serve for calibration. Copies count once.
+    as many serve for calibration; of either, no more are added once `most_chars` characters are reached, so that what is collected is bounded. Copies count once.
+    Rows with a null text or lang aren't learnt from. Empty table: a model without languages, for which every text is `und`.
     """
     labelled = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     number = F.element_at(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)), F.col("lang")) if counts else F.lit(0)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 * number
-    rows = labelled.where(share < each * 1.25).select("lang", "text", (share >= each).alias("apart")).distinct().collect()
+    chosen = labelled.where(share < each * 1.25).select("lang", "text", (share >= each).alias("apart")).distinct()
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang", "apart").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_chars).collect()
     texts: tuple[dict, dict] = {}, {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         texts[r["apart"]].setdefault(r["lang"], []).append(r["text"])
@@ -212,7 +238,8 @@ def fit(docs: DataFrame, each: int = 250, order: int = 4) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), rejected, cross_entropy (nats a character; null without letters) of each whole text.
 
-    A null text or one without letters is `und` with score 0, and rejected. docs needs doc_id and text.
+    A null text or one without letters is `und` with score 0, and rejected. Languages that tie: the first by name. docs needs doc_id and text; a null doc_id stays
+    null, repeated rows come out alike, other columns aren't read. Empty table: no rows.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -223,6 +250,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of each row of documents; a null doc_id is neither held out nor learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
     return out.select("doc_id", (F.coalesce(crc_mod("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "lang_pred", "score", "rejected")
