@@ -1,13 +1,14 @@
 """Order MinHash fingerprints: near 1 for texts at a small edit distance, and told apart by order, not by content alone.
 
-A text is a sequence of units: words, or the single characters of words over LONG_WORD bytes (addresses, scripts without
-spaces). Its k-mers are numbered by occurrence. Under each of `sketches` hash orders the `tuple_size` smallest numbered
+A text is a sequence of units, the same in all texts: each character of a script that is written without spaces between words, and each run of
+other characters between these and white space. Its k-mers are numbered by occurrence. Under each of `sketches` hash orders the `tuple_size` smallest numbered
 k-mers are taken in the order of the text, and their hash is one component of the fingerprint.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +22,18 @@ from pyspark.sql.types import StructType
 from .common import map_arrow, table, texts
 from .words import Hashes, Prefix, hashed, mix
 
-LONG_WORD = 16
+#: Fixed values of Unicode: Thai and Lao, Myanmar, Khmer, kana, ideographs and their extensions.
+ALONE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ALONE = re.compile(f"[{ALONE}]")
+_UNIT = re.compile(rf"[{ALONE}]|[^\x20\x09-\x0D{ALONE}]+")
 _MOST = np.uint64((1 << 64) - 1)
 _BLOCK = 1 << 18
 
 
 def units(text: str) -> list[bytes]:
-    words = text.encode().split()
-    if max(map(len, words), default=0) <= LONG_WORD:
-        return words
-    return [u for w in words for u in ([w] if len(w) <= LONG_WORD else [c.encode() for c in w.decode()])]
+    if text.isascii() or not _ALONE.search(text):
+        return text.encode().split()  # the same, faster
+    return [u.encode() for u in _UNIT.findall(text)]
 
 
 class Fingerprinter:
@@ -71,7 +74,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, **how: int) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal) of each text; null texts count as empty."""
+    """doc_id, fingerprint (hexadecimal) of each text; null texts count as empty, and have the fingerprint of texts without units: zeros.
+
+    docs needs doc_id and text; a null doc_id stays null, repeated rows come out alike, other columns aren't read. Empty table: no rows.
+    """
     made = Fingerprinter(**how)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -80,47 +86,61 @@ def fingerprints(docs: DataFrame, **how: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
+class Cells:
+    """Ranges of (place, tag) in order. A place that several quantiles fall on has as many cells of its own, by its tags, which are hashes."""
+
+    def __init__(self, quantiles: list[int]):
+        found, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        hot = found[times > 1]
+        self.bounds = np.unique(np.r_[found, hot[hot < np.iinfo(np.int64).max] + 1])
+        inside = np.r_[1, np.ones(len(self.bounds), np.int64)]  # cells in the range from a bound on
+        inside[np.searchsorted(self.bounds, hot, side="right")] = times[times > 1]
+        self.inside, self.first = inside, np.cumsum(inside) - inside
+
+    def __call__(self, place: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, place, side="right")
+        return (self.first[at] + ((tag >> 31) * self.inside[at] >> 32)).astype(np.int32)
+
+
 def with_next(docs: DataFrame, f, schema: str) -> DataFrame:
     """f(doc_id, text, next text) for each document and the next by ascending doc_id, after the last the first.
 
     Documents are dealt out by ranges of doc_id; the first of each range also goes, once more, to the end of the range
-    before. Texts travel compressed, once. Rows that share a doc_id follow one another by text hash; a null doc_id
+    before. Texts travel compressed, once. Rows that share a doc_id follow one another by text hash, and are dealt out by it where they are many; a null doc_id
     comes first. f returns a row in schema's order.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = 4 * parts
-    cut_at = base.agg(F.percentile_approx("place", [i / cells for i in range(1, cells)], 20 * cells).alias("q")).first()["q"] or []
-    bounds = np.array(sorted(set(cut_at)), np.int64)
-
-    def cell_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.searchsorted(bounds, batch.column("place").to_numpy(), side="right")
+    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tag", tag)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0))
+    number = 4 * parts
+    cells = Cells(base.agg(F.percentile_approx("place", [i / number for i in range(1, number)], 20 * number).alias("q")).first()["q"] or [])
 
     def cells_only(batch: pa.RecordBatch) -> dict:
-        cell, place = cell_of(batch), batch.column("place").to_numpy()
-        found, at = np.unique(cell, return_inverse=True)
-        low = np.full(len(found), np.iinfo(np.int64).max)
-        np.minimum.at(low, at, place)
-        return {"cell": found, "place": low}
-
-    heads = {r["cell"]: r["place"] for r in map_arrow(base.select("place"), cells_only, "cell int, place long").groupBy("cell").agg(F.min("place").alias("place")).collect()}
+        place, tag = (batch.column(c).to_numpy() for c in ("place", "tag"))
+        cell = cells(place, tag)
+        by = np.lexsort((tag, place, cell))
+        first = by[np.flatnonzero(np.r_[True, np.diff(cell[by]) != 0])] if len(by) else by
+        return {"cell": cell[first], "place": place[first], "tag": tag[first]}
+
+    lowest = map_arrow(base.select("place", "tag"), cells_only, "cell int, place long, tag long").groupBy("cell").agg(F.min(F.struct("place", "tag")).alias("head")).collect()  # a row a cell
+    heads = {r["cell"]: tuple(r["head"]) for r in lowest}
     order = sorted(heads)
     before = {c: order[i - 1] for i, c in enumerate(order)}  # the first cell's is the last
 
     def deal(batch: pa.RecordBatch) -> dict:
         pack = zstandard.ZstdCompressor(level=1).compress
-        cell = cell_of(batch)
-        place = batch.column("place").to_numpy()
-        extra = [i for i, (c, p) in enumerate(zip(cell.tolist(), place.tolist(), strict=True)) if heads[c] == p]
+        place, tag = (batch.column(c).to_numpy() for c in ("place", "tag"))
+        cell = cells(place, tag)
+        # rows that repeat a head are one
+        extra = list({c: i for i, (c, p) in enumerate(zip(cell.tolist(), zip(place.tolist(), tag.tolist(), strict=True), strict=True)) if heads[c] == p}.values())
         at = np.r_[np.arange(len(cell)), np.array(extra, np.int64)]
         packed = [pack(t) for t in texts(batch)]
-        tag = [int.from_bytes(hashlib.blake2b(t, digest_size=7).digest()) for t in texts(batch)]
         return {
             "cell": np.r_[cell, [before[cell[i]] for i in extra]].astype(np.int32),
             "head": np.r_[np.zeros(len(cell), bool), np.ones(len(extra), bool)],
             "place": place[at],
-            "tag": np.array(tag, np.int64)[at],
+            "tag": tag[at],
             "doc_id": batch.column("doc_id").take(pa.array(at)),
             "packed": [packed[i] for i in at.tolist()],
         }
@@ -152,7 +172,8 @@ def edited_likeness(docs: DataFrame, **how: int) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document.
 
     The edited text has its last floor(n / 2) characters replaced by as many first ones of the next text, or by all of a
-    shorter one. docs needs doc_id and text; null texts count as empty. Empty table: no rows. One document: it is its own next.
+    shorter one. docs needs doc_id and text, and other columns aren't read; null texts count as empty. Rows with one doc_id, or none (these come first), follow one
+    another by a hash of the text, repeated rows included. Empty table: no rows. One document: it is its own next.
     """
     made = Fingerprinter(**how)
     kept: dict[str, np.ndarray] = {}
@@ -172,4 +193,5 @@ def edited_likeness(docs: DataFrame, **how: int) -> DataFrame:
 
 
 def op6_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_likeness of each row of documents."""
     return edited_likeness(table(spark, sf_dir, "documents"))
