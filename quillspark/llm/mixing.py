@@ -1,7 +1,7 @@
 """Mixing sources to target weights by entropy balancing.
 
 Each document gets a rate, the closest to 1 in relative entropy for which every source's words add up to its target; the
-rates are exponentially tilted, rate = exp(lambda of its source * x) up to a cap, and the multipliers are found by Newton's
+rates are exponentially tilted by size, rate = exp(lambda of its source * size / mean size) up to a cap, and the multipliers are found by Newton's
 method on the convex dual. Gradient and curvature are sums over a histogram of sizes, taken once over all documents. Rates are
 then rounded into whole copies. DataFrame operations only; what meets in one task is bounded by the number of sources.
 """
@@ -23,42 +23,53 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def _weighed(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """sizes with weight: the weights, repeated over the sources by code point, null last. Sources are numbered within ranges of names, so that none of them need meet in one task."""
+    order = F.col("source").asc_nulls_last()
+    ranged = cut(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before, so_far = {}, 0
+    for r in ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a range
+        before[r["part"]], so_far = so_far, so_far + r["n"]
+    first = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part")) if before else F.lit(0)
+    nth = first + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int"))).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """source, source_size, target: all sizes shared by the weights, repeated over the sources by code point, null last.
 
-    A target stops at `most` times its source's size; the excess is reshared by weight until none is above. sizes: one row per source.
+    A target stops at `most` times its source's size; the excess is reshared by weight until none is above, a round an aggregate over the sources. sizes: one row per source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    w = sizes.withColumn("weight", weight).withColumn("bound", most * F.col("source_size")).withColumn("level", F.col("bound") / F.col("weight"))
-    ranked = Window.orderBy("level", F.col("source").asc_nulls_last())
-    upto, whole = ranked.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    # what is left for this and all later sources if those before it stop at their bounds, for a unit of weight
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("bound").over(upto), F.lit(0.0))
-    share = w.withColumn("unit", left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))))
-    # the first that needn't stop sets the share of all after it
-    unit = F.min(F.when(F.col("unit") <= F.col("level"), F.struct("level", "source", "unit"))).over(whole)["unit"]
-    return share.withColumn("open", unit).select("source", "source_size", F.least("bound", F.coalesce(F.col("weight") * F.col("open"), F.col("bound"))).alias("target"))
+    w = cut(_weighed(sizes, weights).withColumn("bound", most * F.col("source_size")), "weighed")
+    first = w.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weight")).first()
+    unit, before = (first["all"] / first["weight"] if first["weight"] else 0.0), None
+    while unit != before:
+        full = F.col("weight") * unit > F.col("bound")
+        sums = w.agg(F.sum(F.when(full, F.col("bound"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        before, unit = unit, ((first["all"] - (sums["full"] or 0.0)) / sums["open"] if sums["open"] else unit)
+    return w.select("source", "source_size", F.least("bound", F.col("weight") * unit).alias("target"))
 
 
 def _tilt(prior: str) -> Column:
-    """The exponent's factor: 1 where words weigh equally beforehand, size over its mean where documents do."""
+    """The exponent's factor: size over its mean where documents weigh equally beforehand, 1 where words do."""
     if prior not in ("words", "documents"):
         raise ValueError("prior: words or documents")
-    return F.lit(1.0) if prior == "words" else F.col("size") * F.col("n_docs") / F.col("source_size")
+    return F.lit(1.0) if prior == "words" else F.try_divide(F.col("size") * F.col("n_docs"), F.col("source_size"))
 
 
 def _rate(cap: float) -> Column:
     return F.least(F.lit(cap), F.exp(F.col("multiplier") * F.col("x")))
 
 
-def multipliers(histogram: DataFrame, wanted: DataFrame, cap: float = 3.0, prior: str = "words", close: float = 1e-9, rounds: int = 60) -> DataFrame:
+def multipliers(histogram: DataFrame, wanted: DataFrame, cap: float = 3.0, prior: str = "documents", close: float = 1e-9, rounds: int = 80) -> DataFrame:
     """source, multiplier: Newton's method on the dual, all sources at once; a round is one aggregate over the histogram.
 
-    histogram: source, size, n. wanted: source, source_size, n_docs, target. A step is cut to 2, and halved while it would leave the
-    bracket that the signs of earlier gradients give, so sources whose target needs all documents at the cap end there.
+    histogram: source, size, n. wanted: source, source_size, n_docs, target. A step is cut to 2 or the multiplier's own size, and halved while it would leave the
+    bracket that the signs of earlier gradients give, so sources whose target needs all documents at the cap end there: the bracket lets a document of one word get there.
     """
-    state = cut(wanted.where("target > 0").select("source", "source_size", "n_docs", "target", F.lit(0.0).alias("multiplier"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), F.lit(False).alias("done")), "dual")
+    _tilt(prior)
+    reach = 60.0 * (F.lit(1.0) if prior == "words" else F.greatest(F.lit(1.0), F.col("source_size") / F.col("n_docs")))
+    state = cut(wanted.where("target > 0").select("source", "source_size", "n_docs", "target", F.lit(0.0).alias("multiplier"), (-reach).alias("low"), reach.alias("high"), F.lit(False).alias("done")), "dual")
     names = state.columns
     for _ in range(rounds):
         held = histogram.join(state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("x", _tilt(prior)).withColumn("rate", _rate(cap))
@@ -66,7 +77,8 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, cap: float = 3.0, prior
         sums = held.groupBy("source").agg(F.sum(words).alias("reached"), F.sum(F.when(F.col("rate") < cap, words * F.col("x")).otherwise(0.0)).alias("slope")).withColumnRenamed("source", "of")
         gap = F.col("target") - F.col("reached")
         low, high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap < 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))
+        far = F.greatest(F.lit(2.0), F.abs("multiplier"))
+        newton = F.col("multiplier") + F.greatest(-far, F.least(far, gap / F.col("slope")))
         inside = F.when((F.col("slope") > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         done = F.abs(gap) <= close * F.col("target")
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("of")))
@@ -97,12 +109,13 @@ def _corrections(units: DataFrame, cap: int, candidates: int) -> DataFrame:
     return listed.join(missing, F.col("source").eqNullSafe(F.col("of"))).select("source", F.explode(changes).alias("c")).select("source", "c.*")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, prior: str = "words", candidates: int = 64) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, prior: str = "documents", candidates: int = 64) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken (copies * size), for each document.
 
     docs needs doc_id, source and text. A null source is a source, by name the last; null and empty texts have size 0 and take nothing. Rows that
     repeat a doc_id in a source at one size have as many copies each. Draws are hashes of doc_id, so reruns agree. Empty table: no rows.
-    prior: "words" gives the documents of a source one rate; "documents" tilts it by their size.
+    prior: "documents" takes each document as likely as any other beforehand, so that the rates are tilted by their size; "words" each word, which gives the documents of a source one rate.
+    Rows without doc_id are drawn alike and not corrected. Other columns aren't read.
     """
     base = cut(sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"), "sizes")
     histogram = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
@@ -123,4 +136,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, p
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix of all documents, with the weights 5, 2, 1 and at most 3 copies."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
