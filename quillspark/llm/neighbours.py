@@ -8,7 +8,7 @@ bounded number of rows, so a part that holds a common vector is many tasks, each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,10 +79,10 @@ def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 60, seed: int =
     return part
 
 
-def train_router(x: np.ndarray, share: np.ndarray, hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
-    """Cross-entropy against each row's shares of parts, by Adam."""
+def train_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
+    """Cross-entropy against each row's shares of parts, half its own and half its neighbours', by Adam."""
     rng = np.random.default_rng(seed)
-    dim, parts = x.shape[1], share.shape[1]
+    dim = x.shape[1]
     mean = x.mean(axis=0)
     scale = 1 / (x.std() + 1e-9)
     w = [rng.standard_normal((dim, hidden)) * np.sqrt(2 / dim) * scale, np.zeros(hidden), rng.standard_normal((hidden, parts)) * np.sqrt(1 / hidden), np.zeros(parts)]
@@ -92,12 +92,15 @@ def train_router(x: np.ndarray, share: np.ndarray, hidden: int = 128, epochs: in
         rate = 3e-3 * (1 - epoch / epochs) + 1e-4
         for a in range(0, len(x), 128):
             rows = order[a : a + 128]
+            share = np.zeros((len(rows), parts))
+            np.add.at(share, (np.repeat(np.arange(len(rows)), graph.shape[1]), part[graph[rows]].ravel()), 0.5 / graph.shape[1])
+            share[np.arange(len(rows)), part[rows]] += 0.5
             z = x[rows] - mean
             h = np.maximum(z @ w[0] + w[1], 0)
             o = h @ w[2] + w[3]
             p = np.exp(o - o.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            d = (p - share[rows]) / len(rows)
+            d = (p - share) / len(rows)
             dh = (d @ w[2].T) * (h > 0)
             t += 1
             for i, g in enumerate((z.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(axis=0))):
@@ -107,40 +110,39 @@ def train_router(x: np.ndarray, share: np.ndarray, hidden: int = 128, epochs: in
     return Router(mean, *w)
 
 
-def fit(vectors: DataFrame, rows: int, sample: int = 8192, part_rows: int = 1024, k: int = 10, neighbours: int = 20, aim: float = 0.94) -> Router:
-    """The router from at most about `sample` of `rows` vectors (vec_id, v), with parts of about `part_rows` rows, and 2 to 256 of them.
+def fit(vectors: DataFrame, rows: int, sample: int = 8192, most: int = 32768, part_rows: int = 1024, each: int = 16, k: int = 10, neighbours: int = 20, aim: float = 0.94) -> Router:
+    """The router from a sample of `rows` vectors (vec_id, v) of one dimension, with a power of two of parts, of about `part_rows` rows.
 
+    The sample holds about `sample` rows, or as many more, up to `most`, as give each part `each` of them; fewer parts are made where it holds less for them, at the least one.
     The number of parts a query goes to is the least for which `aim` of the `neighbours` nearest in the sample are in them, as measured on a fifth of the sample.
     """
-    share = min(1.0, sample / max(1, rows))
+    wanted = max(1.0, rows / part_rows)
+    share = min(1.0, min(max(sample, each * wanted), most) / max(1, rows))
     got = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("vec_id").select("v").toPandas()["v"]
     x = np.unique(np.stack(got.to_numpy()).astype(np.float64), axis=0) if len(got) else np.zeros((0, 1))
-    if len(x) < 64:
+    parts = 1 << max(0, min(round(np.log2(wanted)), int(np.log2(max(1, len(x) / each)))))
+    if parts == 1:
         dim = x.shape[1]
         return Router(np.zeros(dim), np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    parts = 1 << min(8, max(1, round(np.log2(max(2, rows / part_rows)))))
-    parts = min(parts, 1 << int(np.log2(len(x) // 16)))
     x = x[np.random.default_rng(7).permutation(len(x))]
     held, own = x[: len(x) // 5], x[len(x) // 5 :]
     graph = neighbour_graph(own, min(k, len(own) - 1))
-    part = balanced_parts(graph, parts)
-    near = np.zeros((len(own), parts))
-    np.add.at(near, (np.repeat(np.arange(len(own)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    router = train_router(own, 0.5 * near + 0.5 * np.eye(parts)[part])
+    router = train_router(own, balanced_parts(graph, parts), graph, parts)
     # rows are indexed by the router, so it is the router's parts that count
     indexed = router.logits(own).argmax(axis=1)
-    tops = np.argsort(-router.logits(held), axis=1)
-    s = held @ own.T
-    best = np.argpartition(-s, min(neighbours, len(own)) - 1, axis=1)[:, :neighbours]
-    order = np.argsort(tops, axis=1)  # by part: its place among the query's
-    places = np.take_along_axis(order, indexed[best], axis=1).ravel()
-    recall = np.cumsum(np.bincount(places, minlength=parts)) / len(places)
-    router.probes = int(np.searchsorted(recall, aim) + 1)
+    at_place = np.zeros(parts, np.int64)  # how many near ones lie in the query's first part, in its second and so on
+    for a in range(0, len(held), 512):
+        queries = held[a : a + 512]
+        place = np.argsort(np.argsort(-router.logits(queries), axis=1), axis=1)
+        s = queries @ own.T
+        best = np.argpartition(-s, min(neighbours, len(own)) - 1, axis=1)[:, :neighbours]
+        at_place += np.bincount(np.take_along_axis(place, indexed[best], axis=1).ravel(), minlength=parts)
+    router.probes = min(parts, int(np.searchsorted(np.cumsum(at_place) / at_place.sum(), aim) + 1))
     return router
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id, v (doubles): rows that are not null, not zero, and have only finite components."""
+    """vec_id, v (doubles): rows that are not null, not zero, and have only finite components. Repeated rows stay; other columns aren't read. Empty table: no rows."""
     v = F.col(column).cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
@@ -153,33 +155,58 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, **how: float) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k candidates of largest inner product found for each query, its own row left out; ties to smaller vec_id.
 
-    vectors and queries: vec_id, v, as usable() gives them, all of one dimension. Rows that repeat a vec_id are candidates each; a query that is repeated
-    is answered once. All candidates, if there are fewer than k in the parts searched and elsewhere. Empty table: no rows.
+    vectors and queries: vec_id, v, as usable() gives them. Those of the dimension that most vectors have (the smaller one, in a tie) take part. Rows that repeat a vec_id are
+    candidates each; a query that is repeated is answered once, by its smallest vector. A query whose parts hold fewer than k candidates is sent to all others too, so
+    it gets k, or all there are. Empty table: no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.count()
-    router = fit(vectors, rows, **how)
-    dim = len(router.mean)
+    largest = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim, rows = (largest["dim"], largest["n"]) if largest else (0, 0)
     fits = vectors.where(F.size("v") == dim)
-    probes = router.parts if rows <= max(4 * k, 256) else router.probes
+    router = fit(fits, rows, **how)
 
     def index(batch: pa.RecordBatch) -> dict:
-        return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "part": router.logits(_matrix(batch.column("v"))).argmax(axis=1).astype(np.int32)}
+        return {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "part": router.logits(_matrix(batch.column("v"))).argmax(axis=1).astype(np.int32), "salt": batch.column("salt")}
 
-    def route(batch: pa.RecordBatch) -> dict:
-        best = np.argsort(-router.logits(_matrix(batch.column("v"))), axis=1)[:, :probes]
-        of = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
-        return {"vec_id": batch.column("vec_id").take(of), "v": batch.column("v").take(of), "part": best.ravel().astype(np.int32)}
+    def route(first: int, end: int):
+        def run(batch: pa.RecordBatch) -> dict:
+            best = np.argsort(-router.logits(_matrix(batch.column("v"))), axis=1)[:, first:end]
+            of = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
+            return {"vec_id": batch.column("vec_id").take(of), "v": batch.column("v").take(of), "part": best.ravel().astype(np.int32)}
+
+        return run
 
     schema = "vec_id long, v array<double>, part int"
-    indexed = cut(map_arrow(fits, index, schema), "index")
-    routed = cut(map_arrow(queries.where(F.size("v") == dim).dropDuplicates(["vec_id"]), route, schema), "routed")
+    indexed = cut(map_arrow(fits.withColumn("salt", F.monotonically_increasing_id()), index, f"{schema}, salt long"), "index")
     # a part's rows are dealt to as many blocks as its size asks for; each query goes to all of them
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    stored = indexed.join(sizes, "part").select("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = routed.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-    together = stored.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+    stored = indexed.join(sizes, "part").select("part", F.pmod(F.xxhash64("vec_id", "salt"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    asking = queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def found(asking: DataFrame, first: int, end: int) -> DataFrame:
+        routed = cut(map_arrow(asking, route(first, end), schema, 256), "routed")
+        asked = routed.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+        together = stored.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+        return nearest(together.mapInArrow(_answers(k), "query_id long, vec_id long, score double"))
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    out = found(asking, 0, router.probes)
+    if router.probes == router.parts:
+        return out
+    out = cut(out, "nearest")
+    enough = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = cut(asking.join(enough, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return out
+    return nearest(out.drop("rank").unionByName(found(short, router.probes, router.parts).drop("rank")))
+
+
+def _answers(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best rows of each query within a block, of rows sorted by part, block, and stored ones before those that ask."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, store, sorted_ = None, [], [], None
@@ -218,9 +245,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
             best = [_merged(best, k)]
             yield emit()
 
-    found = together.mapInArrow(answer, "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return answer
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,5 +274,6 @@ def _merged(best: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tu
 
 
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search for the 20 nearest of each row whose vec_id is divisible by 20 among all rows."""
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.where("vec_id % 20 = 0"))
