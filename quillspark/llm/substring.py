@@ -1,13 +1,13 @@
 """Repeated passages by seed and extend.
 
 Seed: within each window of `length` words the smallest hash of its runs of `SEED_WORDS` words is its anchor, so documents that
-share a window share its anchor (winnowing). Anchors found in one document only go no further. Extend: an anchor
-brings the cell of all windows that chose it, reaching both ways as far as they do. If all documents agree on the cell,
-the whole cell is a repeat at once; else, at the ends of a repeat, its windows are compared one by one. Adjoining
-windows make the maximal repeats, returned as spans of words.
+share a window share its anchor (winnowing). Anchors found in one document only go no further. An anchor stands for the cell of all
+windows that chose it. If all documents agree on a cell, it is a repeat as it is. Extend: else, each document is joined on the anchor with one of the smallest
+doc_id, and the match is extended word by word both ways, as far as both cells go; the windows inside are repeats. Windows outside of the match, which
+only others than that one document can share, are compared by their hashes. Adjoining windows make the maximal repeats, returned as spans of words.
 
-Each step compares a document with the smallest doc_id of a hash, found by an aggregate that is combined before the
-shuffle, so a passage in a third of all documents costs one row a document and never meets in one task.
+Words are compared by 64-bit hashes, cells and windows by 128 bits. Each step compares a document with one of the smallest doc_id, found by an
+aggregate that is combined before the shuffle, so a passage in a third of all documents costs one row a document and never meets in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, table, texts
-from .words import Hashes, Prefix, hashed
+from .words import Hashes, Prefix, hashed, mix
 
 SEED_WORDS = 5
 _KEY = ["doc_id", "tag"]
@@ -40,7 +40,7 @@ def _hashed_batch(batch: pa.RecordBatch, cache: Hashes) -> tuple[np.ndarray, np.
 
 
 def _anchors(docs: DataFrame, length: int, positions: bool) -> DataFrame:
-    """One row for each anchor: its hash and doc_id, with its cell's hash or (positions) the document's tag and the run of windows, as first * 16 + number."""
+    """One row for each anchor: its hash and doc_id, with two hashes of its cell or (positions) the document's tag and the run of windows, as first * 16 + number."""
     cache, width = Hashes(), length - SEED_WORDS + 1
 
     def run(batch: pa.RecordBatch) -> dict | None:
@@ -63,17 +63,30 @@ def _anchors(docs: DataFrame, length: int, positions: bool) -> DataFrame:
         anchor = pa.array(best[first].view(np.int64))
         doc_id = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
         if not positions:
-            cell = prefix.runs(begin, begin + n + length - 1) ^ (at[first] * 16 + n).astype(np.uint64)
-            return {"anchor": anchor, "doc_id": doc_id, "cell": pa.array(cell.view(np.int64))}
+            cells = [p.runs(begin, begin + n + length - 1) ^ (at[first] * 16 + n).astype(np.uint64) for p in (prefix, Prefix(h, 1))]
+            return {"anchor": anchor, "doc_id": doc_id} | {f"cell{i}": pa.array(c.view(np.int64)) for i, c in enumerate(cells)}
         own = begin - (np.cumsum(lengths) - lengths)[doc]
         return {"anchor": anchor, "doc_id": doc_id, "tag": batch.column("tag").take(pa.array(doc)), "run": pa.array(own * 16 + n)}
 
-    return map_arrow(docs, run, "anchor long, doc_id long, " + ("tag int, run long" if positions else "cell long"), 512)
+    return map_arrow(docs, run, "anchor long, doc_id long, " + ("tag int, run long" if positions else "cell0 long, cell1 long"), 512)
 
 
-def _open_windows(found: DataFrame, length: int) -> DataFrame:
-    """The windows of the runs listed with each text: hash, doc_id, tag, run."""
-    cache = Hashes()
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(rows)])
+
+
+def _matrix(rows: pa.Array, width: int) -> np.ndarray:
+    """The matrix again, whatever slice of an array the rows are."""
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset :]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[len(rows)]].view(np.uint64).reshape(-1, width)
+
+
+def _contexts(found: DataFrame, length: int) -> DataFrame:
+    """The cells of the runs listed with each text: anchor, doc_id, tag, run, the number of words left of the anchor, and the hashes of the words left (from it outwards) and right of it."""
+    cache, width = Hashes(), length - SEED_WORDS
 
     def run(batch: pa.RecordBatch) -> dict | None:
         h, lengths = _hashed_batch(batch, cache)
@@ -83,14 +96,68 @@ def _open_windows(found: DataFrame, length: int) -> DataFrame:
         runs = batch.column("runs")
         doc = np.repeat(np.arange(len(lengths)), runs.value_lengths().to_numpy(zero_copy_only=False))
         packed = runs.flatten().to_numpy(zero_copy_only=False)
-        n = packed % 16
-        of = np.repeat(doc, n)
-        own = np.repeat(packed // 16 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window = Prefix(h).windows(length)[begin[of] + own]
-        of_ = pa.array(of)
-        return {"window": pa.array(window.view(np.int64)), "doc_id": batch.column("doc_id").take(of_), "tag": batch.column("tag").take(of_), "run": pa.array(own * 16 + 1)}
+        start = begin[doc] + packed // 16
+        seeds = Prefix(h).windows(SEED_WORDS)
+        left, best = np.zeros(len(start), np.int64), seeds[start]
+        for j in range(1, width + 1):
+            less = seeds[start + j] < best
+            best[less] = seeds[start + j][less]
+            left[less] = j
+        right = packed % 16 + width - 1 - left
+        words = np.zeros((len(start), 2 * width), np.uint64)
+        for k in range(width):
+            for column, some, at in ((k, left > k, start + left - 1 - k), (width + k, right > k, start + left + SEED_WORDS + k)):
+                words[some, column] = h[at[some]]
+        of = pa.array(doc)
+        return {"anchor": pa.array(best.view(np.int64)), "doc_id": batch.column("doc_id").take(of), "tag": batch.column("tag").take(of), "run": pa.array(packed), "left": pa.array(left.astype(np.int32)), "words": _binary(words)}
+
+    return map_arrow(found, run, "anchor long, doc_id long, tag int, run long, left int, words binary", 256)
+
+
+def _extended(pairs: DataFrame, length: int) -> DataFrame:
+    """Of cells (as _contexts gives them) beside the one they are held to (first: doc_id, run, left, words): the run that matches it, if its doc_id is smaller, and each window outside the match with its hash."""
+    width = length - SEED_WORDS
+    salts = mix(np.arange(1, 4 * width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 2 * width)
 
-    return map_arrow(found, run, "window long, doc_id long, tag int, run long", 512)
+    def run(batch: pa.RecordBatch) -> dict | None:
+        first = batch.column("first")
+        names = [f.name for f in first.type]
+        other = dict(zip(names, first.flatten(), strict=True))
+
+        own, theirs = (_matrix(x, 2 * width) for x in (batch.column("words"), other["words"]))
+        doc_id, packed, left = (batch.column(c).to_numpy() for c in ("doc_id", "run", "left"))
+        least, packed2, left2 = (other[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "run", "left"))
+        n, right, right2 = packed % 16, packed % 16 + width - 1 - left, packed2 % 16 + width - 1 - left2
+        same = own == theirs
+        reach = np.minimum(np.minimum(left, left2), np.cumprod(same[:, :width], axis=1).sum(axis=1))
+        reach2 = np.minimum(np.minimum(right, right2), np.cumprod(same[:, width:], axis=1).sum(axis=1))
+        found = np.maximum(0, reach + reach2 + SEED_WORDS - length + 1)
+        at = np.flatnonzero((found > 0) & (doc_id > least))
+        runs = (packed[at] // 16 + left[at] - reach[at]) * 16 + found[at]
+        # windows outside the match
+        of = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        outside = (offset < (left - reach)[of]) | (offset >= (left - reach + found)[of])
+        of, offset = of[outside], offset[outside]
+        rows, place = np.unique(of, return_inverse=True)
+        anchor = batch.column("anchor").to_numpy().view(np.uint64)[of]
+        hashes = []
+        for salt in salts:
+            mixed = mix(own[rows] ^ salt)
+            sums = [np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)], axis=1) for x in (mixed[:, :width], mixed[:, width:])]
+            before = left[of] - offset
+            hashes.append(mix(anchor * salt[0] + sums[0][place, before] * np.uint64(3) + sums[1][place, width - before] + before.astype(np.uint64)).view(np.int64))
+        both = pa.array(np.r_[at, of])
+        none = pa.nulls(len(at), pa.int64())
+        return {
+            "w0": pa.concat_arrays([none, pa.array(hashes[0])]),
+            "w1": pa.concat_arrays([none, pa.array(hashes[1])]),
+            "doc_id": batch.column("doc_id").take(both),
+            "tag": batch.column("tag").take(both),
+            "run": pa.array(np.r_[runs, (packed[of] // 16 + offset) * 16 + 1]),
+        }
+
+    return map_arrow(pairs, run, "w0 long, w1 long, doc_id long, tag int, run long", 1 << 16)
 
 
 def _spans(runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +176,20 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """
     if not SEED_WORDS <= length < SEED_WORDS + 15:
         raise ValueError(f"length: {SEED_WORDS} to {SEED_WORDS + 14}")
-    agg = _anchors(docs.select("doc_id", "text"), length, False).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("cell") == F.max("cell")).alias("agreed"))
+    agreed = (F.min("cell0") == F.max("cell0")) & (F.min("cell1") == F.max("cell1"))
+    agg = _anchors(docs.select("doc_id", "text"), length, False).groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), agreed.alias("agreed"))
     shared = cut(agg.where("least < most").select("anchor", "least", "agreed"), "anchors")
     seen = cut(_anchors(docs, length, True).join(shared, "anchor").where("not agreed or doc_id > least").select("doc_id", "tag", "run", "agreed"), "seeds")
     listed = seen.where("not agreed").groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
-    windows = cut(_open_windows(docs.join(listed, _KEY).select("doc_id", "tag", "text", "runs"), length), "windows")
-    # as a table of its own it leaves the join free to split a common window
-    least = cut(windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least"), "shared-windows")
-    repeated = windows.join(least, "window").where("doc_id > least").select("doc_id", "tag", "run")
-    return seen.where("agreed").select("doc_id", "tag", "run").unionByName(repeated).groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
+    cells = cut(_contexts(docs.join(listed, _KEY).select("doc_id", "tag", "text", "runs"), length), "cells")
+    # tables of their own leave the joins free to split a common anchor or window
+    first = cut(cells.groupBy("anchor").agg(F.min_by(F.struct("doc_id", "run", "left", "words"), F.struct("doc_id", "tag", "run")).alias("first")), "first-cells")
+    held = cut(_extended(cells.join(first, "anchor"), length), "extended")
+    windows = held.where("w0 is not null")
+    least = cut(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w0", "w1", "least"), "shared-windows")
+    repeated = windows.join(least, ["w0", "w1"]).where("doc_id > least").select("doc_id", "tag", "run")
+    matched = held.where("w0 is null").select("doc_id", "tag", "run")
+    return seen.where("agreed").select("doc_id", "tag", "run").unionByName(matched).unionByName(repeated).groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -152,6 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats of windows of 13 words from documents, with the SHA-256 of the kept words."""
     out = remove_repeats(table(spark, sf_dir, "documents"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MOST_WORDS = 300_000
 _WRAP = (1 << 64) - 1
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class Hashes(dict):
@@ -35,9 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+def _powers_to(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _powers or len(_powers[which][0]) < n:
         m = 1 << (n - 1).bit_length()
 
         def series(base: int) -> np.ndarray:
@@ -45,15 +44,16 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             return np.cumprod(x, dtype=np.uint64)
 
-        _powers = series(_MULTIPLIER), series(pow(_MULTIPLIER, -1, 1 << 64))
-    return _powers[0][:n], _powers[1][:n]
+        _powers[which] = series(_MULTIPLIERS[which]), series(pow(_MULTIPLIERS[which], -1, 1 << 64))
+    up, down = _powers[which]
+    return up[:n], down[:n]
 
 
 class Prefix:
-    """Polynomial hashes of any run of consecutive hashes in constant time each."""
+    """Polynomial hashes of any run of consecutive hashes in constant time each, in one of two ways that have nothing to do with one another."""
 
-    def __init__(self, h: np.ndarray):
-        up, self.down = _powers_to(len(h) + 1)
+    def __init__(self, h: np.ndarray, which: int = 0):
+        up, self.down = _powers_to(len(h) + 1, which)
         self.sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * up[: len(h)], dtype=np.uint64, out=self.sums[1:])
 
