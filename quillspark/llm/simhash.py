@@ -115,12 +115,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, largest: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, largest: int = 64, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of at most `bits` differing bits, itself included).
 
-    docs needs doc_id and text. Rows with a null doc_id keep their fingerprint; their component_id is the smallest
+    docs needs doc_id and text, other columns aren't read. Rows with a null doc_id keep their fingerprint; their component_id is the smallest
     doc_id of their component, or null if it has none. Repeated rows are all returned. Empty table: no rows.
+    With a similarity, links are those between texts whose sets of different shingles are similar, whatever their fingerprints: blocks find the closest, and an exact join the rest
+    (see similar.near_duplicates, whose columns are then returned).
     """
+    if similarity is not None:
+        from . import similar
+
+        return similar.near_duplicates(docs, size, similarity, bits)
     fps = cut(fingerprints(docs, size), "fingerprints")
     low = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     found = components(links(low.select("fp"), bits, largest))
@@ -131,5 +137,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, largest: int
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row of documents the fingerprint over three words, and the component at 2 bits."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

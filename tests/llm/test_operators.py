@@ -2,15 +2,17 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import htmltext, langid, mixing, neighbours, ordermin, packing, secrets, simhash, substring, toxicity, widehash
+from quillspark.llm import htmltext, langid, mixing, neighbours, ordermin, packing, secrets, similar, simhash, substring, toxicity
 from quillspark.llm.htmlpages import made_page
 
 TINY = "/root/testdata/sf0.001"
@@ -117,10 +119,10 @@ def test_wide_near_duplicates(spark, odd):
     near = [x if i % 60 else f"new{i}" for i, x in enumerate(base)]  # five changed words: similarity over 0.8
     far = [x if i % 9 else f"far{i}" for i, x in enumerate(base)]
     rows = [(11, " ".join(base)), (12, " ".join(near)), (13, " ".join(far)), (14, " ".join(base))]
-    of = {r["doc_id"]: r["component_id"] for r in widehash.near_duplicates(docs_of(spark, rows)).collect()}
+    of = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs_of(spark, rows)).collect()}
     assert of == {11: 11, 12: 11, 13: 13, 14: 11}
-    assert widehash.near_duplicates(odd).count() == 9
-    assert widehash.near_duplicates(odd.limit(0)).count() == 0
+    assert similar.near_duplicates(odd).count() == 9
+    assert similar.near_duplicates(odd.limit(0)).count() == 0
 
 
 def near_by_sets(texts, size=5, similarity=0.8):
@@ -146,7 +148,7 @@ def near_by_sets(texts, size=5, similarity=0.8):
 
 
 def wide_components(spark, texts):
-    return {r["doc_id"]: r["component_id"] for r in widehash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    return {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
 
 
 def test_wide_repeated_lines_count_once(spark):
@@ -190,10 +192,10 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
-    rows = packing.pack(odd, group_rows=8).collect()
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "a <|endoftext|> b")], "doc_id long, text string"))
+    rows = packing.pack(docs, group_rows=8).collect()
     wanted = collections.Counter()
-    for i, x in [(r["doc_id"], r["text"]) for r in odd.collect()]:
+    for i, x in [(r["doc_id"], r["text"]) for r in docs.collect()]:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
         wanted.update((i, a, len(ids[a : a + 1024]), zlib.crc32(np.array(ids[a : a + 1024], "<u4").tobytes()), len(ids)) for a in range(0, len(ids), 1024))
     assert collections.Counter(tuple(r)[:5] for r in rows) == wanted
@@ -213,9 +215,9 @@ def test_token_ids_are_the_librarys():
     from tokenizers import Tokenizer
 
     t, e, rng = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary()), random.Random(9)
-    t.encode_special_tokens = True
+    some = [*"ab1 '\n\t\r\x0b\x1c\x85\xa0 ​กéß我²½'st<|endoftext|>$\x00́\U0001f600", "<|endoftext|>"]
     for _ in range(3000):
-        x = "".join(rng.choice("ab1 '\n\t\r\x0b\x1c\x85\xa0 ​กéß我²½'st<|endoftext|>$\x00́\U0001f600") for _ in range(rng.randrange(14)))
+        x = "".join(rng.choice(some) for _ in range(rng.randrange(14)))
         assert np.frombuffer(e.encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -258,6 +260,68 @@ def test_order_min_hash(spark, odd):
     assert {r["doc_id"] for r in ordermin.fingerprints(odd).collect()} == {None, 1, 2, 3, 4, 5, 6, 7}
 
 
+def brute_order_min_hash(text, sketches=64, k=2, size=2):
+    """Components by the definition, over lists, with the operator's hashes of words and orders."""
+    f = ordermin.Fingerprinter(sketches, k, size)
+    words = [x.encode() for x in re.findall(rf"[{ordermin.ALONE}]|[^\x20\x09-\x0D{ordermin.ALONE}]+", text)]
+    h = ordermin.hashed(words, f.cache).tolist()
+    if not h:
+        return [0] * sketches
+    one = lambda x: int(ordermin.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    n = min(k, len(h))
+    kmers = [int(ordermin.Prefix(np.array(h[i : i + n], np.uint64)).windows(n)[0]) for i in range(len(h) - n + 1)]
+    seen, numbered = collections.Counter(), []
+    for x in kmers:
+        numbered.append(one(x + seen[x] * 0xD6E8FEB86659FD93))
+        seen[x] += 1
+    out = []
+    for xor, odd_ in zip(f.xors[:, 0].tolist(), f.odds[:, 0].tolist(), strict=True):
+        places = sorted(sorted(range(len(kmers)), key=lambda i: ((numbered[i] ^ xor) * odd_ % (1 << 64), i))[:size])
+        total = 0
+        for i in places:
+            total = one(total * 0xA24BAED4963EE407 + kmers[i])
+        out.append(total >> 32)
+    return out
+
+
+def test_order_min_hash_by_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["", " ", "one", "one two", "a a a a a a", "日本語 text 中", "коричневая быстрая лиса"] + [" ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(1, 60))) for _ in range(25)]
+    rows = list(enumerate(texts, 1)) + [(100, None)]
+    found = {r["doc_id"]: r for r in ordermin.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, after, r = text or "", after or "", found[i]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, next_ = (brute_order_min_hash(x) for x in (text, edited, after))
+        hexed = [np.array(x, np.uint32).tobytes().hex() for x in (own, changed)]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), *hexed)
+        assert r["near_edited"] == np.mean(np.array(own) == changed) and r["near_next"] == np.mean(np.array(own) == next_)
+
+
+def test_order_min_hash_units():
+    assert ordermin.units("коричневая быстрая") == [w.encode() for w in ("коричневая", "быстрая")]
+    assert ordermin.units("the extraordinarily-long-word-of-many-letters x") == [b"the", b"extraordinarily-long-word-of-many-letters", b"x"]
+    assert ordermin.units("新しい word") == [c.encode() for c in "新しい"] + [b"word"]
+
+
+def test_next_documents_of_one_id(spark):
+    """A third of the rows have no doc_id, others share one: each has the next by doc_id and text hash, in a ring."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = ordermin.with_next(docs, lambda i, a, b: (i, a, b), "doc_id long, text string, after string").collect()
+    after = {r["text"]: r["after"] for r in out}
+    assert len(out) == 3000 and sorted(after.values()) == sorted(after)
+    of, at, seen = {t: i for i, t in rows}, "text 0", []
+    for _ in range(3000):
+        seen.append(at)
+        at = after[at]
+    assert at == "text 0" and len(set(seen)) == 3000
+    key = [-1 if of[t] is None else of[t] for t in seen]
+    turn = next((i for i in range(3000) if key[i] == -1 and key[i - 1] != -1), 0)
+    assert key[turn:] + key[:turn] == sorted(key)
+
+
 def segments(scores):
     """All maximal-scoring segments by recursion."""
     best, at = 0.0, None
@@ -280,6 +344,34 @@ def test_maximal_segments():
         assert np.allclose([s for *_, s in found], [s for *_, s in segments(scores)])
 
 
+def test_maximal_segments_take_linear_time():
+    def seconds(n, gap):
+        hits = np.arange(0, n * gap, gap)
+        scores = np.zeros(n * gap)
+        scores[hits] = 1.0
+        start = time.perf_counter()
+        found = toxicity.maximal_segments(hits, scores, 0.05)
+        assert len(found) == (n if gap > 20 else 1)
+        return time.perf_counter() - start
+
+    assert seconds(100_000, 40) < 1 and seconds(100_000, 2) < 1
+
+
+def test_significant_passages():
+    found = [(0, 5, 20.0), (100, 101, 1.0), (200, 203, 9.0)]
+    for chance in (0.001, 0.05, 0.5):
+        assert toxicity.significant(found, 1000, 0.9, chance) == [x for x in found if 1 - math.exp(-1000 * math.exp(-0.9 * x[2])) <= chance]
+    assert toxicity.significant([], 0, 1.0) == []
+
+
+def test_toxicity_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7.0, "mine", 3)], "doc_id long, text string, toxicity double, passages string, `odd name.` int")
+    model = toxicity.Model({"vile": 3.0})
+    row = toxicity.score(docs, model, "tox", "where").first()
+    assert (row["toxicity"], row["passages"], row["odd name."]) == (7.0, "mine", 3) and row["tox"] < 0.5 and row["where"] == []
+    assert toxicity.score(docs, model).columns == ["doc_id", "text", "odd name.", "toxicity", "passages"]
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(6)
     plain = [f"word{i}" for i in range(300)]
@@ -337,6 +429,28 @@ def test_kneser_ney():
             assert np.allclose(np.exp(got), [p(padded[i : i + 2].replace("q", "?"), padded[i + 2].replace("q", "?")) for i in range(len(text))], rtol=1e-4)
 
 
+def test_language_of_long_texts(monkeypatch):
+    """In pieces of any length a text has the scores of the whole."""
+    model = langid.train({"x": ["abc abd aab", "bca abc"], "y": ["dda dad", "aad"]}, 4)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd   .") for _ in range(n)) for n in (1, 5, 300, 1000)] + ["... ..", "", None, "  a", "a. b"]
+    whole, has = model.entropies(texts)
+    for i, t in enumerate(texts):
+        if t and any(c.isalpha() for c in t):
+            scores = model.scored(langid._sequence(model.alphabet.numbers(t), 4))
+            assert has[i] and np.allclose(whole[i], -scores.mean(axis=0, dtype=float))
+        else:
+            assert not has[i] and np.isinf(whole[i]).all()
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        assert np.allclose(model.entropies(texts)[0], whole)
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "abc de " * 100 + str(i), "x") for i in range(200)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, each=100, most_chars=1500).languages == ["x"]
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit(docs.where("doc_id % 2 = 0"), each=40)
@@ -363,6 +477,93 @@ def test_secrets(spark, odd):
     assert secrets.find(odd.limit(0), model).count() == 0
 
 
+def test_secret_ratio_by_brute_force(spark):
+    labelled = spark.createDataFrame([("a1b2c3d4", 1), ("ZX9Y8W", 1), ("hello", 0), ("world_wide", 0), ("x", 0)], "word string, random int")
+    model = secrets.fit(labelled)
+    n, code = len(secrets.SYMBOLS) + 1, lambda c: secrets.SYMBOLS.find(c) + 1
+    counts = np.full((2, n, n), 0.5)
+    for r in labelled.collect():
+        for a, b in zip(r["word"], r["word"][1:], strict=False):
+            counts[r["random"], code(a), code(b)] += 1
+    p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    assert np.allclose(np.array(model).reshape(n, n), p[1] - p[0])
+    words = ["hello", "a1b2", "ZX9é", "q", ""]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select(secrets.ratio(F.col("word"), model)).collect()
+    assert np.allclose([r[0] for r in got], [sum((p[1] - p[0])[code(a), code(b)] for a, b in zip(w, w[1:], strict=False)) for w in words], atol=1e-4)
+
+
+def test_secrets_by_brute_force(spark):
+    """All spans, and the redacted text, by the definitions over whole strings; many matches in a text, and texts of several blocks."""
+    model = secrets.fit(secrets.samples(spark.read.parquet(f"{TINY}/documents.parquet")))
+    table_ = np.array(model).reshape(len(secrets.SYMBOLS) + 1, -1)
+    code = lambda c: secrets.SYMBOLS.find(c) + 1
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    parts = ["word", "é日", "token=", "password: 'hunter22'", "AKIA" + "B7" * 8, "0" * 24, "deadbeef" * 4, "=", " ", "\n", "api_key=abc", "2024-05-06", "12345678"]
+    texts = ["".join(rng.choice([*parts, " ", " ", made(12), made(25)]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += [" ".join(rng.choice(parts) + rng.choice(["", " ", made(30)]) for _ in range(3000)), "x" * 5000 + " token=abcdef9 " + "y" * 9000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secrets.find(docs, model).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    n_markov = 0
+    for i, t in enumerate(texts):
+        t0, t = t, t or ""
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        more = []
+        for m in re.finditer(f"{secrets.CANDIDATE}+", t):
+            c = list(map(code, m[0]))
+            if sum(round(table_[a, b], 6) for a, b in zip(c, c[1:], strict=False)) >= 12 and not any(a < m.end() and m.start() < e for a, _, e in base):
+                more.append((m.start(), 3, m.end()))
+        n_markov += len(more)
+        assert found[i] == sorted(base + more)
+        out, at = [], 0
+        for a, _, e in found[i]:
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, e)
+        assert redacted[i] == (None if t0 is None else "".join([*out, t[at:]]))
+    assert n_markov > 100
+
+
+def test_secrets_keep_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef99", "mine", 2)], "doc_id long, text string, secrets string, secrets_ int")
+    row = secrets.redact(docs, [0.0] * (len(secrets.SYMBOLS) + 1) ** 2).first()
+    assert tuple(row) == (1, "[SECRET]", "mine", 2)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"s{rng.getrandbits(40):x}": rng.choice([0, 1, 10, 1000, 10**6]) for _ in range(700)} | {None: 50}
+    names = [*sorted(x for x in sizes if x), None]
+    weights = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    full: set = set()
+    while True:
+        unit = (sum(sizes.values()) - sum(3 * sizes[n] for n in full)) / sum(weights[n] for n in names if n not in full)
+        over = {n for n in names if n not in full and weights[n] * unit > 3 * sizes[n]}
+        if not over:
+            break
+        full |= over
+    found = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert found == {n: pytest.approx(min(3 * sizes[n], weights[n] * unit)) for n in names}
+
+
+def test_mixing_tilts_documents(spark):
+    """The rates are those of the dual's solution: exp(lambda * size / mean) up to the cap, with the target reached; reached too where all documents must be at the cap."""
+    rng = random.Random(4)
+    rows = [(i, "w " * int(rng.paretovariate(1.2) * 5), "abc"[min(2, int(rng.expovariate(1)))]) for i in range(900)]
+    df = spark.createDataFrame([(*r, 1, "x", 0.0, 2) for r in rows], "doc_id long, text string, source string, size int, of string, rate double, copies int")
+    out = mixing.mix(df).collect()
+    for s in "abc":
+        own = [r for r in out if r["source"] == s and r["size"]]
+        mean = own[0]["source_size"] / sum(r["source"] == s for r in out)
+        assert sum(r["rate"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=1e-6)
+        slope = [math.log(r["rate"]) * mean / r["size"] for r in own if 1e-6 < r["rate"] < 2.999]
+        assert np.allclose(slope, np.median(slope), rtol=1e-4) if slope else all(r["rate"] > 2.999 for r in own)
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 200))), rng.choice(["a", "b", "b", "b", "b", "c", None])) for i in range(600)] + [(900, None, "a"), (901, "", "d"), (3, "dup dup", "a"), (3, "dup dup", "a"), (None, "no id", "c")]
@@ -412,11 +613,31 @@ def test_neighbours(spark):
         total += 10
         assert [i for i, _ in out[q]] == [i for i, _ in sorted(out[q], key=lambda t: (-t[1], t[0]))] and all(abs(s[i] - y) < 1e-9 for i, y in out[q])
     assert hit / total >= 0.9
+    router = neighbours.fit(v, 3000, part_rows=200)
+    assert router.parts == 16 and router.probes <= router.parts // 2  # clustered vectors need few of the parts
     few = v.where("vec_id < 5")
     assert neighbours.search(few, few.where("vec_id = 0")).count() == 4
     assert neighbours.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_odd(spark):
+    """Lengths that differ, ties, repeated ids, and queries whose parts hold too few."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[300:] = 0.01 * x[300:] + np.repeat(np.eye(8)[:6] * 40, 50, axis=0)  # six far clusters of 50
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, [1.0, 2.0]), (701, [1.0] * 9), (3, x[3].tolist()), (3, x[4].tolist()), (720, x[300].tolist()), (721, x[300].tolist())]
+    v = neighbours.usable(spark.createDataFrame([(*r, "q", 1) for r in rows], "vec_id long, embedding array<double>, part string, block int"))
+    assert v.count() == 606
+    found = collections.defaultdict(list)
+    for r in neighbours.search(v, v.where("vec_id % 20 = 0 or vec_id = 3"), 200, 64, part_rows=40, each=8, aim=0.5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i, e in rows if len(e) == 8 and (i % 20 == 0 or i == 3)}
+    for i, got in found.items():
+        assert [r for r, *_ in got] == list(range(1, 201)) and all(a[2] >= b[2] for a, b in zip(got, got[1:], strict=False)) and i not in {j for _, j, _ in got}
+        assert all(a[1] <= b[1] for a, b in zip(got, got[1:], strict=False) if a[2] == b[2])
+    assert {j for _, j, _ in found[300]} >= {720, 721}
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return htmltext.default_labeller()
@@ -436,6 +657,22 @@ def test_blocks_hide_only_what_is_hidden():
         assert of(f"<body><div><p>a</p><{tag}>x<b>y</b></div><p>b</p></body>") == ["a", "b"]
 
 
+@pytest.mark.parametrize(
+    "part", ["<div>x", '<a "', "<a ", "<div hidden>", "<noscript>a", "<![CDATA[a", "<!--", "<li>x", "<b>x", """<a '\"""", "<", "<div", "<span> ", "<p class='c'>x</span>", "<x y=\"'>", "&amp", "<script>", "</p>"]
+)
+def test_blocks_take_linear_time(part):
+    start = time.process_time()
+    htmltext.blocks("<p>a</p>" + part * 200_000 + "<p>b>")
+    assert time.process_time() - start < 5
+
+
+def test_long_page(labeller):
+    page = "<article>" + "<p>Some words of a long article, in order.</p>" * 20_000 + "</article>"
+    blocks = htmltext.blocks(page)
+    assert len(blocks) == 20_000
+    assert np.allclose(labeller.of_blocks([blocks])[0], labeller.probabilities([htmltext.vectors(blocks, labeller.known)])[0], atol=1e-4)
+
+
 def test_labeller(labeller):
     rng = np.random.default_rng(99)
     pages = [made_page(rng) for _ in range(200)]
@@ -470,7 +707,7 @@ def test_gradients():
 
 
 def test_extraction(spark, labeller):
-    rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>only text"), (4, "u", "<nav><ul><li><a href='/x'>Home</a></li></ul></nav><article><h1>Title</h1><p>Text  of\nit &eacute;.</p></article><footer>&copy; us</footer>")]
+    rows = [(1, "u", None), (2, "u", ""), (2, "u", ""), (None, None, "<p>only text"), (3, None, "<p>only text"), (4, "u", "<nav><ul><li><a href='/x'>Home</a></li></ul></nav><article><h1>Title</h1><p>Text  of\nit &eacute;.</p></article><footer>&copy; us</footer>")]
     out = {r["page_id"]: r for r in htmltext.extract(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string"), labeller).collect()}
     assert out[1]["text"] == out[2]["text"] == "" and out[4]["text"] == "Title\nText of it é." and out[4]["n_chars"] == len(out[4]["text"])
     pages = spark.read.parquet(f"{TINY}/pages.parquet")
