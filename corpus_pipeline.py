@@ -4,42 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, packing, secrets, toxicity, widehash
-from quillspark.llm.common import cut, table
+from quillspark.llm import mixing, packing, secrets, simhash, toxicity
+from quillspark.llm.common import cut, free, table
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of documents, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5 as `labels.toxic` marks toxicity; null texts stay."""
+    """Documents that score under 0.5 as `labels.toxic` marks toxicity; one at just 0.5 goes. Null and empty texts score as texts without evidence; repeated rows
+    fare alike. Without labels all stay. Empty table: no rows."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxicity < 0.5").select(docs.columns)
+    score = free(docs.columns, "toxicity")
+    return toxicity.score(docs, model, score, free(docs.columns, "passages")).where(F.col(score) < 0.5).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar by 0.8 or more: that of the smallest doc_id. Repeated rows stay once; rows without doc_id all stay."""
-    groups = widehash.near_duplicates(docs)
-    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more: that of the smallest doc_id. Null, empty and blank texts are a group.
+    Repeated rows stay once; of rows that share a doc_id and a group, the one whose text has the smallest hash stays; rows without doc_id all stay. Empty table: no rows."""
+    groups = cut(simhash.near_duplicates(docs, 5, similarity=0.8).where("doc_id is not null"), "groups")
+    again = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    away = cut(groups.where("doc_id <> component_id").select("doc_id").unionByName(again).distinct(), "away")
+    chosen = free(docs.columns, "text_hash")
+    one = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias(chosen))
+    theirs = docs.join(one, "doc_id").where(F.xxhash64("text") == F.col(chosen)).dropDuplicates(["doc_id", "text"])
+    return docs.join(away, "doc_id", "left_anti").select(*_own(docs)).unionByName(theirs.select(*_own(docs)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; n_chars follows."""
+    """Secrets give way to a mark; n_chars follows, where a document has it. Null texts stay null; repeated rows come out alike. Empty table: no rows."""
     out = secrets.redact(docs, secrets.fit(secrets.samples(docs)))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "copies").distinct()
-    sized = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size_") == F.col("words"))
-    return sized.join(taken, same).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """Each document as often as the mix takes it, at most three times; rows that repeat a document as often each. Null and empty texts have no words, and aren't taken.
+    Empty table: no rows."""
+    names = []
+    for n in ("id", "of", "words", "copies", "size", "copy"):
+        names.append(free([*docs.columns, *names], n))
+    id_, of, words, copies, size, copy = names
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("size").alias(words), F.col("copies").alias(copies)).distinct()
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(of)) & (F.col(size) == F.col(words))
+    return sized.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*_own(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens. A null text is packed as an empty one; copies each by themselves. Empty table: no rows."""
     return packing.pack(docs)
 
 
