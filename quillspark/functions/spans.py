@@ -2,32 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+RUN = 256
+MATCHES = "array<struct<start:int,end:int,match:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """All that step(state, item) puts out, an array each, while the state goes from item to item; out: the type of it all.
+
+    Items are taken in runs whose outputs are joined at the end: an array that grows by one is copied as a whole each time.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / RUN).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * RUN + 1, RUN))
+
+    def one(acc: Column, item: Column) -> Column:
+        after, put = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], put).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(out).alias("out")), one)
+        return let(done, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    return F.flatten(F.aggregate(runs, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), run, lambda acc: acc["out"]))
+
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """array of (start, end, match) of the leftmost matches that don't overlap, in code points; empty for null."""
-    t = F.coalesce(text, F.lit(""))
-    both = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("p"))
-    kind = "array<struct<start:int,end:int,match:string>>"
+    """array of (start, end, match) of the leftmost matches that don't overlap, in code points; empty for null. In time linear in the text."""
+
+    def placed(found: Column, pieces: Column) -> Column:
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            start = at + F.length(F.get(pieces, i))
+            end = start + F.length(F.get(found, i))
+            return end, F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match")))
+
+        return let(F.sequence(F.lit(0), F.size(found) - 1), lambda places: scan(places, F.lit(0), step, MATCHES))
 
-    def add(x: Column):
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["p"], i))
-            end = start + F.length(F.get(x["m"], i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(x["m"], i).alias("match")))).alias("out"))
+    def of(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.when(F.size(x) > 0, let(F.split(t, pattern, -1), lambda p: placed(x, p))).otherwise(F.array().cast(MATCHES)))
 
-        return step
+    return let(F.coalesce(text, F.lit("")), of)
 
-    def placed(x: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        return F.when(F.size(x["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), zero, add(x), lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
-    return F.element_at(F.transform(F.array(both), placed), 1)
+def first_span(text: Column, pattern: str) -> Column:
+    """(start, end, match) of the first match, in code points; null without any. For patterns that match more than nothing."""
+
+    def of(m: Column) -> Column:
+        start = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+        return F.when(m != "", let(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match"))))
+
+    return let(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0), of)
 
 
 def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
     """The text from `before` characters left of a span to `after` right of it."""
     first = F.greatest(start - before, F.lit(0))
     return F.substring(text, first + 1, end + after - first)
+
+
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items of an array whose key comes for the first time, in order."""
+    return let(items, lambda x: let(F.transform(x, key), lambda keys: F.filter(x, lambda item, i: F.array_position(keys, key(item)) == i + 1)))

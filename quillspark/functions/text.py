@@ -6,10 +6,16 @@ Four tokenisers stay apart on purpose: search, measures, wording rules and diffs
 from __future__ import annotations
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import DATE_FORMATS
+from .spans import let
+
+#: A run of letters, digits and underscores of any script; letters and digits; white space.
+WORD, ALNUM, SPACE = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}]+", r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
 #: The words that measures don't count.
 STOPWORDS = (
     "the a an and or of to in on for with by is are was were be been being as at this that these those it its from into but if any no not must should shall will may can "
@@ -33,8 +39,8 @@ def search_tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:
-    """Different words of 4 or more characters that aren't stop words."""
-    words = _all(F.lower(text), "[a-z0-9_]+")
+    """Different words of 4 or more characters, of any script, that aren't stop words."""
+    words = _all(F.lower(text), WORD)
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*stop)))
 
 
@@ -44,8 +50,8 @@ def rule_words(text: Column) -> Column:
 
 
 def diff_tokens(text: Column) -> Column:
-    """Runs of letters and digits of 3 or more characters."""
-    return F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda w: F.length(w) >= 3)
+    """Runs of letters and digits, of any script, of 3 or more characters."""
+    return F.filter(_all(F.lower(text), ALNUM), lambda w: F.length(w) >= 3)
 
 
 def terms(text: Column) -> Column:
@@ -78,29 +84,32 @@ def stable_hash(token: Column, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), token)), 1, 8), 16, 10).cast("long")
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance between token arrays: one row of the table at a time, folded over a's tokens."""
+def _character(n: Column) -> Column:
+    """A character of its own for each number from 1 up, some million of them."""
+    code = F.when(n < 0xD700, n + 0x100).otherwise(n + 0x900)  # surrogates aren't characters
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
 
-    def cell(acc: Column, x: Column) -> Column:
-        # x: the row above's (left, up) and whether the tokens are the same
-        best = F.least(F.element_at(acc, -1) + 1, x["up"] + 1, x["left"] + x["cost"])
-        return F.concat(acc, F.array(best))
+def token_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance between token arrays: each different token of the two becomes a character, and the built-in function takes the strings."""
 
-    def line(row: Column, token: Column) -> Column:
-        steps = F.transform(b, lambda t, j: F.struct(F.get(row, j).alias("left"), F.get(row, j + 1).alias("up"), F.when(t == token, 0).otherwise(1).alias("cost")))
-        return F.aggregate(steps, F.array(F.get(row, F.lit(0)) + 1), cell)
+    def of(kinds: Column) -> Column:
+        written = lambda x: F.array_join(F.transform(x, lambda t: _character(F.array_position(kinds, t))), "")
+        return F.levenshtein(written(a), written(b))
 
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("int"))
-    return F.aggregate(a, first, line, lambda row: F.element_at(row, -1))
+    return let(F.array_distinct(F.concat(a, b)), of)
 
 
 def page_confidence(text: Column) -> Column:
-    """How much of a page is plain text: 0 for a blank page, else from 0.1 to 0.98 by letters and digits among what isn't space, and length."""
-    t = F.coalesce(text, F.lit(""))
-    dense = F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]", ""))
-    alnum = F.length(F.regexp_replace(t, "[^A-Za-z0-9]", ""))
-    score = 0.45 + 0.35 * alnum / F.greatest(dense, F.lit(1)) + 0.2 * F.least(F.length(t) / 800.0, F.lit(1.0))
-    return F.when(dense == 0, 0.0).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(0.98), score)))
+    """How much of a page is plain text: 0 for a blank page, else from 0.1 to 0.98 by letters and digits, of any script, among what can be seen, and length."""
+
+    def of(t: Column) -> Column:
+        seen = F.length(F.regexp_replace(t, r"[\p{C}\p{Z}]", ""))
+        alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+        score = 0.45 + 0.35 * alnum / F.greatest(seen, F.lit(1)) + 0.2 * F.least(F.length(t) / 800.0, F.lit(1.0))
+        return F.when(t == "", 0.0).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(0.98), score)))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", ""), of)
 
 
 def page_class(confidence: Column) -> Column:
@@ -112,22 +121,43 @@ def edit_type(before: Column, after: Column) -> Column:
     b, a = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     marked = reduce(lambda x, y: x | y, (F.contains(F.lower(b), F.lit(m)) != F.contains(F.lower(a), F.lit(m)) for m in CITATION_MARKS))
     similar = overlap_coefficient(diff_tokens(b), diff_tokens(a)) >= 0.5
-    return F.when((F.btrim(b) == "") & (F.btrim(a) != ""), "addition").when((F.btrim(a) == "") & (F.btrim(b) != ""), "deletion").when(marked, "citation_fix").when(similar, "wording").otherwise("fact_correction")
+    return F.when((b == "") & (a != ""), "addition").when((a == "") & (b != ""), "deletion").when(marked, "citation_fix").when(similar, "wording").otherwise("fact_correction")
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
-    """The label of the first rule, in order, whose pattern (lower case) is found in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda x, r: x.when(t.rlike(r[1]), r[0]), rules[1:], F.when(t.rlike(rules[0][1]), rules[0][0])).otherwise(other)
+def first_match(text: Column, rules: list[tuple[str, str]], other: str | None) -> Column:
+    """The label of the first rule, in order, whose pattern is found in the text, whatever the case: text and patterns are lower-cased once."""
+
+    def of(t: Column) -> Column:
+        found = reduce(lambda x, r: x.when(t.rlike(r[1].lower()), r[0]), rules[1:], F.when(t.rlike(rules[0][1].lower()), rules[0][0]))
+        return found if other is None else found.otherwise(other)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def first_match_sql(text: str, rules: list[tuple[str, str]], other: str) -> str:
     """The same in SQL."""
     t = f"lower(coalesce({text}, ''))"
-    return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in rules) + f" ELSE '{other}' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p.lower().replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in rules) + f" ELSE '{other}' END"
 
 
 def parsed_date(text: Column) -> Column:
     """The first of five formats that fits."""
-    formats = ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "M/d/yy", "yyyy-MM-dd")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats))
+    return let(F.regexp_replace(text, r"\s+", " "), lambda t: F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATE_FORMATS)))
+
+
+def filled(template: str, **holes: Column | str) -> Column:
+    """A template with its named holes filled; an absent value leaves its hole empty."""
+    out: list[Column] = []
+    for before, name, *_ in Formatter().parse(template):
+        if before:
+            out.append(F.lit(before))
+        if name:
+            value = holes[name]
+            out.append(F.lit(value) if isinstance(value, str) else F.coalesce(value.cast("string"), F.lit("")))
+    return F.concat(*out)
+
+
+def given(template: str, **holes: Column) -> Column:
+    """The filled template, or nothing where a value is absent."""
+    there = reduce(lambda a, b: a & b, (v.isNotNull() for v in holes.values()))
+    return F.when(there, filled(template, **holes))

@@ -1,192 +1,346 @@
 """Typed facts from title texts, each with the place it was found at.
 
-Rules are data: ordered tables of patterns. Facts are long rows (doc_id, ordinal, ...); nested documents are built at the sink only.
+Rules are data: ordered tables of patterns. Every fact is an array expression over its document's row, so nothing is shuffled; long rows
+(doc_id, ordinal, ...) are made of them for queries, and one nested row a document for the sink.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.spans import around, match_spans
+from ..functions.spans import around, first_by, first_span, let, match_spans
 from ..functions.text import first_match, parsed_date
 
-#: A recorded document, by book and page, by number, or by a bare dated number.
-REFERENCE = r"(?:Deed Book|Book|Volume|Vol\.?|Liber) [A-Za-z0-9-]+(?:,|;| at)? (?:Page|Pg\.?|Folio) [A-Za-z0-9-]+|(?:Instrument|Document|Doc\.?|Recording|File|Reception) (?:Number|No\.?|#) ?[A-Za-z0-9-]+|\b[0-9]{8,}-[0-9]{4,}"
-BOOK = r"(?:Deed Book|Book|Volume|Vol\.?|Liber) ([A-Za-z0-9-]+)"
-PAGE = r"(?:Page|Pg\.?|Folio) ([A-Za-z0-9-]+)"
-NUMBER = r"(?:Number|No\.?|#) ?([A-Za-z0-9-]+)"
-MONEY = r"\$([0-9][0-9,]*(?:\.[0-9]{2})?)"
-NAME = r"([A-Z][A-Za-z0-9#&' -]{1,98}?)"
-#: role, pattern; the order of rules is the order of facts
-PARTIES = [
-    ("grantor", rf"\b[Bb]y {NAME} (?:of|to) "),
-    ("grantee", rf"\bto {NAME}(?: of|\(|,|\.)"),
-    ("borrower", rf"(?:Borrower|Trustor|Grantor): {NAME}[.,;]"),
-    ("lender", rf"(?:Lender|Beneficiary): {NAME}[.,;]"),
-    ("trustee", rf"Trustee: {NAME}[.,;]"),
-    ("owner", rf"(?:[Vv]ested in|[Vv]esting in|Owner:) {NAME}[.,;]"),
-]
 CAPS = {"parties": 12, "chain": 20, "liens": 30, "easements": 20, "restrictions": 15, "requirements": 12, "exceptions": 15}
+BEFORE_CHAIN, BEFORE_LIEN, AFTER_LIEN = 220, 240, 120
+SNIPPET = 200
+
+
+def _any_case(pattern: str) -> str:
+    return f"(?i){pattern}"
+
+
+def _absent(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def _group(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match in any case; null if it isn't there."""
+    return _absent(F.regexp_extract(text, _any_case(pattern), group))
+
+
+def squeezed(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
 def clean_name(name: Column) -> Column:
-    return F.btrim(F.regexp_replace(name, r"\s+", " "), F.lit(" ,.;:-"))
+    """White space squeezed, what follows the name of a county or state left out, and punctuation around it."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(name, r"\s+", " "), _any_case(rules.NO_PLACE), ""), F.lit(" ,.;:-"))
 
 
 def is_name_like(name: Column) -> Column:
-    return F.length(name).between(3, 100) & ~name.rlike("^[a-z]") & ~F.lower(name).rlike("the following|hereinafter|set forth|undersigned")
+    return F.length(name).between(3, 100) & ~name.rlike(r"^\p{Ll}") & ~name.rlike(_any_case(rules.NO_NAME))
 
 
 def looks_entity(name: Column) -> Column:
-    return F.lower(name).rlike(r"\b(llc|inc|corp|corporation|company|bank|trust|association|partnership|lp|ltd|n\.a\.)\b")
+    return name.rlike(_any_case(rules.ENTITY))
+
+
+def number(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").cast("decimal(18,2)")
 
 
-def labelled_value(text: Column, labels: list[str], value: str = r"([^.\n;]+)") -> Column:
-    """What follows the first label, in order, that is there; null without any."""
-    return F.coalesce(*(F.nullif(F.btrim(F.regexp_extract(text, rf"(?i){x}\s*:\s*{value}", 1)), F.lit("")) for x in labels))
+def page_at(text: Column, offset: Column) -> Column:
+    """The page that a place is on, by the last heading before it; 1 without any."""
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(F.substring(text, F.lit(1), offset), F.lit("(?m)" + rules.PAGE_HEADING), F.lit(1)), F.lit(-1)).cast("int"), F.lit(1))
+
+
+def source(page: Column, start: Column, end: Column, snippet: Column) -> Column:
+    """Where a fact is from. Its document is the row's."""
+    return F.struct(page.cast("int").alias("page"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(snippet, 1, SNIPPET).alias("snippet"))
+
+
+def whole_source(text: Column) -> Column:
+    """The head of a document: what stands for facts that are the document itself."""
+    return source(F.lit(1), F.lit(0), F.least(F.length(text), F.lit(SNIPPET)), _absent(F.substring(squeezed(text), 1, SNIPPET)))
+
+
+def _labelled(text: Column, patterns: list[str], value: Callable[[Column, str], Column], confidence: float, flags: str = "") -> Column:
+    """(value, confidence, source) of the first pattern, in order, that is found; null if none is, or if it has no value."""
+
+    def one(pattern: str) -> Column:
+        p = f"(?i{flags}){pattern}"
+        return let(first_span(text, p), lambda m: F.when(m.isNotNull(), F.struct(value(m["match"], p).alias("value"), F.lit(confidence).alias("confidence"), source(page_at(text, m["start"]), m["start"], m["end"], m["match"]).alias("source"))))
+
+    return let(F.coalesce(*map(one, patterns)), lambda x: F.when(x["value"].isNotNull(), x))
 
 
 def effective_date(text: Column) -> Column:
-    return parsed_date(labelled_value(text, ["effective date", "commitment date"], r"([A-Za-z]+\.? [0-9]{1,2}, [0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"))
+    """(value, confidence, source): the commitment's date; null if what is there is none."""
+    return _labelled(text, rules.EFFECTIVE_DATE, lambda m, p: parsed_date(F.regexp_extract(m, p, 1)), 0.85)
 
 
 def proposed_insured(text: Column) -> Column:
-    name = clean_name(labelled_value(text, ["proposed insured", "named insured"]))
-    return F.when(is_name_like(name), name)
+    def name(match: Column, pattern: str) -> Column:
+        return let(clean_name(F.regexp_extract(match, pattern, 1)), lambda n: F.when(is_name_like(n), n))
+
+    return _labelled(text, rules.INSURED, name, 0.8)
 
 
 def estate(text: Column) -> Column:
-    return first_match(text, [("fee_simple", "fee simple"), ("leasehold", "leasehold"), ("life_estate", "life estate"), ("easement", "easement estate")], "unknown")
+    """(value, confidence, source): the estate insured, next to its label only."""
+    return _labelled(text, rules.ESTATE, lambda m, p: first_match(F.regexp_extract(m, p, 1), rules.ESTATES, "other"), 0.85, "m")
 
 
 def money(text: Column) -> Column:
-    """(amount, confidence): a labelled amount at 0.85, else the first of a text of up to 6000 characters at 0.45."""
-    labels = ["policy amount", "amount of insurance", "proposed policy amount", "loan amount", "purchase price", "consideration"]
-    labelled = labelled_value(text, labels, r"\$([0-9][0-9,]*(?:\.[0-9]{2})?)")
-    any_ = F.when(F.length(text) <= 6000, F.nullif(F.regexp_extract(text, MONEY, 1), F.lit("")))
-    number = lambda x: F.regexp_replace(x, ",", "").cast("decimal(18,2)")
-    return F.struct(F.coalesce(number(labelled), number(any_)).alias("amount"), F.when(labelled.isNotNull(), 0.85).when(any_.isNotNull(), 0.45).alias("confidence"))
-
-
-def parties(docs: DataFrame, cap: int = CAPS["parties"]) -> DataFrame:
-    """doc_id, ordinal, name, role, is_entity: all matches in the order of rules, then of the text; the first of each name and role stays."""
-
-    def rule(k: int, role: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda n, i: F.struct(F.lit(k).alias("rule"), i.alias("nth"), F.lit(role).alias("role"), n.alias("name")))
-
-    found = F.concat(*(rule(k, *r) for k, r in enumerate(PARTIES)))
-    rows = docs.select("doc_id", F.inline(found)).withColumn("name", clean_name(F.col("name"))).where(is_name_like(F.col("name")))
-    first = Window.partitionBy("doc_id", F.lower("name"), "role").orderBy("rule", "nth")
-    order = Window.partitionBy("doc_id").orderBy("rule", "nth")
-    unique = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("ordinal", F.row_number().over(order) - 1).where(F.col("ordinal") < cap)
-    return unique.select("doc_id", "ordinal", "name", "role", looks_entity(F.col("name")).alias("is_entity"))
-
-
-def references(docs: DataFrame, before: int = 240, after: int = 120) -> DataFrame:
-    """doc_id, nth, start, end, ref, book, page, number, key, window: each recorded reference and the text around it. Row-local."""
-    rows = docs.select("doc_id", "text", F.posexplode(match_spans(F.col("text"), REFERENCE)).alias("nth", "m"))
-    group = lambda p: F.regexp_extract("ref", p, 1)
-    return (
-        rows.select("doc_id", "text", "nth", "m.start", "m.end", F.col("m.match").alias("ref"))
-        .select("*", group(BOOK).alias("book"), group(PAGE).alias("page"), group(NUMBER).alias("number"))
-        # bare dated numbers have no group and so share the empty key
-        .select("doc_id", "nth", "start", "end", "ref", "book", "page", "number", F.concat_ws("|", "book", "page", "number").alias("key"), around(F.col("text"), F.col("start"), F.col("end"), before, after).alias("window"), around(F.col("text"), F.col("start"), F.col("start"), 220, 0).alias("lead"))
-    )
-
-
-def _first_by_key(rows: DataFrame, cap: int) -> DataFrame:
-    first = Window.partitionBy("doc_id", "key").orderBy("nth")
-    order = Window.partitionBy("doc_id").orderBy("nth")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("ordinal", F.row_number().over(order) - 1).where(F.col("ordinal") < cap).drop("_n")
-
-
-def chain(docs: DataFrame, cap: int = CAPS["chain"]) -> DataFrame:
-    """doc_id, ordinal, key, instrument: one link a distinct reference with an instrument's name before it; the key is spent before the test."""
-    rows = _first_by_key(references(docs), 1 << 30).withColumn("instrument", first_match(F.col("lead"), rules.INSTRUMENTS, "")).where("instrument <> ''")
-    order = Window.partitionBy("doc_id").orderBy("nth")
-    return rows.withColumn("ordinal", F.row_number().over(order) - 1).where(F.col("ordinal") < cap).select("doc_id", "ordinal", "key", "instrument")
-
-
-def liens(docs: DataFrame, cap: int = CAPS["liens"]) -> DataFrame:
-    """doc_id, ordinal, key, lien_type, status, amount, creditor: references with a lien around them; the test comes before the key is spent."""
-    rows = references(docs).withColumn("lien_type", first_match(F.col("window"), rules.LIENS, "")).where("lien_type <> ''")
-    amount = F.nullif(F.regexp_extract("window", MONEY, 1), F.lit(""))
-    creditor = clean_name(F.nullif(F.regexp_extract("window", rf"in favor of {NAME}(?: recorded|,|\.|;)", 1), F.lit("")))
-    return _first_by_key(rows, cap).select(
-        "doc_id", "ordinal", "key", "lien_type", F.when(F.lower("window").rlike(rules.RELEASED), "released").otherwise("open").alias("status"),
-        F.regexp_replace(amount, ",", "").cast("decimal(18,2)").alias("amount"), creditor.alias("creditor"),
-    )
+    """(value, confidence, source): a labelled amount, with or without a dollar sign, at 0.85; else the first amount in dollars of a text of up to 6000 characters, at 0.45."""
+    amount = lambda m, p: number(F.regexp_extract(m, p, 1))
+    stray = F.when(F.length(text) <= 6000, _labelled(text, [rules.AMOUNT], amount, 0.45))
+    return let(first_span(text, _any_case(rules.POLICY_AMOUNT)), lambda m: F.when(m.isNotNull(), _labelled(text, [rules.POLICY_AMOUNT], amount, 0.85)).otherwise(stray))
+
+
+def parties(text: Column, cap: int = CAPS["parties"]) -> Column:
+    """array of (name, role, is_entity): all matches in the order of rules, then of the text; the first of each name and role stays."""
+
+    def rule(role: str, pattern: str, groups: int) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(_any_case(pattern)), F.lit(g + 1)) for g in range(groups)]
+        names = found[0] if groups == 1 else F.flatten(F.zip_with(*found, lambda a, b: F.array(a, b)))
+        return F.transform(names, lambda n: F.struct(clean_name(n).alias("name"), F.lit(role).alias("role")))
+
+    every = F.concat(*(rule(role, p, 2 if "and wife" in p else 1) for role, p in rules.PARTIES))
+    first = first_by(F.filter(every, lambda x: is_name_like(x["name"])), lambda x: F.concat(F.lower(x["name"]), F.lit("|"), x["role"]))
+    return F.transform(F.slice(first, 1, cap), lambda x: F.struct(x["name"].alias("name"), x["role"].alias("role"), looks_entity(x["name"]).alias("is_entity")))
+
+
+def _names(people: Column, roles: tuple[str, ...]) -> Column:
+    return F.transform(F.filter(people, lambda p: p["role"].isin(*roles)), lambda p: p["name"])
+
+
+def _or_else(names: Column, unknown: str) -> Column:
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(unknown)))
+
+
+def references(text: Column) -> Column:
+    """array of (start, end, match, book, page, number, key): each recorded reference. Bare dated numbers have no group and so share the empty key."""
+    p = _any_case(rules.RECORDING)
+
+    def whole(m: Column) -> Column:
+        book, page, number_ = (_absent(F.regexp_extract(m["match"], p, g)) for g in (1, 2, 3))
+        key = F.lower(F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in (book, page, number_))))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), book.alias("book"), page.alias("page"), number_.alias("number"), key.alias("key"))
+
+    return F.transform(match_spans(text, p), whole)
+
+
+def _with(item: Column, names: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*(item[n].alias(n) for n in names), *(v.alias(k) for k, v in more.items()))
+
+
+_REF = ("start", "end", "match", "book", "page", "number", "key")
+
 
+def chain(doc_type: Column, people: Column, text: Column, cap: int = CAPS["chain"]) -> Column:
+    """array of (instrument, grantor, grantee, book, page, number, source): a deed or mortgage itself, then a link for each distinct reference with an
+    instrument's name before it; a key is spent by its first reference, whether that has one or not."""
+    grantors = _or_else(_names(people, ("grantor", "borrower")), "Unknown grantor")
+    grantees = _or_else(_names(people, ("grantee", "lender", "trustee", "beneficiary", "owner")), "Unknown grantee")
+    none = F.lit(None).cast("string")
+    own = F.struct(doc_type.alias("instrument"), grantors.alias("grantor"), grantees.alias("grantee"), none.alias("book"), none.alias("page"), none.alias("number"), whole_source(text).alias("source"))
 
-def _keyword_facts(docs: DataFrame, trigger: str, types: list[tuple[str, str]], other: str, after: int, cap: int) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.posexplode(match_spans(F.lower("text"), trigger)).alias("nth", "m"))
-    window = F.btrim(F.regexp_replace(around(F.col("text"), F.col("m.start"), F.col("m.end"), 180, after), r"\s+", " "))
-    typed = rows.select("doc_id", "nth", window.alias("window")).withColumn("type", first_match(F.col("window"), types, other)).withColumn("key", F.lower(F.substring("window", 1, 80)))
-    return _first_by_key(typed, cap)
+    def typed(r: Column) -> Column:
+        window = around(text, r["start"], r["end"], BEFORE_CHAIN, 0)
+        return let(window, lambda w: _with(r, _REF, window=w, instrument=first_match(w, rules.INSTRUMENTS, None)))
 
+    def named(window: Column, group: int, unknown: str) -> Column:
+        found = F.transform(F.regexp_extract_all(window, F.lit(rules.CONVEYED), F.lit(group)), clean_name)
+        return F.slice(_or_else(F.filter(found, is_name_like), unknown), 1, 3)
 
-def easements(docs: DataFrame, cap: int = CAPS["easements"]) -> DataFrame:
-    """doc_id, ordinal, type, description, holder, instrument."""
-    holder = F.nullif(clean_name(F.regexp_extract("window", rf"in favor of {NAME}(?: recorded|,|\.|;)", 1)), F.lit(""))
-    facts = _keyword_facts(docs, rules.EASEMENT_TRIGGER, rules.EASEMENTS, "other", 220, cap)
-    return facts.select("doc_id", "ordinal", "type", F.col("window").alias("description"), holder.alias("holder"), F.nullif(F.regexp_extract("window", NUMBER, 1), F.lit("")).alias("instrument"))
+    def link(r: Column) -> Column:
+        return F.struct(
+            r["instrument"].alias("instrument"),
+            named(r["window"], 1, "Unknown grantor (per recording reference)").alias("grantor"),
+            named(r["window"], 2, "Unknown grantee (per recording reference)").alias("grantee"),
+            r["book"].alias("book"), r["page"].alias("page"), r["number"].alias("number"),
+            source(F.lit(1), r["start"], r["end"], r["match"]).alias("source"),
+        )
 
+    found = F.transform(F.filter(F.transform(first_by(references(text), lambda r: r["key"]), typed), lambda r: r["instrument"].isNotNull()), link)
+    itself = F.when(doc_type.isin(*rules.SELF_LINKS) & (F.size(people) > 0), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
+    return F.slice(F.concat(itself, found), 1, cap)
 
-def restrictions(docs: DataFrame, cap: int = CAPS["restrictions"]) -> DataFrame:
-    """doc_id, ordinal, type, description, discriminatory."""
-    trigger = "|".join(f"(?:{p})" for _, p in rules.RESTRICTIONS)
-    facts = _keyword_facts(docs, trigger, rules.RESTRICTIONS, "other", 240, cap)
-    return facts.select("doc_id", "ordinal", "type", F.col("window").alias("description"), F.lower("window").rlike(rules.DISCRIMINATORY).alias("discriminatory"))
 
+def liens(doc_type: Column, people: Column, text: Column, cap: int = CAPS["liens"]) -> Column:
+    """array of (lien_type, status, amount, creditor, debtor, book, page, number, source): a mortgage or deed of trust itself, then references with a lien around
+    them; here a key is spent by a reference that has one."""
+    of = lambda roles, unknown: F.coalesce(F.get(_names(people, roles), F.lit(0)), F.lit(unknown))
+    none = F.lit(None).cast("string")
 
-def bullets(section: Column) -> Column:
-    """The enumerated items of a section: each up to the next bullet, squeezed; of 12 or more characters, cut at 600."""
-    items = F.split(section, r"(?m)(?=^\s*(?:\d{1,2}[.)]|\([a-z0-9]\)|[a-z][.)]|[-*•])\s+)")
-    cleaned = F.transform(F.filter(items, lambda x: x.rlike(r"^\s*(?:\d{1,2}[.)]|\([a-z0-9]\)|[a-z][.)]|[-*•])\s+")), lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:\d{1,2}[.)]|\([a-z0-9]\)|[a-z][.)]|[-*•])\s+", ""), r"\s+", " ")))
-    return F.transform(F.filter(cleaned, lambda x: F.length(x) >= 12), lambda x: F.substring(x, 1, 600))
+    def lien(kind: Column, status: Column, amount: Column, creditor: Column, debtor: Column, book: Column, page: Column, number_: Column, where: Column) -> Column:
+        return F.struct(kind.alias("lien_type"), status.alias("status"), amount.alias("amount"), creditor.alias("creditor"), debtor.alias("debtor"), book.alias("book"), page.alias("page"), number_.alias("number"), where.alias("source"))
 
+    own = lien(doc_type, F.lit("open"), number(_group(text, rules.AMOUNT)), of(("lender", "beneficiary", "trustee"), "Unknown creditor"), of(("borrower", "grantor", "trustor"), "Unknown debtor"), none, none, none, whole_source(text))
 
-def schedule(text: Column, part: str) -> Column:
-    """The body of Schedule B, part I or II: up to the next schedule."""
-    return F.regexp_extract(text, rf"(?is)schedule b,? (?:part|section) {part}\b(.{{50,16000}}?)(?=schedule [a-d],? |schedule c|\z)", 1)
+    def typed(r: Column) -> Column:
+        return let(around(text, r["start"], r["end"], BEFORE_LIEN, AFTER_LIEN), lambda w: _with(r, _REF, window=w, lien_type=first_match(w, rules.LIENS, None)))
 
+    def held(r: Column) -> Column:
+        w = r["window"]
+        status = F.when(w.rlike(_any_case(rules.RELEASED)), "released").otherwise("open")
+        creditor = F.coalesce(clean_name(_group(w, rules.IN_FAVOR_OF)), F.lit("Unknown creditor (per reference)"))
+        debtor = F.coalesce(clean_name(_group(w, rules.EXECUTED_BY)), F.lit("Unknown debtor (per reference)"))
+        where = source(F.lit(1), r["start"], r["end"], around(text, r["start"], r["end"], 60, 60))
+        return lien(r["lien_type"], status, number(_group(w, rules.AMOUNT)), creditor, debtor, r["book"], r["page"], r["number"], where)
 
-def requirements(docs: DataFrame, cap: int = CAPS["requirements"]) -> DataFrame:
-    """doc_id, id, text, category, addressed_to."""
-    rows = docs.select("doc_id", F.posexplode(F.slice(bullets(schedule(F.col("text"), "i")), 1, cap)).alias("n", "item"))
-    return rows.select("doc_id", F.concat(F.lit("B-I-"), (F.col("n") + 1).cast("string")).alias("id"), F.col("item").alias("text"), first_match(F.col("item"), rules.REQUIREMENTS, "other").alias("category"), first_match(F.col("item"), rules.ADDRESSEES, "other").alias("addressed_to"))
+    with_lien = F.filter(F.transform(references(text), typed), lambda r: r["lien_type"].isNotNull())
+    itself = F.when(doc_type.isin(*rules.SELF_LIENS), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
+    return F.slice(F.concat(itself, F.transform(first_by(with_lien, lambda r: r["key"]), held)), 1, cap)
 
 
-def exceptions(docs: DataFrame, cap: int = CAPS["exceptions"]) -> DataFrame:
-    """doc_id, id, text, category, is_standard."""
-    body = schedule(F.col("text"), "ii")
-    rows = docs.select("doc_id", body.alias("body"), F.posexplode(F.slice(F.slice(bullets(body), 1, 25), 1, cap)).alias("n", "item"))
-    head = F.substring("body", F.lit(1), F.greatest(F.expr("locate(substring(item, 1, 40), body)"), F.lit(1)) - 1)
-    last = lambda word: F.length(F.regexp_extract(F.lower(head), rf"(?s)^(.*){word} exceptions?", 1))
-    standard = F.lower("item").rlike(rules.STANDARD_PHRASES) | (last("standard") > last("specific"))
-    return rows.select("doc_id", F.concat(F.lit("B-II-"), (F.col("n") + 1).cast("string")).alias("id"), F.col("item").alias("text"), first_match(F.col("item"), rules.EXCEPTIONS, "other").alias("category"), standard.alias("is_standard"))
+def _mentions(text: Column, trigger: str, types: list[tuple[str, str]], after: int, longest: int, cap: int, more: Callable[[Column], dict[str, Column]]) -> Column:
+    """array of (type, description, instrument, source, ...): the text around each mention, the first of each beginning of 80 characters."""
+
+    def mention(m: Column) -> Column:
+        return let(squeezed(around(text, m["start"], m["end"], 180, after)), lambda w: F.struct(m["start"].alias("start"), m["end"].alias("end"), w.alias("window")))
+
+    def fact(m: Column) -> Column:
+        w = m["window"]
+        recorded = _absent(F.regexp_extract(w, _any_case(rules.RECORDING), 0))
+        group = lambda g: _absent(F.regexp_extract(recorded, _any_case(rules.RECORDING), g))
+        instrument = F.coalesce(group(3), F.concat(F.lit("Book "), group(1), F.lit(" Page "), group(2)))
+        return F.struct(first_match(w, types, "other").alias("type"), F.substring(w, 1, longest).alias("description"), instrument.alias("instrument"), source(F.lit(1), m["start"], m["end"], w).alias("source"), *(v.alias(k) for k, v in more(w).items()))
+
+    first = first_by(F.transform(match_spans(text, _any_case(trigger)), mention), lambda m: F.lower(F.substring(m["window"], 1, 80)))
+    return F.transform(F.slice(first, 1, cap), fact)
+
+
+def easements(text: Column, cap: int = CAPS["easements"]) -> Column:
+    """array of (type, description, instrument, source, holder)."""
+
+    def holder(w: Column) -> dict[str, Column]:
+        return {"holder": let(clean_name(_group(w, rules.HELD_BY)), lambda n: F.when(is_name_like(n), n))}
+
+    return _mentions(text, rules.EASEMENT_TRIGGER, rules.EASEMENTS, 220, 280, cap, holder)
+
+
+def restrictions(text: Column, cap: int = CAPS["restrictions"]) -> Column:
+    """array of (type, description, instrument, source, discriminatory)."""
+    return _mentions(text, rules.RESTRICTION_TRIGGER, rules.RESTRICTIONS, 240, 320, cap, lambda w: {"discriminatory": w.rlike(_any_case(rules.DISCRIMINATORY))})
+
+
+def bullets(section: Column, most: int = 20) -> Column:
+    """array of (key, text): the enumerated items of a section, each up to the next bullet, squeezed; of 12 or more characters, cut at 600."""
+    group = lambda g: F.regexp_extract_all(section, F.lit(f"(?ims){rules.BULLET}"), F.lit(g))
+    items = F.zip_with(group(1), group(2), lambda k, t: F.struct(F.lower(k).alias("key"), F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" .;:-")).alias("text")))
+    long = F.filter(items, lambda x: F.length(x["text"]) >= 12)
+    return F.transform(F.slice(long, 1, most), lambda x: F.struct(x["key"].alias("key"), F.substring(x["text"], 1, 600).alias("text")))
+
+
+def _schedule(text: Column, pattern: str, fact: Callable[[Column, Column], Column]) -> Column:
+    """fact(body, page and span) of the first section that the pattern finds; an empty array without any."""
+    p = f"(?is){pattern}"
+
+    def of(m: Column) -> Column:
+        return let(F.struct(F.regexp_extract(m["match"], p, 1).alias("body"), page_at(text, m["start"]).alias("page"), m["start"].alias("start"), m["end"].alias("end")), lambda s: fact(s["body"], s))
+
+    return let(first_span(text, p), lambda m: F.when(m.isNotNull(), of(m)))
+
+
+def requirements(text: Column, cap: int = CAPS["requirements"]) -> Column:
+    """array of (id, text, category, addressed_to, source): Schedule B, section I, under any of its headings."""
+
+    def facts(body: Column, at: Column) -> Column:
+        return F.transform(
+            bullets(body, cap),
+            lambda x: F.struct(F.concat(F.lit("B-I-"), x["key"]).alias("id"), x["text"].alias("text"), first_match(x["text"], rules.REQUIREMENTS, "other").alias("category"), first_match(x["text"], rules.ADDRESSEES, "other").alias("addressed_to"), source(at["page"], at["start"], at["end"], x["text"]).alias("source")),
+        )
+
+    return _some(_schedule(text, rules.SCHEDULE_ONE, facts), "array<struct<id:string,text:string,category:string,addressed_to:string,source:struct<page:int,start:int,end:int,snippet:string>>>")
+
+
+def exceptions(text: Column, cap: int = CAPS["exceptions"]) -> Column:
+    """array of (id, text, category, is_standard, source): Schedule B, section II. Standard are those with one of the printed phrases, or under such a heading."""
+
+    def last(head: Column, word: str) -> Column:
+        """How far from the end the last heading is; null without any."""
+        return F.when(F.contains(head, F.lit(f"{word} exception")), F.length(F.substring_index(head, f"{word} exception", -1)))
+
+    def facts(body: Column, at: Column) -> Column:
+        def one(x: Column) -> Column:
+            place = F.instr(F.lower(body), F.lower(F.substring(x["text"], 1, 40)))
+            head = F.lower(F.substring(body, F.lit(1), F.greatest(place - 1, F.lit(0))))
+            headed = let(head, lambda h: last(h, "standard").isNotNull() & (last(h, "specific").isNull() | (last(h, "standard") < last(h, "specific"))))
+            standard = F.lower(x["text"]).rlike(rules.STANDARD_PHRASES) | headed
+            return F.struct(F.concat(F.lit("B-II-"), x["key"]).alias("id"), x["text"].alias("text"), first_match(x["text"], rules.EXCEPTIONS, "other").alias("category"), standard.alias("is_standard"), source(at["page"], at["start"], at["end"], x["text"]).alias("source"))
+
+        return F.transform(F.slice(bullets(body, 25), 1, cap), one)
+
+    return _some(_schedule(text, rules.SCHEDULE_TWO, facts), "array<struct<id:string,text:string,category:string,is_standard:boolean,source:struct<page:int,start:int,end:int,snippet:string>>>")
+
+
+def _some(items: Column, kind: str) -> Column:
+    return F.coalesce(items, F.array().cast(kind))
 
 
 def legal_description(text: Column) -> Column:
-    """(type, text, lot, block, apn) after the first anchor, up to the next heading, of 3000 characters the first 2000; null for boilerplate or less than 40 characters."""
-    anchors = ["legal description", "described as follows", "real property described as", "land referred to", "property description", "lot"]
-    body = F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?is)\b{a}\b\s*:?\s*(.{{40,3000}})", 1), F.lit("")) for a in anchors))
-    block = F.regexp_extract(body, r"(?is)^(.{40,}?)(?=\n\s*\n|schedule [a-d]\b|\z)", 1)
-    clean = F.btrim(F.substring(F.btrim(F.regexp_replace(block, r"\s+", " ")), 1, 2000))
-    fits = (F.length(clean) >= 40) & F.lower(clean).rlike("lot|block|section|township|unit|feet|north|south|east|west|parcel|subdivision|tract") & ~F.lower(clean).rlike("^(see|as shown|this policy)")
-    pick = lambda p: F.nullif(F.regexp_extract(clean, p, 1), F.lit(""))
-    described = F.struct(first_match(clean, rules.LEGAL_TYPES, "metes_and_bounds").alias("type"), clean.alias("text"), pick(r"(?i)\blot ([0-9A-Za-z]+)").alias("lot"), pick(r"(?i)\bblock ([0-9A-Za-z]+)").alias("block"), F.nullif(F.regexp_extract(text, r"(?i)\b(?:APN|parcel (?:no\.?|number|id)):? ?([0-9-]{4,})", 1), F.lit("")).alias("apn"))
-    return F.when(fits, described)
+    """(type, text, lot, block, subdivision, apn) after the first anchor, in order, whose up to 3000 characters, up to the next heading, read like one; the first 2000 are kept. Null without any."""
+
+    def candidate(anchor: str) -> Column:
+        body = squeezed(F.regexp_extract(text, rf"(?is){anchor}(.{{40,3000}})", 1))
+        return let(F.btrim(F.get(F.split(body, _any_case(rules.LEGAL_END), 2), F.lit(0)), F.lit(" .,;:-")), lambda c: F.when(_reads_like_one(c), F.substring(c, 1, 2000)))
 
+    def described(c: Column) -> Column:
+        t = F.lower(c)
+        surveyed = t.rlike(r"\b(?:section|sec\.?)\s+\d+") & t.rlike(r"\btownship|\btwp\b")
+        kind = F.when(t.rlike(r"condominium|\bunit\s+\d+\b"), "condominium").when(surveyed, "section_township_range").when(t.rlike(r"\blot|block|plat|subdivision|tract\b"), "platted").otherwise("metes_and_bounds")
+        pick = lambda where, p: F.btrim(_group(where, p), F.lit(" ,.;"))
+        return F.struct(kind.alias("type"), c.alias("text"), pick(c, rules.LOT).alias("lot"), pick(c, rules.BLOCK).alias("block"), pick(c, rules.SUBDIVISION).alias("subdivision"), pick(text, rules.PARCEL).alias("apn"))
 
+    return let(F.coalesce(*map(candidate, rules.LEGAL_ANCHORS)), lambda c: F.when(c.isNotNull(), described(c)))
+
+
+def _reads_like_one(candidate: Column) -> Column:
+    t = F.lower(candidate)
+    boilerplate = t.startswith("of the property") | F.contains(t, F.lit("if the legal description is too lengthy")) | F.substring(t, 1, 60).rlike("see attached|see exhibit")
+    return (F.length(t) >= 40) & ~boilerplate & t.rlike(rules.LEGAL_WORDS)
+
+
+VESTED = ("owner", "grantee", "buyer")
 SCALARS = ("effective_date", "proposed_insured", "estate_or_interest", "policy_amount", "legal_description")
 LISTS = ("parties", "vesting", "chain_of_title", "open_liens", "schedule_b_requirements", "schedule_b_exceptions", "easements", "restrictions", "taxes", "survey_matters")
 
 
+def title_documents(docs: DataFrame) -> DataFrame:
+    """One nested row a document (doc_id, doc_type, text): all that rules find in it, with warnings. Row-local.
+
+    Taxes and survey matters are for models and fixtures to fill; rules find none.
+    """
+    t, kind = F.col("text"), F.col("doc_type")
+    found = docs.select("doc_id", "doc_type", F.coalesce("text", F.lit("")).alias("text")).withColumn("parties", parties(t))
+    none = F.array().cast("array<struct<kind:string,parcel:string>>")
+    out = found.select(
+        "doc_id", "doc_type", F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"(?m)^## Page "))).alias("page_count"),
+        effective_date(t).alias("effective_date"), proposed_insured(t).alias("proposed_insured"), estate(t).alias("estate_or_interest"), money(t).alias("policy_amount"), legal_description(t).alias("legal_description"),
+        "parties", F.filter("parties", lambda p: p["role"].isin(*VESTED)).alias("vesting"),
+        chain(kind, F.col("parties"), t).alias("chain_of_title"), liens(kind, F.col("parties"), t).alias("open_liens"),
+        requirements(t).alias("schedule_b_requirements"), exceptions(t).alias("schedule_b_exceptions"), easements(t).alias("easements"), restrictions(t).alias("restrictions"),
+        none.alias("taxes"), none.alias("survey_matters"),
+        t.rlike(_any_case(rules.STAMPED)).alias("has_recording_stamp"), F.when(t.rlike(_any_case(rules.NOTARIZED)), True).alias("notarized"),
+    )
+    bare = (F.col("doc_type") == "title_commitment") & F.coalesce("effective_date.value", F.lit(None)).isNull() & F.col("proposed_insured").isNull() & F.col("estate_or_interest").isNull()
+    warnings = F.array_compact(F.array(F.lit("Extracted by rules: neither a model's answer nor a labelled document was at hand."), F.when(bare, "Schedule A fields could not be extracted from this commitment.")))
+    return out.withColumn("warnings", warnings)
+
+
+def listed(docs: DataFrame, facts: Column) -> DataFrame:
+    """doc_id, ordinal and the fields of each of a document's facts: an array expression over its text."""
+    return docs.select("doc_id", F.posexplode(facts).alias("ordinal", "f")).select("doc_id", "ordinal", "f.*")
+
+
 def merged(first: DataFrame, second: DataFrame, scalars: list[str], lists: list[str], key: str = "doc_id") -> DataFrame:
     """Field by field the first table's value, where it is there or not empty, else the second's; a warning is always added."""
     other = second.select(key, *(F.col(c).alias(f"_{c}") for c in (*scalars, *lists)))
