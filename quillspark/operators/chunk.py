@@ -1,13 +1,18 @@
 """Sliding token windows with character spans, context sentences and page markers.
 
-Spans come from the running length of the pieces that make up a text, one row a token: regular expressions tell no positions in SQL.
+Spans come from the running length of the pieces that make up a text, on its row: regular expressions tell no positions in SQL. The sentences are fixed values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let, scan
+from ..functions.text import SPACE, filled
+
+#: Fixed value: what tells the page of what follows.
+PAGE_MARKS = r"(?im)(?:\bPage\s+|^##\s*Page\s+)(\d+)\b"
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 LEADING = r"^[\x20\x09-\x0D]+"
 
@@ -30,25 +35,47 @@ def token_windows(docs: DataFrame, size: int = 600, overlap: int = 80, most: int
     return docs.select("doc_id", F.inline(windows(n_tokens(F.col("text")), size, overlap, most)))
 
 
+def token_ends(pieces: Column) -> Column:
+    """Where each piece ends, in code points."""
+
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        end = at + F.length(piece)
+        return end, F.array(end)
+
+    return scan(pieces, F.lit(0), step, "array<int>")
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
+
+
+def _visible(piece: Column) -> Column:
+    return F.length(F.regexp_replace(piece, LEADING, ""))
+
+
 def token_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, tok, start, end: the characters of each token, in code points."""
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), F.lit(0))).alias("tok", "piece"))
-    upto = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
-    placed = pieces.withColumn("end", F.sum(F.length("piece")).over(upto))
-    return placed.select("doc_id", "tok", (F.col("end") - F.length(F.regexp_replace("piece", LEADING, ""))).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    """doc_id, tok, start, end: the characters of each token, in code points. Row-local."""
+    placed = let(_pieces(F.col("text")), lambda p: F.arrays_zip(p.alias("piece"), token_ends(p).alias("end")))
+    rows = docs.select("doc_id", F.posexplode(placed).alias("tok", "t"))
+    return rows.select("doc_id", "tok", (F.col("t.end") - _visible(F.col("t.piece"))).alias("start"), F.col("t.end").alias("end"))
+
+
+def window_spans(text: Column, size: int = 600, overlap: int = 80, most: int | None = 400) -> Column:
+    """array of (idx, start, end): windows with the characters they reach over."""
+
+    def of(pieces: Column) -> Column:
+        framed = windows(F.size(pieces), size, overlap, most)
+        span = lambda ends: lambda w: F.struct(w["idx"].alias("idx"), (F.get(ends, w["first"]) - _visible(F.get(pieces, w["first"]))).alias("start"), F.get(ends, w["end"] - 1).alias("end"))
+        return let(token_ends(pieces), lambda ends: F.transform(framed, span(ends)))
+
+    return let(_pieces(text), of)
 
 
 def chunks(docs: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
-    """doc_id, idx, start, end, text, chunk_id: windows with their span and the text under it."""
-    spans = token_spans(docs)
-    framed = token_windows(docs, size, overlap, most)
-    # a window's ends are two tokens: two equi-joins, not a range join
-    first = spans.select("doc_id", F.col("tok").alias("first"), "start")
-    last = spans.select("doc_id", (F.col("tok") + 1).alias("end"), F.col("end").alias("stop"))
-    placed = framed.join(first, ["doc_id", "first"]).join(last, ["doc_id", "end"])
-    cut = placed.select("doc_id", "idx", "start", F.col("stop").alias("end")).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    text = F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return cut.select("doc_id", "idx", "start", "end", text.alias("text")).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")))
+    """doc_id, idx, start, end, text, chunk_id, page: windows with their span, the text under it and the page it begins on. Row-local."""
+    framed = docs.select("doc_id", F.col("text").alias("whole"), F.inline(window_spans(F.col("text"), size, overlap, most)))
+    cut = framed.withColumn("text", F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start")))
+    return cut.select("doc_id", "idx", "start", "end", "text", chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), last_page_before(F.col("whole"), F.col("start"), PAGE_MARKS).alias("page"))
 
 
 def chunk_id(doc_id: Column, idx: Column, text: Column) -> Column:
@@ -63,6 +90,27 @@ def context_sentence(doc_id: Column, doc_type: Column, text: Column) -> Column:
     return F.concat(F.lit("This chunk comes from "), where, doc_id.cast("string"), F.lit(", a "), doc_type, F.lit("."))
 
 
+def single_sentence(text: Column) -> Column:
+    """The first sentence of an answer, white space squeezed; without an end its first 240 characters."""
+
+    def of(t: Column) -> Column:
+        first = F.regexp_extract(t, r"^(.+?[.!?])(?:\s|$)", 1)
+        return F.when(first != "", first).otherwise(F.substring(t, 1, 240))
+
+    return let(F.btrim(F.regexp_replace(text, f"{SPACE}+", " ")), of)
+
+
+def neighbourhood(whole: Column, chunk: Column, reach: int = 4000) -> Column:
+    """What surrounds a chunk in its document, by the first place of its beginning: half of `reach` on either side; the document's head if it isn't found."""
+
+    def of(at: Column) -> Column:
+        first = F.greatest(at - 1 - reach // 2, F.lit(0))
+        return F.when(at > 0, F.substring(whole, first + 1, at - 1 + F.length(chunk) + reach // 2 - first)).otherwise(F.substring(whole, 1, reach))
+
+    needle = F.btrim(F.substring(chunk, 1, 200))
+    return let(F.when(needle == "", 0).otherwise(F.instr(whole, needle)), of)
+
+
 def last_page_before(text: Column, offset: Column, marker: str = r"\b[Pp]age ([0-9]+)") -> Column:
     """The last page marker that ends by an offset; 1 without any."""
     found = F.regexp_extract_all(F.substring(text, F.lit(1), offset), F.lit(marker), F.lit(1))
@@ -71,6 +119,21 @@ def last_page_before(text: Column, offset: Column, marker: str = r"\b[Pp]age ([0
 
 def vesting_chunks(parties: DataFrame) -> DataFrame:
     """One chunk for each vesting party (doc_id, ordinal, name, role), not under the cap of windows."""
-    owner = F.concat(F.lit("Schedule A vested owner: "), F.col("name"), F.lit(". Role: owner."))
-    other = F.concat(F.lit("Schedule A vesting party: "), F.col("name"), F.lit(". Role: "), F.col("role"), F.lit("."))
-    return parties.select("doc_id", "ordinal", F.when(F.col("role") == "owner", owner).otherwise(other).alias("text"))
+    owner = filled("Schedule A vested owner: {name}. Role: owner.", name=F.col("name"))
+    other = filled("Schedule A vesting party: {name}. Role: {role}.", name=F.col("name"), role=F.col("role"))
+    return parties.select("doc_id", "ordinal", "role", F.when(F.col("role") == "owner", owner).otherwise(other).alias("text"))
+
+
+def contextual_chunks(docs: DataFrame, vesting: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
+    """doc_id, idx, chunk_id, page, start, end, text, contextual_text: the windows of documents (doc_id, doc_type, text), and after them a chunk for each vesting party (doc_id, ordinal, name, role).
+
+    Vesting chunks are of page 1 and have no span. Only documents with vesting parties meet their number of windows: one row a party.
+    """
+    own = chunks(docs, size, overlap, most).join(docs.select("doc_id", "doc_type"), "doc_id")
+    windowed = own.select("doc_id", "idx", "chunk_id", "page", "start", "end", "text", F.concat(context_sentence(F.col("doc_id"), F.col("doc_type"), F.col("text")), F.lit("\n\n"), "text").alias("contextual_text"))
+    counted = docs.select("doc_id", F.size(windows(n_tokens(F.col("text")), size, overlap, most)).alias("n"))
+    placed = vesting_chunks(vesting).join(counted, "doc_id").withColumn("idx", (F.col("n") + F.col("ordinal")).cast("int"))
+    context = F.when(F.col("role") == "owner", filled("This chunk summarizes Schedule A vesting for {doc_id}.", doc_id=F.col("doc_id"))).otherwise(filled("This chunk summarizes a Schedule A party for {doc_id}.", doc_id=F.col("doc_id")))
+    none = F.lit(None).cast("int")
+    listed = placed.select("doc_id", "idx", chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), F.lit(1).alias("page"), none.alias("start"), none.alias("end"), "text", F.concat(context, F.lit("\n\n"), "text").alias("contextual_text"))
+    return windowed.unionByName(listed)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import SECTIONS
-from ..functions.text import GENERIC_WORDS, containment, jaccard
+from ..functions.spans import let
+from ..functions.text import GENERIC_WORDS, WORD, containment, filled, given, jaccard, overlap
 from ..functions.text import content_tokens as _content_tokens
+from . import learn, retrieve
 
 SNIPPET = 220
+#: Structured fields of one value each.
+SCALAR = ("effective_date", "proposed_insured", "estate_or_interest")
 
 
 def content_tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(GENERIC_WORDS)) -> Column:
@@ -33,24 +39,34 @@ def groundable(edits: DataFrame, hits: DataFrame, least: float = 0.25) -> DataFr
 
 
 def best_evidence(sentences: DataFrame, hits: DataFrame) -> DataFrame:
-    """sentence_id, hit_id, overlap, rank: of a sentence's hits the one that shares most content tokens, the earlier at ties.
+    """key, sentence_id, hit_id, rank, overlap: of a sentence's hits the one that shares most content tokens, the earlier at ties; the first one where none shares any.
 
-    sentences: key, sentence_id, text. hits: key, hit_id, rank, text. They meet on their tokens, so pairs without a common one aren't made.
+    sentences: key, sentence_id, text. hits: key, hit_id, rank, text. They meet on their tokens, so pairs without a common one aren't made. Sentences of a key without hits have none.
     """
     s = sentences.select("key", "sentence_id", F.explode(content_tokens(F.col("text"))).alias("token"))
     h = hits.select("key", "hit_id", "rank", F.explode(content_tokens(F.col("text"))).alias("token"))
     shared = s.join(h, ["key", "token"]).groupBy("key", "sentence_id", "hit_id", "rank").agg(F.count("*").alias("overlap"))
-    best = Window.partitionBy("key", "sentence_id").orderBy(F.desc("overlap"), "rank", "hit_id")
-    return shared.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("key", "sentence_id", "hit_id", "rank", "overlap")
+    best = shared.groupBy("key", "sentence_id").agg(F.min_by(F.struct("hit_id", "rank", "overlap"), F.struct(-F.col("overlap"), "rank", "hit_id")).alias("best"))
+    first = hits.groupBy("key").agg(F.min_by(F.struct("hit_id", "rank", F.lit(0).cast("long").alias("overlap")), F.struct("rank", "hit_id")).alias("first"))
+    joined = sentences.select("key", "sentence_id").join(first, "key").join(best, ["key", "sentence_id"], "left")
+    return joined.select("key", "sentence_id", F.coalesce("best", "first").alias("b")).select("key", "sentence_id", "b.*")
+
+
+def all_words(text: Column) -> Column:
+    """The words of 4 or more characters that aren't generic, in order, each as often as it is there."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_WORDS))
 
 
 def snippet(text: Column, tokens: Column, reach: int = SNIPPET) -> Column:
-    """(start, end, snippet): around the mean of the first places of the sentence's tokens in the text; the head of it without any."""
-    places = F.filter(F.transform(tokens, lambda t: F.instr(F.lower(text), t) - 1), lambda p: p >= 0)
-    centre = F.when(F.size(places) > 0, F.floor(F.aggregate(places, F.lit(0), lambda a, p: a + p) / F.size(places))).otherwise(F.lit(0)).cast("int")
-    start = F.greatest(F.lit(0), centre - reach)
-    end = F.least(F.length(text), centre + reach)
-    return F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("snippet"))
+    """(start, end, snippet): around the mean of the first places of the sentence's tokens in the text; null without any there."""
+
+    def of(places: Column) -> Column:
+        centre = F.floor(F.aggregate(places, F.lit(0).cast("long"), lambda a, p: a + p) / F.size(places)).cast("int")
+        start, end = F.greatest(F.lit(0), centre - reach), F.least(F.length(text), centre + reach)
+        return F.when(F.size(places) > 0, F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("snippet")))
+
+    low = lambda t: F.transform(tokens, lambda x: F.instr(t, x) - 1)
+    return let(F.lower(text), lambda t: let(F.filter(low(t), lambda p: p >= 0), of))
 
 
 def confidence(sentence: Column, evidence: Column) -> Column:
@@ -65,51 +81,247 @@ def findings(claims: DataFrame, cap: int = 5) -> DataFrame:
     return kept.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
 
 
+SUMMARY = "summary[0].text"
+
+
+def _like(before: Column, text: Column) -> Column:
+    return jaccard(content_tokens(before, ("",)), content_tokens(text, ("",)))
+
+
 def adopted(sentences: DataFrame, edits: DataFrame, least: float = 0.5) -> DataFrame:
-    """sentence text replaced by the first edit (key, seq, before, after) whose old text is like it."""
-    like = jaccard(content_tokens(F.col("before"), ("",)), content_tokens(F.col("text"), ("",)))
-    pairs = sentences.join(edits, "key").where(like >= least)
+    """Sentences (key, ordinal, text) with the text of the first edit (key, seq, field_path, before, after) of a summary's first sentence whose old text is like it; edits to nothing are left out."""
+    fitting = edits.where((F.col("field_path") == SUMMARY) & (F.btrim("after") != ""))
+    pairs = sentences.join(fitting, "key").where(_like(F.col("before"), F.col("text")) >= least)
     first = pairs.groupBy("key", "ordinal").agg(F.min_by("after", "seq").alias("after"))
     return sentences.join(first, ["key", "ordinal"], "left").select("key", "ordinal", F.coalesce("after", "text").alias("text"), F.col("after").isNotNull().alias("adopted"))
 
 
-def _said(*parts: Column | str) -> Column:
-    """The parts joined; absent ones are left out."""
-    return F.concat_ws("", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _spaced(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(" "))
+
+
+def facts_of(documents: DataFrame) -> DataFrame:
+    """What template sentences are filled with, beside the nested documents it is taken from."""
+    names = lambda people: F.transform(people, lambda p: p["name"])
+    first = F.filter(F.slice("parties", 1, 3), lambda p: p["role"].isin("owner", "grantee", "buyer", "trustor", "borrower"))
+
+    def link(x: Column) -> Column:
+        reference = F.coalesce(x["number"], F.concat(F.lit("Book "), x["book"], F.lit(" Page "), x["page"]))
+        who = lambda c, unknown: F.when(F.size(x[c]) > 0, F.array_join(x[c], ", ")).otherwise(unknown)
+        return filled(rules.S3_LINK, kind=_spaced(x["instrument"]), grantor=who("grantor", rules.S3_NO_GRANTOR), grantee=who("grantee", rules.S3_NO_GRANTEE), reference=F.concat(F.lit(" ("), reference, F.lit(")")))
+
+    lien = lambda x: filled(rules.S4_LIEN, kind=_spaced(x["lien_type"]), creditor=x["creditor"], amount=given(rules.S4_AMOUNT, amount=x["amount"]))
+    of = lambda c, f: F.transform(c, lambda x: x[f])
+    facts = {
+        "owners": F.when(F.size("vesting") > 0, names(F.col("vesting"))).otherwise(names(first)),
+        "estate": _spaced(F.col("estate_or_interest.value")), "insured": F.col("proposed_insured.value"), "effective_date": F.col("effective_date.value").cast("string"),
+        "legal_type": _spaced(F.col("legal_description.type")), "legal_text": F.col("legal_description.text"), "parcel": F.col("legal_description.apn"),
+        "links": F.transform("chain_of_title", link), "liens": F.transform("open_liens", lien), "easements": of("easements", "type"), "restrictions": of("restrictions", "type"),
+        "requirements": of("schedule_b_requirements", "category"), "exceptions": F.transform("schedule_b_exceptions", lambda e: F.struct(e["category"].alias("category"), e["is_standard"].alias("is_standard"))),
+        "taxes": F.size("taxes"), "surveys": of("survey_matters", "kind"),
+    }
+    return documents.select("*", F.struct(*(v.alias(k) for k, v in facts.items())).alias("facts"))
+
+
+def template_sentences(facts: Callable[[str], Column]) -> dict[str, Column]:
+    """By section its template sentence, or what is said without anything found. facts(name): a fact; see fallback_sentences. Counts take the whole list, descriptions three of it."""
+    f, r = facts, rules
+    n = lambda c: F.size(f(c)).cast("string")
+    some = lambda c: F.size(f(c)) > 0
+    kinds = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(f(c), _spaced))), ", ")
+    three = lambda c: F.array_join(F.slice(f(c), 1, 3), "; ")
+    standard = F.size(F.filter(f("exceptions"), lambda e: e["is_standard"]))
+    burdens = F.concat_ws(" and ", F.when(some("easements"), filled(r.S5_EASEMENTS, n=n("easements"), kinds=kinds("easements"))), F.when(some("restrictions"), filled(r.S5_RESTRICTIONS, n=n("restrictions"), kinds=kinds("restrictions"))))
+    matters = F.concat_ws(" and ", F.when(f("taxes") > 0, filled(r.S8_TAXES, n=f("taxes"))), F.when(some("surveys"), filled(r.S8_SURVEYS, n=n("surveys"), kinds=kinds("surveys"))))
+    owners = F.when(some("owners"), F.array_join(f("owners"), ", ")).otherwise(r.S1_NO_OWNER)
+    return {
+        "s1_vesting_and_estate": filled(r.S1, owners=owners, estate=given(r.S1_ESTATE, estate=f("estate")), insured=given(r.S1_INSURED, insured=f("insured")), effective=given(r.S1_EFFECTIVE, effective=f("effective_date"))),
+        "s2_legal_description": F.when(f("legal_text").isNotNull(), filled(r.S2, kind=f("legal_type"), text=F.substring(f("legal_text"), 1, 240), parcel=given(r.S2_PARCEL, parcel=f("parcel")))).otherwise(r.S2_NONE),
+        "s3_chain_of_title": F.when(some("links"), filled(r.S3, n=n("links"), links=three("links"))).otherwise(r.S3_NONE),
+        "s4_open_encumbrances_and_liens": F.when(some("liens"), filled(r.S4, n=n("liens"), liens=three("liens"))).otherwise(r.S4_NONE),
+        "s5_easements_and_restrictions": F.when(burdens != "", filled(r.S5, burdens=burdens)).otherwise(r.S5_NONE),
+        "s6_requirements_schedule_b_i": F.when(some("requirements"), filled(r.S6, n=n("requirements"), kinds=kinds("requirements"))).otherwise(r.S6_NONE),
+        "s7_exceptions_schedule_b_ii": F.when(some("exceptions"), filled(r.S7, n=n("exceptions"), standard=standard, specific=F.size(f("exceptions")) - standard)).otherwise(r.S7_NONE),
+        "s8_taxes_and_survey_matters": F.when(matters != "", filled(r.S8, matters=matters)).otherwise(r.S8_NONE),
+    }
 
 
 def fallback_sentences(facts: DataFrame) -> DataFrame:
     """matter_id, section, text: the template sentence of each section, or its variant for nothing found.
 
     facts, one row a matter: owners (array), estate, insured, effective_date, legal_type, legal_text, parcel, links (array of text), liens (array of text), easements and restrictions (arrays of kinds),
-    requirements (array of categories), exceptions (array of (category, is_standard)), taxes (int), surveys (array of kinds). Counts take the whole list, descriptions three of it.
+    requirements (array of categories), exceptions (array of (category, is_standard)), taxes (int), surveys (array of kinds).
     """
-    n = lambda c: F.size(c).cast("string")
-    some = lambda c: F.size(c) > 0
-    kinds = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: F.replace(x, F.lit("_"), F.lit(" "))))), ", ")
-    three = lambda c: F.array_join(F.slice(F.col(c), 1, 3), "; ")
-    given = lambda before, c, after="": F.concat(F.lit(before), F.col(c), F.lit(after))
-    standard = F.size(F.filter("exceptions", lambda e: e["is_standard"]))
-    r = rules
-    burdens = F.concat_ws(r.BURDENS[2], F.when(some("easements"), F.concat(n("easements"), F.lit(r.BURDENS[1]), kinds("easements"))), F.when(some("restrictions"), F.concat(n("restrictions"), F.lit(r.BURDENS[3]), kinds("restrictions"))))
-    matters = F.concat_ws(r.TAXES[2], F.when(F.col("taxes") > 0, F.concat(F.col("taxes").cast("string"), F.lit(r.TAXES[1]))), F.when(some("surveys"), F.concat(n("surveys"), F.lit(r.TAXES[3]), kinds("surveys"), F.lit(r.TAXES[4]))))
-    sentences = {
-        "s1_vesting_and_estate": _said(r.OWNERS[0], F.when(some("owners"), F.array_join("owners", ", ")).otherwise(r.OWNERS[1]), given(r.OWNERS[2], "estate"), given(r.OWNERS[3], "insured"), given(r.OWNERS[4], "effective_date"), r.OWNERS[5]),
-        "s2_legal_description": F.when(F.col("legal_text").isNotNull(), _said(r.LEGAL[0], F.col("legal_type"), r.LEGAL[1], F.substring("legal_text", 1, 240), r.LEGAL[2], given(r.LEGAL[3], "parcel"), r.LEGAL[4])).otherwise(r.NO_LEGAL),
-        "s3_chain_of_title": F.when(some("links"), _said(r.CHAIN[0], n("links"), r.CHAIN[1], three("links"), r.CHAIN[2])).otherwise(r.NO_CHAIN),
-        "s4_open_encumbrances_and_liens": F.when(some("liens"), _said(r.OPEN_LIENS[0], n("liens"), r.OPEN_LIENS[1], three("liens"), r.OPEN_LIENS[2])).otherwise(r.NO_LIENS),
-        "s5_easements_and_restrictions": F.when(burdens != "", _said(r.BURDENS[0], burdens, r.BURDENS[4])).otherwise(r.NO_BURDENS),
-        "s6_requirements_schedule_b_i": F.when(some("requirements"), _said(r.B_ONE[0], n("requirements"), r.B_ONE[1], kinds("requirements"), r.B_ONE[2])).otherwise(r.NO_B_ONE),
-        "s7_exceptions_schedule_b_ii": F.when(some("exceptions"), _said(r.B_TWO[0], n("exceptions"), r.B_TWO[1], standard.cast("string"), r.B_TWO[2], (F.size("exceptions") - standard).cast("string"), r.B_TWO[3])).otherwise(r.NO_B_TWO),
-        "s8_taxes_and_survey_matters": F.when(matters != "", _said(r.TAXES[0], matters, r.TAXES[5])).otherwise(r.NO_TAXES),
-    }
-    listed = F.array(*(F.struct(F.lit(k).alias("section"), v.alias("text")) for k, v in sentences.items()))
+    listed = F.array(*(F.struct(F.lit(k).alias("section"), v.alias("text")) for k, v in template_sentences(F.col).items()))
     return facts.select("matter_id", F.inline(listed))
 
 
+def _field_text(field: str) -> tuple[Column, Column]:
+    """Whether a structured field is there, and the sentence that tells of it; null for none."""
+    label = field.replace("_", " ").title()
+    c = F.col(field) if field not in ("released_liens",) else F.lit(None).cast("string")
+    lists = {
+        "vesting": lambda x: x["name"], "parties": lambda x: x["name"], "chain_of_title": lambda x: x["instrument"], "open_liens": lambda x: x["creditor"], "easements": lambda x: F.coalesce(x["holder"], x["description"]), "restrictions": lambda x: x["description"],
+        "schedule_b_requirements": lambda x: x["text"], "schedule_b_exceptions": lambda x: x["text"], "taxes": lambda x: F.lit(None).cast("string"), "survey_matters": lambda x: F.lit(None).cast("string"),
+    }
+    if field in lists:
+        names = F.slice(F.transform(F.filter(c, lambda x: lists[field](x).isNotNull()), lambda x: F.substring(lists[field](x), 1, 80)), 1, 5)
+        return F.size(c) > 0, F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(names, ", "), F.lit(".")))
+    if field == "released_liens":
+        return F.lit(False), c
+    value = F.substring(c["text"], 1, 220) if field == "legal_description" else c["value"].cast("string")
+    return c.isNotNull(), F.concat(F.lit(f"{label}: "), value, F.lit("."))
+
+
+CITATION = "struct<doc_id:string,page:int,start:int,end:int,snippet:string>"
+
+
+def cite(text: Column, hits: Column, doc_id: Column) -> Column:
+    """The citation of a sentence out of its hits (array, best first, of (doc_id, page, start, text, contextual_text)): the one that shares most of its words, the earlier at ties, and of it what lies
+    around them; the document itself without hits."""
+    own = F.struct(doc_id.cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(0).alias("end"), filled(rules.UNCITED, doc_id=doc_id).alias("snippet")).cast(CITATION)
+
+    def of(words: Column) -> Column:
+        distinct = F.array_distinct(words)
+        shared = F.transform(hits, lambda h: overlap(distinct, content_tokens(h["contextual_text"], ("",))))
+        best = let(shared, lambda n: F.get(hits, F.array_position(n, F.array_max(n)).cast("int") - 1))
+        return let(best, lambda h: from_hit(h, words))
+
+    def from_hit(h: Column, words: Column) -> Column:
+        def placed(s: Column) -> Column:
+            begin = F.coalesce(h["start"], F.lit(0))
+            head = F.substring(h["text"], 1, 200)
+            around = F.when(s.isNotNull(), F.struct((begin + s["start"]).alias("start"), (begin + s["end"]).alias("end"), _stripped(s["snippet"]).alias("snippet")))
+            whole = F.struct(begin.alias("start"), F.coalesce(h["end"], F.length(head)).alias("end"), _stripped(head).alias("snippet"))
+            return let(F.coalesce(around, whole), lambda x: F.struct(h["doc_id"].cast("string").alias("doc_id"), h["page"].alias("page"), x["start"].alias("start"), x["end"].alias("end"), x["snippet"].alias("snippet")).cast(CITATION))
+
+        return let(snippet(h["text"], words), placed)
+
+    return F.when(F.size(hits) > 0, let(all_words(text), of)).otherwise(own)
+
+
+def grounded(edits: Column, hits: Column, least: float = 0.25) -> Column:
+    """Those of an array of edits of whose new words at least a quarter are in the hits; edits without words, or without hits to hold them to, pass."""
+
+    def of(context: Column) -> Column:
+        fits = lambda e: let(content_tokens(e["after"]), lambda t: (F.size(t) == 0) | (overlap(t, context) / F.greatest(F.size(t), F.lit(1)) >= least))
+        return F.when(F.size(context) > 0, F.filter(edits, fits)).otherwise(edits)
+
+    return let(F.array_distinct(F.flatten(F.transform(hits, lambda h: content_tokens(h["contextual_text"], ("",))))), of)
+
+
+HITS = "array<struct<doc_id:string,page:int,start:int,end:int,text:string,contextual_text:string>>"
+EDITS = "array<struct<field_path:string,edit_type:string,before:string,after:string>>"
+
+
+def listed_hits(hits: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, section, hits: the first k of each section (doc_id, section, rank, hit_doc_id, page, start, end, text, contextual_text) as an array, best first."""
+    item = F.struct("rank", F.struct(F.col("hit_doc_id").cast("string").alias("doc_id"), "page", "start", "end", "text", "contextual_text").alias("h"))
+    return hits.where(F.col("rank") <= k).groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["h"]).cast(HITS).alias("hits"))
+
+
+def listed_edits(found: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, section, edits: the first k edits found for each section (doc_id, section, rank, field_path, edit_type, before, after) as an array."""
+    item = F.struct("rank", F.struct("field_path", "edit_type", "before", "after").alias("e"))
+    return found.where(F.col("rank") <= k).groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).cast(EDITS).alias("edits"))
+
+
+def retrieved(chunks: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, section, hits: what each section's query finds among the chunks (doc_id, chunk_id, page, start, end, text, contextual_text) of its own document, by hybrid search."""
+    corpus = chunks.select(F.col("doc_id").alias("corpus_key"), "chunk_id", F.col("contextual_text").alias("text"))
+    asked = F.inline(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("text")) for i, (_, _, q, _) in enumerate(SECTIONS))))
+    found = retrieve.hybrid(corpus, chunks.select(F.col("doc_id").alias("corpus_key")).distinct().select("corpus_key", asked), k=k)
+    named = F.element_at(F.array(*(F.lit(f) for f, *_ in SECTIONS)), F.col("query_id") + 1)
+    hits = found.select(F.col("corpus_key").alias("doc_id"), "chunk_id", named.alias("section"), "rank").join(chunks, ["doc_id", "chunk_id"])
+    return listed_hits(hits.withColumn("hit_doc_id", F.col("doc_id")), k)
+
+
+def learnt(documents: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, section, edits: the past edits of each section nearest to a document's structured fields of it (events: edit_id, section, field_path, edit_type, before, after, seq)."""
+    field = lambda x: F.to_json(F.col(x)) if x != "released_liens" else F.lit("")
+    one = lambda f, n, s: F.struct(F.lit(f).alias("section"), F.concat(F.lit(f"{n} | "), F.substring(F.concat_ws(" ", *(F.coalesce(field(x) if x not in SCALAR else F.col(f"{x}.value").cast("string"), F.lit("")) for x in s.split(","))), 1, 600)).alias("text"))
+    queries = documents.select("doc_id", F.inline(F.array(*(one(f, n, s) for f, n, _, s in SECTIONS)))).withColumn("query_id", F.concat_ws("/", F.col("doc_id").cast("string"), "section"))
+    found = learn.search(events, queries, k).join(queries.select("query_id", "doc_id", "section"), "query_id").join(events.select("edit_id", "field_path", "edit_type", "before", "after"), "edit_id")
+    return listed_edits(found, k)
+
+
+def sections(documents: DataFrame, hits: DataFrame, edits: DataFrame | None = None, rule_sets: DataFrame | None = None) -> DataFrame:
+    """doc_id, ordinal, section, name, text, adopted, citation, findings, gaps, flag, n_open_liens: eight cited sections of each document, without a model.
+
+    documents: as extract.title_documents() gives them. hits: doc_id, section, hits (listed_hits). edits: doc_id, section, edits (listed_edits), those to learn from. rule_sets: section, rules, as
+    learn.distilled() gives them. A section's sentence is its template's, or the wording of a grounded edit of such a sentence; then no findings stand beside it.
+    """
+    spark = documents.sparkSession
+    facts = facts_of(documents)
+    texts = template_sentences(lambda c: F.col(f"facts.{c}"))
+
+    def section(i: int, field: str, name: str, structured: str) -> Column:
+        fields = [(x, *_field_text(x)) for x in structured.split(",")]
+        claims = F.array_compact(F.array(*(F.when(there, text) for _, there, text in fields)))
+        missing = F.array_compact(F.array(*(F.when(~F.coalesce(there, F.lit(False)), F.lit(rules.GAP.format(field=x.replace("_", " ")))) for x, there, _ in fields)))
+        return F.struct(F.lit(i).alias("ordinal"), F.lit(field).alias("section"), F.lit(name).alias("name"), texts[field].alias("baseline"), claims.alias("claims"), missing.alias("missing"))
+
+    rows = facts.select("doc_id", F.size("open_liens").alias("n_open_liens"), "warnings", F.inline(F.array(*(section(i, f, n, s) for i, (f, n, _, s) in enumerate(SECTIONS)))))
+    rows = rows.join(hits, ["doc_id", "section"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    if edits is None:
+        rows = rows.withColumn("few", F.array().cast(EDITS))
+    else:
+        rows = rows.join(edits, ["doc_id", "section"], "left").withColumn("few", grounded(F.coalesce("edits", F.array().cast(EDITS)), F.col("hits"))).drop("edits")
+    risky = F.exists("rules", lambda r: F.array_contains(r["triggers"], "risk_rating"))
+    of_section = spark.createDataFrame([], "section string, risky boolean") if rule_sets is None else rule_sets.select("section", risky.alias("risky"))
+    rows = rows.join(of_section, "section", "left")
+
+    fitting = F.filter("few", lambda e: (e["field_path"] == SUMMARY) & (F.btrim(e["after"]) != "") & (_like(e["before"], F.col("baseline")) >= 0.5))
+    rows = rows.withColumn("text", F.coalesce(F.get(F.transform(fitting, lambda e: e["after"]), F.lit(0)), F.col("baseline"))).withColumn("adopted", F.col("text") != F.col("baseline"))
+    added = F.filter("few", lambda e: e["field_path"].startswith("gaps") & (e["edit_type"] == "addition") & (F.btrim(e["after"]) != ""))
+    more = F.array_except(F.array_distinct(F.transform(added, lambda e: e["after"])), F.col("missing"))
+    rows = rows.withColumn("gaps", F.concat("missing", more)).withColumn("citation", cite(F.col("text"), F.col("hits"), F.col("doc_id")))
+    told = F.transform("claims", lambda c: F.struct(c.alias("text"), cite(c, F.col("hits"), F.col("doc_id")).alias("citation")))
+    held = F.filter(told, lambda x: F.arrays_overlap(content_tokens(x["text"]), content_tokens(x["citation"]["snippet"], ("",))))
+    troubled = (F.size("gaps") > 0) | (F.size("warnings") > 0)
+    raised = F.coalesce("risky", F.lit(False)) & (F.col("n_open_liens") > 0)
+    flag = F.when(troubled | raised, "yellow").otherwise("green")
+    return rows.select("doc_id", "ordinal", "section", "name", "text", "adopted", "citation", F.when(F.col("adopted"), F.slice(held, 1, 0)).otherwise(F.slice(held, 1, 5)).alias("findings"), "gaps", flag.alias("flag"), "n_open_liens", "warnings")
+
+
+def summaries(drafted: DataFrame, questions: int = 20) -> DataFrame:
+    """doc_id, overall_risk, overall_text, citation, open_questions, sections: a row a document of its eight sections."""
+    one = F.struct("ordinal", "section", "name", "text", "adopted", "citation", "findings", "gaps", "flag")
+    per = drafted.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("sections"), F.max("n_open_liens").alias("n_open_liens"), F.first("warnings").alias("warnings"))
+    red = (F.col("n_open_liens") > 0) | F.exists("sections", lambda s: s["flag"] == "red")
+    yellow = F.exists("sections", lambda s: (F.size(s["gaps"]) > 0) | (s["flag"] == "yellow"))
+    risk = F.when(red, "material_issues").when(yellow, "curable_issues").otherwise("clear_to_close")
+    asked = F.slice(F.concat(F.flatten(F.transform("sections", lambda s: s["gaps"])), "warnings"), 1, questions)
+    return per.withColumn("overall_risk", risk).select("doc_id", "overall_risk", filled(rules.OVERALL, risk=_spaced(F.col("overall_risk"))).alias("overall_text"), F.get("sections", F.lit(0))["citation"].alias("citation"), asked.alias("open_questions"), "sections")
+
+
+def normalized(sentences: DataFrame, hits: DataFrame) -> DataFrame:
+    """key, sentence_id, text, citations, confidence: a model's sentences with citations of real hits only.
+
+    sentences: key, sentence_id, text, confidence, cited (array of doc_ids, in order). hits: key, hits (an array of HITS, best first). A cited document stands for its first hit, each hit once; where none
+    is left the hit that shares most words stands, and if it shares less than a tenth of them the confidence is low.
+    """
+    joined = sentences.join(hits, "key", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    place = lambda d: F.array_position(F.transform("hits", lambda h: h["doc_id"]), d.cast("string"))
+    places = F.filter(F.array_distinct(F.transform("cited", place)), lambda p: p > 0)
+    own = F.transform(places, lambda p: cite(F.col("text"), F.array(F.get(F.col("hits"), p.cast("int") - 1)), F.lit("")))
+    share = F.array_max(F.transform("hits", lambda h: F.coalesce(containment(content_tokens(F.col("text")), content_tokens(h["contextual_text"], ("",))), F.lit(0.0))))
+    alone = F.array(cite(F.col("text"), F.col("hits"), F.lit("")))
+    out = joined.withColumn("own", own)
+    none = F.size("own") == 0
+    return out.select(
+        "key", "sentence_id", "text", F.when(~none, F.col("own")).when(F.size("hits") > 0, alone).otherwise(F.slice(alone, 1, 0)).alias("citations"),
+        F.when(none & (F.size("hits") > 0) & (share < 0.10), "low").otherwise(F.col("confidence")).alias("confidence"),
+    )
+
+
 def gaps(facts: DataFrame, fields: list[str]) -> DataFrame:
     """matter_id, ordinal, gap: a line for each structured field that is empty."""
-    listed = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f), F.lit(False)), F.lit(None)).otherwise(F.lit(f"Structured extraction did not contain {f.replace('_', ' ')}.")) for f in fields)))
+    listed = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f), F.lit(False)), F.lit(None)).otherwise(F.lit(rules.GAP.format(field=f.replace("_", " ")))) for f in fields)))
     return facts.select("matter_id", F.posexplode(listed).alias("ordinal", "gap"))
 
 

@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import containment, content_tokens, jaccard, rule_words, token_distance
+from ..functions.text import WORD, containment, content_tokens, jaccard, token_distance
 
 SUPPORTED, CITED, APPLIED = 0.18, 0.15, 0.30
 METRICS = ("edit_distance", "recall_at_5", "faithfulness", "answer_relevancy", "citation_accuracy", "rule_application")
 
 
+def words(text: Column) -> Column:
+    """Lower-cased words of any script, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def edit_distance(produced: Column, gold: Column) -> Column:
-    """Token Levenshtein over the gold's tokens, at most 1."""
-    a, b = (F.filter(F.split(F.coalesce(x, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "") for x in (produced, gold))
-    return F.least(F.lit(1.0), token_distance(a, b) / F.greatest(F.size(b), F.lit(1)))
+    """Levenshtein distance between the words, over the number of the gold's, at most 1."""
+    return F.least(F.lit(1.0), token_distance(words(produced), words(gold)) / F.greatest(F.size(words(gold)), F.lit(1)))
+
+
+def section_text(sentences: Column, findings: Column, gaps: Column) -> Column:
+    """What is compared of a section: its sentences, findings and gaps (arrays of text), joined."""
+    return F.btrim(F.concat_ws(" ", *(F.nullif(F.array_join(x, " "), F.lit("")) for x in (sentences, findings, gaps))))
+
+
+def field_edit_distance(produced: DataFrame, gold: DataFrame) -> DataFrame:
+    """key, n_sections, distance: the mean over the sections (key, section, text) of which the gold has a text; 0 without any."""
+    joined = gold.select("key", "section", F.col("text").alias("_gold")).join(produced.select("key", "section", "text"), ["key", "section"], "left")
+    scored = joined.select("key", F.when(F.col("_gold") != "", edit_distance(F.col("text"), F.col("_gold"))).alias("d"))
+    return scored.groupBy("key").agg(F.count("d").alias("n_sections"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("distance"))
 
 
 def hit_pages(text: Column, page: Column) -> Column:
     """A hit's own page and every page whose heading its text has."""
-    return F.array_distinct(F.concat(F.array(page), F.transform(F.regexp_extract_all(text, F.lit("## Page ([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))))
+    return F.array_distinct(F.concat(F.array(page), F.transform(F.regexp_extract_all(text, F.lit(r"(?i)##\s*Page\s+(\d+)\b"), F.lit(1)), lambda x: x.cast("int"))))
 
 
 def recall_at_k(gold: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
@@ -54,10 +70,11 @@ def answer_relevancy(reference: Column, answer: Column) -> Column:
 
 
 def rule_application(rules: DataFrame, drafts: DataFrame) -> DataFrame:
-    """key, n_rules, rate: the share of rules (key, rule_id, text) of whose content tokens the draft (key, text) has at least 30 %."""
-    joined = rules.select("key", "rule_id", content_tokens(F.col("text")).alias("r")).join(drafts.select("key", F.array_distinct(rule_words(F.col("text"))).alias("d")), "key")
-    used = F.coalesce(containment(F.col("r"), F.col("d")), F.lit(0.0)) >= APPLIED
-    return joined.groupBy("key").agg(F.count("*").alias("n_rules"), F.round(F.avg(F.when(used, 1.0).otherwise(0.0)), 6).alias("rate"))
+    """key, n_rules, n_applicable, rate: of the rules (key, rule_id, text) that have content tokens the share of which the draft (key, text) has at least 30 % of them; 0 without any."""
+    of_draft = F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 4))
+    joined = rules.select("key", "rule_id", content_tokens(F.col("text")).alias("r")).join(drafts.select("key", of_draft.alias("d")), "key")
+    used = F.when(F.size("r") > 0, (containment(F.col("r"), F.col("d")) >= APPLIED).cast("double"))
+    return joined.groupBy("key").agg(F.count("*").alias("n_rules"), F.count(used).alias("n_applicable"), F.round(F.coalesce(F.avg(used), F.lit(0.0)), 6).alias("rate"))
 
 
 def aggregated(cases: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -74,6 +91,56 @@ def paired(means: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     return both.select("metric", "pre", "post", delta.alias("delta"), F.bround((F.col("pre") - F.col("post")) / base, 4).alias("pct_reduction"))
 
 
+def cases(ids: DataFrame, gold: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The evaluation set: of the ids those that have both a gold summary and a document."""
+    return ids.select(key).distinct().join(gold, key).join(documents, key)
+
+
+def spoken(drafted: DataFrame, overall: DataFrame) -> DataFrame:
+    """doc_id, claim_id, text, snippet: every sentence of drafts: sections() rows with their findings, and the overall sentence (doc_id, overall_text, citation)."""
+    own = drafted.select("doc_id", F.concat("section", F.lit("/0")).alias("claim_id"), "text", F.col("citation.snippet").alias("snippet"))
+    more = drafted.select("doc_id", "section", F.posexplode("findings").alias("i", "f")).select("doc_id", F.concat_ws("/", "section", (F.col("i") + 1).cast("string")).alias("claim_id"), "f.text", F.col("f.citation.snippet").alias("snippet"))
+    return own.unionByName(more).unionByName(overall.select("doc_id", F.lit("overall").alias("claim_id"), F.col("overall_text").alias("text"), F.col("citation.snippet").alias("snippet")))
+
+
+def compared(drafted: DataFrame) -> DataFrame:
+    """key, section, text: what is compared of each section."""
+    return drafted.select(F.col("doc_id").alias("key"), "section", section_text(F.array("text"), F.transform("findings", lambda f: f["text"]), F.col("gaps")).alias("text"))
+
+
+def measured(drafted: DataFrame, overall: DataFrame, gold: DataFrame, gold_pages: DataFrame, hits: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """doc_id and METRICS of each draft that has a gold one.
+
+    gold: key, section, text, in which a section `overall` may be. gold_pages: query_id, doc_id, page and hits: query_id, rank, doc_id, page, text, of the evaluation's own retrieval, by the draft's doc_id.
+    rules: rule_id, text, held to all drafts.
+    """
+    claims = spoken(drafted, overall)
+    produced = compared(drafted)
+    sections = gold.where("section <> 'overall'")
+    whole = lambda df: df.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), " ").alias("text"))
+    answer = whole(produced.unionByName(overall.select(F.col("doc_id").alias("key"), F.lit("overall").alias("section"), F.col("overall_text").alias("text"))))
+    ids = gold.select(F.col("key").alias("doc_id")).distinct()
+    by = lambda df, column, name, key="key": df.select(F.col(key).alias("doc_id"), F.col(column).alias(name))
+    keyed = claims.select(F.col("doc_id").alias("key"), "claim_id", "text")
+    supported = faithfulness(keyed, hits.select(F.col("query_id").alias("key"), F.col("rank").alias("hit_id"), "text"))
+    cited = citation_accuracy(claims.where("claim_id <> 'overall'").select(F.col("doc_id").alias("key"), "text", F.array_compact(F.array(F.nullif("snippet", F.lit("")))).alias("snippets")))
+    near = answer.join(whole(gold).select("key", F.col("text").alias("gold")), "key").select("key", answer_relevancy(F.col("gold"), F.col("text")).alias("near"))
+    parts = [by(field_edit_distance(produced, sections), "distance", "edit_distance"), by(recall_at_k(gold_pages, hits), "recall", "recall_at_5", "query_id"), by(supported, "faithfulness", "faithfulness"), by(near, "near", "answer_relevancy"), by(cited, "accuracy", "citation_accuracy")]
+    if rules is not None:
+        listed = rules.agg(F.collect_list(F.struct("rule_id", "text")).alias("all"))  # at most seven a section
+        held = ids.select(F.col("doc_id").alias("key")).join(F.broadcast(listed)).select("key", F.inline("all"))
+        parts.append(by(rule_application(held, answer), "rate", "rule_application"))
+    out = ids
+    for part in parts:
+        out = out.join(part, "doc_id", "left")
+    return out.select("doc_id", *(F.coalesce(F.col(m), F.lit(0.0)).alias(m) if m in out.columns else F.lit(0.0).alias(m) for m in METRICS))
+
+
+def report_lines(pairs: DataFrame) -> DataFrame:
+    """metric, line: the comparison's rows as lines of a Markdown table."""
+    return pairs.select("metric", F.format_string("| %s | %.3f | %.3f | %+.3f |", "metric", "pre", "post", "delta").alias("line"))
+
+
 def report(pairs: DataFrame) -> str:
     """The comparison as a Markdown table; one row a measure."""
     rows = pairs.orderBy("metric").collect()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_type, rule_words
+from ..functions.text import edit_type, filled, rule_words
 from . import index, retrieve
 
 WINDOW = 20
@@ -13,6 +13,17 @@ MOST_RULES = 7
 LONGEST_RULE = 240
 #: Words that wording rules don't count.
 WORDING_STOPWORDS = "the and for with from that this have has was were are any all into their there these those section policy document extracted extraction structured subject based confirmation".split()
+#: The rules' ids, the edit type that calls for them (or words added), texts, the edit types they guard against, and confidence.
+RULES = [
+    ("r1", "", "Prefer terminology added by operators: {words}.", ("wording", "style"), 0.6),
+    ("r2", "citation_fix", "Cite Book, Page, and Instrument Number for every recorded reference.", ("citation_fix", "fact_correction"), 0.85),
+    ("r3", "fact_correction", "Verify named parties, dates, and dollar amounts against the source chunk before asserting them.", ("fact_correction",), 0.8),
+    ("r4", "addition", "Surface gaps and missing facts as explicit bullet findings instead of omitting them.", ("addition",), 0.7),
+    ("r5", "risk_rating", "Escalate flags to yellow/red when liens or extraction gaps exist; never leave green by default.", ("risk_rating",), 0.75),
+]
+DEFAULT_RULE = ("r1", "", "Adopt the operator's phrasing for this section's standard wording.", ("wording",), 0.5)
+#: Fields whose items are sentences; the items of others are texts themselves.
+SENTENCES = ("summary", "bullet_findings")
 EVENT = ["matter_id", "section", "field_path", "before", "after"]
 
 
@@ -26,7 +37,7 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     a = before.join(matters, "matter_id", "left_semi").withColumnRenamed("text", "before")
     b = after.join(matters, "matter_id", "left_semi").withColumnRenamed("text", "after")
     joined = a.join(b, key, "full").where(~F.coalesce("before", F.lit("")).eqNullSafe(F.coalesce("after", F.lit(""))))
-    path = F.concat(F.col("field"), F.lit("["), F.col("ordinal").cast("string"), F.lit("]"))
+    path = F.concat(F.col("field"), F.lit("["), F.col("ordinal").cast("string"), F.lit("]"), F.when(F.col("field").isin(*SENTENCES), ".text").otherwise(""))
     events = joined.select("matter_id", "section", path.alias("field_path"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
     return events.withColumn("edit_type", F.when(F.col("field_path").startswith("flags"), "risk_rating").otherwise(edit_type(F.col("before"), F.col("after")))).withColumn("edit_id", event_id())
 
@@ -35,14 +46,17 @@ def event_id():
     return F.concat(F.lit("e_"), F.substring(F.md5(F.concat_ws("|", F.col("matter_id").cast("string"), *EVENT[1:])), 1, 12))
 
 
-def summary(event_prefix: str = ""):
-    """The text that an edit is found by."""
-    return F.concat_ws(" ", F.col(f"{event_prefix}section"), F.col(f"{event_prefix}edit_type"), F.lit("before:"), F.col(f"{event_prefix}before"), F.lit("after:"), F.col(f"{event_prefix}after"))
+def summary(events: DataFrame) -> Column:
+    """The text that an edit is found by, with the operator's note where the table has one."""
+    head = filled("[{section} / {kind}] BEFORE: {before}\nAFTER: {after}", section=F.col("section"), kind=F.col("edit_type"), before=F.col("before"), after=F.col("after"))
+    if "operator_note" not in events.columns:
+        return head
+    return F.concat(head, F.when(F.coalesce("operator_note", F.lit("")) != "", F.concat(F.lit(" | note: "), "operator_note")).otherwise(""))
 
 
 def search(events: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """query_id, edit_id, score, rank: the k edits of a query's section (query_id, section, text) closest by hashed vectors. The section is the index's key, so sections never meet."""
-    chunks = events.select(F.col("section").alias("corpus_key"), F.col("edit_id").alias("chunk_id"), summary().alias("text"))
+    chunks = events.select(F.col("section").alias("corpus_key"), F.col("edit_id").alias("chunk_id"), summary(events).alias("text"))
     asked = queries.select(F.col("section").alias("corpus_key"), F.col("query_id").alias("chunk_id"), "text")
     vectors = index.dense_vectors(asked).withColumnRenamed("chunk_id", "query_id")
     found = retrieve.top(index.dot(index.dense_vectors(chunks), vectors), k)
@@ -66,29 +80,19 @@ def top_added_tokens(events: DataFrame, k: int = 3) -> DataFrame:
 def distilled(events: DataFrame, previous: DataFrame) -> DataFrame:
     """section, version, rules: up to five rules from each section's last events, one version after the previous (section, version).
 
-    rules: array of (id, text, trigger, confidence). Without any other a default rule stands.
+    rules: array of (id, text, triggers, confidence). Without any other a default rule stands.
     """
     recent = last_events(events)
     words = top_added_tokens(recent).groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), ", ").alias("words"))
-    counts = recent.groupBy("section").agg(*(F.count_if(F.col("edit_type") == t).alias(t) for t in ("citation_fix", "fact_correction", "addition", "risk_rating")))
+    counts = recent.groupBy("section").agg(*(F.count_if(F.col("edit_type") == t).alias(t) for _, t, *_ in RULES if t))
     joined = counts.join(words, "section", "left").join(previous.groupBy("section").agg(F.max("version").alias("version")), "section", "left")
 
-    def rule(when, text, trigger: str, confidence: float):
-        return F.when(when, F.struct(F.substring(text, 1, LONGEST_RULE).alias("text"), F.lit(trigger).alias("trigger"), F.lit(confidence).alias("confidence")))
-
-    found = F.array_compact(
-        F.array(
-            rule(F.col("words").isNotNull(), F.concat(F.lit("Prefer terminology added by operators: "), F.col("words"), F.lit(".")), "wording", 0.6),
-            rule(F.col("citation_fix") > 0, F.lit("Cite Book, Page, and Instrument Number for every recorded reference."), "citation_fix", 0.85),
-            rule(F.col("fact_correction") > 0, F.lit("Verify named parties, dates, and dollar amounts against the source chunk before asserting them."), "fact_correction", 0.8),
-            rule(F.col("addition") > 0, F.lit("Surface gaps and missing facts as explicit bullet findings instead of omitting them."), "addition", 0.7),
-            rule(F.col("risk_rating") > 0, F.lit("Escalate flags to yellow/red when liens or extraction gaps exist; never leave green by default."), "risk_rating", 0.75),
-        )
-    )
-    default = F.array(F.struct(F.lit("Adopt the operator's phrasing for this section's standard wording.").alias("text"), F.lit("wording").alias("trigger"), F.lit(0.5).alias("confidence")))
-    chosen = F.slice(F.when(F.size(found) > 0, found).otherwise(default), 1, MOST_RULES)
-    numbered = F.transform(chosen, lambda r, i: F.struct(F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), r["text"].alias("text"), r["trigger"].alias("trigger"), r["confidence"].alias("confidence")))
-    return joined.select("section", (F.coalesce("version", F.lit(0)) + 1).alias("version"), numbered.alias("rules"))
+    def rule(id_: str, text: Column, triggers: tuple[str, ...], confidence: float) -> Column:
+        return F.struct(F.lit(id_).alias("id"), F.substring(text, 1, LONGEST_RULE).alias("text"), F.array(*map(F.lit, triggers)).alias("triggers"), F.lit(confidence).alias("confidence"))
+
+    found = F.array_compact(F.array(*(F.when(F.col(kind) > 0 if kind else F.col("words").isNotNull(), rule(id_, filled(text, words=F.col("words")), triggers, c)) for id_, kind, text, triggers, c in RULES)))
+    chosen = F.slice(F.when(F.size(found) > 0, found).otherwise(F.array(rule(DEFAULT_RULE[0], F.lit(DEFAULT_RULE[2]), *DEFAULT_RULE[3:]))), 1, MOST_RULES)
+    return joined.select("section", (F.coalesce("version", F.lit(0)) + 1).alias("version"), chosen.alias("rules"))
 
 
 def version_tag(rules: DataFrame) -> DataFrame:

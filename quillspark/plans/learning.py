@@ -10,6 +10,7 @@ from ..functions.text import CITATION_MARKS, GENERIC_WORDS, STOPWORDS, edit_type
 from ..operators import draft, evaluate, learn
 from ..sources import tables
 from ..sources.tables import table
+from .sql import said, when
 
 TYPES = ["citation_fix", "fact_correction", "addition", "risk_rating", "wording"]
 TURN = "(conv_id, turn, text) AS (SELECT conv_id, turn, min(text) FROM conversations GROUP BY conv_id, turn)"
@@ -64,7 +65,7 @@ def rule_versioning(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d)
     previous = log.groupBy("section").agg((F.count("*") % 4).alias("version"))
     out = learn.distilled(log, previous)
-    return out.select("section", "version", F.size("rules").alias("n_rules"), F.array_join(F.transform("rules", lambda r: F.concat(r["id"], F.lit(":"), r["trigger"])), ",").alias("triggers"))
+    return out.select("section", "version", F.size("rules").alias("n_rules"), F.array_join(F.transform("rules", lambda r: F.concat(r["id"], F.lit(":"), F.array_join(r["triggers"], "+"))), ",").alias("triggers"), F.array_join(F.transform("rules", lambda r: r["text"]), " ").alias("texts"))
 
 
 def rules_version_tag(spark: SparkSession, d: str) -> DataFrame:
@@ -98,9 +99,11 @@ def flat_keys_to_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def llm_hook_cache_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the prompts are answered before; the rest by a stand-in that tells a prompt's length."""
-    asked = table(spark, d, "documents").select("doc_id", tables.cache_key(F.col("text")).alias("key"), F.length("text").alias("n")).dropDuplicates(["key"])
-    cached = asked.where("doc_id % 2 = 0").select("key", F.lit("cached").alias("answer"))
+    """Prompts that repeat; every third is answered before, the rest by a stand-in that tells a prompt's number."""
+    n = F.col("doc_id") % 97
+    prompt = F.concat(F.lit("prompt "), n.cast("string"))
+    asked = table(spark, d, "documents").select(n.alias("n"), tables.cache_key(prompt).alias("key")).distinct()
+    cached = asked.where("n % 3 = 0").select("key", F.lit("cached").alias("answer"))
     return tables.with_cache(asked, cached, lambda misses: misses.select("key", F.concat(F.lit("answer of "), F.col("n").cast("string")).alias("answer")))
 
 
@@ -119,14 +122,15 @@ def groundable_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_evidence_argmax(spark: SparkSession, d: str) -> DataFrame:
-    sentences = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("item_id").alias("sentence_id"), "text")
+    text = F.when(F.col("item_id") % 4 == 0, "zzzz none of it").otherwise(F.col("text"))
+    sentences = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("item_id").alias("sentence_id"), text.alias("text"))
     return draft.best_evidence(sentences, _hits(spark, d)).select("key", "hit_id", "overlap")
 
 
 def citation_snippet_span(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.array_sort(draft.content_tokens(F.col("text"))).alias("tokens"))
     cut = _hits(spark, d).join(items, "key").select("key", "hit_id", draft.snippet(F.col("text"), F.col("tokens")).alias("s"))
-    return cut.select("key", "hit_id", "s.start", "s.end", F.sha2("s.snippet", 256).alias("snippet_sha256"))
+    return cut.where("s is not null").select("key", "hit_id", "s.start", "s.end", F.sha2("s.snippet", 256).alias("snippet_sha256"))
 
 
 def token_levenshtein_norm(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +165,7 @@ def answer_relevancy_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_application_rate(spark: SparkSession, d: str) -> DataFrame:
     t = _turns(spark, d)
-    rules = t.where("turn % 2 = 0").select(F.col("conv_id").alias("key"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("rule_id"), "text")
+    rules = t.where("turn % 2 = 0").select(F.col("conv_id").alias("key"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("rule_id"), F.when(F.col("turn") % 6 == 0, "the of").otherwise(F.col("text")).alias("text"))
     drafts = t.where("turn % 2 = 1").groupBy(F.col("conv_id").alias("key")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     return evaluate.rule_application(rules, drafts)
 
@@ -238,26 +242,26 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 def _content(x: str, stop: str = "") -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+'), lambda w: length(w) >= 4 AND NOT list_contains({stop or _STOP}, w)))"
+    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4 AND NOT list_contains({stop or _STOP}, w)))"
 
 
 _GENERIC = "[" + ", ".join(f"'{w}'" for w in GENERIC_WORDS) + "]"
 
 
 def _diffs(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), lambda w: length(w) >= 3))"
+    return f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3))"
 
 
 _MARKED = " OR ".join(f"contains(lower(coalesce(b, '')), '{m}') <> contains(lower(coalesce(a, '')), '{m}')" for m in CITATION_MARKS)
 _SIMILAR = "len({0}) > 0 AND len({1}) > 0 AND len(list_intersect({0}, {1})) / least(len({0}), len({1})) >= 0.5".format(_diffs("b"), _diffs("a"))
-_EDIT = f"CASE WHEN trim(coalesce(b, '')) = '' AND trim(coalesce(a, '')) <> '' THEN 'addition' WHEN trim(coalesce(a, '')) = '' AND trim(coalesce(b, '')) <> '' THEN 'deletion' WHEN {_MARKED} THEN 'citation_fix' WHEN {_SIMILAR} THEN 'wording' ELSE 'fact_correction' END"
+_EDIT = f"CASE WHEN coalesce(b, '') = '' AND coalesce(a, '') <> '' THEN 'addition' WHEN coalesce(a, '') = '' AND coalesce(b, '') <> '' THEN 'deletion' WHEN {_MARKED} THEN 'citation_fix' WHEN {_SIMILAR} THEN 'wording' ELSE 'fact_correction' END"
 _DIFF = f"""
 tt{TURN},
 v AS (SELECT conv_id AS matter_id, 's' || (conv_id % 8 + 1) AS section, turn // 2 AS ordinal, turn % 2 AS side, text FROM tt),
 both_sides AS (SELECT matter_id FROM v GROUP BY matter_id HAVING count(DISTINCT side) = 2),
 joined AS (SELECT coalesce(x.matter_id, y.matter_id) AS matter_id, coalesce(x.section, y.section) AS section, coalesce(x.ordinal, y.ordinal) AS ordinal, coalesce(x.text, '') AS b, coalesce(y.text, '') AS a
   FROM (SELECT * FROM v WHERE side = 0) x FULL JOIN (SELECT * FROM v WHERE side = 1) y ON x.matter_id = y.matter_id AND x.ordinal = y.ordinal),
-ev AS (SELECT matter_id, section, 'summary[' || ordinal || ']' AS field_path, b, a, {_EDIT} AS edit_type FROM joined SEMI JOIN both_sides USING (matter_id) WHERE b <> a),
+ev AS (SELECT matter_id, section, 'summary[' || ordinal || '].text' AS field_path, b, a, {_EDIT} AS edit_type FROM joined SEMI JOIN both_sides USING (matter_id) WHERE b <> a),
 events_of AS (SELECT *, 'e_' || substr(md5(concat_ws('|', matter_id::VARCHAR, section, field_path, b, a)), 1, 12) AS edit_id FROM ev)
 """
 _LOG = """
@@ -267,11 +271,14 @@ recent AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY section ORD
 words AS (SELECT section, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(after, '[A-Za-z][A-Za-z0-9_-]+'), lambda w: lower(w)), lambda w: length(w) >= 4 AND NOT list_contains(['plain', 'text', 'with'], w)))) AS token FROM recent),
 top3 AS (SELECT section, token, count(*) AS n, row_number() OVER (PARTITION BY section ORDER BY count(*) DESC, token)::INT AS rank FROM words GROUP BY section, token QUALIFY rank <= 3)
 """
-_RULES = """
+_RULE_CASES = ", ".join(
+    "CASE WHEN " + (f"{kind[0]} = 1" if kind else "words IS NOT NULL") + " THEN {'id': '" + id_ + "', 'triggers': '" + "+".join(triggers) + "', 'text': '" + text.replace("'", "''").replace("{words}", "' || words || '") + "'} END" for id_, kind, text, triggers, _ in learn.RULES
+)
+_RULES = f"""
 cnt AS (SELECT section, max((edit_type = 'citation_fix')::INT) AS c, max((edit_type = 'fact_correction')::INT) AS f, max((edit_type = 'addition')::INT) AS a, max((edit_type = 'risk_rating')::INT) AS r FROM recent GROUP BY section),
 ver AS (SELECT section, count(*) % 4 + 1 AS version FROM log GROUP BY section),
-lists AS (SELECT section, version, list_filter([CASE WHEN section IN (SELECT section FROM top3) THEN 'wording' END, CASE WHEN c = 1 THEN 'citation_fix' END, CASE WHEN f = 1 THEN 'fact_correction' END, CASE WHEN a = 1 THEN 'addition' END, CASE WHEN r = 1 THEN 'risk_rating' END], lambda x: x IS NOT NULL) AS t
-  FROM cnt JOIN ver USING (section))
+named AS (SELECT section, string_agg(token, ', ' ORDER BY rank) AS words FROM top3 GROUP BY section),
+lists AS (SELECT section, version, list_filter([{_RULE_CASES}], lambda x: x IS NOT NULL) AS t FROM cnt JOIN ver USING (section) LEFT JOIN named USING (section))
 """
 _HITS = "n AS (SELECT count(*) AS n FROM benchmark), hits AS (SELECT doc_id % n AS key, doc_id AS hit_id, (doc_id // n)::INT AS rank, text FROM documents, n WHERE doc_id % n IN (SELECT item_id FROM benchmark))"
 _NEXT = f"tt{TURN}, nx AS (SELECT x.conv_id, x.turn, x.text, y.text AS after FROM tt x JOIN tt y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
@@ -289,16 +296,19 @@ def _vector(source: str, name: str) -> str:
 
 def _sections_sql() -> str:
     r = rules
-    q = lambda x: "'" + x.replace("'", "''") + "'"
+
+    estate, insured, effective = when("k % 4 = 0", said(r.S1_ESTATE, estate="'fee simple'")), when("k % 3 = 0", said(r.S1_INSURED, insured="c_name")), when("k % 6 = 0", said(r.S1_EFFECTIVE, effective="'1996-01-05'"))
+    easements, restrictions = said(r.S5_EASEMENTS, n="'3'", kinds="'access, utility'"), said(r.S5_RESTRICTIONS, n="'1'", kinds="'deed restriction'")
+    matters = f"concat_ws(' and ', {when('k % 3 > 0', said(r.S8_TAXES, n='k % 3'), 'NULL')}, {when('k % 7 = 0', said(r.S8_SURVEYS, n='1', kinds=chr(39) + 'encroachment' + chr(39)), 'NULL')})"
     rows = {
-        "s1_vesting_and_estate": f"{q(r.OWNERS[0])} || CASE WHEN k % 2 = 0 THEN c_name ELSE {q(r.OWNERS[1])} END || CASE WHEN k % 4 = 0 THEN {q(r.OWNERS[2] + 'fee simple')} ELSE '' END || CASE WHEN k % 3 = 0 THEN {q(r.OWNERS[3])} || c_name ELSE '' END || CASE WHEN k % 6 = 0 THEN {q(r.OWNERS[4] + '1996-01-05')} ELSE '' END || {q(r.OWNERS[5])}",
-        "s2_legal_description": f"CASE WHEN k % 3 = 1 THEN {q(r.LEGAL[0] + 'platted' + r.LEGAL[1] + 'Lot ')} || k || {q(' of the plat' + r.LEGAL[2])} || CASE WHEN k % 2 = 1 THEN {q(r.LEGAL[3] + 'P-')} || k ELSE '' END || {q(r.LEGAL[4])} ELSE {q(r.NO_LEGAL)} END",
-        "s3_chain_of_title": f"CASE WHEN k % 5 = 0 THEN {q(r.CHAIN[0] + '4' + r.CHAIN[1] + 'deed ')} || k || '; deed ' || (k + 1) || '; deed ' || (k + 2) || {q(r.CHAIN[2])} ELSE {q(r.NO_CHAIN)} END",
-        "s4_open_encumbrances_and_liens": f"CASE WHEN k % 3 = 0 THEN {q(r.OPEN_LIENS[0] + '1' + r.OPEN_LIENS[1] + 'mortgage in favor of bank ')} || (k % 10) || {q(r.OPEN_LIENS[2])} ELSE {q(r.NO_LIENS)} END",
-        "s5_easements_and_restrictions": f"CASE WHEN k % 8 = 1 THEN {q(r.BURDENS[0] + '3' + r.BURDENS[1] + 'access, utility' + r.BURDENS[2] + '1' + r.BURDENS[3] + 'deed restriction' + r.BURDENS[4])} WHEN k % 4 = 1 THEN {q(r.BURDENS[0] + '3' + r.BURDENS[1] + 'access, utility' + r.BURDENS[4])} ELSE {q(r.NO_BURDENS)} END",
-        "s6_requirements_schedule_b_i": f"CASE WHEN k % 4 = 2 THEN {q(r.B_ONE[0] + '2' + r.B_ONE[1] + 'payment, survey' + r.B_ONE[2])} ELSE {q(r.NO_B_ONE)} END",
-        "s7_exceptions_schedule_b_ii": f"CASE WHEN k % 2 = 1 THEN {q(r.B_TWO[0] + '2' + r.B_TWO[1] + '1' + r.B_TWO[2] + '1' + r.B_TWO[3])} ELSE {q(r.NO_B_TWO)} END",
-        "s8_taxes_and_survey_matters": f"CASE WHEN k % 3 > 0 OR k % 7 = 0 THEN {q(r.TAXES[0])} || concat_ws({q(r.TAXES[2])}, CASE WHEN k % 3 > 0 THEN (k % 3) || {q(r.TAXES[1])} END, CASE WHEN k % 7 = 0 THEN {q('1' + r.TAXES[3] + 'encroachment' + r.TAXES[4])} END) || {q(r.TAXES[5])} ELSE {q(r.NO_TAXES)} END",
+        "s1_vesting_and_estate": said(r.S1, owners=when("k % 2 = 0", "c_name", said(r.S1_NO_OWNER)), estate=estate, insured=insured, effective=effective),
+        "s2_legal_description": when("k % 3 = 1", said(r.S2, kind="'platted'", text="'Lot ' || k || ' of the plat'", parcel=when("k % 2 = 1", said(r.S2_PARCEL, parcel="'P-' || k"))), said(r.S2_NONE)),
+        "s3_chain_of_title": when("k % 5 = 0", said(r.S3, n="'4'", links="'deed ' || k || '; deed ' || (k + 1) || '; deed ' || (k + 2)"), said(r.S3_NONE)),
+        "s4_open_encumbrances_and_liens": when("k % 3 = 0", said(r.S4, n="'1'", liens="'mortgage in favor of bank ' || (k % 10)"), said(r.S4_NONE)),
+        "s5_easements_and_restrictions": when("k % 8 = 1", said(r.S5, burdens=f"{easements} || ' and ' || {restrictions}"), when("k % 4 = 1", said(r.S5, burdens=easements), said(r.S5_NONE))),
+        "s6_requirements_schedule_b_i": when("k % 4 = 2", said(r.S6, n="'2'", kinds="'payment, survey'"), said(r.S6_NONE)),
+        "s7_exceptions_schedule_b_ii": when("k % 2 = 1", said(r.S7, n="'2'", standard="'1'", specific="'1'"), said(r.S7_NONE)),
+        "s8_taxes_and_survey_matters": when("k % 3 > 0 OR k % 7 = 0", said(r.S8, matters=matters), said(r.S8_NONE)),
     }
     return "WITH f AS (SELECT o_orderkey AS k, c_name FROM orders JOIN customer ON o_custkey = c_custkey) " + " UNION ALL ".join(f"SELECT k AS matter_id, '{name}' AS section, {text} AS text FROM f" for name, text in rows.items())
 
@@ -311,22 +321,28 @@ SQL = {
 s AS (SELECT dq.id AS query_id, dv.id AS edit_id, round(sum(dv.w * dq.w), 6) AS score FROM dv JOIN dq USING (section, bucket) GROUP BY ALL)
 SELECT query_id, edit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, edit_id)::INT AS rank FROM s QUALIFY rank <= 3""",
     "distill_last20_top_tokens": f"WITH {_LOG} SELECT section, token, n, rank FROM top3",
-    "rule_versioning": f"WITH {_LOG}, {_RULES} SELECT section, version, len(t)::INT AS n_rules, array_to_string(list_transform(t, lambda x, i: 'r' || i || ':' || x), ',') AS triggers FROM lists",
+    "rule_versioning": f"WITH {_LOG}, {_RULES} SELECT section, version, len(t)::INT AS n_rules, array_to_string(list_transform(t, lambda x: x.id || ':' || x.triggers), ',') AS triggers, array_to_string(list_transform(t, lambda x: x.text), ' ') AS texts FROM lists",
     "rules_version_tag": f"WITH {_LOG}, {_RULES} SELECT 'rules-v' || max(version) AS tag FROM lists",
     "upsert_latest_by_key": f"WITH {_LOG} SELECT matter_id, section, edit_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY matter_id, section ORDER BY seq DESC) = 1",
     "filtered_log": f"WITH {_LOG} SELECT edit_id, matter_id, edit_type, seq FROM log WHERE section = 'click'",
     "json_props_coercion": "SELECT event_id, TRY_CAST(props->>'$.k' AS INT) AS k, coalesce(props->>'$.k', '') AS as_list FROM events",
     "flat_keys_to_map": "SELECT event_id, 's' || (event_id % 8 + 1) || '_' || event_type AS section, trunc(value)::INT::VARCHAR AS value FROM events",
+    "llm_hook_cache_antijoin": """SELECT DISTINCT sha256('{"prompt":"prompt ' || n || '","temperature":0.0,"json":false,"space":"default"}') AS key, CASE WHEN n % 3 = 0 THEN 'cached' ELSE 'answer of ' || n END AS answer, n % 3 = 0 AS cached FROM (SELECT doc_id % 97 AS n FROM documents)""",
     "groundable_filter": f"""WITH {_HITS}, ht AS (SELECT DISTINCT key, unnest({_content("text", _GENERIC)}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text", _GENERIC)}) AS token FROM benchmark),
 sh AS (SELECT key, count(ht.token) / count(*) AS share FROM e LEFT JOIN ht USING (key, token) GROUP BY key)
 SELECT item_id AS key, 'e' || item_id AS edit_id, round(share, 6) AS share FROM benchmark LEFT JOIN sh ON key = item_id WHERE share IS NULL OR share >= 0.25 OR item_id NOT IN (SELECT key FROM hits)""",
-    "best_evidence_argmax": f"""WITH {_HITS}, ht AS (SELECT key, hit_id, rank, unnest({_content("text", _GENERIC)}) AS token FROM hits), e AS (SELECT item_id AS key, unnest({_content("text", _GENERIC)}) AS token FROM benchmark)
-SELECT key, hit_id, count(*) AS overlap FROM e JOIN ht USING (key, token) GROUP BY key, hit_id, rank QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, rank, hit_id) = 1""",
+    "best_evidence_argmax": f"""WITH {_HITS}, ht AS (SELECT key, hit_id, rank, {_content("text", _GENERIC)} AS ht FROM hits), e AS (SELECT item_id AS key, {_content("CASE WHEN item_id % 4 = 0 THEN 'zzzz none of it' ELSE text END", _GENERIC)} AS et FROM benchmark)
+SELECT key, hit_id, len(list_intersect(et, ht)) AS overlap FROM e JOIN ht USING (key) QUALIFY row_number() OVER (PARTITION BY key ORDER BY len(list_intersect(et, ht)) DESC, rank, hit_id) = 1""",
     "citation_snippet_span": f"""WITH {_HITS}, b AS (SELECT item_id AS key, {_content("text", _GENERIC)} AS tokens FROM benchmark),
 c AS (SELECT key, hit_id, text, list_filter(list_transform(tokens, lambda t: instr(lower(text), t) - 1), lambda p: p >= 0) AS ps FROM hits JOIN b USING (key)),
-m AS (SELECT *, CASE WHEN len(ps) > 0 THEN floor(list_sum(ps) / len(ps)) ELSE 0 END::INT AS mid FROM c)
+m AS (SELECT *, floor(list_sum(ps) / len(ps))::INT AS mid FROM c WHERE len(ps) > 0)
 SELECT key, hit_id, greatest(0, mid - 220)::INT AS start, least(length(text), mid + 220)::INT AS "end", sha256(substr(text, greatest(0, mid - 220) + 1, least(length(text), mid + 220) - greatest(0, mid - 220))) AS snippet_sha256 FROM m""",
-    "recall_at_5": f"""WITH {_HITS}, h AS (SELECT DISTINCT key AS query_id, hit_id AS doc_id, unnest(list_distinct(list_prepend((hit_id % 3)::INT, list_transform(regexp_extract_all(text, '## Page ([0-9]+)', 1), lambda x: x::INT)))) AS page FROM hits WHERE rank + 1 <= 5),
+    "token_levenshtein_norm": rf"""WITH RECURSIVE tt{TURN}, w AS (SELECT x.conv_id, x.turn, regexp_extract_all(lower(x.text), '[\p{{L}}\p{{N}}_]+') AS a, regexp_extract_all(lower(y.text), '[\p{{L}}\p{{N}}_]+') AS b FROM tt x JOIN tt y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1),
+r AS (SELECT conv_id, turn, 0::BIGINT AS i, unnest(range(0, len(b) + 1)) AS j, j AS v FROM w
+  UNION ALL SELECT conv_id, turn, i + 1, j, (j + min(c - j) OVER (PARTITION BY conv_id, turn ORDER BY j))::BIGINT
+  FROM (SELECT r.conv_id, r.turn, i, j, CASE WHEN j = 0 THEN i + 1 ELSE least(v + 1, lag(v) OVER (PARTITION BY r.conv_id, r.turn ORDER BY j) + (a[i + 1] <> b[j])::INT) END AS c FROM r JOIN w USING (conv_id, turn) WHERE i < len(a)))
+SELECT conv_id, turn, round(least(1.0, v / greatest(len(b), 1)), 6) AS distance FROM r JOIN w USING (conv_id, turn) WHERE i = len(a) AND j = len(b)""",
+    "recall_at_5": f"""WITH {_HITS}, h AS (SELECT DISTINCT key AS query_id, hit_id AS doc_id, unnest(list_distinct(list_prepend((hit_id % 3)::INT, list_transform(regexp_extract_all(text, '(?i)##\\s*Page\\s+(\\d+)\\b', 1), lambda x: x::INT)))) AS page FROM hits WHERE rank + 1 <= 5),
 g AS (SELECT DISTINCT item_id AS query_id, item_id * i AS doc_id, (item_id * i % 3)::INT AS page FROM benchmark, (VALUES (1), (2)) AS t(i) WHERE item_id % 7 <> 0)
 SELECT item_id AS query_id, coalesce(round(avg(CASE WHEN g.doc_id IS NULL THEN NULL WHEN h.doc_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6), 1.0) AS recall
 FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN h ON h.query_id = g.query_id AND h.doc_id = g.doc_id AND h.page = g.page GROUP BY item_id""",
@@ -334,9 +350,9 @@ FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN h ON h.query_id = g
 ht AS (SELECT key, hit_id, unnest({_content("text")}) AS token FROM hits), best AS (SELECT key, claim_id, max(s) AS s FROM (SELECT key, claim_id, hit_id, count(*) / max(k) AS s FROM w JOIN ht USING (key, token) GROUP BY ALL) GROUP BY ALL)
 SELECT key, count(*) AS n_claims, round(avg(CASE WHEN coalesce(s, 0.0) >= 0.18 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS faithfulness FROM c LEFT JOIN best USING (key, claim_id) GROUP BY key""",
     "answer_relevancy_lexical": f"WITH {_NEXT} SELECT conv_id, turn, round(CASE WHEN len({_content('text')}) > 0 THEN len(list_intersect({_content('text')}, {_content('after')})) / len({_content('text')}) ELSE 0.0 END, 6) AS relevancy FROM nx",
-    "rule_application_rate": f"""WITH tt{TURN}, r AS (SELECT conv_id AS key, turn, {_content("text")} AS t FROM tt WHERE turn % 2 = 0), dr AS (SELECT conv_id AS key, string_agg(text, ' ' ORDER BY text) AS text FROM tt WHERE turn % 2 = 1 GROUP BY conv_id),
-w AS (SELECT key, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]+'), lambda x: lower(x)) AS d FROM dr)
-SELECT key, count(*) AS n_rules, round(avg(CASE WHEN len(t) > 0 AND len(list_intersect(t, d)) / len(t) >= 0.30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM r JOIN w USING (key) GROUP BY key""",
+    "rule_application_rate": f"""WITH tt{TURN}, r AS (SELECT conv_id AS key, turn, {_content("CASE WHEN turn % 6 = 0 THEN 'the of' ELSE text END")} AS t FROM tt WHERE turn % 2 = 0), dr AS (SELECT conv_id AS key, string_agg(text, ' ' ORDER BY text) AS text FROM tt WHERE turn % 2 = 1 GROUP BY conv_id),
+w AS (SELECT key, {_content("text", "['']")} AS d FROM dr)
+SELECT key, count(*) AS n_rules, count(*) FILTER (len(t) > 0) AS n_applicable, round(coalesce(avg(CASE WHEN len(list_intersect(t, d)) / len(t) >= 0.30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (len(t) > 0), 0.0), 6) AS rate FROM r JOIN w USING (key) GROUP BY key""",
     "paired_eval_delta": "WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pre' ELSE 'post' END AS condition, m.metric, round_even(avg((doc_id * m.f % 11) / 10.0::DOUBLE), 4) AS v FROM labels, (VALUES "
     + ", ".join(f"('{m}', {i + 3})" for i, m in enumerate(evaluate.METRICS))
     + ") AS m(metric, f) GROUP BY ALL), p AS (SELECT metric, max(v) FILTER (condition = 'pre') AS pre, max(v) FILTER (condition = 'post') AS post FROM c GROUP BY metric) SELECT metric, pre, post, round_even(post - pre, 4) AS delta, round_even((pre - post) / CASE WHEN pre = 0 THEN 1e-9 ELSE pre END, 4) AS pct_reduction FROM p",

@@ -38,8 +38,7 @@ def chunks_per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_quality_confidence(spark: SparkSession, d: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    c = F.round(page_confidence(ascii_) + quality.TIE, 6)
+    c = F.round(page_confidence(F.col("text")) + quality.TIE, 6)
     return _docs(spark, d).select("doc_id", c.alias("confidence"), page_class(c).alias("classification"))
 
 
@@ -70,7 +69,7 @@ def doc_type_inference(spark: SparkSession, d: str) -> DataFrame:
 
 def last_page_marker_before_offset(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Page 1 "), F.substring("text", 1, 40), F.lit(" Page 2 "), F.substring("text", 41, 40), F.lit(" Page 3 "), F.col("text"))
-    at = (F.col("doc_id") * 7 % 150).cast("int")
+    at = (F.col("doc_id") * 7919 % (F.length(text) + 1)).cast("int")
     return _docs(spark, d).select("doc_id", at.alias("upto"), chunk.last_page_before(text, at).alias("page"))
 
 
@@ -99,11 +98,12 @@ _SPANS = r"""
 p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+'), 1) - 1 AS tok FROM documents),
 s AS (SELECT doc_id, tok, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY tok) AS stop, stop - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) AS start FROM p)
 """
-_CONF = r"""CASE WHEN length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) = 0 THEN 0.0 ELSE greatest(0.1, least(0.98, 0.45 + 0.35 * length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) / length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) + 0.2 * least(length(t) / 800.0::DOUBLE, 1.0))) END"""
+_TRIMMED = r"regexp_replace({}, '^[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+|[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]+$', '', 'g')"
+_CONF = r"""CASE WHEN t = '' THEN 0.0 ELSE greatest(0.1, least(0.98, 0.45 + 0.35 * length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / greatest(length(regexp_replace(t, '[\p{C}\p{Z}]', '', 'g')), 1) + 0.2 * least(length(t) / 800.0::DOUBLE, 1.0))) END"""
 _CLASS = "CASE WHEN {0} < 0.45 THEN 'mixed_low_quality' WHEN {0} < 0.8 THEN 'scanned_typed' ELSE 'clean_text' END"
 _P = "SELECT conv_id AS doc_id, turn + 1 AS page, text FROM conversations"
 _SPARSE = "length(trim(text)) < 60"
-_SCORED = f"SELECT *, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, page, text, round({_CONF.replace('(t)', '(text)').replace('(t,', '(text,')} + 1e-12, 6) AS c FROM ({_P}))"
+_SCORED = f"SELECT *, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, page, text, round({_CONF} + 1e-12, 6) AS c FROM (SELECT *, {_TRIMMED.format('text')} AS t FROM ({_P})))"
 
 QUERIES = {
     f.__name__: f
@@ -118,7 +118,7 @@ SELECT c.doc_id, idx, start, "end", c.doc_id || ':chunk:' || lpad(idx::VARCHAR,
 FROM (SELECT doc_id, lang, replace(regexp_extract(t, '(?i)\b(Schedule\s+[A-Z](?:[-\s]+Section\s+[IVX]+)?)\b', 1), chr(10), ' ') AS s, regexp_extract(t, '(?i)\b(Page\s+[0-9]+)\b', 1) AS p
   FROM (SELECT doc_id, lang, text || ' See Page ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN ' of Schedule B.' ELSE '.' END AS t FROM documents))""",
     "chunks_per_doc_cap": f'SELECT doc_id, count(*) AS n_chunks, max("end") AS last_token FROM ({_windows(20, 15, 400)}) GROUP BY doc_id',
-    "page_quality_confidence": f"SELECT doc_id, c AS confidence, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, round({_CONF} + 1e-12, 6) AS c FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents))",
+    "page_quality_confidence": f"SELECT doc_id, c AS confidence, {_CLASS.format('c')} AS classification FROM (SELECT doc_id, round({_CONF} + 1e-12, 6) AS c FROM (SELECT doc_id, {_TRIMMED.format('text')} AS t FROM documents))",
     "page_classification_counts": f"SELECT classification, count(*) AS n, sum(({_SPARSE})::INT)::BIGINT AS n_sparse FROM ({_SCORED}) GROUP BY classification",
     "sparse_page_rescue_gate": f"SELECT *, n_sparse > 0 AND (n_sparse / n_pages >= 0.30 OR n_pages <= 3) AS rescue FROM (SELECT doc_id, count(*) AS n_pages, sum(({_SPARSE})::INT)::BIGINT AS n_sparse FROM ({_P}) WHERE page <= 500 GROUP BY doc_id)",
     "rescued_pages": f"SELECT doc_id, page, page % 2 = 0 AND length(text || ' ' || text) > length(text) AS rescued, length(CASE WHEN page % 2 = 0 THEN text || ' ' || text ELSE text END)::INT AS n_chars FROM ({_P})",
@@ -126,7 +126,7 @@ FROM (SELECT doc_id, lang, replace(regexp_extract(t, '(?i)\b(Schedule\s+[A-Z](?:
   CASE WHEN h THEN 'handwritten' ELSE classification END AS classification, CASE WHEN h AND page % 2 = 0 THEN 1 ELSE 0 END AS n_warnings FROM (SELECT *, doc_id % 5 = 0 OR (contains(lower(text), 'probate court') AND contains(lower(text), 'made this') AND length(text) < 2500) AS h FROM ({_SCORED}))""",
     "doc_type_inference": f"SELECT page_id, {first_match_sql('h', DOCUMENT_TYPES, 'other')} AS doc_type FROM (SELECT page_id, url || chr(10) || substr(html, 1, 3000) AS h FROM pages)",
     "last_page_marker_before_offset": r"""SELECT doc_id, upto, coalesce(list_last(regexp_extract_all(substr(t, 1, upto), '\b[Pp]age ([0-9]+)', 1))::INT, 1) AS page
-FROM (SELECT doc_id, (doc_id * 7 % 150)::INT AS upto, 'Page 1 ' || substr(text, 1, 40) || ' Page 2 ' || substr(text, 41, 40) || ' Page 3 ' || text AS t FROM documents)""",
+FROM (SELECT *, (doc_id * 7919 % (length(t) + 1))::INT AS upto FROM (SELECT doc_id, 'Page 1 ' || substr(text, 1, 40) || ' Page 2 ' || substr(text, 41, 40) || ' Page 3 ' || text AS t FROM documents))""",
     "content_length": "SELECT doc_id, length(trim(replace(replace(replace(replace('<!-- image -->' || text || '[illegible]', '<!-- image -->', ''), '[illegible]', ''), '[blank page]', ''), '---', '')))::INT AS n_chars FROM documents",
     "document_assembly": "SELECT conv_id AS doc_id, count(*) AS n_pages, sha256(string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn, text)) AS markdown_sha256 FROM conversations GROUP BY conv_id",
 }

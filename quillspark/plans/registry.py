@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import extraction, learning, pages, search
+from . import extraction, learning, pages, review, search
 
-_PLANS = (search, pages, extraction, learning)
+_PLANS = (search, pages, extraction, learning, review)
 QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}

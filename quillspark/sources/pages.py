@@ -71,6 +71,18 @@ def write_vectors(vectors: DataFrame, make: Callable[[], Callable[[list[dict]],
     vectors.foreachPartition(send)
 
 
+def read_vectors(queries: DataFrame, make: Callable[[], Callable[[list[float], int], list[tuple[str, float]]]], k: int = 30) -> DataFrame:
+    """query_id, chunk_id, score, rank: what a vector store finds for queries (query_id, v). The client is built once a partition."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for frame in frames:
+            rows = [(q, c, float(s), i) for q, v in zip(frame["query_id"], frame["v"], strict=True) for i, (c, s) in enumerate(client(list(v), k), 1)]
+            yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "score", "rank"])
+
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), "v").mapInPandas(ask, "query_id long, chunk_id string, score double, rank int")
+
+
 def simulated_edits(sentences: DataFrame) -> DataFrame:
     """Edits made by rule out of sentences (matter_id, section, ordinal, text): a citation added, a word changed, or the sentence dropped, by the ordinal."""
     kind = F.col("ordinal") % 3

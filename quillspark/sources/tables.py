@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
@@ -40,6 +43,56 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
         return spark.createDataFrame([], schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); on one machine a temporary one where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what several steps read is made once, and a lost executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_named(df: DataFrame, path: str, kind: str, key: str = "doc_id") -> None:
+    """One JSON document a row under <key>.<kind>.json: a folder of that name, as Spark writes them."""
+    name = F.concat(F.col(key), F.lit(f".{kind}.json"))
+    df.withColumn("name", name).repartition("name").write.mode("overwrite").partitionBy("name").json(path)
+
+
+def read_named(spark: SparkSession, path: str, kind: str, schema: StructType) -> DataFrame:
+    """The documents of a kind with their names, in the order of these."""
+    named = StructType([*schema, StructField("name", StringType())])
+    return spark.read.schema(named).json(path).where(F.col("name").endswith(f".{kind}.json")).orderBy("name")
+
+
+@dataclass(frozen=True)
+class RuleStore:
+    """Rule sets (section, version, rules) in a folder: each save adds a version of the sections it holds, and the highest of each counts."""
+
+    spark: SparkSession
+    path: str
+    schema: str = "section string, version int, rules array<struct<id:string,text:string,triggers:array<string>,confidence:double>>"
+
+    def load(self) -> DataFrame:
+        every = read_or_empty(self.spark, self.path, StructType.fromDDL(self.schema))
+        newest = Window.partitionBy("section").orderBy(F.desc("version"))
+        return every.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+
+    def save(self, rules: DataFrame) -> None:
+        rules.write.mode("append").json(self.path)
+
+    def clear(self) -> None:
+        self.spark.createDataFrame([], self.schema).write.mode("overwrite").json(self.path)
+
+
 def cache_key(prompt: Column, temperature: float = 0.0, as_json: bool = False, space: str = "default") -> Column:
     """A digest of everything that decides a model's answer."""
     return F.sha2(F.to_json(F.struct(prompt.alias("prompt"), F.lit(temperature).alias("temperature"), F.lit(as_json).alias("json"), F.lit(space).alias("space"))), 256)
