@@ -130,7 +130,7 @@ def pack(docs: DataFrame, length: int = 1024, group_rows: int = 8192, path: str
     """PIECES, sequence_id, offset: where each piece of each document lies.
 
     docs needs doc_id and text. A null or empty text is the one id 0. Repeated rows are packed each by itself; a
-    null doc_id stays null. Groups are drawn by a hash of the row's place in the input, not of doc_id, so no key can fill one; each
+    null doc_id stays null; other columns aren't read. Pieces of equal length go in the order of the input. Groups are drawn by a hash of the row's place in the input, not of doc_id, so no key can fill one; each
     has about `group_rows` pieces. Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -151,4 +151,5 @@ def pack(docs: DataFrame, length: int = 1024, group_rows: int = 8192, path: str
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack of all documents into sequences of 1024."""
     return pack(table(spark, sf_dir, "documents"))

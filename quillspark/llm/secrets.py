@@ -162,7 +162,7 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: list[float], by: str = "[SECRET]") -> DataFrame:
     """docs whose texts have `by` for each secret; spans that overlap go as one. Null texts stay null; all other columns stay, whatever their names. Repeated rows come out alike. Empty table: no rows."""
-    names, at = docs.columns, free(docs.columns, "secrets_")
+    at = free(docs.columns, "secrets_")
     found = find(docs, model, name=at)
 
     def cut(blocks: Column, length: Column) -> Column:
@@ -181,7 +181,7 @@ def redact(docs: DataFrame, model: list[float], by: str = "[SECRET]") -> DataFra
         return _let(F.concat(F.col(at), rest), lambda spans: F.array_join(_scan(spans, F.lit(0), step, "array<string>"), ""))
 
     whole = _let(F.struct(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)).alias("b"), F.length("text").alias("n")), lambda x: cut(x["b"], x["n"]))
-    return found.withColumn("text", F.when(F.size(at) > 0, whole).otherwise(F.col("text"))).select(names)
+    return found.withColumn("text", F.when(F.size(at) > 0, whole).otherwise(F.col("text"))).drop(at)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,8 @@ def _sides(rows: DataFrame, end: str, *keep: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
-    """doc_id, text_hash, component_id: the smallest doc_id reachable over links between documents whose shingles are similar, itself included; text_hash (xxhash64 of the text) tells rows of one doc_id apart.
+    """doc_id, text_hash, component_id, component: the smallest doc_id reachable over links between documents whose shingles are similar, itself included; text_hash (xxhash64 of the text) tells rows
+    of one doc_id apart, component (a number of this run) components that share a doc_id.
 
     docs needs doc_id and text; other columns aren't read. Null and empty texts are copies of one another. A null doc_id has the component of its text, which is null if no other has one.
     Repeated rows are all returned. Empty table: no rows. Shingles are compared by 64-bit hashes, sets taken for equal by 128 bits.
@@ -153,4 +154,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bit
         found = cut(components(edges), "found")
     grouped = cut(distinct.select("node", "h0", "h1", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    return made.select("doc_id", "text_hash", "h0", "h1").join(grouped.join(least, "component").select("h0", "h1", "component_id"), ["h0", "h1"]).select("doc_id", "text_hash", "component_id")
+    return made.select("doc_id", "text_hash", "h0", "h1").join(grouped.join(least, "component").select("h0", "h1", "component_id", "component"), ["h0", "h1"]).select("doc_id", "text_hash", "component_id", "component")

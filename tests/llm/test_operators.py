@@ -364,6 +364,32 @@ def test_significant_passages():
     assert toxicity.significant([], 0, 1.0) == []
 
 
+def test_score_by_brute_force():
+    """Evidence, segments, the sum statistic over the best r of them and the curve, each by its definition over lists."""
+    model = toxicity.Model({"vile": 2.5, "nast*": 1.5, "rott*": 0.7}, drift=0.3, rate=1.2, curve=(-2.0, 1.5, -0.2))
+    rng = random.Random(7)
+    for _ in range(80):
+        words = [rng.choice(["plain", "Vile!", "nasty", "nastier,", "rotten", "word", "vileness", "..."]) if rng.random() < 0.4 else "other" for _ in range(rng.randrange(25))]
+        values = []
+        for w in words:
+            bare = w.lower().strip("!,.")
+            values.append(max([model.weights.get(bare, 0.0), *(model.weights.get(f"{bare[:n]}*", 0.0) for n in toxicity.PREFIXES if len(bare) > n)]))
+        found = segments([v if v > 0 else -0.3 for v in values])
+        n, best = len(words), 0.0
+        ordered = sorted((s for *_, s in found), reverse=True)
+        for r in range(1, len(ordered) + 1):
+            total = sum(1.2 * s - math.log(n) for s in ordered[:r])
+            if total <= 0:
+                break
+            best = max(best, total - (r - 1) * math.log(total) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+        best = max(best, 1.2 * max(ordered, default=0.0) / (1 + math.log(n or 1)))
+        got_n, nats, passages = toxicity.Scorer(model)(" ".join(words))
+        assert got_n == n and nats == pytest.approx(best)
+        assert [x[:2] for x in passages] == [x[:2] for x in found if 1 - math.exp(-n * math.exp(-1.2 * x[2])) <= 0.05 + 1e-12]
+        z = -2.0 + 1.5 * math.log1p(best) - (0.2 * math.log1p(n) if best > 0 else 0.0)
+        assert toxicity.Scorer(model).probability(n, nats) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_keeps_columns_of_its_names(spark):
     docs = spark.createDataFrame([(1, "a b", 7.0, "mine", 3)], "doc_id long, text string, toxicity double, passages string, `odd name.` int")
     model = toxicity.Model({"vile": 3.0})
