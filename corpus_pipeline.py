@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = cut(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     away = cut(groups.where("doc_id <> component_id").select("doc_id").unionByName(again).distinct(), "away")
     chosen = free(docs.columns, "text_hash")
-    one = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias(chosen))
+    one = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("text_hash").alias(chosen)).select("doc_id", chosen)
     theirs = docs.join(one, "doc_id").where(F.xxhash64("text") == F.col(chosen)).dropDuplicates(["doc_id", "text"])
     return docs.join(away, "doc_id", "left_anti").select(*_own(docs)).unionByName(theirs.select(*_own(docs)))
 
