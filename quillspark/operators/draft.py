@@ -57,7 +57,7 @@ def all_words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(*GENERIC_WORDS))
 
 
-def snippet(text: Column, tokens: Column, reach: int = SNIPPET) -> Column:
+def snippet(text: Column, tokens: Column, reach: int = SNIPPET, low: Column | None = None) -> Column:
     """(start, end, snippet): around the mean of the first places of the sentence's tokens in the text; null without any there."""
 
     def of(places: Column) -> Column:
@@ -65,8 +65,8 @@ def snippet(text: Column, tokens: Column, reach: int = SNIPPET) -> Column:
         start, end = F.greatest(F.lit(0), centre - reach), F.least(F.length(text), centre + reach)
         return F.when(F.size(places) > 0, F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("snippet")))
 
-    low = lambda t: F.transform(tokens, lambda x: F.instr(t, x) - 1)
-    return let(F.lower(text), lambda t: let(F.filter(low(t), lambda p: p >= 0), of))
+    places = lambda t: F.transform(tokens, lambda x: F.instr(t, x) - 1)
+    return let(F.lower(text) if low is None else low, lambda t: let(F.filter(places(t), lambda p: p >= 0), of))
 
 
 def confidence(sentence: Column, evidence: Column) -> Column:
@@ -180,14 +180,20 @@ def _field_text(field: str) -> tuple[Column, Column]:
 CITATION = "struct<doc_id:string,page:int,start:int,end:int,snippet:string>"
 
 
+def prepared(hits: Column) -> Column:
+    """An array of HITS with what every citation asks of them: the different words of each, and its text in lower case."""
+    more = lambda h: F.struct(*(h[c].alias(c) for c in ("doc_id", "page", "start", "end", "text")), content_tokens(h["contextual_text"], ("",)).alias("tokens"), F.lower(h["text"]).alias("low"))
+    return F.transform(hits, more)
+
+
 def cite(text: Column, hits: Column, doc_id: Column) -> Column:
-    """The citation of a sentence out of its hits (array, best first, of (doc_id, page, start, text, contextual_text)): the one that shares most of its words, the earlier at ties, and of it what lies
+    """The citation of a sentence out of its hits (prepared, best first): the one that shares most of its words, the earlier at ties, and of it what lies
     around them; the document itself without hits."""
     own = F.struct(doc_id.cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(0).alias("end"), filled(rules.UNCITED, doc_id=doc_id).alias("snippet")).cast(CITATION)
 
     def of(words: Column) -> Column:
         distinct = F.array_distinct(words)
-        shared = F.transform(hits, lambda h: overlap(distinct, content_tokens(h["contextual_text"], ("",))))
+        shared = F.transform(hits, lambda h: overlap(distinct, h["tokens"]))
         best = let(shared, lambda n: F.get(hits, F.array_position(n, F.array_max(n)).cast("int") - 1))
         return let(best, lambda h: from_hit(h, words))
 
@@ -199,19 +205,19 @@ def cite(text: Column, hits: Column, doc_id: Column) -> Column:
             whole = F.struct(begin.alias("start"), F.coalesce(h["end"], F.length(head)).alias("end"), _stripped(head).alias("snippet"))
             return let(F.coalesce(around, whole), lambda x: F.struct(h["doc_id"].cast("string").alias("doc_id"), h["page"].alias("page"), x["start"].alias("start"), x["end"].alias("end"), x["snippet"].alias("snippet")).cast(CITATION))
 
-        return let(snippet(h["text"], words), placed)
+        return let(snippet(h["text"], words, low=h["low"]), placed)
 
     return F.when(F.size(hits) > 0, let(all_words(text), of)).otherwise(own)
 
 
 def grounded(edits: Column, hits: Column, least: float = 0.25) -> Column:
-    """Those of an array of edits of whose new words at least a quarter are in the hits; edits without words, or without hits to hold them to, pass."""
+    """Those of an array of edits of whose new words at least a quarter are in the hits (prepared); edits without words, or without hits to hold them to, pass."""
 
     def of(context: Column) -> Column:
         fits = lambda e: let(content_tokens(e["after"]), lambda t: (F.size(t) == 0) | (overlap(t, context) / F.greatest(F.size(t), F.lit(1)) >= least))
         return F.when(F.size(context) > 0, F.filter(edits, fits)).otherwise(edits)
 
-    return let(F.array_distinct(F.flatten(F.transform(hits, lambda h: content_tokens(h["contextual_text"], ("",))))), of)
+    return let(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["tokens"]))), of)
 
 
 HITS = "array<struct<doc_id:string,page:int,start:int,end:int,text:string,contextual_text:string>>"
@@ -266,7 +272,7 @@ def sections(documents: DataFrame, hits: DataFrame, edits: DataFrame | None = No
         return F.struct(F.lit(i).alias("ordinal"), F.lit(field).alias("section"), F.lit(name).alias("name"), texts[field].alias("baseline"), claims.alias("claims"), missing.alias("missing"))
 
     rows = facts.select("doc_id", F.size("open_liens").alias("n_open_liens"), "warnings", F.inline(F.array(*(section(i, f, n, s) for i, (f, n, _, s) in enumerate(SECTIONS)))))
-    rows = rows.join(hits, ["doc_id", "section"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    rows = rows.join(hits, ["doc_id", "section"], "left").withColumn("hits", prepared(F.coalesce("hits", F.array().cast(HITS))))
     if edits is None:
         rows = rows.withColumn("few", F.array().cast(EDITS))
     else:
@@ -305,11 +311,11 @@ def normalized(sentences: DataFrame, hits: DataFrame) -> DataFrame:
     sentences: key, sentence_id, text, confidence, cited (array of doc_ids, in order). hits: key, hits (an array of HITS, best first). A cited document stands for its first hit, each hit once; where none
     is left the hit that shares most words stands, and if it shares less than a tenth of them the confidence is low.
     """
-    joined = sentences.join(hits, "key", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    joined = sentences.join(hits, "key", "left").withColumn("hits", prepared(F.coalesce("hits", F.array().cast(HITS))))
     place = lambda d: F.array_position(F.transform("hits", lambda h: h["doc_id"]), d.cast("string"))
     places = F.filter(F.array_distinct(F.transform("cited", place)), lambda p: p > 0)
     own = F.transform(places, lambda p: cite(F.col("text"), F.array(F.get(F.col("hits"), p.cast("int") - 1)), F.lit("")))
-    share = F.array_max(F.transform("hits", lambda h: F.coalesce(containment(content_tokens(F.col("text")), content_tokens(h["contextual_text"], ("",))), F.lit(0.0))))
+    share = F.array_max(F.transform("hits", lambda h: F.coalesce(containment(content_tokens(F.col("text")), h["tokens"]), F.lit(0.0))))
     alone = F.array(cite(F.col("text"), F.col("hits"), F.lit("")))
     out = joined.withColumn("own", own)
     none = F.size("own") == 0
