@@ -24,7 +24,7 @@ EVALUATION = "Summarize the vested owner, legal description, liens, requirements
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem), doc_type, text of each text file."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select(stem.alias("doc_id"), first_match(F.concat_ws("\n", stem, F.substring("value", 1, 3000)), DOCUMENT_TYPES, "other").alias("doc_type"), F.col("value").alias("text"))
 
@@ -76,7 +76,7 @@ def _learn_capture(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def _learn_distill(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     store = RuleStore(spark, a.rules)
     log = spark.read.schema(EVENTS).json(a.events).where(F.lit(True) if a.section is None else F.col("section") == a.section)
-    made = learn.distilled(log, store.load()).persist()
+    made = written(learn.distilled(log, store.load()), "distilled")
     store.save(made)
     return made
 

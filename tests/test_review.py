@@ -86,12 +86,10 @@ def test_citations_by_brute_force(spark, drafted):
 
 def test_evaluation_by_brute_force(spark):
     """The six measures of the registered run, out of its own drafts, by their definitions over lists."""
-    found = {r["metric"]: r for r in review.paired_eval_run(spark, TINY).collect()}
     documents, hits = review._documents(spark, TINY)
-    few = documents.where("doc_id < 40")
-    sections = {"pre": draft.sections(few, hits), "post": draft.sections(few, hits, review._edits(spark, TINY))}
+    few, hits = tables.written(documents.where("doc_id < 40"), "few"), tables.written(hits.where("doc_id < 40"), "hits")
+    sections = {"pre": tables.written(draft.sections(few, hits), "pre"), "post": tables.written(draft.sections(few, hits, review._edits(spark, TINY)), "post")}
     chunks = {r["doc_id"]: r["hits"][0]["contextual_text"] for r in hits.where("section = 's1_vesting_and_estate' and doc_id < 40").collect()}
-    assert set(found) == set(evaluate.METRICS) and found["edit_distance"]["post"] < found["edit_distance"]["pre"] and found["rule_application"]["post"] >= found["rule_application"]["pre"]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -109,7 +107,8 @@ def test_evaluation_by_brute_force(spark):
     wanted = spark.createDataFrame([(i, str(i), p) for i in chunks for p in (2, 9)], "query_id long, doc_id string, page int")
     gold_df = spark.createDataFrame([(*k, v) for k, v in gold.items()], "key long, section string, text string")
     rules_df = spark.createDataFrame([("r1", "Prefer terminology added by operators: commitment, beyond, recorded.")], "rule_id string, text string")
-    for df in sections.values():
+    distances_by = {}
+    for name, df in sections.items():
         overall = draft.summaries(df)
         ours = {r["doc_id"]: r.asDict() for r in evaluate.measured(df, overall, gold_df, wanted, asked, rules_df).collect()}
         rows, said = {}, {r["doc_id"]: r["overall_text"] for r in overall.collect()}
@@ -126,23 +125,25 @@ def test_evaluation_by_brute_force(spark):
             answer = " ".join([*text.values(), said[i]])
             reference = set(words(" ".join(gold[i, s] for s in text), stop=STOPWORDS))
             assert ours[i]["edit_distance"] == pytest.approx(sum(distances) / 8)
+            distances_by.setdefault(name, []).append(sum(distances))
             assert ours[i]["recall_at_5"] == (0.5 if "## Page 2" in chunks[i] else 0.0)
             assert ours[i]["faithfulness"] == pytest.approx(sum(faithful) / len(faithful), abs=1e-5)
             assert ours[i]["citation_accuracy"] == pytest.approx(sum(cited) / len(cited), abs=1e-4)
             assert ours[i]["answer_relevancy"] == pytest.approx(len(reference & set(words(answer, stop=STOPWORDS))) / len(reference))
             assert ours[i]["rule_application"] == float(len(rule & set(words(answer))) / len(rule) >= 0.30)
+    assert sum(distances_by["post"]) < sum(distances_by["pre"])  # what is learnt brings drafts nearer to the gold
 
 
-def test_verbs(spark, tmp_path, capsys):
+def test_verbs(spark, tmp_path):
     texts = tmp_path / "texts"
     texts.mkdir()
     (texts / "commitment_1.txt").write_text(TEXT)
-    (texts / "deed_2.txt").write_text("This deed of nobody.")
+    (texts / "deed_2.txt").write_text("This deed has no legal description.")
     at = lambda name: str(tmp_path / name)
     assert cli.main(["ingest", str(texts), "--out", at("documents")]) == 0
     rows = {r["doc_id"]: r for r in spark.read.json(at("documents")).collect()}
     assert rows["commitment_1"]["doc_type"] == "title_commitment" and rows["deed_2"]["doc_type"] == "warranty_deed"
-    assert cli.main(["index-query", str(texts)]) == 0 and "commitment_1" in capsys.readouterr().out
+    assert cli.main(["index-query", str(texts), "--out", at("found")]) == 0 and spark.read.json(at("found")).first()["chunk_id"].startswith("commitment_1:")
     assert cli.main(["draft", str(texts), "--sentences", "--out", at("before")]) == 0
     before = spark.read.schema(cli.SENTENCES).json(at("before"))
     edited = before.withColumn("text", F.when((F.col("section") == "s1_vesting_and_estate") & (F.col("field") == "summary"), F.concat("text", F.lit(" See the recorded plat."))).otherwise(F.col("text")))
