@@ -64,9 +64,14 @@ def window_spans(text: Column, size: int = 600, overlap: int = 80, most: int | N
     """array of (idx, start, end): windows with the characters they reach over."""
 
     def of(pieces: Column) -> Column:
-        framed = windows(F.size(pieces), size, overlap, most)
-        span = lambda ends: lambda w: F.struct(w["idx"].alias("idx"), (F.get(ends, w["first"]) - _visible(F.get(pieces, w["first"]))).alias("start"), F.get(ends, w["end"] - 1).alias("end"))
-        return let(token_ends(pieces), lambda ends: F.transform(framed, span(ends)))
+        length = lambda first, n: F.length(F.array_join(F.slice(pieces, first + 1, n), ""))
+
+        def place(at: Column, w: Column) -> tuple[Column, Column]:
+            first = F.get(pieces, w["first"])
+            start, end = at + F.length(first) - _visible(first), at + length(w["first"], w["end"] - w["first"])
+            return at + length(w["first"], F.lit(max(1, size - overlap))), F.array(F.struct(w["idx"].alias("idx"), start.alias("start"), end.alias("end")))
+
+        return let(windows(F.size(pieces), size, overlap, most), lambda framed: scan(framed, F.lit(0), place, "array<struct<idx:int,start:int,end:int>>"))
 
     return let(_pieces(text), of)
 
