@@ -13,7 +13,7 @@ import corpus_pipeline
 from quillspark.llm import queries
 
 TINY = "/root/testdata/sf0.001"
-ROWS = {"op8_learned_partitions": 500, "op9_html_main_text": 50, "op5_packing": None}
+ROWS = {"op8_learned_partitions": 500, "op9_html_main_text": 50, "op5_packing": None, "op11_embedding_whitening": 2000}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
