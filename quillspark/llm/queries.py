@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, mixing, neighbours, ordermin, packing, runs, secrets, simhash, substring, toxicity, whitening
+from . import htmltext, langid, mixing, neighbours, ordermin, packing, personal, runs, secrets, simhash, substring, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_main_text": htmltext.op9_html_main_text,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_personal_data": personal.op12_personal_data,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring.ORACLE_SQL}
