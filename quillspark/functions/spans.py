@@ -34,19 +34,28 @@ def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
     return F.flatten(F.aggregate(runs, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), run, lambda acc: acc["out"]))
 
 
+#: Stands between matches while a text is taken apart; texts that hold it go the longer way.
+MARK = "\x01"
+
+
 def match_spans(text: Column, pattern: str) -> Column:
-    """array of (start, end, match) of the leftmost matches that don't overlap, in code points; empty for null. In time linear in the text."""
+    """array of (start, end, match) of the leftmost matches that don't overlap, in code points; empty for null. The pattern is searched once, in time linear in the text."""
+
+    def placed(pieces: Column) -> Column:
+        """pieces: what is before a match and the match by turns, and at last what is after them."""
 
-    def placed(found: Column, pieces: Column) -> Column:
         def step(at: Column, i: Column) -> tuple[Column, Column]:
-            start = at + F.length(F.get(pieces, i))
-            end = start + F.length(F.get(found, i))
-            return end, F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match")))
+            start = at + F.length(F.get(pieces, i * 2))
+            end = start + F.length(F.get(pieces, i * 2 + 1))
+            return end, F.array(F.struct(start.alias("start"), end.alias("end"), F.get(pieces, i * 2 + 1).alias("match")))
 
-        return let(F.sequence(F.lit(0), F.size(found) - 1), lambda places: scan(places, F.lit(0), step, MATCHES))
+        return F.when(F.size(pieces) > 1, scan(F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int") - 1), F.lit(0), step, MATCHES)).otherwise(F.array().cast(MATCHES))
 
     def of(t: Column) -> Column:
-        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.when(F.size(x) > 0, let(F.split(t, pattern, -1), lambda p: placed(x, p))).otherwise(F.array().cast(MATCHES)))
+        between = lambda: F.split(t, pattern, -1)
+        twice = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.flatten(F.zip_with(between(), x, lambda a, m: F.array_compact(F.array(a, m)))))
+        once = F.split(F.regexp_replace(t, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        return let(F.when(F.contains(t, F.lit(MARK)), twice).otherwise(once), placed)
 
     return let(F.coalesce(text, F.lit("")), of)
 
@@ -61,12 +70,51 @@ def first_span(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0), of)
 
 
-def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
-    """The text from `before` characters left of a span to `after` right of it."""
-    first = F.greatest(start - before, F.lit(0))
-    return F.substring(text, first + 1, end + after - first)
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of BLOCK characters, out of which any part is cut without a walk from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start up to end, out of the blocks of a text."""
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    return F.when(end <= start, F.lit("")).otherwise(F.substring(F.array_join(F.slice(pieces, i + 1, j - i + 1), ""), (start - i * BLOCK + 1).cast("int"), (end - start).cast("int")))
+
+
+def around(pieces: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """What stands from `before` characters left of a span to `after` right of it, out of the blocks of a text."""
+    return between(pieces, F.greatest(start - before, F.lit(0)), end + after)
 
 
 def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
-    """The items of an array whose key comes for the first time, in order."""
-    return let(items, lambda x: let(F.transform(x, key), lambda keys: F.filter(x, lambda item, i: F.array_position(keys, key(item)) == i + 1)))
+    """The items of an array whose key comes for the first time, in order: keys are sorted with their places, and the first of each stays."""
+
+    def of(x: Column) -> Column:
+        keyed = F.array_sort(F.transform(x, lambda item, i: F.struct(key(item).alias("key"), i.alias("i"))))
+        heads = let(keyed, lambda k: F.filter(k, lambda s, i: (i == 0) | ~s["key"].eqNullSafe(F.get(k, i - 1)["key"])))
+        return F.transform(F.array_sort(F.transform(heads, lambda s: s["i"])), lambda i: F.get(x, i))
+
+    return let(items, of)
+
+
+def last_before(marks: Column, starts: Column, none: int = 1) -> Column:
+    """For each of the starts, in order, the number of the last of marks (end, number) that ends by it; `none` without any. Both are merged in one pass."""
+    events = F.concat(
+        F.transform(marks, lambda m: F.struct(m["end"].cast("int").alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("i"), m["number"].cast("int").alias("number"))),
+        F.transform(starts, lambda s, i: F.struct(s.cast("int").alias("at"), F.lit(1).alias("start"), i.alias("i"), F.lit(None).cast("int").alias("number"))),
+    )
+    found = "array<struct<i:int,number:int>>"
+
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        own = e["start"] == 0
+        return F.when(own, e["number"]).otherwise(last), F.when(own, F.array().cast(found)).otherwise(F.array(F.struct(e["i"].alias("i"), last.alias("number"))))
+
+    return F.transform(F.array_sort(let(F.array_sort(events), lambda x: scan(x, F.lit(none), step, found))), lambda x: x["number"])
+
+
+def numbered(text: Column, pattern: str) -> Column:
+    """array of (end, number): the matches of a pattern whose first group is a number."""
+    return F.transform(match_spans(text, pattern), lambda m: F.struct(m["end"].alias("end"), F.regexp_extract(m["match"], pattern, 1).cast("int").alias("number")))

@@ -124,11 +124,53 @@ def edit_type(before: Column, after: Column) -> Column:
     return F.when((b == "") & (a != ""), "addition").when((a == "") & (b != ""), "deletion").when(marked, "citation_fix").when(similar, "wording").otherwise("fact_correction")
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, at its top level."""
+    out, depth, at = [""], 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        step = pattern[at : at + 2] if c == "\\" else pattern[at : pattern.index("]", at + 1) + 1] if c == "[" else c
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += step
+        at += len(step)
+    return out
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Words of which a text that matches the pattern has one at least; None if the pattern doesn't tell. Words in groups and classes, and letters that may be absent, don't count."""
+    out = []
+    for one in _alternatives(pattern):
+        runs, depth, at = [""], 0, 0
+        while at < len(one):
+            c = one[at]
+            step = one[at : at + 2] if c == "\\" else one[at : one.index("]", at + 1) + 1] if c == "[" else c
+            after = one[at + len(step) : at + len(step) + 1]
+            depth += (c == "(") - (c == ")")
+            if depth == 0 and c.isalpha() and after not in ("?", "*", "{"):
+                runs[-1] += c
+            else:
+                runs.append("")
+            at += len(step)
+        longest = max(runs, key=len)
+        if len(longest) < 3:
+            return None
+        out.append(longest)
+    return out
+
+
 def first_match(text: Column, rules: list[tuple[str, str]], other: str | None) -> Column:
-    """The label of the first rule, in order, whose pattern is found in the text, whatever the case: text and patterns are lower-cased once."""
+    """The label of the first rule, in order, whose pattern is found in the text, whatever the case: text and patterns are lower-cased once. Words that a pattern can't do without are looked for first, as that is cheap."""
+
+    def holds(t: Column, pattern: str) -> Column:
+        words = needed(pattern)
+        there = None if words is None else reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
+        return t.rlike(pattern) if there is None else there & t.rlike(pattern)
 
     def of(t: Column) -> Column:
-        found = reduce(lambda x, r: x.when(t.rlike(r[1].lower()), r[0]), rules[1:], F.when(t.rlike(rules[0][1].lower()), rules[0][0]))
+        found = reduce(lambda x, r: x.when(holds(t, r[1].lower()), r[0]), rules[1:], F.when(holds(t, rules[0][1].lower()), rules[0][0]))
         return found if other is None else found.otherwise(other)
 
     return let(F.lower(F.coalesce(text, F.lit(""))), of)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let, scan
+from ..functions.spans import last_before, let, numbered, scan
 from ..functions.text import SPACE, filled
 
 #: Fixed value: what tells the page of what follows.
@@ -60,27 +60,36 @@ def token_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tok", (F.col("t.end") - _visible(F.col("t.piece"))).alias("start"), F.col("t.end").alias("end"))
 
 
+_WINDOW = "array<struct<idx:int,start:int,end:int,text:string>>"
+
+
 def window_spans(text: Column, size: int = 600, overlap: int = 80, most: int | None = 400) -> Column:
-    """array of (idx, start, end): windows with the characters they reach over."""
+    """array of (idx, start, end, text): windows with the characters they reach over, joined from their tokens."""
 
     def of(pieces: Column) -> Column:
-        length = lambda first, n: F.length(F.array_join(F.slice(pieces, first + 1, n), ""))
+        joined = lambda first, n: F.array_join(F.slice(pieces, first + 1, n), "")
 
         def place(at: Column, w: Column) -> tuple[Column, Column]:
             first = F.get(pieces, w["first"])
-            start, end = at + F.length(first) - _visible(first), at + length(w["first"], w["end"] - w["first"])
-            return at + length(w["first"], F.lit(max(1, size - overlap))), F.array(F.struct(w["idx"].alias("idx"), start.alias("start"), end.alias("end")))
+            body = joined(w["first"], w["end"] - w["first"])
+            shown = F.struct(w["idx"].alias("idx"), (at + F.length(first) - _visible(first)).alias("start"), (at + F.length(body)).alias("end"), F.regexp_replace(body, LEADING, "").alias("text"))
+            return at + F.length(joined(w["first"], F.lit(max(1, size - overlap)))), F.array(shown)
 
-        return let(windows(F.size(pieces), size, overlap, most), lambda framed: scan(framed, F.lit(0), place, "array<struct<idx:int,start:int,end:int>>"))
+        return let(windows(F.size(pieces), size, overlap, most), lambda framed: scan(framed, F.lit(0), place, _WINDOW))
 
     return let(_pieces(text), of)
 
 
+def pages_of(text: Column, starts: Column, marks: str = PAGE_MARKS) -> Column:
+    """The page of each of the places, in their order: that of the last mark that ends by it; 1 without any. Marks and places are merged once."""
+    return last_before(numbered(text, marks), starts)
+
+
 def chunks(docs: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
-    """doc_id, idx, start, end, text, chunk_id, page: windows with their span, the text under it and the page it begins on. Row-local."""
-    framed = docs.select("doc_id", F.col("text").alias("whole"), F.inline(window_spans(F.col("text"), size, overlap, most)))
-    cut = framed.withColumn("text", F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start")))
-    return cut.select("doc_id", "idx", "start", "end", "text", chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), last_page_before(F.col("whole"), F.col("start"), PAGE_MARKS).alias("page"))
+    """doc_id, idx, start, end, text, chunk_id, page: windows with their span, the text under it and the page it begins on. Row-local, and linear in the text."""
+    paged = let(window_spans(F.col("text"), size, overlap, most), lambda ws: F.zip_with(ws, pages_of(F.col("text"), F.transform(ws, lambda w: w["start"])), lambda w, p: F.struct(w["idx"].alias("idx"), w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text"), p.alias("page"))))
+    framed = docs.select("doc_id", F.inline(paged))
+    return framed.select("doc_id", "idx", "start", "end", "text", chunk_id(F.col("doc_id"), F.col("idx"), F.col("text")).alias("chunk_id"), "page")
 
 
 def chunk_id(doc_id: Column, idx: Column, text: Column) -> Column:

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.spans import around, first_by, first_span, let, match_spans
+from ..functions.spans import around, blocks, first_by, first_span, let, match_spans
 from ..functions.text import first_match, parsed_date
 
 CAPS = {"parties": 12, "chain": 20, "liens": 30, "easements": 20, "restrictions": 15, "requirements": 12, "exceptions": 15}
 BEFORE_CHAIN, BEFORE_LIEN, AFTER_LIEN = 220, 240, 120
 SNIPPET = 200
+#: What a recording reference can begin with: a look at one letter spares most places the rest.
+_BEGIN = "(?=[bdfilrv0-9])"
 
 
 def _any_case(pattern: str) -> str:
@@ -127,7 +129,7 @@ def _or_else(names: Column, unknown: str) -> Column:
 
 def references(text: Column) -> Column:
     """array of (start, end, match, book, page, number, key): each recorded reference. Bare dated numbers have no group and so share the empty key."""
-    p = _any_case(rules.RECORDING)
+    p = _any_case(f"{_BEGIN}(?:{rules.RECORDING})")
 
     def whole(m: Column) -> Column:
         book, page, number_ = (_absent(F.regexp_extract(m["match"], p, g)) for g in (1, 2, 3))
@@ -152,8 +154,8 @@ def chain(doc_type: Column, people: Column, text: Column, cap: int = CAPS["chain
     none = F.lit(None).cast("string")
     own = F.struct(doc_type.alias("instrument"), grantors.alias("grantor"), grantees.alias("grantee"), none.alias("book"), none.alias("page"), none.alias("number"), whole_source(text).alias("source"))
 
-    def typed(r: Column) -> Column:
-        window = around(text, r["start"], r["end"], BEFORE_CHAIN, 0)
+    def typed(pieces: Column, r: Column) -> Column:
+        window = around(pieces, r["start"], r["end"], BEFORE_CHAIN, 0)
         return let(window, lambda w: _with(r, _REF, window=w, instrument=first_match(w, rules.INSTRUMENTS, None)))
 
     def named(window: Column, group: int, unknown: str) -> Column:
@@ -169,7 +171,8 @@ def chain(doc_type: Column, people: Column, text: Column, cap: int = CAPS["chain
             source(F.lit(1), r["start"], r["end"], r["match"]).alias("source"),
         )
 
-    found = F.transform(F.filter(F.transform(first_by(references(text), lambda r: r["key"]), typed), lambda r: r["instrument"].isNotNull()), link)
+    every = let(blocks(text), lambda pieces: F.transform(first_by(references(text), lambda r: r["key"]), lambda r: typed(pieces, r)))
+    found = F.transform(F.slice(F.filter(every, lambda r: r["instrument"].isNotNull()), 1, cap), link)
     itself = F.when(doc_type.isin(*rules.SELF_LINKS) & (F.size(people) > 0), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
     return F.slice(F.concat(itself, found), 1, cap)
 
@@ -185,27 +188,30 @@ def liens(doc_type: Column, people: Column, text: Column, cap: int = CAPS["liens
 
     own = lien(doc_type, F.lit("open"), number(_group(text, rules.AMOUNT)), of(("lender", "beneficiary", "trustee"), "Unknown creditor"), of(("borrower", "grantor", "trustor"), "Unknown debtor"), none, none, none, whole_source(text))
 
-    def typed(r: Column) -> Column:
-        return let(around(text, r["start"], r["end"], BEFORE_LIEN, AFTER_LIEN), lambda w: _with(r, _REF, window=w, lien_type=first_match(w, rules.LIENS, None)))
+    def typed(pieces: Column, r: Column) -> Column:
+        return let(around(pieces, r["start"], r["end"], BEFORE_LIEN, AFTER_LIEN), lambda w: _with(r, _REF, window=w, lien_type=first_match(w, rules.LIENS, None)))
 
-    def held(r: Column) -> Column:
+    def held(pieces: Column, r: Column) -> Column:
         w = r["window"]
         status = F.when(w.rlike(_any_case(rules.RELEASED)), "released").otherwise("open")
         creditor = F.coalesce(clean_name(_group(w, rules.IN_FAVOR_OF)), F.lit("Unknown creditor (per reference)"))
         debtor = F.coalesce(clean_name(_group(w, rules.EXECUTED_BY)), F.lit("Unknown debtor (per reference)"))
-        where = source(F.lit(1), r["start"], r["end"], around(text, r["start"], r["end"], 60, 60))
+        where = source(F.lit(1), r["start"], r["end"], around(pieces, r["start"], r["end"], 60, 60))
         return lien(r["lien_type"], status, number(_group(w, rules.AMOUNT)), creditor, debtor, r["book"], r["page"], r["number"], where)
 
-    with_lien = F.filter(F.transform(references(text), typed), lambda r: r["lien_type"].isNotNull())
+    def found(pieces: Column) -> Column:
+        with_lien = F.filter(F.transform(references(text), lambda r: typed(pieces, r)), lambda r: r["lien_type"].isNotNull())
+        return F.transform(F.slice(first_by(with_lien, lambda r: r["key"]), 1, cap), lambda r: held(pieces, r))
+
     itself = F.when(doc_type.isin(*rules.SELF_LIENS), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
-    return F.slice(F.concat(itself, F.transform(first_by(with_lien, lambda r: r["key"]), held)), 1, cap)
+    return F.slice(F.concat(itself, let(blocks(text), found)), 1, cap)
 
 
 def _mentions(text: Column, trigger: str, types: list[tuple[str, str]], after: int, longest: int, cap: int, more: Callable[[Column], dict[str, Column]]) -> Column:
     """array of (type, description, instrument, source, ...): the text around each mention, the first of each beginning of 80 characters."""
 
-    def mention(m: Column) -> Column:
-        return let(squeezed(around(text, m["start"], m["end"], 180, after)), lambda w: F.struct(m["start"].alias("start"), m["end"].alias("end"), w.alias("window")))
+    def mention(pieces: Column, m: Column) -> Column:
+        return let(squeezed(around(pieces, m["start"], m["end"], 180, after)), lambda w: F.struct(m["start"].alias("start"), m["end"].alias("end"), w.alias("window")))
 
     def fact(m: Column) -> Column:
         w = m["window"]
@@ -214,7 +220,8 @@ def _mentions(text: Column, trigger: str, types: list[tuple[str, str]], after: i
         instrument = F.coalesce(group(3), F.concat(F.lit("Book "), group(1), F.lit(" Page "), group(2)))
         return F.struct(first_match(w, types, "other").alias("type"), F.substring(w, 1, longest).alias("description"), instrument.alias("instrument"), source(F.lit(1), m["start"], m["end"], w).alias("source"), *(v.alias(k) for k, v in more(w).items()))
 
-    first = first_by(F.transform(match_spans(text, _any_case(trigger)), mention), lambda m: F.lower(F.substring(m["window"], 1, 80)))
+    every = let(blocks(text), lambda pieces: F.transform(match_spans(text, _any_case(trigger)), lambda m: mention(pieces, m)))
+    first = first_by(every, lambda m: F.lower(F.substring(m["window"], 1, 80)))
     return F.transform(F.slice(first, 1, cap), fact)
 
 
@@ -349,6 +356,41 @@ def merged(first: DataFrame, second: DataFrame, scalars: list[str], lists: list[
     return joined.select(key, *values, F.lit("merged from two extractions").alias("warning"))
 
 
+def composed(documents: DataFrame, fixture: DataFrame, ruled: DataFrame, model: DataFrame, scalars: list[str], lists: list[str], key: str = "doc_id") -> DataFrame:
+    """A row a document of three extractions of it, field by field, with where each value is from: key, the fields, `chosen` (a map of field to `fixture`, `rules` or `model`), `sources` (those that the document has), `agreed`.
+
+    A labelled document goes first, then rules, and a model fills what both leave; without a label the model goes before rules. Scalars that are null and lists that are empty give way. agreed: whether the first two of a
+    document's sources that have scalars differ in one of them at most, a null beside a value being a difference; null of a document with one source. fixture, ruled and model each have key and all the fields.
+    """
+    sides = {"fixture": fixture, "rules": ruled, "model": model}
+    rows = documents.select(key).distinct()
+    for name, side in sides.items():
+        rows = rows.join(side.select(key, F.struct(*scalars, *lists).alias(name)).dropDuplicates([key]), key, "left")
+    labelled = F.col("fixture").isNotNull()
+    order = {True: ("fixture", "rules", "model"), False: ("model", "rules")}
+
+    def there(side: str, field: str) -> Column:
+        c = F.col(side)[field]
+        return c.isNotNull() if field in scalars else F.coalesce(F.size(c) > 0, F.lit(False))
+
+    def first(field: str, what: Callable[[str], Column], names: tuple[str, ...]) -> Column:
+        return F.coalesce(*(F.when(there(n, field), what(n)) for n in names))
+
+    def by_label(f: Callable[[tuple[str, ...]], Column]) -> Column:
+        return F.when(labelled, f(order[True])).otherwise(f(order[False]))
+
+    def value(field: str) -> Column:
+        found = by_label(lambda names: first(field, lambda n: F.col(n)[field], names))
+        return (found if field in scalars else F.coalesce(found, F.filter(F.coalesce(*(F.col(n)[field] for n in sides)), lambda x: F.lit(False)))).alias(field)
+
+    origin = lambda field: by_label(lambda names: first(field, F.lit, names))
+    chosen = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(f).alias("field"), origin(f).alias("from")) for f in (*scalars, *lists))), lambda e: e["from"].isNotNull()))
+    agree = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), reasonable({f: F.col(a)[f] for f in scalars}, {f: F.col(b)[f] for f in scalars}))
+    agreed = F.when(labelled, F.coalesce(agree("fixture", "rules"), agree("fixture", "model"))).otherwise(agree("model", "rules"))
+    had = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), n) for n in sides)))
+    return rows.select(key, *map(value, (*scalars, *lists)), chosen.alias("chosen"), had.alias("sources"), agreed.alias("agreed"))
+
+
 def reasonable(gold: dict[str, Column], produced: dict[str, Column]) -> Column:
     """At most one of the fields differs."""
     return reduce(lambda a, b: a + b, (F.when(gold[k].eqNullSafe(produced[k]), 0).otherwise(1) for k in gold)) <= 1

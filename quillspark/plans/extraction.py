@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import first_match, first_match_sql, parsed_date
 from ..operators import extract
-from ..sources.tables import page_blocks, table, transcript_page
+from ..sources.tables import page_blocks, spread, table, transcript_page
 
 # Texts are SQL that either engine reads; k is the order's number, d its date.
 _BUYER = "(CASE k % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Jane Roe' WHEN 2 THEN 'Omar Diaz' ELSE 'Ivy Stone' END)"
@@ -71,7 +71,7 @@ SELECT p_partkey AS doc_id, concat(CASE p_partkey % 17 WHEN 0 THEN 'Pay the full
 
 def _texts(spark: SparkSession, d: str, text: str, **more: str) -> DataFrame:
     """doc_id and the text of each order."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
+    o = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d")))
     return o.select(F.col("k").alias("doc_id"), F.expr(text).alias("text"), *(F.expr(v).alias(n) for n, v in more.items()))
 
 

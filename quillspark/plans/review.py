@@ -154,14 +154,10 @@ def evaluation_cases(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.cases(ids, gold, tables.preferred(ids, labelled, extracted, "doc_id", "value"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    return f"{tables.shared_folder(spark)}/{name}"
-
-
 def edit_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The edit log written as JSON lines, read again, and one section of it, by place."""
     log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("section"), F.concat(F.lit("é \\"), F.col("user_id").cast("string"), F.lit('"\n')).alias("after"))
-    where = _shared(spark, "edit-log")
+    where = tables.run_folder(spark, "edit-log")
     tables.write_json(log, where)
     return tables.read_or_empty(spark, where, log.schema).where("section = 'click'").select("seq", "section", F.sha2("after", 256).alias("after_sha256"))
 
@@ -169,20 +165,19 @@ def edit_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def rule_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rule sets in versions: saved, loaded, and the next version of each section."""
     log = table(spark, d, "events").select(F.col("event_type").alias("section"), F.lit("old").alias("before"), F.lit("old indemnity").alias("after"), F.lit("addition").alias("edit_type"), F.col("event_id").alias("seq"))
-    where = _shared(spark, "rules")
+    where = tables.run_folder(spark, "rules")
     store = tables.RuleStore(spark, where)
-    store.clear()
     store.save(learn.distilled(log, store.load()))
     store.save(learn.distilled(log.where("section <> 'click'"), store.load()))
     return store.load().select("section", "version", F.size("rules").alias("n_rules"), F.get("rules", F.lit(0))["text"].alias("first_rule"))
 
 
 def documents_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """Extracted documents under <doc_id>.title_document.json, read by a glob, in the order of their names."""
+    """Extracted documents under <doc_id>.title_document.json, read by a glob."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
-    where = _shared(spark, "title-documents")
+    where = tables.run_folder(spark, "title-documents")
     tables.write_named(docs, where, "title_document")
-    found = tables.read_named(spark, where, "title_document", docs.schema)
+    found = tables.read_named(spark, where, "*.title_document.json", docs.schema)
     return found.select("doc_id", "lang", "name")
 
 

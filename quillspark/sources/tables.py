@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,13 +10,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{where}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table is one file, and what is computed from each of its rows would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key of both, by `order` descending; applying the same rows twice changes nothing."""
     newest = Window.partitionBy(*key).orderBy(*order)
@@ -61,16 +68,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_named(df: DataFrame, path: str, kind: str, key: str = "doc_id") -> None:
-    """One JSON document a row under <key>.<kind>.json: a folder of that name, as Spark writes them."""
-    name = F.concat(F.col(key), F.lit(f".{kind}.json"))
-    df.withColumn("name", name).repartition("name").write.mode("overwrite").partitionBy("name").json(path)
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one: what two runs write at once never meets."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def read_named(spark: SparkSession, path: str, kind: str, schema: StructType) -> DataFrame:
-    """The documents of a kind with their names, in the order of these."""
-    named = StructType([*schema, StructField("name", StringType())])
-    return spark.read.schema(named).json(path).where(F.col("name").endswith(f".{kind}.json")).orderBy("name")
+def write_named(df: DataFrame, path: str, kind: str, key: str = "doc_id") -> None:
+    """JSON documents (name, body), one a row, under <key>.<kind>.json. Many share a file: they're sorted by name over all files, so a file holds a range of names, and its statistics tell which."""
+    name = F.concat(F.col(key).cast("string"), F.lit(f".{kind}.json"))
+    made = df.select(name.alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+    made.repartitionByRange("name").sortWithinPartitions("name").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def read_named(spark: SparkSession, path: str, glob: str, schema: StructType) -> DataFrame:
+    """The documents whose names match a glob of * and ?, with their names. What stands before the first of these bounds the names, so files and their parts that hold no such name aren't read."""
+    head = re.split(r"[*?]", glob)[0]
+    pattern = "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in glob)
+    named = spark.read.schema("name string, body string").parquet(path).where(F.col("name").startswith(head) & F.col("name").rlike(f"(?s)^{pattern}$"))
+    return named.select(F.from_json("body", schema).alias("d"), "name").select("d.*", "name")
 
 
 @dataclass(frozen=True)

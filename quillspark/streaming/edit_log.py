@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sources.tables import upsert
+from ..sources.keyed import KeyedTable
+
+#: What keeps the state of last_per_section.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read(spark: SparkSession, path: str, schema: StructType, kind: str = "json") -> DataFrame:
@@ -27,27 +30,70 @@ def counts(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> Da
     return events.withWatermark("created_at", delay).groupBy(F.window("created_at", size), "section").agg(F.count("*").alias("n"))
 
 
-def merge_into(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch into the table at path, in a new version folder; a batch that runs twice changes nothing."""
+def merge_into(events: DataFrame, store: KeyedTable, checkpoint: str, stream: str = "edits") -> StreamingQuery:
+    """Upserts each batch of what has come into a keyed table. The table knows the last batch of the stream, so a batch that runs again, after a restart or a failure between the table and the checkpoint, changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], batch.schema)
-        upsert(old, batch, ["edit_id"], [F.desc("created_at")]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        store.upsert(batch, stream, number)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_per_section(events: DataFrame, n: int = 20) -> DataFrame:
-    """section, edit_ids: the last n edits of each section, kept as state and emitted when they change. At most n ids a section are held."""
+def last_per_section(events: DataFrame, n: int = 20, idle: int = 0) -> DataFrame:
+    """section, edit_ids, newest: the last n edits (section, seq, edit_id) of each section as a list in state, put out as a whole whenever it changes; at most n a section are held.
+
+    An edit that comes twice counts once. A section that has got none for `idle` milliseconds is forgotten, and put out empty (0: never). Needs the RocksDB state store (STATE_STORE).
+    """
+
+    class LastEdits(StatefulProcessor):
+        """Within the function, so that it goes to workers as it is, whatever they can import."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", "seq long, edit_id string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+            before = [tuple(r) for r in self.held.get()]
+            last = set(before)
+            for r in rows:
+                last.add((r["seq"], r["edit_id"]))
+                if len(last) > 8 * n:  # however many come, few are held
+                    last = set(heapq.nlargest(n, last))
+            after = sorted(heapq.nlargest(n, last))
+            self.held.put(after)
+            if idle:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle)
+            if after != sorted(before):
+                yield Row(section=key[0], edit_ids=[e for _, e in after], newest=after[-1][0])
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            for seq, edit in sorted(zip(frame["seq"], frame["edit_id"], strict=True)):
-                held.append(f"{seq:020d}|{edit}")
-        held = sorted(set(held))[-n:]
-        state.update((held,))
-        yield pd.DataFrame({"section": [key[0]], "edit_ids": [[x.split("|", 1)[1] for x in held]]})
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+            self.held.clear()
+            yield Row(section=key[0], edit_ids=[], newest=None)
 
-    return events.groupBy("section").applyInPandasWithState(update, "section string, edit_ids array<string>", "held array<string>", "update", "NoTimeout")
+        def close(self) -> None:
+            pass
+
+    asked = events.select("section", F.col("seq").cast("long").alias("seq"), F.col("edit_id").cast("string").alias("edit_id"))
+    mode = "processingTime" if idle else "none"
+    return asked.groupBy("section").transformWithState(LastEdits(), "section string, edit_ids array<string>, newest long", "update", mode)
+
+
+def latest_lists(spark: SparkSession, changes: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs the stream of last_per_section over what has come and returns section, edit_ids: the lists as they stand, kept in a keyed table."""
+    store = KeyedTable(spark, path, "section string, edit_ids array<string>, newest long, batch long", ("section",), ("batch",), 8)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        store.upsert(batch.withColumn("batch", F.lit(number).cast("long")), "lists", number)
+
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        changes.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE[0])
+        else:
+            spark.conf.set(STATE_STORE[0], before)
+    return store.read().where(F.size("edit_ids") > 0).select("section", "edit_ids")
