@@ -5,6 +5,7 @@ Four tokenisers stay apart on purpose: search, measures, wording rules and diffs
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from string import Formatter
 
@@ -124,53 +125,65 @@ def edit_type(before: Column, after: Column) -> Column:
     return F.when((b == "") & (a != ""), "addition").when((a == "") & (b != ""), "deletion").when(marked, "citation_fix").when(similar, "wording").otherwise("fact_correction")
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern, at its top level."""
-    out, depth, at = [""], 0, 0
+def _pieces(pattern: str) -> list[str]:
+    """The parts of a pattern at its top level: characters, escapes, classes, groups."""
+    out, at = [], 0
     while at < len(pattern):
-        c = pattern[at]
-        step = pattern[at : at + 2] if c == "\\" else pattern[at : pattern.index("]", at + 1) + 1] if c == "[" else c
-        depth += (c == "(") - (c == ")")
-        if c == "|" and depth == 0:
-            out.append("")
-        else:
-            out[-1] += step
-        at += len(step)
+        end = at + 1
+        if pattern[at] == "\\":
+            end = at + 2
+        elif pattern[at] == "[":
+            end = pattern.index("]", at + 1) + 1
+        elif pattern[at] == "(":
+            depth, end = 1, at + 1
+            while depth:
+                piece = _pieces(pattern[end : end + 2])[0] if pattern[end] == "\\" else pattern[end : pattern.index("]", end + 1) + 1] if pattern[end] == "[" else pattern[end]
+                depth += (piece == "(") - (piece == ")")
+                end += len(piece)
+        out.append(pattern[at:end])
+        at = end
     return out
 
 
 def needed(pattern: str) -> list[str] | None:
-    """Words of which a text that matches the pattern has one at least; None if the pattern doesn't tell. Words in groups and classes, and letters that may be absent, don't count."""
-    out = []
-    for one in _alternatives(pattern):
-        runs, depth, at = [""], 0, 0
-        while at < len(one):
-            c = one[at]
-            step = one[at : at + 2] if c == "\\" else one[at : one.index("]", at + 1) + 1] if c == "[" else c
-            after = one[at + len(step) : at + len(step) + 1]
-            depth += (c == "(") - (c == ")")
-            if depth == 0 and c.isalpha() and after not in ("?", "*", "{"):
-                runs[-1] += c
-            else:
-                runs.append("")
-            at += len(step)
+    """Words of which a text that matches the pattern has one at least; None if the pattern doesn't tell. What may be absent, and classes, don't count."""
+    pieces, alternatives = _pieces(pattern), [[]]
+    for i, piece in enumerate(pieces):
+        if piece == "|":
+            alternatives.append([])
+        elif piece not in ("?", "*", "+"):
+            may_lack = i + 1 < len(pieces) and pieces[i + 1] in ("?", "*", "{")
+            alternatives[-1].append("" if may_lack else piece)
+    out: list[str] = []
+    for one in alternatives:
+        runs, inner = [""], []
+        for piece in one:
+            if len(piece) == 1 and piece.isalpha():
+                runs[-1] += piece
+                continue
+            runs.append("")
+            if piece.startswith("(") and not piece.startswith(("(?=", "(?!", "(?<")):
+                inner.append(needed(re.sub(r"^\(\?[a-z]*:|^\(", "", piece)[:-1]))
         longest = max(runs, key=len)
-        if len(longest) < 3:
+        found = [longest] if len(longest) > 2 else next((x for x in inner if x is not None), None)
+        if found is None:
             return None
-        out.append(longest)
-    return out
+        out += found
+    return list(dict.fromkeys(out))
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], other: str | None) -> Column:
-    """The label of the first rule, in order, whose pattern is found in the text, whatever the case: text and patterns are lower-cased once. Words that a pattern can't do without are looked for first, as that is cheap."""
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a text in lower case has a match of the pattern, which is taken in lower case too. Words that it can't do without are looked for first, as that is cheap."""
+    words = needed(pattern.lower())
+    found = text.rlike(pattern.lower())
+    return found if words is None else reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words)) & found
 
-    def holds(t: Column, pattern: str) -> Column:
-        words = needed(pattern)
-        there = None if words is None else reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
-        return t.rlike(pattern) if there is None else there & t.rlike(pattern)
+
+def first_match(text: Column, rules: list[tuple[str, str]], other: str | None) -> Column:
+    """The label of the first rule, in order, whose pattern is found in the text, whatever the case: text and patterns are lower-cased once."""
 
     def of(t: Column) -> Column:
-        found = reduce(lambda x, r: x.when(holds(t, r[1].lower()), r[0]), rules[1:], F.when(holds(t, rules[0][1].lower()), rules[0][0]))
+        found = reduce(lambda x, r: x.when(holds(t, r[1]), r[0]), rules[1:], F.when(holds(t, rules[0][1]), rules[0][0]))
         return found if other is None else found.otherwise(other)
 
     return let(F.lower(F.coalesce(text, F.lit(""))), of)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.spans import around, blocks, first_by, first_span, let, match_spans
-from ..functions.text import first_match, parsed_date
+from ..functions.text import first_match, holds, needed, parsed_date
 
 CAPS = {"parties": 12, "chain": 20, "liens": 30, "easements": 20, "restrictions": 15, "requirements": 12, "exceptions": 15}
 BEFORE_CHAIN, BEFORE_LIEN, AFTER_LIEN = 220, 240, 120
@@ -32,8 +32,10 @@ def _absent(text: Column) -> Column:
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match in any case; null if it isn't there."""
-    return _absent(F.regexp_extract(text, _any_case(pattern), group))
+    """A group of the first match in any case; null if it isn't there. The text is searched only if it has a word that the pattern can't do without."""
+    found = _absent(F.regexp_extract(text, _any_case(pattern), group))
+    words = needed(pattern.lower())
+    return found if words is None else F.when(let(F.lower(text), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))), found)
 
 
 def squeezed(text: Column) -> Column:
@@ -173,7 +175,7 @@ def chain(doc_type: Column, people: Column, text: Column, cap: int = CAPS["chain
 
     every = let(blocks(text), lambda pieces: F.transform(first_by(references(text), lambda r: r["key"]), lambda r: typed(pieces, r)))
     found = F.transform(F.slice(F.filter(every, lambda r: r["instrument"].isNotNull()), 1, cap), link)
-    itself = F.when(doc_type.isin(*rules.SELF_LINKS) & (F.size(people) > 0), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
+    itself = F.array_compact(F.array(F.when(doc_type.isin(*rules.SELF_LINKS) & (F.size(people) > 0), own)))
     return F.slice(F.concat(itself, found), 1, cap)
 
 
@@ -193,7 +195,7 @@ def liens(doc_type: Column, people: Column, text: Column, cap: int = CAPS["liens
 
     def held(pieces: Column, r: Column) -> Column:
         w = r["window"]
-        status = F.when(w.rlike(_any_case(rules.RELEASED)), "released").otherwise("open")
+        status = F.when(let(F.lower(w), lambda x: holds(x, rules.RELEASED)), "released").otherwise("open")
         creditor = F.coalesce(clean_name(_group(w, rules.IN_FAVOR_OF)), F.lit("Unknown creditor (per reference)"))
         debtor = F.coalesce(clean_name(_group(w, rules.EXECUTED_BY)), F.lit("Unknown debtor (per reference)"))
         where = source(F.lit(1), r["start"], r["end"], around(pieces, r["start"], r["end"], 60, 60))
@@ -203,7 +205,7 @@ def liens(doc_type: Column, people: Column, text: Column, cap: int = CAPS["liens
         with_lien = F.filter(F.transform(references(text), lambda r: typed(pieces, r)), lambda r: r["lien_type"].isNotNull())
         return F.transform(F.slice(first_by(with_lien, lambda r: r["key"]), 1, cap), lambda r: held(pieces, r))
 
-    itself = F.when(doc_type.isin(*rules.SELF_LIENS), F.array(own)).otherwise(F.slice(F.array(own), 1, 0))
+    itself = F.array_compact(F.array(F.when(doc_type.isin(*rules.SELF_LIENS), own)))
     return F.slice(F.concat(itself, let(blocks(text), found)), 1, cap)
 
 
@@ -215,9 +217,9 @@ def _mentions(text: Column, trigger: str, types: list[tuple[str, str]], after: i
 
     def fact(m: Column) -> Column:
         w = m["window"]
-        recorded = _absent(F.regexp_extract(w, _any_case(rules.RECORDING), 0))
-        group = lambda g: _absent(F.regexp_extract(recorded, _any_case(rules.RECORDING), g))
-        instrument = F.coalesce(group(3), F.concat(F.lit("Book "), group(1), F.lit(" Page "), group(2)))
+        group = lambda x, g: _absent(F.regexp_extract(x, _any_case(rules.RECORDING), g))
+        recorded = F.regexp_extract(w, _any_case(f"{_BEGIN}(?:{rules.RECORDING})"), 0)
+        instrument = let(recorded, lambda x: F.coalesce(group(x, 3), F.concat(F.lit("Book "), group(x, 1), F.lit(" Page "), group(x, 2))))
         return F.struct(first_match(w, types, "other").alias("type"), F.substring(w, 1, longest).alias("description"), instrument.alias("instrument"), source(F.lit(1), m["start"], m["end"], w).alias("source"), *(v.alias(k) for k, v in more(w).items()))
 
     every = let(blocks(text), lambda pieces: F.transform(match_spans(text, _any_case(trigger)), lambda m: mention(pieces, m)))
@@ -236,7 +238,7 @@ def easements(text: Column, cap: int = CAPS["easements"]) -> Column:
 
 def restrictions(text: Column, cap: int = CAPS["restrictions"]) -> Column:
     """array of (type, description, instrument, source, discriminatory)."""
-    return _mentions(text, rules.RESTRICTION_TRIGGER, rules.RESTRICTIONS, 240, 320, cap, lambda w: {"discriminatory": w.rlike(_any_case(rules.DISCRIMINATORY))})
+    return _mentions(text, rules.RESTRICTION_TRIGGER, rules.RESTRICTIONS, 240, 320, cap, lambda w: {"discriminatory": let(F.lower(w), lambda x: holds(x, rules.DISCRIMINATORY))})
 
 
 def bullets(section: Column, most: int = 20) -> Column:

@@ -185,14 +185,16 @@ def test_model_hooks(spark):
 
 
 def test_streaming_log(spark, tmp_path):
+    from quillspark.sources.keyed import KeyedTable
     from quillspark.streaming import edit_log
 
     log, out = str(tmp_path / "log"), str(tmp_path / "out")
     spark.createDataFrame([("e1", "s1", "2024-01-01 00:00:00", 1), ("e2", "s1", "2024-01-01 00:01:00", 2), ("e1", "s1", "2024-01-01 00:02:00", 3)], "edit_id string, section string, created_at string, seq long").withColumn("created_at", F.to_timestamp("created_at")).write.parquet(log)
     schema = spark.read.parquet(log).schema
-    q = edit_log.merge_into(edit_log.read(spark, log, schema, "parquet"), out, str(tmp_path / "cp"))
+    store = KeyedTable(spark, out, "edit_id string, section string, created_at timestamp, seq long", ("edit_id",), ("created_at",), 4)
+    q = edit_log.merge_into(edit_log.read(spark, log, schema, "parquet"), store, str(tmp_path / "cp"))
     q.awaitTermination(60)
-    assert sorted(r["edit_id"] for r in spark.read.parquet(f"{out}/v0").collect()) == ["e1", "e2"]
+    assert sorted((r["edit_id"], r["seq"]) for r in store.read().collect()) == [("e1", 3), ("e2", 2)]
     q = edit_log.unique(edit_log.read(spark, log, schema, "parquet")).writeStream.format("memory").queryName("uniq").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("uniq").count() == 2
