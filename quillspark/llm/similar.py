@@ -9,7 +9,8 @@ rarest shingles only, its keys, and every pair at the similarity meets under one
 Families of near copies meet under the same keys, so their pairs aren't listed. Each set is first held to one member of each of its keys, the
 one that has fewest rarer shingles and so is nearest to what the family has in common; what that joins up is one component. Then members of
 different components only are compared, those outside a key's most common component with all of it. Before sets themselves
-are compared, the parities of the numbers of shingles by bucket must not differ in more buckets than two sets at the similarity can differ in shingles.
+are compared, the parities of the numbers of shingles by bucket must not differ in more buckets than two sets at the similarity can differ in shingles; the last join holds
+that in its condition. A family whose members are all less alike than the similarity so costs comparisons of a few words each, as many as it has pairs under its rarest common shingles, but no rows.
 """
 
 from __future__ import annotations
@@ -115,12 +116,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bit
     def pairs(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+    rough = distinct.select("node", "size", *_WORDS)
+
+    def roughly(x: str, y: str) -> Column:
+        """Whether the parities of two sides leave it open that they are at the similarity."""
+        differ = sum((F.bit_count(F.col(f"{p}_{x}").bitwiseXOR(F.col(f"{p}_{y}"))) for p in _WORDS), F.lit(0))
+        return differ <= (F.col(f"size_{x}") + F.col(f"size_{y}")) * apart + 1e-6
+
     def verified(candidates: DataFrame, by: str) -> DataFrame:
-        """Those of the candidates (a, b) that are at the similarity. Parities are compared first; only sets that are still asked for are made again from their texts."""
-        rough = distinct.select("node", "size", *_WORDS)
-        differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in _WORDS), F.lit(0))
-        near = candidates.distinct().join(_sides(rough.withColumnRenamed("node", "a"), "x", "a"), "a").join(_sides(rough.withColumnRenamed("node", "b"), "y", "b"), "b").where(differ <= (F.col("size_x") + F.col("size_y")) * apart + 1e-6)
-        near = cut(near.select("a", "b"), f"{by}-pairs")
+        """Those of the candidates (a, b), whose parities leave it open, that are at the similarity. Only sets that are asked for are made again from their texts."""
+        near = cut(candidates.distinct(), f"{by}-pairs")
         asked = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "low", "text_hash"), "node"), f"{by}-asked")
         at = asked.select("node", F.col("low").alias("doc_id"), "text_hash")
         theirs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").alias("d").join(at.alias("q"), F.col("d.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("d.text_hash") == F.col("q.text_hash")))
@@ -139,7 +144,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bit
     by_bits = links(of_fp.select("fp"), bits).join(of_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(*pairs(F.col("x"), F.col("y")))
     hub = shared.groupBy("key").agg(F.min_by(F.struct("node", "size", "most"), F.struct("place", F.xxhash64("node"))).alias("h")).select("key", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("node", "size", "most")))
     by_hub = _sides(shared.drop("place"), "a", "key").join(cut(hub, "hubs"), "key").where((F.col("node_a") != F.col("node_b")) & fit).select(*pairs(F.col("node_a"), F.col("node_b")))
-    edges = verified(same.unionByName(by_bits).unionByName(by_hub), "hub")
+    first = same.unionByName(by_bits).unionByName(by_hub).distinct()
+    first = first.join(_sides(rough.withColumnRenamed("node", "a"), "x", "a"), "a").join(_sides(rough.withColumnRenamed("node", "b"), "y", "b"), "b").where(roughly("x", "y"))
+    edges = verified(first.select("a", "b"), "hub")
 
     found = cut(components(edges), "found")
     rows = shared.join(found, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
@@ -147,9 +154,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bit
     left = cut(rows.join(open_, "key"), "open")
     if not left.isEmpty():
         main = left.groupBy("key", "of").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("main"))
-        marked = cut(left.join(main, "key").withColumn("out", F.col("of") != F.col("main")).drop("main", "place"), "marked")
+        # parities are part of the join's condition: a family of sets that aren't at the similarity is compared in place, and no pair of it is made
+        marked = cut(left.join(main, "key").withColumn("out", F.col("of") != F.col("main")).drop("main", "place").join(rough.drop("size"), "node"), "marked")
         across = (F.col("of_a") != F.col("of_b")) & (~F.col("out_b") | (F.col("node_a") < F.col("node_b")))
-        rest = _sides(marked.where("out"), "a", "key").join(_sides(marked, "b", "key"), "key").where(across & fit)
+        rest = _sides(marked.where("out"), "a", "key").join(_sides(marked, "b", "key"), "key").where(across & fit & roughly("a", "b"))
         edges = edges.unionByName(verified(rest.select(*pairs(F.col("node_a"), F.col("node_b"))), "rest"))
         found = cut(components(edges), "found")
     grouped = cut(distinct.select("node", "h0", "h1", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")

@@ -178,6 +178,43 @@ def test_wide_large_family(spark):
     assert wide_components(spark, texts) == wanted
 
 
+@pytest.mark.parametrize("changed", ["x", "c0 c1 c2 c3 c4"])
+def test_wide_loose_family_by_brute_force(spark, changed, monkeypatch):
+    """Members are alike by a half to over 0.8: every pair at 0.8 is linked, and the pairs below aren't made."""
+    rng = random.Random(11)
+    base, by = [f"w{rng.randrange(5000)}" for _ in range(200)], changed.split()
+    rows = []
+    for i in range(2000):
+        x = list(base)
+        for p in rng.sample(range(200), rng.choice((6, 6, 6, 6, 5, 7))):
+            x[p] = rng.choice(by)
+        rows.append((i, " ".join(x)))
+    made, cut = {}, similar.cut
+
+    def noted(df, by=None):
+        made[by] = cut(df, by)
+        return made[by]
+
+    monkeypatch.setattr(similar, "cut", noted)
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [similar.shingle_set(t.encode(), 5) for _, t in rows]
+    names = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)))}
+    has = np.zeros((len(sets), len(names)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [names[h] for h in x]] = 1
+    both, sizes = has @ has.T, has.sum(axis=1)
+    a, b = np.nonzero(both + 1e-4 >= 0.8 * (sizes[:, None] + sizes - both))
+    low = np.arange(len(sets))
+    for _ in range(len(sets)):
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        if (new == low).all():
+            break
+        low = new
+    assert found == dict(enumerate(low.tolist()))
+    assert made["rest-pairs"].count() < 20 * len(rows) if "rest-pairs" in made else True
+
+
 def test_wide_short_texts(spark):
     texts = {}
     for i in range(0, 60, 2):
