@@ -22,7 +22,7 @@ from .common import map_arrow, table
 from .toxicity import crc_mod
 from .words import mix
 
-BITS = 12  # of a character's number in an n-gram's key
+BITS = 16  # of a character's number in an n-gram's key
 OTHER, SPACE = 0, 1
 _MASK = (1 << BITS) - 1
 _PIECE = 1 << 17
@@ -158,10 +158,10 @@ def _lookup(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table_[at] == x
 
 
-def train(texts: dict[str, list[str]], order: int = 4, letters: int = 4000) -> Model:
-    """The models of the given texts by language, with at most so many letters, the most frequent ones: an n-gram's key has 12 bits a letter. Rarer letters are one letter, as unseen ones are."""
-    if not 1 <= order <= 5:
-        raise ValueError("order: 1 to 5")
+def train(texts: dict[str, list[str]], order: int = 4, letters: int = _MASK - 2) -> Model:
+    """The models of the given texts by language. Every letter has a number of its own: an n-gram's key has 16 bits a letter, more than there are letters in all scripts in use; were there more, the rarest would be one letter, as unseen ones are."""
+    if not 1 <= order <= 4:
+        raise ValueError("order: 1 to 4")
     found = Counter(c for x in texts.values() for t in x for c in t.lower() if c.isalpha())
     model = Model(sorted(texts), Alphabet(sorted(c for c, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[: min(letters, _MASK - 2)])), order)
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language: of each order, keys and counts
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, each: int = 250, order: int = 4, most_chars: int = 4_00
     """The model from docs (doc_id, text, lang) with a language.
 
     Of each language at most about `each` documents, chosen by a hash of doc_id, are trained on, whole, and a quarter
-    as many serve for calibration; of either, no more are added once `most_chars` characters are reached, so that what is collected is bounded. Copies count once.
+    as many serve for calibration; of either, `most_chars` characters are taken at most, the last text up to there, so that what is collected is bounded however long a text is. Copies count once.
     Rows with a null text or lang aren't learnt from. Empty table: a model without languages, for which every text is `und`.
     """
     labelled = docs.where("lang is not null and text is not null")
@@ -228,7 +228,8 @@ def fit(docs: DataFrame, each: int = 250, order: int = 4, most_chars: int = 4_00
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 * number
     chosen = labelled.where(share < each * 1.25).select("lang", "text", (share >= each).alias("apart")).distinct()
     before = F.sum(F.length("text")).over(Window.partitionBy("lang", "apart").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1))
-    rows = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_chars).collect()
+    bounded = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_chars)
+    rows = bounded.select("lang", "apart", F.substring(F.col("text"), F.lit(1), (most_chars - F.col("before")).cast("int")).alias("text")).collect()
     texts: tuple[dict, dict] = {}, {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         texts[r["apart"]].setdefault(r["lang"], []).append(r["text"])

@@ -509,9 +509,27 @@ def test_language_of_long_texts(monkeypatch):
         assert np.allclose(model.entropies(texts)[0], whole)
 
 
-def test_language_sample_is_bounded(spark):
+def test_language_sample_is_bounded(spark, monkeypatch):
+    train = langid.train
     docs = spark.createDataFrame([(i, "abc de " * 100 + str(i), "x") for i in range(200)], "doc_id long, text string, lang string")
     assert langid.fit(docs, each=100, most_chars=1500).languages == ["x"]
+    seen, calibrate = [], langid.calibrate
+    monkeypatch.setattr(langid, "train", lambda texts, order: seen.append(texts) or train(texts, order))
+    monkeypatch.setattr(langid, "calibrate", lambda model, texts: seen.append(texts) or calibrate(model, texts))
+    long = spark.createDataFrame([(i, "word " * 50_000 + str(i), "x") for i in range(3)], "doc_id long, text string, lang string")
+    langid.fit(long, each=100, most_chars=1500)
+    assert all(sum(map(len, t.get("x", []))) <= 1500 for t in seen) and any(t for t in seen)
+
+
+def test_language_of_many_letters():
+    """Two languages of 8000 letters each: the rarest of them tell as well as frequent ones."""
+    rng = random.Random(2)
+    own = [[chr(0x4E00 + i) for i in range(8000)], [chr(0xAC00 + i) for i in range(8000)]]
+    texts = {n: ["".join(x) + "".join(rng.choices(x[:50], k=3000))] for n, x in zip("ab", own, strict=True)}
+    model = langid.train(texts, 4)
+    assert len(model.alphabet.letters) == 16_000
+    h, has = model.entropies(["".join(own[0][7000:7040]), "".join(own[1][7000:7040])])
+    assert has.all() and h.argmin(axis=1).tolist() == [0, 1]
 
 
 def test_language(spark, odd):
