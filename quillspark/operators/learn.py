@@ -63,6 +63,12 @@ def search(events: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     return found.select("query_id", F.col("chunk_id").alias("edit_id"), "score", "rank")
 
 
+def sections_in_order(events: DataFrame) -> DataFrame:
+    """section, place: the sections of a log (section, seq), from 1 by their first event; as many rows as there are sections are ranked."""
+    first = events.groupBy("section").agg(F.min("seq").alias("first"))
+    return first.select("section", F.row_number().over(Window.orderBy("first", "section")).alias("place"))
+
+
 def last_events(events: DataFrame, n: int = WINDOW) -> DataFrame:
     """The last n events of each section by their place in the log."""
     latest = Window.partitionBy("section").orderBy(F.desc("seq"))

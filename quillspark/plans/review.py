@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import models
+from .. import models, prompts
 from ..functions import rules
 from ..functions.text import GENERIC_WORDS
 from ..operators import chunk, draft, evaluate, extract, learn
 from ..sources import pages, tables
 from ..sources.tables import table
-from .extraction import _BODIES, _BUYER, _DOCUMENTS, _O, _TYPES, _VALID, _texts
+from .extraction import _BODIES, _BUYER, _DOCUMENTS, _LENDER, _O, _TYPES, _VALID, _texts
 from .sql import lit, said, when, words
 
 ADOPTED = "Commitment stands; nothing recorded beyond the legal description."
@@ -20,9 +20,13 @@ NEW_GAP = "Commitment recorded without requirements"
 BEFORE = "On review: " + rules.S1.format(owners=rules.S1_NO_OWNER, estate="", insured="", effective="")
 
 
-def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+#: Every third document tells of nothing.
+_MIXED = f"CASE WHEN k % 3 = 0 THEN concat('Nothing of note stands in paper ', k, '.') ELSE {_DOCUMENTS} END"
+
+
+def _documents(spark: SparkSession, d: str, text: str = _DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """The extracted documents, and of each section the one chunk that a short document is."""
-    docs = _texts(spark, d, _DOCUMENTS, doc_type=_TYPES)
+    docs = _texts(spark, d, text, doc_type=_TYPES)
     found = chunk.contextual_chunks(docs, spark.createDataFrame([], "doc_id long, ordinal int, name string, role string"))
     sections = F.explode(F.array(*(F.lit(f) for f, *_ in draft.SECTIONS)))
     hits = found.select("doc_id", sections.alias("section"), (F.col("idx") + 1).alias("rank"), F.col("doc_id").alias("hit_doc_id"), "page", "start", "end", "text", "contextual_text")
@@ -54,7 +58,8 @@ def draft_sections_with_learning(spark: SparkSession, d: str) -> DataFrame:
 
 
 def draft_summaries(spark: SparkSession, d: str) -> DataFrame:
-    out = draft.summaries(draft.sections(*_documents(spark, d)))
+    """What is said of a whole document, of such that tell of liens and of such that tell of nothing."""
+    out = draft.summaries(draft.sections(*_documents(spark, d, _MIXED)))
     return out.select("doc_id", "overall_risk", "overall_text", F.size("sections").alias("n_sections"), F.size("open_questions").alias("n_questions"), F.get("open_questions", F.lit(0)).alias("first_question"))
 
 
@@ -108,8 +113,8 @@ def contextual_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_list(spark: SparkSession, d: str) -> DataFrame:
-    """The sections that have edits."""
-    return table(spark, d, "events").select(F.col("event_type").alias("section")).distinct()
+    """The sections that have edits, in the order in which they first appear in the log."""
+    return learn.sections_in_order(table(spark, d, "events").select(F.col("event_type").alias("section"), F.col("event_id").alias("seq")))
 
 
 _ERRORS = ["429 rate limit, retry after 30s", "HTTP 401 unauthorized", "connection reset", "Quota exceeded; try again in 500ms", "invalid API key", "rate limit, wait 2m"]
@@ -188,9 +193,26 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def draft_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence of the drafts: the sections', their findings and the overall one."""
-    drafted = draft.sections(*_documents(spark, d))
-    return evaluate.spoken(drafted, draft.summaries(drafted)).groupBy("doc_id").agg(F.count_if(F.col("claim_id").endswith("/0")).alias("n_sections"), F.count_if(F.col("claim_id") == "overall").alias("n_overall"))
+    """Every sentence of the drafts by its kind: the sections', their findings and the overall one."""
+    drafted = draft.sections(*_documents(spark, d, _MIXED))
+    claims = evaluate.spoken(drafted, draft.summaries(drafted))
+    finding = ~F.col("claim_id").endswith("/0") & (F.col("claim_id") != "overall")
+    return claims.groupBy("doc_id").agg(F.count_if(F.col("claim_id").endswith("/0")).alias("n_sections"), F.count_if(finding).alias("n_findings"), F.max(F.when(F.col("claim_id") == "overall", F.col("text"))).alias("overall"))
+
+
+def section_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model would be asked with for a section of each document, its chunk, the section's rules and past edits in it, and for the rules themselves."""
+    x = table(spark, d, "documents").select("doc_id", "lang", "text")
+    hit = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("text"), F.concat(F.lit("From "), F.col("lang"), F.lit(".\n\n"), F.col("text")).alias("contextual_text"))
+    rule = F.struct(F.lit("r1").alias("id"), F.lit("Say it plainly.").alias("text"), F.array(F.lit("wording"), F.lit("style")).alias("triggers"), F.lit(0.6).alias("confidence"))
+    edit = F.struct(F.lit("summary[0].text").alias("field_path"), F.lit("wording").alias("edit_type"), F.substring("text", 1, 400).alias("before"), F.lit("better").alias("after"))
+    few = F.when(F.col("doc_id") % 2 == 0, F.array(edit)).otherwise(F.slice(F.array(edit), 1, 0))
+    known = F.when(F.col("doc_id") % 3 == 0, F.array(rule)).otherwise(F.slice(F.array(rule), 1, 0))
+    fields = F.to_json(F.struct("doc_id", "lang"))
+    asked = prompts.section(F.lit("Vesting"), F.col("doc_id").cast("string"), F.col("lang"), fields, F.array(hit), known, few)
+    judged = prompts.judge(F.lit("Vesting"), few, known)
+    placed = prompts.context(F.col("lang"), F.substring("text", 1, 900), F.col("text"))
+    return x.select("doc_id", *(F.sha2(p, 256).alias(n) for p, n in ((asked, "section_sha256"), (judged, "judge_sha256"), (placed, "context_sha256"))))
 
 
 def single_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +232,7 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_eval_run(spark: SparkSession, d: str) -> DataFrame:
-    """The whole evaluation: drafts without and with learning against gold drafts (of which the learnt wording is part), six measures, their means and what changed."""
+    """The whole evaluation: drafts without and with learning against gold drafts (of which the learnt wording is part), six measures, with the rules that the store has of all sections, their means and what changed."""
     documents, hits = _documents(spark, d)
     documents, hits = tables.written(documents, "documents"), tables.written(hits, "hits")
     pre = tables.written(draft.sections(documents, hits), "pre")
@@ -219,7 +241,10 @@ def paired_eval_run(spark: SparkSession, d: str) -> DataFrame:
     found = hits.where("section = 's1_vesting_and_estate'").select("doc_id", F.posexplode("hits").alias("i", "h"))
     asked = found.select(F.col("doc_id").alias("query_id"), (F.col("i") + 1).alias("rank"), F.col("h.doc_id").alias("doc_id"), "h.page", F.col("h.contextual_text").alias("text"))
     cited = documents.select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.array(F.lit(2), F.lit(9))).alias("page"))
-    wording = spark.createDataFrame([("r1", "Prefer terminology added by operators: commitment, beyond, recorded.")], "rule_id string, text string")
+    log = spark.createDataFrame([("s1_vesting_and_estate", BEFORE, ADOPTED, "wording", 1), ("s6_requirements_schedule_b_i", "", NEW_GAP, "addition", 2)], "section string, before string, after string, edit_type string, seq int")
+    store = tables.RuleStore(spark, tables.run_folder(spark, "rules"))
+    store.save(learn.distilled(log, store.load()))
+    wording = store.load().select("section", F.inline("rules")).select(F.concat_ws("/", "section", "id").alias("rule_id"), "text")
     case = lambda drafted, name: evaluate.measured(drafted, draft.summaries(drafted), gold, cited, asked, wording).withColumn("condition", F.lit(name))
     return evaluate.paired(evaluate.aggregated(case(pre, "pre").unionByName(case(post, "post"))))
 
@@ -228,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         draft_sections, draft_sections_with_learning, draft_summaries, draft_findings, structured_context, normalized_sentences, grounded_findings, reasonable_diff, contextual_chunks, section_list, provider_errors, json_answers, markdown_fallback,
-        simulated_edit_events, evaluation_cases, edit_log_round_trip, rule_store_round_trip, documents_by_path, section_texts, draft_claims, single_sentences, chunk_neighbourhoods, report_table, paired_eval_run,
+        simulated_edit_events, evaluation_cases, edit_log_round_trip, rule_store_round_trip, documents_by_path, section_texts, draft_claims, single_sentences, chunk_neighbourhoods, report_table, paired_eval_run, section_prompts,
     )
 }
 
@@ -274,6 +299,20 @@ SELECT k AS doc_id, section, text, adopted, gaps, 'yellow' AS flag, 1 AS page, g
   sha256(regexp_replace(CASE WHEN mid IS NULL THEN substr(chunk, 1, 200) ELSE substr(chunk, greatest(0, mid - 220) + 1, least(length(chunk), mid + 220) - greatest(0, mid - 220)) END, '^\\s+|\\s+$', '', 'g')) AS snippet_sha256 FROM m"""
 
 
+_CLAIMS = [
+    ("s1_vesting_and_estate", 1, f"CASE WHEN {_HAS_NAME} THEN 'Proposed Insured: ' || {_BUYER} || '.' END"), ("s1_vesting_and_estate", 2, f"CASE WHEN {_HAS_DATE} THEN 'Effective Date: ' || {_VALID} || '.' END"),
+    ("s2_legal_description", 1, f"'Legal Description: ' || substr({_BODIES[0]}, 1, 220) || '.'"), ("s3_chain_of_title", 1, "'Chain Of Title: mortgage.'"),
+    ("s4_open_encumbrances_and_liens", 1, "'Open Liens: ' || CASE WHEN k % 4 = 2 THEN 'Unknown creditor, ' ELSE '' END || 'Unknown creditor (per reference).'"), ("s5_easements_and_restrictions", 1, f"'Easements: ' || {_LENDER} || '.'"),
+]
+_CLAIM_ROWS = " UNION ALL ".join(f"SELECT k, '{section}' AS section, {nth} AS nth, {text} AS text, regexp_replace({_DOCUMENTS}, '\\s+$', '') AS chunk FROM {_O}" for section, nth, text in _CLAIMS)
+#: f: the structured fields told of in each section, and whether their own snippet bears them out.
+_FOUND = f"""p AS (SELECT *, list_filter(list_transform({words("text", GENERIC_WORDS)}, lambda w: instr(lower(chunk), w) - 1), lambda x: x >= 0) AS ps FROM ({_CLAIM_ROWS}) WHERE text IS NOT NULL), m AS (SELECT *, floor(list_sum(ps) / len(ps))::INT AS mid FROM p),
+s AS (SELECT *, CASE WHEN mid IS NULL THEN substr(chunk, 1, 200) ELSE substr(chunk, greatest(0, mid - 220) + 1, least(length(chunk), mid + 220) - greatest(0, mid - 220)) END AS snippet FROM m),
+f AS (SELECT *, len(list_intersect({words("text", GENERIC_WORDS)}, {words("snippet", ("",))})) > 0 AS held FROM s)"""
+#: Of the documents that tell of nothing only mortgages are liens, by their type.
+_NO_LIEN = "(k % 3 = 0 AND k % 4 <> 2)"
+_EDIT_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'Edits of the past, whose later wording is wanted:' || chr(10) || '- summary[0].text (wording)' || chr(10) || '  before: ' || substr(text, 1, 280) || chr(10) || '  after: better' || chr(10) ELSE '' END"
+_RULE_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'Rules learnt from operators'' edits:' || chr(10) || '- (r1, wording, style, 0.60) Say it plainly.' || chr(10) ELSE '' END"
 _N_GAPS = f"(9 + (NOT {_HAS_NAME})::INT + (NOT {_HAS_DATE})::INT)"
 _TT = "tt(conv_id, turn, text) AS (SELECT conv_id, turn, min(text) FROM conversations GROUP BY conv_id, turn)"
 _ERROR_SQL = "['rate_limit', 'permanent', 'transient', 'rate_limit', 'permanent', 'rate_limit'][event_id % 6 + 1]"
@@ -282,7 +321,9 @@ _WINDOWED = "(SELECT doc_id, lang, '## Page 2' || chr(10) || text || chr(10) ||
 SQL = {
     "draft_sections": _drafted(False),
     "draft_sections_with_learning": _drafted(True),
-    "draft_summaries": f"SELECT k AS doc_id, 'material_issues' AS overall_risk, {lit(rules.OVERALL.format(risk='material issues'))} AS overall_text, 8 AS n_sections, ({_N_GAPS} + 1)::INT AS n_questions, {lit(rules.GAP.format(field='vesting'))} AS first_question FROM {_O}",
+    "draft_summaries": f"""SELECT k AS doc_id, CASE WHEN {_NO_LIEN} THEN 'curable_issues' ELSE 'material_issues' END AS overall_risk, CASE WHEN {_NO_LIEN} THEN {lit(rules.OVERALL.format(risk='curable issues'))} ELSE {lit(rules.OVERALL.format(risk='material issues'))} END AS overall_text, 8 AS n_sections,
+  CASE WHEN k % 3 = 0 THEN 16 + (k % 4 = 0)::INT - (k % 4 = 2)::INT ELSE {_N_GAPS} + 1 END::INT AS n_questions, {lit(rules.GAP.format(field='vesting'))} AS first_question FROM {_O}""",
+    "draft_findings": f"WITH {_FOUND} SELECT k AS doc_id, section, (row_number() OVER (PARTITION BY k, section ORDER BY nth) - 1)::INT AS nth, text FROM f WHERE held",
     "structured_context": f"SELECT k AS doc_id, section, n::INT AS n_there FROM (SELECT k, unnest([{', '.join('{' + chr(39) + 'section' + chr(39) + f': {lit(s)}, ' + chr(39) + 'n' + chr(39) + f': {n}' + '}' for s, n in zip(_BASE, (f'{_HAS_NAME}::INT + {_HAS_DATE}::INT', '1', '1', '1', '1', '0', '0', '0'), strict=True))}], recursive := true) FROM {_O})",
     "normalized_sentences": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN 'd2:2,d1:1' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'd2:2' ELSE 'd1:1' END END AS cited,
   CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 4 > 0 AND o_orderkey % 3 = 2 THEN 'low' ELSE 'high' END AS confidence FROM orders""",
@@ -298,7 +339,11 @@ c AS (SELECT doc_id, idx, page, text, 'This chunk comes from ' || CASE WHEN rege
   UNION ALL SELECT doc_id, (n + r)::INT, 1, CASE WHEN r = 0 THEN 'Schedule A vested owner: Name ' || doc_id || '. Role: owner.' ELSE 'Schedule A vesting party: Name ' || doc_id || '. Role: grantee.' END, 'This chunk summarizes ' || CASE WHEN r = 0 THEN 'Schedule A vesting' ELSE 'a Schedule A party' END || ' for ' || doc_id || '.'
   FROM (SELECT DISTINCT doc_id, n FROM w WHERE doc_id % 3 = 0), (VALUES (0), (1)) AS v(r))
 SELECT doc_id, idx, doc_id || ':chunk:' || lpad(idx::VARCHAR, 4, '0') || ':' || substr(sha1(text), 1, 10) AS chunk_id, page, sha256(context || chr(10) || chr(10) || text) AS context_sha256 FROM c""",
-    "section_list": "SELECT DISTINCT event_type AS section FROM events",
+    "section_list": "SELECT event_type AS section, row_number() OVER (ORDER BY min(event_id))::INT AS place FROM events GROUP BY event_type",
+    "section_prompts": rf"""WITH x AS (SELECT *, {_EDIT_SQL} AS edits, {_RULE_SQL} AS known FROM documents) SELECT doc_id, sha256('Draft the section Vesting of a title review of ' || doc_id || ' (' || lang || ') as strict JSON: summary and bullet_findings (text, citations, confidence), gaps, flags. Cite a chunk for every sentence; name what is missing as a gap.' || chr(10) || {lit(prompts.DATA_ONLY)} || chr(10) || known || edits
+    || 'Structured fields:' || chr(10) || '{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}' || chr(10) || 'Chunks:' || chr(10) || '<chunk rank="1" doc="' || doc_id || '" page="1" span="0-' || length(text) || '">' || chr(10) || substr('From ' || lang || '.' || chr(10) || chr(10) || text, 1, 6000) || chr(10) || '</chunk>') AS section_sha256,
+  sha256('Make up to 7 short, general wording rules of the section Vesting out of these edits, as strict JSON: rules (id, text, triggers, confidence) and superseded ids.' || chr(10) || {lit(prompts.DATA_ONLY)} || chr(10) || edits || known) AS judge_sha256,
+  sha256('In one sentence, tell by section and subject where in this ' || lang || ' the chunk stands.' || chr(10) || {lit(prompts.DATA_ONLY)} || chr(10) || 'Around it:' || chr(10) || substr(text, 1, 900) || chr(10) || 'Chunk:' || chr(10) || substr(text, 1, 6000)) AS context_sha256 FROM x""",
     "provider_errors": f"SELECT event_id, {_ERROR_SQL} AS kind, [30.0, NULL, NULL, 0.5, NULL, 120.0][event_id % 6 + 1]::DOUBLE AS seconds FROM events",
     "json_answers": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id END AS n FROM events",
     "markdown_fallback": """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 0 WHEN doc_id % 3 > 0 THEN 1 ELSE 2 END AS reader, (CASE WHEN doc_id % 4 = 2 OR doc_id % 3 > 0 THEN 400 ELSE length('# ' || doc_id || chr(10) || 'Document type: ' || lang || chr(10) || 'Vesting: ' || lang || chr(10) || 'Legal description: ' || chr(10) || 'Policy amount: 1') END)::INT AS n_chars FROM documents""",
@@ -309,7 +354,8 @@ SELECT conv_id AS matter_id, 'summary[' || turn || '].text' AS field_path, CASE
     "rule_store_round_trip": "SELECT DISTINCT event_type AS section, CASE WHEN event_type = 'click' THEN 1 ELSE 2 END AS version, 2 AS n_rules, 'Prefer terminology added by operators: indemnity.' AS first_rule FROM events",
     "documents_by_path": "SELECT doc_id::VARCHAR AS doc_id, lang, doc_id || '.title_document.json' AS name FROM documents",
     "section_texts": "SELECT event_id, concat_ws(' ', CASE WHEN event_id % 2 > 0 THEN 'said said' || event_id END, CASE WHEN event_id % 3 > 0 THEN 'found found' || event_id END, CASE WHEN event_id % 5 > 0 THEN 'gap gap' || event_id END) AS text FROM events",
-    "draft_claims": "SELECT o_orderkey AS doc_id, 8 AS n_sections, 1 AS n_overall FROM orders",
+    "draft_claims": f"""WITH {_FOUND}, n AS (SELECT k, count(*) FILTER (held) AS n FROM f GROUP BY k)
+SELECT o.k AS doc_id, 8 AS n_sections, CASE WHEN o.k % 3 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_findings, CASE WHEN {_NO_LIEN.replace('k %', 'o.k %')} THEN {lit(rules.OVERALL.format(risk='curable issues'))} ELSE {lit(rules.OVERALL.format(risk='material issues'))} END AS overall FROM {_O} o LEFT JOIN n ON n.k = o.k""",
     "single_sentences": r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Chunk ' || doc_id || ' is on page 1!' ELSE substr(trim(regexp_replace(regexp_replace(text, '[.!?]', ',', 'g'), '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+', ' ', 'g')), 1, 240) END AS sentence FROM documents",
     "chunk_neighbourhoods": """WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'not in there at all' ELSE substr(text, 301, 250) END AS piece FROM documents), y AS (SELECT *, CASE WHEN trim(substr(piece, 1, 200)) = '' THEN 0 ELSE instr(text, trim(substr(piece, 1, 200))) END AS place FROM x)
 SELECT doc_id, sha256(CASE WHEN place > 0 THEN substr(text, greatest(place - 1 - 200, 0) + 1, place - 1 + length(piece) + 200 - greatest(place - 1 - 200, 0)) ELSE substr(text, 1, 400) END) AS around_sha256 FROM y""",

@@ -180,3 +180,11 @@ def test_linear_time(spark):
         seconds(made(100))
         one = min(seconds(made(small)) for _ in range(2))
         assert seconds(made(large)) < 6 * max(one, 0.3)
+
+
+def test_sections_in_the_order_of_the_log(spark):
+    from quillspark.operators import learn
+
+    log = spark.createDataFrame([("b", 3), ("a", 5), ("c", 1), ("b", 9)], "section string, seq int")
+    assert [(r["section"], r["place"]) for r in learn.sections_in_order(log).orderBy("place").collect()] == [("c", 1), ("b", 2), ("a", 3)]
+    assert learn.sections_in_order(log.limit(0)).count() == 0
