@@ -239,8 +239,8 @@ def listed_edits(found: DataFrame, k: int = 3) -> DataFrame:
 def retrieved(chunks: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, section, hits: what each section's query finds among the chunks (doc_id, chunk_id, page, start, end, text, contextual_text) of its own document, by hybrid search."""
     corpus = chunks.select(F.col("doc_id").alias("corpus_key"), "chunk_id", F.col("contextual_text").alias("text"))
-    asked = F.inline(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("text")) for i, (_, _, q, _) in enumerate(SECTIONS))))
-    found = retrieve.hybrid(corpus, chunks.select(F.col("doc_id").alias("corpus_key")).distinct().select("corpus_key", asked), k=k)
+    asked = chunks.sparkSession.createDataFrame([(i, q) for i, (_, _, q, _) in enumerate(SECTIONS)], "query_id int, text string")
+    found = retrieve.hybrid(corpus, asked, k=k)
     named = F.element_at(F.array(*(F.lit(f) for f, *_ in SECTIONS)), F.col("query_id") + 1)
     hits = found.select(F.col("corpus_key").alias("doc_id"), "chunk_id", named.alias("section"), "rank").join(chunks, ["doc_id", "chunk_id"])
     return listed_hits(hits.withColumn("hit_doc_id", F.col("doc_id")), k)

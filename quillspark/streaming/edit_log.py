@@ -31,14 +31,22 @@ def counts(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> Da
 
 
 def merge_into(events: DataFrame, store: KeyedTable, checkpoint: str, stream: str = "edits") -> StreamingQuery:
-    """Upserts each batch of what has come into a keyed table. The table knows the last batch of the stream, so a batch that runs again, after a restart or a failure between the table and the checkpoint, changes nothing."""
+    """Upserts each batch of what has come into a keyed table. The table knows the last batch of the stream, so a batch that runs again, after a restart or a failure between the table and the checkpoint, changes nothing.
+
+    Batches are numbered by the checkpoint, so it is part of the stream's name: with a new one all that comes is merged again, which keys make harmless.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.upsert(batch, stream, number)
+        store.upsert(batch, f"{stream}/{_query(batch)}", number)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _query(batch: DataFrame) -> str | None:
+    """The identity of the streaming query, which its checkpoint keeps."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def last_per_section(events: DataFrame, n: int = 20, idle: int = 0) -> DataFrame:
     """section, edit_ids, newest: the last n edits (section, seq, edit_id) of each section as a list in state, put out as a whole whenever it changes; at most n a section are held.
 
@@ -82,10 +90,10 @@ def last_per_section(events: DataFrame, n: int = 20, idle: int = 0) -> DataFrame
 
 def latest_lists(spark: SparkSession, changes: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs the stream of last_per_section over what has come and returns section, edit_ids: the lists as they stand, kept in a keyed table."""
-    store = KeyedTable(spark, path, "section string, edit_ids array<string>, newest long, batch long", ("section",), ("batch",), 8)
+    store = KeyedTable(spark, path, "section string, edit_ids array<string>, newest long, version long", ("section",), ("version",), 8)
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.upsert(batch.withColumn("batch", F.lit(number).cast("long")), "lists", number)
+        store.upsert(batch.withColumn("version", F.lit(store.manifest().version).cast("long")), f"lists/{_query(batch)}", number)
 
     before = spark.conf.get(STATE_STORE[0], None)
     spark.conf.set(*STATE_STORE)
