@@ -192,3 +192,16 @@ def test_sections_in_the_order_of_the_log(spark):
     log = spark.createDataFrame([("b", 3), ("a", 5), ("c", 1), ("b", 9)], "section string, seq int")
     assert [(r["section"], r["place"]) for r in learn.sections_in_order(log).orderBy("place").collect()] == [("c", 1), ("b", 2), ("a", 3)]
     assert learn.sections_in_order(log.limit(0)).count() == 0
+
+
+def test_queries_of_every_corpus(spark):
+    """Queries without a corpus find what the same queries find that are repeated for each."""
+    from quillspark.operators import retrieve
+
+    rng = random.Random(6)
+    words = "lien deed tax lot book page easement grant vested owner".split()
+    chunks = spark.createDataFrame([(k, f"c{i}", " ".join(rng.choices(words, k=rng.randrange(1, 12)))) for k in (1, 2, 3) for i in range(12)] + [(4, "c0", "")], "corpus_key int, chunk_id string, text string")
+    asked = spark.createDataFrame([(0, "vested owner lien"), (1, "tax book page none")], "query_id int, text string")
+    repeated = chunks.select("corpus_key").distinct().join(asked)
+    shown = lambda q: sorted(map(tuple, retrieve.hybrid(chunks, q).select("corpus_key", "query_id", "chunk_id", "score", "rank").collect()))
+    assert shown(asked) == shown(repeated) and len(shown(asked)) == 30
