@@ -17,10 +17,12 @@ NAMES = {
     "comments": "comments comment reply replies discussion respond feedback disqus thread commentlist reviews",
     "share": "share sharing social buttons follow",
 }
+#: Names that tell nothing of a part, beside those that do.
+PLAIN = "wrap wrapper box container inner outer block unit slot area region row col column item group panel module holder left right large small first last".split()
 PHRASES = {
     "nav": "Home|About|Contact|News|Menu|Next|Previous|Login|Search|Archive|Products",
     "header": "Welcome|The Daily Page|Skip to content|Sign in|Subscribe",
-    "footer": "© 2024|All rights reserved.|Privacy policy|Terms of use|Contact us|Imprint",
+    "footer": "© 2024|All rights reserved.|Copyright|Privacy policy|Terms of use|Contact us|Imprint",
     "sidebar": "Related|Most read|Popular posts|Tags|Recent articles|Read more",
     "notice": "We use cookies to improve this site.|Accept all|This site uses cookies|Important notice",
     "ad": "Advertisement|Sponsored|Buy now|Special offer|Click here",
@@ -49,7 +51,9 @@ def _named(rng: np.random.Generator, kind: str, tag: str | None = None) -> tuple
     tag = tag or (str(rng.choice(own)) if plain else str(rng.choice(["div", "div", "section", "ul" if kind == "nav" else "div"])))
     if plain and rng.random() < 0.6:
         return f"<{tag}>", f"</{tag}>"
-    names = rng.choice(NAMES[kind].split(), int(rng.integers(1, 3)), replace=False)
+    names = [*rng.choice(NAMES[kind].split(), int(rng.integers(1, 3)), replace=False)]
+    if rng.random() < 0.3:
+        names.insert(int(rng.integers(len(names) + 1)), rng.choice(PLAIN))
     joined = str(rng.choice([" ", "-", "_"])).join(names)
     return f'<{tag} {rng.choice(["class", "class", "id"])}="{joined}">', f"</{tag}>"
 
@@ -119,6 +123,14 @@ class _Page:
         if rng.random() < 0.2:
             around.append(_named(rng, "article", "div"))
         self.out += [a for a, _ in around]
+        self.body()
+        if rng.random() < 0.12:
+            self.part("comments")
+        self.out += [b for _, b in reversed(around)]
+
+    def body(self) -> None:
+        """The article's own blocks, with parts of other kinds among them."""
+        rng = self.rng
         if rng.random() < 0.85:
             title = _words(rng, 1, 12)
             if rng.random() < 0.15:
@@ -148,28 +160,66 @@ class _Page:
             elif kind < 0.89:
                 self.block(str(rng.choice(["blockquote", "pre"])), _words(rng, 3, 30), True)
             elif kind < 0.91:
-                self.out.append("<table><tr>")
-                for _ in range(int(rng.integers(1, 4))):
-                    self.block("td", _words(rng, 1, 4), True)
-                self.out.append("</tr></table>")
+                self.table(int(rng.integers(1, 4)), int(rng.integers(1, 4)))
             elif kind < 0.94:
                 self.out.append(f"<p><b>{_words(rng, 1, 10)}.<br>")  # never closed
                 self.labels.append(True)
-            elif kind < 0.955:
+            elif kind < 0.945:
                 self.out.append("<figure><img src='x.png'>")
                 self.block("figcaption", _words(rng, 2, 10), True)
                 self.out.append("</figure>")
+            elif kind < 0.95:
+                self.out.append("<dl>")
+                for _ in range(int(rng.integers(1, 4))):
+                    self.block("dt", _words(rng, 1, 4), True)
+                    self.block("dd", _words(rng, 1, 20), True)
+                self.out.append("</dl>")
             else:
-                self.part(str(rng.choice(["ad", "share", "form", "sidebar", "notice"])))
-        if rng.random() < 0.12:
-            self.part("comments")
-        self.out += [b for _, b in reversed(around)]
+                self.part(str(rng.choice(["ad", "ad", "share", "form", "sidebar", "notice"])))
+
+    def table(self, rows: int, columns: int) -> None:
+        head = self.rng.random() < 0.4
+        self.out.append("<table>")
+        for i in range(rows):
+            self.out.append("<tr>")
+            for _ in range(columns):
+                self.block("th" if head and i == 0 else "td", _words(self.rng, 1, 4), True)
+            self.out.append("</tr>")
+        self.out.append("</table>")
+
+    def laid_out(self) -> None:
+        """A page that is one table: its name above, links beside the article, and what is said below all pages."""
+        rng = self.rng
+        links = lambda: "<br>".join(f'<a href="/{rng.integers(99)}">{_words(rng, 1, 3)}</a>' for _ in range(int(rng.integers(2, 9))))
+        self.out.append("<table>")
+        if rng.random() < 0.8:
+            self.out.append(f"<tr><td colspan=2><font size=5>{self.phrase('header')}</font></td></tr>")
+            self.labels.append(False)
+        self.out.append("<tr>")
+        if rng.random() < 0.8:
+            self.out.append(f"<td width=150>{links()}</td>")
+            self.labels.append(False)
+        self.out.append("<td>")
+        self.body()
+        self.out.append("</td>")
+        if rng.random() < 0.3:
+            self.out.append(f"<td>{links()}</td>")
+            self.labels.append(False)
+        self.out.append("</tr>")
+        if rng.random() < 0.8:
+            self.out.append(f"<tr><td colspan=3><font size=1>{self.phrase('footer')} {_words(rng, 1, 5)}.</font></td></tr>")
+            self.labels.append(False)
+        self.out.append("</table>")
 
 
 def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A page, and of each of its blocks whether it belongs to the article."""
     page = _Page(rng)
     page.out.append("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>")
+    if rng.random() < 0.06:
+        page.laid_out()
+        page.out.append("</body></html>")
+        return "".join(page.out), page.labels
     for kind, chance in (("notice", 0.25), ("header", 0.5), ("nav", 0.8), ("ad", 0.4), ("form", 0.15), ("sidebar", 0.25)):
         if rng.random() < chance:
             page.part(kind)
