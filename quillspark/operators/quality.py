@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_class, page_confidence
+from ..sources.tables import written
 
 SPARSE, RATIO, FEW = 60, 0.30, 3
 #: Added before rounding, so that a value halfway between two rounds alike wherever its last bit is.
@@ -53,8 +56,53 @@ def routed(pages: DataFrame, fixture: DataFrame) -> DataFrame:
     return joined.select(
         "doc_id", "page",
         F.when(found, F.col("_text")).otherwise(F.col("text")).alias("text"),
-        F.when(found, "transcript").otherwise("text_layer").alias("parser"),
+        F.when(found, "transcript").otherwise(F.col("parser") if "parser" in pages.columns else F.lit("text_layer")).alias("parser"),
         F.when(found, F.lit(0.95)).when(F.col("hand"), F.least(F.lit(0.4), F.col("confidence"))).otherwise(F.col("confidence")).alias("confidence"),
         F.when(F.col("hand"), "handwritten").otherwise(F.col("classification")).alias("classification"),
         F.when(F.col("hand") & ~found, F.array(F.lit("handwritten page without transcript"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
+
+
+def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], DataFrame], transcripts: DataFrame, most: int = 500) -> DataFrame:
+    """doc_id, pages (page, text, parser, confidence, classification, warnings; by number), parsers, warnings, markdown of each file (doc_id, name) out of the first parser's rows (doc_id, page, text, warnings; page 0: it failed).
+
+    A document without text goes to the second parser as a whole, one with many sparse pages for these: again() gets doc_id and wanted, the pages' numbers or null for all, and returns rows like `pages`. Of a page read twice the
+    longer text stays. Handwritten pages take the transcript (doc_id, page, text). Pages after the first `most` are left out, with a warning. A file that nothing reads has no pages. Nothing but one document's pages, `most` at most, comes into one row.
+    """
+    read = pages.where("page > 0")
+    bare = (F.length(F.btrim(F.coalesce("text", F.lit("")))) < SPARSE) & (F.col("page") <= most)
+    told = read.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.array_sort(F.collect_list(F.when(bare, F.col("page")))).alias("sparse"))
+    kept, few = F.least(F.coalesce("n", F.lit(0)), F.lit(most)), F.size(F.coalesce("sparse", F.array().cast("array<int>")))
+    per = files.select("doc_id", "name").join(told, "doc_id", "left").withColumn("whole", F.coalesce("chars", F.lit(0)) < SPARSE)
+    per = written(per.withColumn("rescue", ~F.col("whole") & (few > 0) & ((few / kept >= RATIO) | (kept <= FEW))).withColumn("passed", ~F.col("whole") & (few > 0) & ~F.col("rescue")), "intake")
+    other = written(again(per.where("whole or rescue").select("doc_id", F.when(~F.col("whole"), F.col("sparse")).alias("wanted"))), "again")
+    second = other.where("page > 0").select("doc_id", "page", "text", "warnings")
+    ours = second.groupBy("doc_id").agg(F.count("*").alias("n_second"))
+    per = per.join(ours, "doc_id", "left").withColumn("second", F.col("n_second").isNotNull()).withColumn("replaced", F.col("whole") & F.col("second"))
+    replaced = per.where("replaced").select("doc_id")
+
+    base = read.select("doc_id", "page", "text", "warnings").join(replaced, "doc_id", "left_anti").join(second.select("doc_id", "page", F.col("text").alias("_text"), F.col("warnings").alias("_warnings")), ["doc_id", "page"], "left")
+    longer = F.length(F.btrim(F.coalesce("_text", F.lit("")))) > F.length(F.btrim(F.coalesce("text", F.lit(""))))
+    base = base.select("doc_id", "page", *(F.when(longer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "warnings")), F.when(longer, "ocr").otherwise("text_layer").alias("parser"))
+    every = base.unionByName(second.join(replaced, "doc_id", "left_semi").withColumn("parser", F.lit("ocr")))
+    sizes = every.groupBy("doc_id").agg(F.count("*").alias("n_read"))
+    capped = every.where(F.col("page") <= most).join(files.select("doc_id", "name"), "doc_id")
+    marked = routed(capped, transcripts).withColumnRenamed("warnings", "_more").join(capped.select("doc_id", "page", "warnings"), ["doc_id", "page"])
+    own = F.when(F.col("parser") == "transcript", F.array(F.lit("page taken from a transcript"))).otherwise(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), "_more"))
+    listed = marked.select("doc_id", F.struct("page", "text", "parser", "confidence", "classification", own.alias("warnings"), F.size("_more").alias("lost")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("listed"))
+
+    failed = pages.where("page = 0").select("doc_id", "warnings").unionByName(other.where("page = 0").select("doc_id", "warnings")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("warnings"))).alias("failed"))
+    joined = per.join(listed, "doc_id", "left").join(sizes, "doc_id", "left").join(failed, "doc_id", "left").withColumn("listed", F.coalesce("listed", F.array().cast(listed.schema["listed"].dataType)))
+    lost = F.transform(F.filter("listed", lambda x: x["lost"] > 0), lambda x: F.concat(F.lit("page "), x["page"].cast("string"), F.lit(" is handwritten and has no transcript")))
+    notes = F.array_compact(F.array(
+        F.when(F.col("n_read") > most, F.concat("n_read", F.lit(f" pages, of which the first {most} are kept"))),
+        F.when(F.col("passed"), F.concat(F.size("sparse"), F.lit(" sparse pages of "), kept, F.lit(" stay as they are"))),
+    ))
+    used = F.array_compact(F.array(F.when(~F.col("replaced"), "text_layer"), F.when(F.col("second"), "ocr"), F.when(F.exists("listed", lambda x: x["parser"] == "transcript"), "transcript")))
+    return joined.select(
+        "doc_id",
+        F.transform("listed", lambda x: F.struct(*(x[c].alias(c) for c in ("page", "text", "parser", "confidence", "classification", "warnings")))).alias("pages"),
+        used.alias("parsers"),
+        F.concat(F.coalesce("failed", F.array().cast("array<string>")), notes, lost).alias("warnings"),
+        F.array_join(F.transform("listed", lambda x: F.concat(F.lit("## Page "), x["page"].cast("string"), F.lit("\n\n"), F.btrim(F.coalesce(x["text"], F.lit(""))))), "\n\n").alias("markdown"),
+    )

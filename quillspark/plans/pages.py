@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import DOCUMENT_TYPES
 from ..functions.text import first_match, first_match_sql, page_class, page_confidence
 from ..operators import chunk, quality
-from ..sources.tables import table
+from ..sources.pages import parse
+from ..sources.tables import table, written
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +86,34 @@ def document_assembly(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sha2(F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n"), 256).alias("markdown_sha256"))
 
 
+def _text_layer(content: bytes) -> list[str]:
+    """A stand-in: pages of 300 characters. Some documents can't be read, some have no text layer, and some pages of others are pictures."""
+    text = content.decode()
+    if len(text) % 7 == 0:
+        raise ValueError("no pages")
+    cut = [text[a : a + 300] for a in range(0, len(text), 300)]
+    return ["" if len(text) % 11 == 0 else p[:20] if len(text) % 2 == 0 and i % 3 == 0 else p for i, p in enumerate(cut)]
+
+
+def _ocr(content: bytes) -> list[str]:
+    text = content.decode()
+    if len(text) % 13 == 0:
+        raise ValueError("no pages")
+    return [text[a : a + 300] for a in range(0, len(text), 300)]
+
+
+def document_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from their files: text layer first, the second parser where it's needed, transcripts of what is handwritten."""
+    files = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    names = files.select("doc_id", F.when(F.col("doc_id").endswith("5"), F.concat("doc_id", F.lit("-handwritten"))).otherwise(F.col("doc_id")).alias("name"))
+    first = written(parse(files, lambda: _text_layer, "text_layer"), "first")
+    transcripts = names.where("name <> doc_id").select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("transcript of "), "doc_id").alias("text"))
+    out = quality.intake(names, first, lambda asked: parse(files, lambda: _ocr, "ocr", asked), transcripts)
+    lowest = F.array_min(F.transform("pages", lambda p: p["confidence"]))
+    by = F.array_join(F.transform("pages", lambda p: F.concat(p["parser"], F.lit(":"), p["classification"])), " ")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("pages").alias("n_pages"), F.array_join("parsers", " ").alias("parsers"), F.size("warnings").alias("n_warnings"), F.round(lowest, 6).alias("lowest"), F.sha2(by, 256).alias("pages_sha256"), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
 _N = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 
 
@@ -107,7 +136,7 @@ _SCORED = f"SELECT *, {_CLASS.format('c')} AS classification FROM (SELECT doc_id
 
 QUERIES = {
     f.__name__: f
-    for f in (token_windows_600_80, chunk_ids_and_spans, chunk_context_sentence, chunks_per_doc_cap, page_quality_confidence, page_classification_counts, sparse_page_rescue_gate, rescued_pages, page_routing, doc_type_inference, last_page_marker_before_offset, content_length, document_assembly)
+    for f in (token_windows_600_80, chunk_ids_and_spans, chunk_context_sentence, chunks_per_doc_cap, page_quality_confidence, page_classification_counts, sparse_page_rescue_gate, rescued_pages, page_routing, doc_type_inference, last_page_marker_before_offset, content_length, document_assembly, document_intake)
 }
 SQL = {
     "token_windows_600_80": _windows(600, 520, None),
@@ -129,4 +158,15 @@ FROM (SELECT doc_id, lang, replace(regexp_extract(t, '(?i)\b(Schedule\s+[A-Z](?:
 FROM (SELECT *, (doc_id * 7919 % (length(t) + 1))::INT AS upto FROM (SELECT doc_id, 'Page 1 ' || substr(text, 1, 40) || ' Page 2 ' || substr(text, 41, 40) || ' Page 3 ' || text AS t FROM documents))""",
     "content_length": "SELECT doc_id, length(trim(replace(replace(replace(replace('<!-- image -->' || text || '[illegible]', '<!-- image -->', ''), '[illegible]', ''), '[blank page]', ''), '---', '')))::INT AS n_chars FROM documents",
     "document_assembly": "SELECT conv_id AS doc_id, count(*) AS n_pages, sha256(string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn, text)) AS markdown_sha256 FROM conversations GROUP BY conv_id",
+    "document_intake": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS whole, length(whole) AS len, doc_id % 10 = 5 AS hand FROM documents),
+pg AS (SELECT *, unnest(generate_series(1, ceil(len / 300.0)::BIGINT)) AS page, substr(whole, (page - 1) * 300 + 1, 300) AS full_page, CASE WHEN len % 11 = 0 THEN '' WHEN len % 2 = 0 AND page % 3 = 1 THEN substr(full_page, 1, 20) ELSE full_page END AS layer FROM d),
+per AS (SELECT d.doc_id, d.len, count(page) AS n, coalesce(sum(length(layer)), 0) AS chars, count(page) FILTER (length(trim(layer)) < 60 AND page <= 500) AS few FROM d LEFT JOIN pg ON pg.doc_id = d.doc_id AND d.len % 7 <> 0 GROUP BY ALL),
+st AS (SELECT *, chars < 60 AS none, NOT none AND few > 0 AND (few / least(n, 500) >= 0.30 OR n <= 3) AS rescue, NOT none AND few > 0 AND NOT rescue AS passed, len % 13 <> 0 AND len > 0 AND (none OR rescue) AS second, none AND second AS replaced FROM per),
+ch AS (SELECT pg.doc_id, pg.page, hand, replaced OR (second AND length(trim(layer)) < 60 AND length(trim(full_page)) > length(trim(layer))) AS ocr, CASE WHEN ocr THEN full_page ELSE layer END AS own FROM pg JOIN st USING (doc_id) WHERE (replaced OR pg.len % 7 <> 0) AND page <= 500),
+hd AS (SELECT *, hand OR (contains(lower(own), 'probate court') AND contains(lower(own), 'made this')) AS h, hand AND page = 1 AS script, {_TRIMMED.format('own')} AS t FROM ch),
+sc AS (SELECT *, round({_CONF} + 1e-12, 6) AS c FROM hd),
+pp AS (SELECT doc_id, page, h, script, CASE WHEN script THEN 'transcript of ' || doc_id ELSE own END AS text, CASE WHEN script THEN 0.95 WHEN h THEN least(0.4, c) ELSE c END AS confidence, CASE WHEN script THEN 'transcript' WHEN ocr THEN 'ocr' ELSE 'text_layer' END || ':' || CASE WHEN h THEN 'handwritten' ELSE {_CLASS.format('c')} END AS how FROM sc),
+ag AS (SELECT doc_id, count(*) AS n_pages, count(*) FILTER (h AND NOT script) AS lost, bool_or(script) AS script, min(confidence) AS lowest, string_agg(how, ' ' ORDER BY page) AS hows, string_agg('## Page ' || page || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) AS md FROM pp GROUP BY doc_id)
+SELECT doc_id, coalesce(n_pages, 0)::INT AS n_pages, concat_ws(' ', CASE WHEN NOT replaced THEN 'text_layer' END, CASE WHEN second THEN 'ocr' END, CASE WHEN script THEN 'transcript' END) AS parsers,
+  ((len % 7 = 0)::INT + (len % 13 = 0 AND (none OR rescue))::INT + passed::INT + (coalesce(CASE WHEN replaced OR len % 7 <> 0 THEN ceil(len / 300.0) END, 0) > 500)::INT + coalesce(lost, 0))::INT AS n_warnings, round(lowest, 6)::DOUBLE AS lowest, sha256(coalesce(hows, '')) AS pages_sha256, sha256(coalesce(md, '')) AS markdown_sha256 FROM st LEFT JOIN ag USING (doc_id)""",
 }

@@ -21,20 +21,25 @@ def binary_files(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select(stem.alias("doc_id"), "content")
 
 
-def parse(files: DataFrame, make: Callable[[], Callable[[bytes], list[str]]], name: str) -> DataFrame:
-    """PAGE rows of each file by a parser that is built once a partition; a file it fails on is one row without text, with a warning. Blank pages are warned about."""
+def parse(files: DataFrame, make: Callable[[], Callable[[bytes], list[str]]], name: str, asked: DataFrame | None = None) -> DataFrame:
+    """PAGE rows of each file by a parser that is built once a partition; a file it fails on is one row without text, with a warning. Blank pages are warned about.
+
+    asked: doc_id, wanted: only these files are read, and of their pages those whose numbers are wanted; null: all.
+    """
+    files = files.select("doc_id", "content", F.lit(None).cast("array<int>").alias("wanted")) if asked is None else files.select("doc_id", "content").join(asked.select("doc_id", F.col("wanted").cast("array<int>").alias("wanted")), "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = make()
         for frame in frames:
             rows = []
-            for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
+            for doc_id, content, wanted in zip(frame["doc_id"], frame["content"], frame["wanted"], strict=True):
                 try:
                     pages = parser(content)
                 except Exception as e:  # a parser's failure is a fact about the file, not about the job
                     rows.append((doc_id, 0, None, name, [f"{name} failed: {type(e).__name__}"]))
                     continue
-                rows += [(doc_id, i, t, name, [] if t.strip() else ["empty page"]) for i, t in enumerate(pages, 1)]
+                only = None if wanted is None else set(wanted)
+                rows += [(doc_id, i, t, name, [] if t.strip() else ["empty page"]) for i, t in enumerate(pages, 1) if only is None or i in only]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "parser", "warnings"])
 
     return files.mapInPandas(run, PAGE)

@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillspark import cli
+from quillspark.operators import quality
 from quillspark.sources import pages, tables
 
 
@@ -66,3 +68,36 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "hybrid_search_top5" in capsys.readouterr().out
     assert cli.main(["run", "section_dimension", "/root/testdata/sf0.001", "--out", str(tmp_path / "out")]) == 0
     assert spark.read.json(str(tmp_path / "out")).count() == 8
+
+
+def test_intake(spark):
+    """Only what is asked for is read again, the longer text of a page stays, and what nothing reads is a document without pages."""
+    long, cut = "A page with a good deal of text, far over sixty characters, which is kept.", "cut"
+    names = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("e", "e-handwritten")], "doc_id string, name string")
+    of = lambda rows: spark.createDataFrame(rows, "doc_id string, page int, text string, warnings array<string>")
+    first = of([("a", 1, long, []), ("a", 2, cut, ["empty page"]), ("b", 0, None, ["failed"]), *(("c", i, cut if i == 3 else long, []) for i in range(1, 6)), ("d", 1, "", []), ("e", 1, long, []), ("e", 2, long, [])])
+    asked = {}
+
+    def again(wanted):
+        asked.update({r["doc_id"]: r["wanted"] for r in wanted.collect()})
+        return of([("a", 2, long + " more", []), ("b", 1, long, []), ("b", 2, long, []), ("d", 0, None, ["failed too"])])
+
+    transcripts = spark.createDataFrame([("e", 2, "In my own hand.")], "doc_id string, page int, text string")
+    out = {r["doc_id"]: r for r in quality.intake(names, first, again, transcripts, most=4).collect()}
+    assert asked == {"a": [2], "b": None, "d": None}  # a page in five of c is too few
+    shown = lambda i: [(p["page"], p["parser"], p["text"]) for p in out[i]["pages"]]
+    assert shown("a") == [(1, "text_layer", long), (2, "ocr", long + " more")] and out["a"]["pages"][1]["warnings"] == []
+    assert shown("b") == [(1, "ocr", long), (2, "ocr", long)] and out["b"]["parsers"] == ["ocr"] and out["b"]["warnings"] == ["failed"]
+    assert [p for p, *_ in shown("c")] == [1, 2, 3, 4] and out["c"]["parsers"] == ["text_layer"] and out["c"]["warnings"] == ["5 pages, of which the first 4 are kept", "1 sparse pages of 4 stay as they are"]
+    assert shown("d") == [(1, "text_layer", "")] and out["d"]["warnings"] == ["failed too"]
+    assert shown("e") == [(1, "text_layer", long), (2, "transcript", "In my own hand.")] and out["e"]["parsers"] == ["text_layer", "transcript"]
+    assert [(p["classification"], p["confidence"]) for p in out["e"]["pages"]] == [("handwritten", pytest.approx(0.4)), ("handwritten", 0.95)] and out["e"]["warnings"] == ["page 1 is handwritten and has no transcript"]
+    assert out["b"]["markdown"] == f"## Page 1\n\n{long}\n\n## Page 2\n\n{long}"
+    assert quality.intake(names.limit(0), first.limit(0), lambda w: first.limit(0), transcripts).count() == 0
+
+
+def test_wanted_pages_only(spark):
+    files = spark.createDataFrame([("a", b"1|2|3"), ("b", b"1|2"), ("c", b"1")], "doc_id string, content binary")
+    asked = spark.createDataFrame([("a", [2, 9]), ("b", None)], "doc_id string, wanted array<int>")
+    found = pages.parse(files, lambda: lambda c: c.decode().split("|"), "p", asked).collect()
+    assert sorted((r["doc_id"], r["page"], r["text"]) for r in found) == [("a", 2, "2"), ("b", 1, "1"), ("b", 2, "2")]
