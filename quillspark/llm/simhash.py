@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, largest: int
     """doc_id, fp, component_id (smallest doc_id reachable over links of at most `bits` differing bits, itself included).
 
     docs needs doc_id and text, other columns aren't read. Rows with a null doc_id keep their fingerprint; their component_id is the smallest
-    doc_id of their component, or null if it has none. Repeated rows are all returned. Empty table: no rows.
+    doc_id of their component, or null if it has none. Repeated rows are all returned. Very long texts count whole. Empty table: no rows.
     With a similarity, links are those between texts whose sets of different shingles are similar, whatever their fingerprints: blocks find the closest, and an exact join the rest
     (see similar.near_duplicates, whose columns are then returned).
     """

@@ -83,7 +83,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, bit
     of one doc_id apart, component (a number of this run) components that share a doc_id.
 
     docs needs doc_id and text; other columns aren't read. Null and empty texts are copies of one another. A null doc_id has the component of its text, which is null if no other has one.
-    Repeated rows are all returned. Empty table: no rows. Shingles are compared by 64-bit hashes, sets taken for equal by 128 bits.
+    Repeated rows are all returned. Pairs at just the similarity are linked. Very long texts count whole. Empty table: no rows. Shingles are compared by 64-bit hashes, sets taken for equal by 128 bits.
     """
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, size))
     share, apart = (1 + similarity) / similarity, (1 - similarity) / (1 + similarity)
