@@ -89,7 +89,12 @@ def read_vectors(queries: DataFrame, make: Callable[[], Callable[[list[float], i
 
 
 def simulated_edits(sentences: DataFrame) -> DataFrame:
-    """Edits made by rule out of sentences (matter_id, section, ordinal, text): a citation added, a word changed, or the sentence dropped, by the ordinal."""
+    """Edits made by rule out of sentences (matter_id, section, ordinal, text): a citation added, a word changed, or the sentence dropped, by the ordinal; made: which of these, as a class of edits.
+
+    A citation added to a text that tells of a book and a page already is a change of wording.
+    """
     kind = F.col("ordinal") % 3
+    cites = F.contains(F.lower("text"), F.lit("book")) & F.contains(F.lower("text"), F.lit("page"))
+    made = F.when((kind == 0) & ~cites, "citation_fix").when(kind == 2, "deletion").otherwise("wording")
     after = F.when(kind == 0, F.concat("text", F.lit(" See Book 1, Page "), F.col("ordinal").cast("string"), F.lit("."))).when(kind == 1, F.regexp_replace("text", r"^\S+", "Revised")).otherwise("")
-    return sentences.select("matter_id", "section", F.lit("summary").alias("field"), "ordinal", F.col("text").alias("before"), after.alias("after"))
+    return sentences.select("matter_id", "section", F.lit("summary").alias("field"), "ordinal", F.col("text").alias("before"), after.alias("after"), made.alias("made"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillspark import cli
-from quillspark.operators import quality
+from quillspark.operators import learn, quality
 from quillspark.sources import pages, tables
 
 
@@ -59,6 +59,15 @@ def test_json_log(spark, tmp_path):
     assert {r["k"]: r["note"] for r in found.collect()} == {1: "a", 2: "b"}
 
 
+def test_simulated_edits_keep_the_class_they_were_made_as(spark):
+    """One-word texts share nothing with what they become: by the texts alone the change of a word was a correction of a fact."""
+    edits = pages.simulated_edits(spark.createDataFrame([(1, "s1", 0, "word"), (1, "s1", 1, "word"), (1, "s1", 2, "word"), (1, "s1", 3, "Book and page"), (1, "s1", 4, "Indeed so")], "matter_id int, section string, ordinal int, text string"))
+    side = lambda c, *more: edits.select("matter_id", "section", "field", "ordinal", edits[c].alias("text"), *more)
+    rows = learn.diff(side("before"), side("after", "made")).orderBy("field_path").collect()
+    assert [r["edit_type"] for r in rows] == ["citation_fix", "wording", "deletion", "wording", "wording"]
+    assert {r["edit_type"] for r in learn.diff(side("before"), side("after")).where("field_path = 'summary[1].text'").collect()} == {"fact_correction"}
+
+
 def test_simulated_edits(spark):
     rows = pages.simulated_edits(spark.createDataFrame([(1, "s1", i, "some text") for i in range(3)], "matter_id int, section string, ordinal int, text string")).orderBy("ordinal").collect()
     assert [r["after"] for r in rows] == ["some text See Book 1, Page 0.", "Revised text", ""]
