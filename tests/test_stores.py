@@ -205,3 +205,22 @@ def test_queries_of_every_corpus(spark):
     repeated = chunks.select("corpus_key").distinct().join(asked)
     shown = lambda q: sorted(map(tuple, retrieve.hybrid(chunks, q).select("corpus_key", "query_id", "chunk_id", "score", "rank").collect()))
     assert shown(asked) == shown(repeated) and len(shown(asked)) == 30
+
+
+def test_spread_deals_rows_out(spark):
+    """A table of small rows is one file: tasks are as many as its rows ask for, not one for each core."""
+    few, many = tables.spread(spark.range(3).coalesce(1), 10), tables.spread(spark.range(1000).coalesce(1), 10)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert many.rdd.getNumPartitions() == 100 and many.count() == 1000
+
+
+def test_words_that_spare_a_search(spark):
+    """Short words count where a pattern has no others; what they spare the text has not."""
+    from quillspark.functions.text import may_hold
+
+    assert needed(r"\bby\s+([A-Z]+)\s+(?:of|to)\b", 2) == ["by"] and needed(r"\bcc&?r\b", 2) == ["cc"]
+    assert may_hold(F.lit("x"), r"\d+") is None
+    row = spark.createDataFrame([("Deed BY Ann Lee and wife Ida Moss  of Wayne. Parcel ID 7-A. LEGAL\nDescription: Lot 5 of the plat of some long and winding road, Schedule \n B, more",)], "t string")
+    out = row.select(extract.parties(F.col("t")).alias("p"), extract.legal_description(F.col("t")).alias("l")).first()
+    assert [(p["name"], p["role"]) for p in out["p"]] == [("Ann Lee", "grantor"), ("Ida Moss", "grantor")]
+    assert out["l"]["text"] == "Lot 5 of the plat of some long and winding road" and out["l"]["lot"] == "5" and out["l"]["apn"] == "7-A"
