@@ -198,3 +198,13 @@ def test_traces(caplog):
         raise errors.ParsingError("no text")
     line = json.loads(observe.Lines().format(caplog.records[-1]))
     assert line["event"] == "parse" and line["trace_id"] == own and line["failed"] and line["pages"] == 3
+
+
+def test_hits_of_whole_documents(spark):
+    """Hits without section are those of all sections: the drafts are the same, with and without edits."""
+    documents, hits = review._documents(spark, TINY)
+    _, whole = review._short_documents(spark, TINY)
+    few, by_section, whole = (tables.written(x.where("doc_id < 20"), "few") for x in (documents, hits, whole))
+    shown = lambda *a: sorted(map(str, draft.sections(few, *a).collect()))
+    edits = tables.written(review._edits(spark, TINY).where("doc_id < 20"), "edits")
+    assert "section" not in whole.columns and shown(whole) == shown(by_section) and shown(whole, edits) == shown(by_section, edits)
