@@ -208,3 +208,15 @@ def test_hits_of_whole_documents(spark):
     shown = lambda *a: sorted(map(str, draft.sections(few, *a).collect()))
     edits = tables.written(review._edits(spark, TINY).where("doc_id < 20"), "edits")
     assert "section" not in whole.columns and shown(whole) == shown(by_section) and shown(whole, edits) == shown(by_section, edits)
+
+
+def test_texts_of_documents_are_not_broadcast(spark):
+    """What is joined by document is dealt out, though its files are small: the driver never holds it."""
+    hits = tables.written(spark.range(500).selectExpr("id AS key", "0 AS hit_id", "repeat('alpha beta gamma ', 20) AS text"), "hits")
+    claims = tables.written(spark.range(500).selectExpr("id AS key", "0 AS claim_id", "'alpha beta gamma' AS text"), "claims")
+    supported = evaluate.faithfulness(claims, hits)
+    plan = supported._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert supported.where("faithfulness = 1.0").count() == 500
+    gold = spark.range(5).selectExpr("id AS key", "'a' AS section", "'x' AS text")
+    assert "Broadcast" not in evaluate.field_edit_distance(gold, gold)._jdf.queryExecution().executedPlan().toString()
