@@ -32,7 +32,12 @@ def n_tokens(text: Column) -> Column:
 
 def token_windows(docs: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
     """doc_id, idx, first, end (in tokens) of each window; no rows for a text without tokens. Row-local."""
-    return docs.select("doc_id", F.inline(windows(n_tokens(F.col("text")), size, overlap, most)))
+    return docs.select("doc_id", F.inline(_windows_of(F.col("text"), size, overlap, most)))
+
+
+def _windows_of(text: Column, size: int, overlap: int, most: int | None) -> Column:
+    """The windows of a text, whose tokens are counted once, not for each window anew."""
+    return let(n_tokens(text), lambda n: windows(n, size, overlap, most))
 
 
 def token_ends(pieces: Column) -> Column:
@@ -159,7 +164,7 @@ def contextual_chunks(docs: DataFrame, vesting: DataFrame, size: int = 600, over
     """
     own = chunks(docs, size, overlap, most, ("doc_type",))
     windowed = own.select("doc_id", "idx", "chunk_id", "page", "start", "end", "text", _in_context(F.col("doc_id"), F.col("doc_type"), F.col("text")).alias("contextual_text"))
-    counted = docs.select("doc_id", F.size(windows(n_tokens(F.col("text")), size, overlap, most)).alias("n"))
+    counted = docs.select("doc_id", F.size(_windows_of(F.col("text"), size, overlap, most)).alias("n"))
     placed = vesting_chunks(vesting).join(counted, "doc_id").withColumn("idx", (F.col("n") + F.col("ordinal")).cast("int"))
     context = F.when(F.col("role") == "owner", filled("This chunk summarizes Schedule A vesting for {doc_id}.", doc_id=F.col("doc_id"))).otherwise(filled("This chunk summarizes a Schedule A party for {doc_id}.", doc_id=F.col("doc_id")))
     none = F.lit(None).cast("int")

@@ -1,6 +1,7 @@
 """Search within small corpora against the search over shuffled rows."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,29 @@ def test_supported_is_faithfulness(spark):
     theirs = {r["key"]: r["faithfulness"] for r in evaluate.faithfulness(df.select("key", F.lit(0).alias("claim_id"), "text"), listed).collect()}
     mine = df.select("key", evaluate.supported(F.col("text"), F.transform("hits", lambda h: evaluate.content_tokens(h))).cast("double").alias("x"))
     assert {r["key"]: r["x"] for r in mine.collect()} == theirs
+
+
+def test_windows_count_tokens_once(spark):
+    """Texts of 20,000 words, 1,333 windows each: their tokens were counted for each window."""
+    long = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 20000)").alias("text"))
+    begun = time.monotonic()
+    rows = chunk.token_windows(long, 20, 5, None).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("end")).collect()
+    assert {(r["n"], r["end"]) for r in rows} == {(1333, 20000)}
+    assert time.monotonic() - begun < 15
+
+
+def test_blocks_of_vectors_are_pairs(spark, monkeypatch):
+    """Copies, ties, and vectors that are null, short, or not finite: the same rows as pair by pair."""
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([0.0, 0.25, -1.0, 0.1234565]) for _ in range(6)]) for i in range(300)] + [(400, None), (401, [1.0]), (402, [None] * 6), (403, [float("inf")] * 6), (404, [float("nan")] * 6), (405, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asked = vectors.where("vec_id % 50 = 0 or vec_id in (402, 403)")
+    pairs = vectors.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), F.col("vec_id") != F.col("query_id"))
+    product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    shown = lambda df: sorted((str(tuple(r)) for r in df.select("query_id", "vec_id", "score", "rank").collect()))
+    theirs = shown(retrieve.top(pairs.select("query_id", "vec_id", product.alias("score")), 30, 6, ("query_id",), "vec_id"))
+    monkeypatch.setattr(retrieve, "VECTORS", 64)
+    monkeypatch.setattr(retrieve, "QUERIES", 4)
+    found = retrieve.cosine_top(vectors, asked)
+    assert shown(found) == theirs
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
