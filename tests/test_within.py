@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from conftest import TINY
-from quillspark.operators import chunk, draft, evaluate, retrieve, within
+from quillspark.operators import chunk, draft, evaluate, index, retrieve, within
 from quillspark.plans import sections
 
 
@@ -86,3 +86,13 @@ def test_blocks_of_vectors_are_pairs(spark, monkeypatch):
     found = retrieve.cosine_top(vectors, asked)
     assert shown(found) == theirs
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_vectors_deal_texts_out_once(spark):
+    """Postings aren't shuffled for dense vectors, once by token and once by chunk for weighted ones; copies of a chunk's id count as one chunk."""
+    chunks = spark.createDataFrame([(0, i % 40, f"deed w{i % 7} w{i % 11} deed") for i in range(90)], "corpus_key int, chunk_id long, text string")
+    dense = index.dense_vectors(chunks)
+    assert _exchanges(dense) == 1
+    norms = dense.groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert len(norms) == 40 and all(abs(r["n"] - 1) < 1e-9 for r in norms)
+    assert {r["tf"] for r in index.postings(chunks).where("chunk_id = 3 and token = 'deed'").collect()} == {6}
