@@ -1,13 +1,15 @@
 """Searches that are spared, and rows that aren't shuffled: the results are those of the longer way."""
 
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import TINY
 from quillspark.functions import nested, rules, text
 from quillspark.functions.spans import first_span
-from quillspark.operators import extract
+from quillspark.operators import evaluate, extract
 from quillspark.plans.extraction import _DOCUMENTS, _LIENS, _TYPES, _texts
 
 
@@ -48,3 +50,28 @@ def test_values_of_json_alone(spark):
     rows = spark.createDataFrame([('{"a": 1, "b": ["x", 7]}',), ('{"a": "no"}',), ("no",), (None,)], "t string")
     kind = "a int, b array<string>"
     assert [r[0] for r in rows.select(nested.value_of(F.col("t"), kind)).collect()] == [r[0] for r in rows.select(nested.parsed(F.col("t"), kind)["value"]).collect()]
+
+
+def test_claims_meet_hits_in_parts(spark, monkeypatch):
+    """Brute force over keys of many and of few texts, with parts and blocks far smaller than the texts, odd keys and texts among them."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"word{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.randrange(60)}" for _ in range(n))
+    claims = [(k, f"{k}:{i}", say(rng.randrange(45))) for k, m in ((1, 300), (2, 5), (3, 1), (4, 2)) for i in range(m)] + [(1, "none", None), (1, "empty", ""), (1, "stop", "the of and"), (None, "no key", "worda1")]
+    hits = [(k, i, say(rng.choice([0, 3, 30, 200]))) for k, m in ((1, 40), (2, 3), (3, 1), (9, 2)) for i in range(m)] + [(1, None, None), (None, 7, "worda1"), (4, 1, None)]
+    tokens = lambda t: {w for w in (t or "").lower().split() if len(w) >= 4}
+    want = {}
+    for k, _, t in claims:
+        mine = tokens(t)
+        want.setdefault(k, []).append(bool(mine) and any(k is not None and h == k and len(mine & tokens(x)) / len(mine) >= evaluate.SUPPORTED for h, _, x in hits))
+    for part, at_once in ((400, 3), (16_000_000, 512)):
+        monkeypatch.setattr(evaluate, "PART", part)
+        monkeypatch.setattr(evaluate, "AT_ONCE", at_once)
+        found = evaluate.faithfulness(spark.createDataFrame(claims, "key long, claim_id string, text string"), spark.createDataFrame(hits, "key long, hit_id long, text string"))
+        assert {r["key"]: (r["n_claims"], r["faithfulness"]) for r in found.collect()} == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in want.items()}
+        assert len(set(want[1])) == 2
+    assert "token" not in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("tokens", "")  # no row is a token
+
+
+def test_tokens_that_a_claim_needs():
+    for n in range(1, 400):
+        assert evaluate._needed(np.array([n]))[0] == min(i for i in range(n + 1) if i / n >= evaluate.SUPPORTED)
