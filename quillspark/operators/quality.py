@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from ..functions.text import page_class, page_confidence
 from ..sources.tables import written
 
@@ -48,51 +49,73 @@ def content_length(text: Column, marks: tuple[str, ...] = ("<!-- image -->", "[i
     return F.length(F.btrim(out))
 
 
+def _ends(hand: Column, script: Column, text: Column, parser: Column, confidence: Column, classification: Column) -> dict[str, Column]:
+    """What a page ends as: its transcript (script) if it's handwritten and has one."""
+    found = hand & script.isNotNull()
+    return {
+        "text": F.when(found, script).otherwise(text),
+        "parser": F.when(found, "transcript").otherwise(parser),
+        "confidence": F.when(found, F.lit(0.95)).when(hand, F.least(F.lit(0.4), confidence)).otherwise(confidence),
+        "classification": F.when(hand, "handwritten").otherwise(classification),
+        "warnings": F.when(hand & ~found, F.array(F.lit("handwritten page without transcript"))).otherwise(F.array().cast("array<string>")),
+    }
+
+
 def routed(pages: DataFrame, fixture: DataFrame) -> DataFrame:
     """The parser that a page ends at and its confidence: handwritten pages take the transcript, or keep at most 0.4 with a warning."""
     hand = handwritten(F.col("name"), F.coalesce("text", F.lit("")))
     joined = scored(pages).join(fixture.select("doc_id", "page", F.col("text").alias("_text")), ["doc_id", "page"], "left").withColumn("hand", hand)
-    found = F.col("hand") & F.col("_text").isNotNull()
-    return joined.select(
-        "doc_id", "page",
-        F.when(found, F.col("_text")).otherwise(F.col("text")).alias("text"),
-        F.when(found, "transcript").otherwise(F.col("parser") if "parser" in pages.columns else F.lit("text_layer")).alias("parser"),
-        F.when(found, F.lit(0.95)).when(F.col("hand"), F.least(F.lit(0.4), F.col("confidence"))).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(F.col("hand"), "handwritten").otherwise(F.col("classification")).alias("classification"),
-        F.when(F.col("hand") & ~found, F.array(F.lit("handwritten page without transcript"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
-    )
+    parser = F.col("parser") if "parser" in pages.columns else F.lit("text_layer")
+    ends = _ends(F.col("hand"), F.col("_text"), F.col("text"), parser, F.col("confidence"), F.col("classification"))
+    return joined.select("doc_id", "page", *(c.alias(n) for n, c in ends.items()))
+
+
+def _listed(pages: DataFrame, most: int, name: str) -> DataFrame:
+    """doc_id, its pages (page, text, warnings, chars) in order, without the texts of those after the first `most`, and the warnings of page 0, which says that the parser failed."""
+    shown = F.when(F.col("page") > 0, F.struct("page", F.when(F.col("page") <= most, F.col("text")).alias("text"), "warnings", F.length(F.coalesce("text", F.lit(""))).alias("chars")))
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(shown)).alias(name), F.flatten(F.collect_list(F.when(F.col("page") == 0, F.col("warnings")))).alias(f"{name}_failed"))
 
 
 def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], DataFrame], transcripts: DataFrame, most: int = 500) -> DataFrame:
     """doc_id, pages (page, text, parser, confidence, classification, warnings; by number), parsers, warnings, markdown of each file (doc_id, name) out of the first parser's rows (doc_id, page, text, warnings; page 0: it failed).
 
     A document without text goes to the second parser as a whole, one with many sparse pages for these: again() gets doc_id and wanted, the pages' numbers or null for all, and returns rows like `pages`. Of a page read twice the
-    longer text stays. Handwritten pages take the transcript (doc_id, page, text). Pages after the first `most` are left out, with a warning. A file that nothing reads has no pages. Nothing but one document's pages, `most` at most, comes into one row.
+    longer text stays. Handwritten pages take the transcript (doc_id, page, text). Pages after the first `most` are left out, with a warning. A file that nothing reads has no pages. Nothing but one document's pages, the texts of `most` at most,
+    comes into one row: what a parser read is shuffled once as pages, and once more as documents to meet what the other one read.
     """
-    read = pages.where("page > 0")
-    bare = (F.length(F.btrim(F.coalesce("text", F.lit("")))) < SPARSE) & (F.col("page") <= most)
-    told = read.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.array_sort(F.collect_list(F.when(bare, F.col("page")))).alias("sparse"))
-    kept, few = F.least(F.coalesce("n", F.lit(0)), F.lit(most)), F.size(F.coalesce("sparse", F.array().cast("array<int>")))
-    per = files.select("doc_id", "name").join(told, "doc_id", "left").withColumn("whole", F.coalesce("chars", F.lit(0)) < SPARSE)
+    none, texts = F.array().cast("array<string>"), lambda c: F.length(F.btrim(F.coalesce(c, F.lit(""))))
+    kind = "array<struct<page:int,text:string,warnings:array<string>,chars:int>>"
+    empty = F.array().cast(kind)
+    read = files.select("doc_id", "name").join(_listed(pages, most, "first"), "doc_id", "left").withColumn("first", F.coalesce(F.col("first").cast(kind), empty))
+    told = read.withColumn("n", F.size("first")).withColumn("chars", F.aggregate("first", F.lit(0).cast("long"), lambda s, p: s + p["chars"]))
+    per = told.withColumn("sparse", F.transform(F.filter("first", lambda p: (p["page"] <= most) & (texts(p["text"]) < SPARSE)), lambda p: p["page"])).withColumn("whole", F.col("chars") < SPARSE)
+    kept, few = F.least(F.col("n"), F.lit(most)), F.size("sparse")
     per = written(per.withColumn("rescue", ~F.col("whole") & (few > 0) & ((few / kept >= RATIO) | (kept <= FEW))).withColumn("passed", ~F.col("whole") & (few > 0) & ~F.col("rescue")), "intake")
-    other = written(again(per.where("whole or rescue").select("doc_id", F.when(~F.col("whole"), F.col("sparse")).alias("wanted"))), "again")
-    second = other.where("page > 0").select("doc_id", "page", "text", "warnings")
-    ours = second.groupBy("doc_id").agg(F.count("*").alias("n_second"))
-    per = per.join(ours, "doc_id", "left").withColumn("second", F.col("n_second").isNotNull()).withColumn("replaced", F.col("whole") & F.col("second"))
-    replaced = per.where("replaced").select("doc_id")
-
-    base = read.select("doc_id", "page", "text", "warnings").join(replaced, "doc_id", "left_anti").join(second.select("doc_id", "page", F.col("text").alias("_text"), F.col("warnings").alias("_warnings")), ["doc_id", "page"], "left")
-    longer = F.length(F.btrim(F.coalesce("_text", F.lit("")))) > F.length(F.btrim(F.coalesce("text", F.lit(""))))
-    base = base.select("doc_id", "page", *(F.when(longer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "warnings")), F.when(longer, "ocr").otherwise("text_layer").alias("parser"))
-    every = base.unionByName(second.join(replaced, "doc_id", "left_semi").withColumn("parser", F.lit("ocr")))
-    sizes = every.groupBy("doc_id").agg(F.count("*").alias("n_read"))
-    capped = every.where(F.col("page") <= most).join(files.select("doc_id", "name"), "doc_id")
-    marked = routed(capped, transcripts).withColumnRenamed("warnings", "_more").join(capped.select("doc_id", "page", "warnings"), ["doc_id", "page"])
-    own = F.when(F.col("parser") == "transcript", F.array(F.lit("page taken from a transcript"))).otherwise(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), "_more"))
-    listed = marked.select("doc_id", F.struct("page", "text", "parser", "confidence", "classification", own.alias("warnings"), F.size("_more").alias("lost")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("listed"))
-
-    failed = pages.where("page = 0").select("doc_id", "warnings").unionByName(other.where("page = 0").select("doc_id", "warnings")).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("warnings"))).alias("failed"))
-    joined = per.join(listed, "doc_id", "left").join(sizes, "doc_id", "left").join(failed, "doc_id", "left").withColumn("listed", F.coalesce("listed", F.array().cast(listed.schema["listed"].dataType)))
+    other = _listed(again(per.where("whole or rescue").select("doc_id", F.when(~F.col("whole"), F.col("sparse")).alias("wanted"))), most, "other")
+    scripts = transcripts.groupBy("doc_id").agg(F.collect_list(F.struct("page", "text")).alias("scripts"))
+    both = per.join(other, "doc_id", "left").join(scripts, "doc_id", "left").withColumn("other", F.coalesce(F.col("other").cast(kind), empty))
+    both = both.withColumn("second", F.size("other") > 0).withColumn("replaced", F.col("whole") & F.col("second"))
+
+    early = lambda c: F.filter(c, lambda p: p["page"] <= most)
+    of_page = lambda c, p: F.get(F.filter(c, lambda q: q["page"] == p["page"]), F.lit(0))
+    page = lambda p, x, parser: F.struct(p["page"].alias("page"), x["text"].alias("text"), x["warnings"].alias("warnings"), F.lit(parser).alias("parser"))
+    longer = lambda p: let(of_page("other", p), lambda q: F.when(texts(q["text"]) > texts(p["text"]), page(p, q, "ocr")).otherwise(page(p, p, "text_layer")))
+    every = F.when(F.col("replaced"), F.transform(early("other"), lambda p: page(p, p, "ocr"))).when(F.col("second"), F.transform(early("first"), longer)).otherwise(F.transform(early("first"), lambda p: page(p, p, "text_layer")))
+
+    def ended(p: Column) -> Column:
+        confidence = F.round(page_confidence(p["text"]) + TIE, 6)
+        seen = F.struct(confidence.alias("confidence"), handwritten(F.col("name"), F.coalesce(p["text"], F.lit(""))).alias("hand"), of_page("scripts", p)["text"].alias("script"))
+
+        def of(x: Column) -> Column:
+            ends = _ends(x["hand"], x["script"], p["text"], p["parser"], x["confidence"], page_class(x["confidence"]))
+            more = ends.pop("warnings")
+            own = F.when(ends["parser"] == "transcript", F.array(F.lit("page taken from a transcript"))).otherwise(F.concat(F.coalesce(p["warnings"], none), more))
+            return F.struct(p["page"].alias("page"), *(c.alias(n) for n, c in ends.items()), own.alias("warnings"), F.size(more).alias("lost"))
+
+        return let(seen, of)
+
+    joined = both.withColumn("n_read", F.when(F.col("replaced"), F.size("other")).otherwise(F.col("n"))).withColumn("every", every).withColumn("listed", F.transform("every", ended))
+    failed = F.array_sort(F.concat(F.coalesce("first_failed", none), F.coalesce("other_failed", none)))
     lost = F.transform(F.filter("listed", lambda x: x["lost"] > 0), lambda x: F.concat(F.lit("page "), x["page"].cast("string"), F.lit(" is handwritten and has no transcript")))
     notes = F.array_compact(F.array(
         F.when(F.col("n_read") > most, F.concat("n_read", F.lit(f" pages, of which the first {most} are kept"))),
@@ -103,6 +126,6 @@ def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], Data
         "doc_id",
         F.transform("listed", lambda x: F.struct(*(x[c].alias(c) for c in ("page", "text", "parser", "confidence", "classification", "warnings")))).alias("pages"),
         used.alias("parsers"),
-        F.concat(F.coalesce("failed", F.array().cast("array<string>")), notes, lost).alias("warnings"),
+        F.concat(failed, notes, lost).alias("warnings"),
         F.array_join(F.transform("listed", lambda x: F.concat(F.lit("## Page "), x["page"].cast("string"), F.lit("\n\n"), F.btrim(F.coalesce(x["text"], F.lit(""))))), "\n\n").alias("markdown"),
     )

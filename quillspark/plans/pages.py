@@ -9,7 +9,7 @@ from ..functions.rules import DOCUMENT_TYPES
 from ..functions.text import first_match, first_match_sql, page_class, page_confidence
 from ..operators import chunk, quality
 from ..sources.pages import parse
-from ..sources.tables import table, written
+from ..sources.tables import table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def document_intake(spark: SparkSession, d: str) -> DataFrame:
     """Documents from their files: text layer first, the second parser where it's needed, transcripts of what is handwritten."""
     files = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     names = files.select("doc_id", F.when(F.col("doc_id").endswith("5"), F.concat("doc_id", F.lit("-handwritten"))).otherwise(F.col("doc_id")).alias("name"))
-    first = written(parse(files, lambda: _text_layer, "text_layer"), "first")
+    first = parse(files, lambda: _text_layer, "text_layer")
     transcripts = names.where("name <> doc_id").select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("transcript of "), "doc_id").alias("text"))
     out = quality.intake(names, first, lambda asked: parse(files, lambda: _ocr, "ocr", asked), transcripts)
     lowest = F.array_min(F.transform("pages", lambda p: p["confidence"]))

@@ -110,3 +110,13 @@ def test_wanted_pages_only(spark):
     asked = spark.createDataFrame([("a", [2, 9]), ("b", None)], "doc_id string, wanted array<int>")
     found = pages.parse(files, lambda: lambda c: c.decode().split("|"), "p", asked).collect()
     assert sorted((r["doc_id"], r["page"], r["text"]) for r in found) == [("a", 2, "2"), ("b", 1, "1"), ("b", 2, "2")]
+
+
+def test_intake_shuffles_pages_as_documents(spark):
+    """What is read is shuffled once as pages and once as documents: no join or grouping is by page."""
+    pages = spark.createDataFrame([("a", 1, "x", ["w"]), ("a", 2, "long enough to stay as it is " * 4, None)], "doc_id string, page int, text string, warnings array<string>")
+    names, scripts = spark.createDataFrame([("a", "a")], "doc_id string, name string"), spark.createDataFrame([], "doc_id string, page int, text string")
+    out = quality.intake(names, pages, lambda asked: pages.where("page = 1").withColumn("text", F.lit("y" * 70)), scripts)
+    assert [(p["page"], p["parser"], len(p["text"])) for p in out.first()["pages"]] == [(1, "ocr", 70), (2, "text_layer", 116)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("page#" in line for line in plan.splitlines() if "hashpartitioning" in line)
