@@ -10,12 +10,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import index, learn, retrieve
 
 EDITS = "edit_id string, matter_id string, field_path string, edit_type string, before string, after string"
+#: Edits that a task writes.
+EDITS_A_TASK = 100_000
 _VECTOR = "vector array<struct<bucket:bigint,weight:double>>"
 
 
@@ -38,15 +40,17 @@ class EditIndex:
         """The number of the newest segment, 0 without any; by the folders, no row is read."""
         return self._all().agg(F.max("segment").alias("n")).first()["n"] or 0
 
-    def _write(self, rows: DataFrame, segment: int) -> None:
-        rows.select(*(c.split()[0] for c in EDITS.split(", ")), "gone", "vector", F.lit(segment).alias("segment"), "section").repartition("section").write.partitionBy("segment", "section").mode("append").parquet(f"{self.path}/segments")
+    def _write(self, rows: DataFrame, segment: int, text: Column | None = None) -> None:
+        """Rows are dealt out by edit, some EDITS_A_TASK a task, so that a section of many is no task's alone; each writes a file for each section it has."""
+        tasks = max(1, -(-rows.count() // EDITS_A_TASK))
+        rows = rows.repartition(tasks if tasks == 1 else max(tasks, self.spark.sparkContext.defaultParallelism), "edit_id")
+        rows = rows if text is None else index.with_dense_vectors(rows, text)
+        rows.select(*(c.split()[0] for c in EDITS.split(", ")), "gone", "vector", F.lit(segment).alias("segment"), "section").write.partitionBy("segment", "section").mode("append").parquet(f"{self.path}/segments")
 
     def append(self, edits: DataFrame) -> int:
         """Adds edits (edit_id, matter_id, section, field_path, edit_type, before, after) as a segment, and returns its number. Edits that come again replace what they were."""
         segment = self.last() + 1
-        chunks = edits.select(F.col("section").alias("corpus_key"), F.col("edit_id").alias("chunk_id"), learn.summary(edits).alias("text"))
-        vectors = index.dense_vectors(chunks).groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("vector"))
-        self._write(edits.join(vectors.withColumnRenamed("chunk_id", "edit_id"), "edit_id", "left").withColumn("gone", F.lit(False)), segment)
+        self._write(edits.withColumn("gone", F.lit(False)), segment, learn.summary(edits))
         return segment
 
     def delete(self, edits: DataFrame) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import TINY
 from quillspark.functions import nested, rules, text
 from quillspark.functions.spans import first_span
-from quillspark.operators import evaluate, extract
+from quillspark.operators import evaluate, extract, index
 from quillspark.plans.extraction import _DOCUMENTS, _LIENS, _TYPES, _texts
 
 
@@ -75,3 +75,16 @@ def test_claims_meet_hits_in_parts(spark, monkeypatch):
 def test_tokens_that_a_claim_needs():
     for n in range(1, 400):
         assert evaluate._needed(np.array([n]))[0] == min(i for i in range(n + 1) if i / n >= evaluate.SUPPORTED)
+
+
+def test_vectors_on_their_rows(spark):
+    """Vectors of rows are those of the shuffled index."""
+    texts = ["Lien deed lien, tax", "", None, "é x y", "deed", "a a a b " * 50]
+    rows = spark.createDataFrame([(1, f"c{i}", t) for i, t in enumerate(texts)], "corpus_key int, chunk_id string, text string")
+    want = {}
+    for r in index.dense_vectors(rows).collect():
+        want.setdefault(r["chunk_id"], {})[r["bucket"]] = round(r["weight"], 9)
+    found = index.with_dense_vectors(rows, F.col("text"))
+    assert found.columns == [*rows.columns, "vector"]
+    assert {r["chunk_id"]: {x["bucket"]: round(x["weight"], 9) for x in r["vector"]} for r in found.collect() if r["vector"]} == want
+    assert "Exchange" not in index.with_dense_vectors(spark.range(3), F.lit("a b"))._jdf.queryExecution().executedPlan().toString()
