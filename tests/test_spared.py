@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import TINY
 from quillspark.functions import nested, rules, text
-from quillspark.functions.spans import first_span
-from quillspark.operators import evaluate, extract, index
+from quillspark.functions.spans import first_span, numbered
+from quillspark.operators import chunk, evaluate, extract, index
 from quillspark.plans.extraction import _DOCUMENTS, _LIENS, _TYPES, _texts
 
 
@@ -88,3 +88,14 @@ def test_vectors_on_their_rows(spark):
     assert found.columns == [*rows.columns, "vector"]
     assert {r["chunk_id"]: {x["bucket"]: round(x["weight"], 9) for x in r["vector"]} for r in found.collect() if r["vector"]} == want
     assert "Exchange" not in index.with_dense_vectors(spark.range(3), F.lit("a b"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_starts_of_windows_alone(spark):
+    """Windows without their texts begin where those with texts do, and pages are the same with a look before the marks."""
+    docs = spark.createDataFrame([(1, " é a  bb\n\tccc Page 3 d e\n## Page 4 f xPage 5 PAGE 6 g " * 9), (2, ""), (3, None), (4, "one")], "doc_id int, text string")
+    for size, overlap in ((4, 1), (60, 10), (3, 0)):
+        whole = docs.select("doc_id", F.transform(chunk.window_spans(F.col("text"), size, overlap, None), lambda w: F.struct(w["idx"].alias("idx"), w["start"].alias("start"))).alias("w"), chunk.window_starts(F.col("text"), size, overlap, None).alias("s")).collect()
+        assert all(r["w"] == r["s"] for r in whole) and any(r["w"] for r in whole)
+    for marks in (chunk.PAGE_MARKS, chunk.HEADINGS):
+        assert chunk._LOOK[marks] != marks
+        assert all(r[0] == r[1] for r in docs.select(numbered(F.col("text"), marks), numbered(F.col("text"), chunk._LOOK[marks])).collect())
