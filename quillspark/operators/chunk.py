@@ -125,14 +125,16 @@ def _in_context(doc_id: Column, doc_type: Column, text: Column) -> Column:
     return F.concat(context_sentence(doc_id, doc_type, text), F.lit("\n\n"), text)
 
 
-def listed_chunks(docs: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
+def listed_chunks(docs: DataFrame, size: int = 600, overlap: int = 80, most: int | None = None) -> DataFrame:
     """doc_id, chunks: the windows of each document (doc_id, doc_type, text) in order as one array of (chunk_id, page, start, end, text, contextual_text). Row-local."""
     of = lambda w: F.struct(chunk_id(F.col("doc_id"), w["idx"], w["text"]).alias("chunk_id"), *(w[c].alias(c) for c in ("page", "start", "end", "text")), _in_context(F.col("doc_id"), F.col("doc_type"), w["text"]).alias("contextual_text"))
     return docs.select("doc_id", F.transform(_paged(size, overlap, most), of).alias("chunks"))
 
 
 def chunk_id(doc_id: Column, idx: Column, text: Column) -> Column:
-    return F.concat(doc_id.cast("string"), F.lit(":chunk:"), F.lpad(idx.cast("string"), 4, "0"), F.lit(":"), F.substring(F.sha1(text), 1, 10))
+    """Names a window: its document, its number of four digits at least, and a digest of its text."""
+    n = idx.cast("string")
+    return F.concat(doc_id.cast("string"), F.lit(":chunk:"), F.when(F.length(n) > 4, n).otherwise(F.lpad(n, 4, "0")), F.lit(":"), F.substring(F.sha1(text), 1, 10))
 
 
 def context_sentence(doc_id: Column, doc_type: Column, text: Column) -> Column:
@@ -171,13 +173,13 @@ def last_page_before(text: Column, offset: Column, marker: str = r"\b[Pp]age ([0
 
 
 def vesting_chunks(parties: DataFrame) -> DataFrame:
-    """One chunk for each vesting party (doc_id, ordinal, name, role), not under the cap of windows."""
+    """One chunk for each vesting party (doc_id, ordinal, name, role)."""
     owner = filled("Schedule A vested owner: {name}. Role: owner.", name=F.col("name"))
     other = filled("Schedule A vesting party: {name}. Role: {role}.", name=F.col("name"), role=F.col("role"))
     return parties.select("doc_id", "ordinal", "role", F.when(F.col("role") == "owner", owner).otherwise(other).alias("text"))
 
 
-def contextual_chunks(docs: DataFrame, vesting: DataFrame, size: int = 600, overlap: int = 80, most: int | None = 400) -> DataFrame:
+def contextual_chunks(docs: DataFrame, vesting: DataFrame, size: int = 600, overlap: int = 80, most: int | None = None) -> DataFrame:
     """doc_id, idx, chunk_id, page, start, end, text, contextual_text: the windows of documents (doc_id, doc_type, text), and after them a chunk for each vesting party (doc_id, ordinal, name, role).
 
     Vesting chunks are of page 1 and have no span. Only documents with vesting parties meet their number of windows: one row a party.
