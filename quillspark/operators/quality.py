@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import let
+from ..functions.spans import last_before, let
 from ..functions.text import page_class, page_confidence
 from ..sources.tables import written
 
@@ -70,17 +70,24 @@ def routed(pages: DataFrame, fixture: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page", *(c.alias(n) for n, c in ends.items()))
 
 
-def _listed(pages: DataFrame, most: int, name: str) -> DataFrame:
+def _listed(pages: DataFrame, most: int | None, name: str) -> DataFrame:
     """doc_id, its pages (page, text, warnings, chars) in order, without the texts of those after the first `most`, and the warnings of page 0, which says that the parser failed."""
-    shown = F.when(F.col("page") > 0, F.struct("page", F.when(F.col("page") <= most, F.col("text")).alias("text"), "warnings", F.length(F.coalesce("text", F.lit(""))).alias("chars")))
+    kept = F.lit(True) if most is None else F.col("page") <= most
+    shown = F.when(F.col("page") > 0, F.struct("page", F.when(kept, F.col("text")).alias("text"), "warnings", F.length(F.coalesce("text", F.lit(""))).alias("chars")))
     return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(shown)).alias(name), F.flatten(F.collect_list(F.when(F.col("page") == 0, F.col("warnings")))).alias(f"{name}_failed"))
 
 
-def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], DataFrame], transcripts: DataFrame, most: int = 500) -> DataFrame:
+def _beside(own: Column, others: Column) -> Column:
+    """For each page of an array, in order, the first of the others (by number) that has its number; null without one. Both are merged once."""
+    at = last_before(F.transform(others, lambda q, i: F.struct(q["page"].alias("end"), (-i).alias("number"))), F.transform(own, lambda p: p["page"]))
+    return F.zip_with(own, at, lambda p, n: let(F.get(others, -n), lambda q: F.when(q["page"] == p["page"], q)))
+
+
+def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], DataFrame], transcripts: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, pages (page, text, parser, confidence, classification, warnings; by number), parsers, warnings, markdown of each file (doc_id, name) out of the first parser's rows (doc_id, page, text, warnings; page 0: it failed).
 
     A document without text goes to the second parser as a whole, one with many sparse pages for these: again() gets doc_id and wanted, the pages' numbers or null for all, and returns rows like `pages`. Of a page read twice the
-    longer text stays. Handwritten pages take the transcript (doc_id, page, text). Pages after the first `most` are left out, with a warning. A file that nothing reads has no pages. Nothing but one document's pages, the texts of `most` at most,
+    longer text stays. Handwritten pages take the transcript (doc_id, page, text). All pages stay, but where `most` is given: those after the first `most` are left out, with a warning. A file that nothing reads has no pages. Nothing but one document's pages
     comes into one row: what a parser read is shuffled once as pages, and once more as documents to meet what the other one read.
     """
     none, texts = F.array().cast("array<string>"), lambda c: F.length(F.btrim(F.coalesce(c, F.lit(""))))
@@ -88,23 +95,23 @@ def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], Data
     empty = F.array().cast(kind)
     read = files.select("doc_id", "name").join(_listed(pages, most, "first"), "doc_id", "left").withColumn("first", F.coalesce(F.col("first").cast(kind), empty))
     told = read.withColumn("n", F.size("first")).withColumn("chars", F.aggregate("first", F.lit(0).cast("long"), lambda s, p: s + p["chars"]))
-    per = told.withColumn("sparse", F.transform(F.filter("first", lambda p: (p["page"] <= most) & (texts(p["text"]) < SPARSE)), lambda p: p["page"])).withColumn("whole", F.col("chars") < SPARSE)
-    kept, few = F.least(F.col("n"), F.lit(most)), F.size("sparse")
+    early = lambda c: F.col(c) if most is None else F.filter(c, lambda p: p["page"] <= most)
+    per = told.withColumn("sparse", F.transform(F.filter(early("first"), lambda p: texts(p["text"]) < SPARSE), lambda p: p["page"])).withColumn("whole", F.col("chars") < SPARSE)
+    kept, few = F.col("n") if most is None else F.least(F.col("n"), F.lit(most)), F.size("sparse")
     per = written(per.withColumn("rescue", ~F.col("whole") & (few > 0) & ((few / kept >= RATIO) | (kept <= FEW))).withColumn("passed", ~F.col("whole") & (few > 0) & ~F.col("rescue")), "intake")
     other = _listed(again(per.where("whole or rescue").select("doc_id", F.when(~F.col("whole"), F.col("sparse")).alias("wanted"))), most, "other")
-    scripts = transcripts.groupBy("doc_id").agg(F.collect_list(F.struct("page", "text")).alias("scripts"))
+    scripts = transcripts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("scripts"))
     both = per.join(other, "doc_id", "left").join(scripts, "doc_id", "left").withColumn("other", F.coalesce(F.col("other").cast(kind), empty))
     both = both.withColumn("second", F.size("other") > 0).withColumn("replaced", F.col("whole") & F.col("second"))
 
-    early = lambda c: F.filter(c, lambda p: p["page"] <= most)
-    of_page = lambda c, p: F.get(F.filter(c, lambda q: q["page"] == p["page"]), F.lit(0))
     page = lambda p, x, parser: F.struct(p["page"].alias("page"), x["text"].alias("text"), x["warnings"].alias("warnings"), F.lit(parser).alias("parser"))
-    longer = lambda p: let(of_page("other", p), lambda q: F.when(texts(q["text"]) > texts(p["text"]), page(p, q, "ocr")).otherwise(page(p, p, "text_layer")))
-    every = F.when(F.col("replaced"), F.transform(early("other"), lambda p: page(p, p, "ocr"))).when(F.col("second"), F.transform(early("first"), longer)).otherwise(F.transform(early("first"), lambda p: page(p, p, "text_layer")))
+    longer = lambda p, q: F.when(texts(q["text"]) > texts(p["text"]), page(p, q, "ocr")).otherwise(page(p, p, "text_layer"))
+    joint = let(early("first"), lambda ps: F.zip_with(ps, _beside(ps, F.col("other")), longer))
+    every = F.when(F.col("replaced"), F.transform(early("other"), lambda p: page(p, p, "ocr"))).when(F.col("second"), joint).otherwise(F.transform(early("first"), lambda p: page(p, p, "text_layer")))
 
-    def ended(p: Column) -> Column:
+    def ended(p: Column, own: Column) -> Column:
         confidence = F.round(page_confidence(p["text"]) + TIE, 6)
-        seen = F.struct(confidence.alias("confidence"), handwritten(F.col("name"), F.coalesce(p["text"], F.lit(""))).alias("hand"), of_page("scripts", p)["text"].alias("script"))
+        seen = F.struct(confidence.alias("confidence"), handwritten(F.col("name"), F.coalesce(p["text"], F.lit(""))).alias("hand"), own["text"].alias("script"))
 
         def of(x: Column) -> Column:
             ends = _ends(x["hand"], x["script"], p["text"], p["parser"], x["confidence"], page_class(x["confidence"]))
@@ -114,11 +121,11 @@ def intake(files: DataFrame, pages: DataFrame, again: Callable[[DataFrame], Data
 
         return let(seen, of)
 
-    joined = both.withColumn("n_read", F.when(F.col("replaced"), F.size("other")).otherwise(F.col("n"))).withColumn("every", every).withColumn("listed", F.transform("every", ended))
+    joined = both.withColumn("n_read", F.when(F.col("replaced"), F.size("other")).otherwise(F.col("n"))).withColumn("every", every).withColumn("listed", F.zip_with("every", _beside(F.col("every"), F.coalesce("scripts", F.array().cast("array<struct<page:int,text:string>>"))), ended))
     failed = F.array_sort(F.concat(F.coalesce("first_failed", none), F.coalesce("other_failed", none)))
     lost = F.transform(F.filter("listed", lambda x: x["lost"] > 0), lambda x: F.concat(F.lit("page "), x["page"].cast("string"), F.lit(" is handwritten and has no transcript")))
     notes = F.array_compact(F.array(
-        F.when(F.col("n_read") > most, F.concat("n_read", F.lit(f" pages, of which the first {most} are kept"))),
+        *([] if most is None else [F.when(F.col("n_read") > most, F.concat("n_read", F.lit(f" pages, of which the first {most} are kept")))]),
         F.when(F.col("passed"), F.concat(F.size("sparse"), F.lit(" sparse pages of "), kept, F.lit(" stay as they are"))),
     ))
     used = F.array_compact(F.array(F.when(~F.col("replaced"), "text_layer"), F.when(F.col("second"), "ocr"), F.when(F.exists("listed", lambda x: x["parser"] == "transcript"), "transcript")))

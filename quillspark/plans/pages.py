@@ -160,13 +160,13 @@ FROM (SELECT *, (doc_id * 7919 % (length(t) + 1))::INT AS upto FROM (SELECT doc_
     "document_assembly": "SELECT conv_id AS doc_id, count(*) AS n_pages, sha256(string_agg('## Page ' || (turn + 1) || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn, text)) AS markdown_sha256 FROM conversations GROUP BY conv_id",
     "document_intake": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS whole, length(whole) AS len, doc_id % 10 = 5 AS hand FROM documents),
 pg AS (SELECT *, unnest(generate_series(1, ceil(len / 300.0)::BIGINT)) AS page, substr(whole, (page - 1) * 300 + 1, 300) AS full_page, CASE WHEN len % 11 = 0 THEN '' WHEN len % 2 = 0 AND page % 3 = 1 THEN substr(full_page, 1, 20) ELSE full_page END AS layer FROM d),
-per AS (SELECT d.doc_id, d.len, count(page) AS n, coalesce(sum(length(layer)), 0) AS chars, count(page) FILTER (length(trim(layer)) < 60 AND page <= 500) AS few FROM d LEFT JOIN pg ON pg.doc_id = d.doc_id AND d.len % 7 <> 0 GROUP BY ALL),
-st AS (SELECT *, chars < 60 AS none, NOT none AND few > 0 AND (few / least(n, 500) >= 0.30 OR n <= 3) AS rescue, NOT none AND few > 0 AND NOT rescue AS passed, len % 13 <> 0 AND len > 0 AND (none OR rescue) AS second, none AND second AS replaced FROM per),
-ch AS (SELECT pg.doc_id, pg.page, hand, replaced OR (second AND length(trim(layer)) < 60 AND length(trim(full_page)) > length(trim(layer))) AS ocr, CASE WHEN ocr THEN full_page ELSE layer END AS own FROM pg JOIN st USING (doc_id) WHERE (replaced OR pg.len % 7 <> 0) AND page <= 500),
+per AS (SELECT d.doc_id, d.len, count(page) AS n, coalesce(sum(length(layer)), 0) AS chars, count(page) FILTER (length(trim(layer)) < 60) AS few FROM d LEFT JOIN pg ON pg.doc_id = d.doc_id AND d.len % 7 <> 0 GROUP BY ALL),
+st AS (SELECT *, chars < 60 AS none, NOT none AND few > 0 AND (few / n >= 0.30 OR n <= 3) AS rescue, NOT none AND few > 0 AND NOT rescue AS passed, len % 13 <> 0 AND len > 0 AND (none OR rescue) AS second, none AND second AS replaced FROM per),
+ch AS (SELECT pg.doc_id, pg.page, hand, replaced OR (second AND length(trim(layer)) < 60 AND length(trim(full_page)) > length(trim(layer))) AS ocr, CASE WHEN ocr THEN full_page ELSE layer END AS own FROM pg JOIN st USING (doc_id) WHERE replaced OR pg.len % 7 <> 0),
 hd AS (SELECT *, hand OR (contains(lower(own), 'probate court') AND contains(lower(own), 'made this')) AS h, hand AND page = 1 AS script, {_TRIMMED.format('own')} AS t FROM ch),
 sc AS (SELECT *, round({_CONF} + 1e-12, 6) AS c FROM hd),
 pp AS (SELECT doc_id, page, h, script, CASE WHEN script THEN 'transcript of ' || doc_id ELSE own END AS text, CASE WHEN script THEN 0.95 WHEN h THEN least(0.4, c) ELSE c END AS confidence, CASE WHEN script THEN 'transcript' WHEN ocr THEN 'ocr' ELSE 'text_layer' END || ':' || CASE WHEN h THEN 'handwritten' ELSE {_CLASS.format('c')} END AS how FROM sc),
 ag AS (SELECT doc_id, count(*) AS n_pages, count(*) FILTER (h AND NOT script) AS lost, bool_or(script) AS script, min(confidence) AS lowest, string_agg(how, ' ' ORDER BY page) AS hows, string_agg('## Page ' || page || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) AS md FROM pp GROUP BY doc_id)
 SELECT doc_id, coalesce(n_pages, 0)::INT AS n_pages, concat_ws(' ', CASE WHEN NOT replaced THEN 'text_layer' END, CASE WHEN second THEN 'ocr' END, CASE WHEN script THEN 'transcript' END) AS parsers,
-  ((len % 7 = 0)::INT + (len % 13 = 0 AND (none OR rescue))::INT + passed::INT + (coalesce(CASE WHEN replaced OR len % 7 <> 0 THEN ceil(len / 300.0) END, 0) > 500)::INT + coalesce(lost, 0))::INT AS n_warnings, round(lowest, 6)::DOUBLE AS lowest, sha256(coalesce(hows, '')) AS pages_sha256, sha256(coalesce(md, '')) AS markdown_sha256 FROM st LEFT JOIN ag USING (doc_id)""",
+  ((len % 7 = 0)::INT + (len % 13 = 0 AND (none OR rescue))::INT + passed::INT + coalesce(lost, 0))::INT AS n_warnings, round(lowest, 6)::DOUBLE AS lowest, sha256(coalesce(hows, '')) AS pages_sha256, sha256(coalesce(md, '')) AS markdown_sha256 FROM st LEFT JOIN ag USING (doc_id)""",
 }

@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 from compare import TABLES, same
+from pyspark.sql import functions as F
 
 from conftest import TINY
-from quillspark.operators import chunk
+from quillspark.operators import chunk, quality
 from quillspark.plans import registry
 
 
@@ -36,3 +37,18 @@ def test_windows_are_told_apart(spark):
     """Numbers of five digits were cut to four."""
     docs = spark.createDataFrame([(1, "deed", "same " * 10_020)], "doc_id long, doc_type string, text string")
     assert chunk.contextual_chunks(docs, spark.createDataFrame([], "doc_id long, ordinal int, name string, role string"), 1, 0).select("chunk_id").distinct().count() == 10_020
+
+
+def test_long_documents_are_taken_in_whole(spark, with_documents):
+    """Over 500 pages, some read twice, some by the second parser alone, some by hand: the later ones were left out."""
+    long = "substr(repeat('Some words of page after page. ', 6000), 1, CASE doc_id WHEN 4 THEN 180004 ELSE 180000 END)"
+    where = with_documents("SELECT * REPLACE (CASE WHEN doc_id IN (3, 4, 5) THEN " + long + " ELSE text END AS text) FROM {documents} WHERE doc_id < 12")
+    out = registry.QUERIES["document_intake"](spark, where)
+    assert {r["n_pages"] for r in out.where("doc_id IN (3, 4, 5)").collect()} == {600, 601}
+    same(out, registry.SQL["document_intake"], where)
+
+
+def test_pages_of_two_lists_meet(spark):
+    """By number, the first of pages that share one, whatever is missing on either side."""
+    df = spark.createDataFrame([([(p,) for p in (1, 2, 2, 4, 9)], [(0, "z"), (2, "a"), (2, "b"), (3, "c"), (9, "d")])], "own array<struct<page:int>>, others array<struct<page:int,t:string>>")
+    assert df.select(F.transform(quality._beside(F.col("own"), F.col("others")), lambda q: q["t"])).first()[0] == [None, "a", "a", None, "d"]
