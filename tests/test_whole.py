@@ -8,7 +8,7 @@ from compare import TABLES, same
 from pyspark.sql import functions as F
 
 from conftest import TINY
-from quillspark.operators import chunk, quality
+from quillspark.operators import chunk, extract, quality
 from quillspark.plans import registry
 
 
@@ -52,3 +52,19 @@ def test_pages_of_two_lists_meet(spark):
     """By number, the first of pages that share one, whatever is missing on either side."""
     df = spark.createDataFrame([([(p,) for p in (1, 2, 2, 4, 9)], [(0, "z"), (2, "a"), (2, "b"), (3, "c"), (9, "d")])], "own array<struct<page:int>>, others array<struct<page:int,t:string>>")
     assert df.select(F.transform(quality._beside(F.col("own"), F.col("others")), lambda q: q["t"])).first()[0] == [None, "a", "a", None, "d"]
+
+
+def test_documents_have_all_their_facts(spark):
+    """More parties, links, liens, easements, restrictions and items than lists once held; the queries of single kinds keep their caps, as their SQL does."""
+    gap = lambda i: f"Nothing stands in part {i}. " * 15
+    names = [f"{a}{b} Roe" for a in ("Ab", "Bo", "Cy", "Di", "Ed") for b in ("da", "el", "ir", "on", "us", "va", "wy")]
+    told = [f"a Mortgage in Book {i}, Page 7; " for i in range(40)] + [f"a Utility easement of lot {i}; " for i in range(25)] + [f"deed restrictions of lot {i}; " for i in range(18)]
+    body = "Deed" + "".join(f" to {n}, one;" for n in names) + "".join(gap(i) + x for i, x in enumerate(told)) + gap(99)
+    items = "".join(f"{k}. Provide a paper of lot number {k}.\n" for k in (*range(1, 27), *"abc"))
+    body += f"\nI. Requirements\n{items}II. Exceptions\n{items}Schedule C of it"
+    docs = spark.createDataFrame([(1, "survey", body)], "doc_id long, doc_type string, text string")
+    out = extract.title_documents(docs).select(*(F.size(c).alias(c) for c in ("parties", "chain_of_title", "open_liens", "easements", "restrictions", "schedule_b_requirements", "schedule_b_exceptions"))).first()
+    assert out.asDict() == {"parties": 35, "chain_of_title": 40, "open_liens": 40, "easements": 25, "restrictions": 18, "schedule_b_requirements": 29, "schedule_b_exceptions": 29}
+    short = extract.composable(docs).select(F.size("instruments"), F.size("easements")).first()
+    assert tuple(short) == (40, 25)
+    assert docs.select(F.size(extract.parties(F.col("text"))), F.size(extract.easements(F.col("text")))).first()[:] == (12, 20)
