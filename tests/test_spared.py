@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from conftest import TINY
 from quillspark.functions import nested, rules, text
 from quillspark.functions.spans import first_span, numbered
-from quillspark.operators import chunk, evaluate, extract, index
+from quillspark.operators import chunk, draft, evaluate, extract, index
+from quillspark.plans import review
 from quillspark.plans.extraction import _DOCUMENTS, _LIENS, _TYPES, _texts
+from quillspark.sources import tables
 
 
 def test_composable_is_title_documents_in_short(spark):
@@ -99,3 +101,17 @@ def test_starts_of_windows_alone(spark):
     for marks in (chunk.PAGE_MARKS, chunk.HEADINGS):
         assert chunk._LOOK[marks] != marks
         assert all(r[0] == r[1] for r in docs.select(numbered(F.col("text"), marks), numbered(F.col("text"), chunk._LOOK[marks])).collect())
+
+
+def test_drafts_are_made_once_for_their_claims(spark):
+    """Sections, findings and the overall sentence each made all drafts anew."""
+    claims, whole = review.draft_claims(spark, TINY), review.draft_summaries(spark, TINY)
+    generated = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate inline")
+    assert generated(claims) == generated(whole) + 1
+
+
+def test_claims_of_summaries(spark):
+    drafted = tables.written(draft.sections(*review._short_documents(spark, TINY, review._MIXED)), "drafted")
+    whole = tables.written(draft.summaries(drafted), "summaries")
+    shown = lambda df: sorted(map(str, df.select("doc_id", "claim_id", "text", "snippet").collect()))
+    assert shown(evaluate.spoken_in(whole)) == shown(evaluate.spoken(drafted, whole))
