@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import TINY
 from quillspark.functions import nested, rules, text
 from quillspark.functions.spans import first_span, numbered
-from quillspark.operators import chunk, draft, evaluate, extract, index
+from quillspark.operators import chunk, draft, evaluate, extract, index, learn
 from quillspark.plans import review
 from quillspark.plans.extraction import _DOCUMENTS, _LIENS, _TYPES, _texts
 from quillspark.sources import tables
@@ -115,3 +115,14 @@ def test_claims_of_summaries(spark):
     whole = tables.written(draft.summaries(drafted), "summaries")
     shown = lambda df: sorted(map(str, df.select("doc_id", "claim_id", "text", "snippet").collect()))
     assert shown(evaluate.spoken_in(whole)) == shown(evaluate.spoken(drafted, whole))
+
+
+def test_queries_of_edits_apart(spark):
+    """The same edits are found, without a shuffle of the queries' tokens: their vectors were sums over rows of tokens."""
+    events = spark.createDataFrame([("e1", "s1", "wording", "the deed of Ann", "the new deed"), ("e2", "s1", "wording", "a lien in book 7", "none"), ("e3", "s2", "addition", "", "taxes are due")], "edit_id string, section string, edit_type string, before string, after string")
+    texts = ["deed of Ann, book 7, deed", "taxes due", "", None, "nothing alike zzz"]
+    queries = spark.createDataFrame([(f"{i}/{s}", s, t) for i, t in enumerate(texts) for s in ("s1", "s2", "s3")], "query_id string, section string, text string")
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(learn.search(events, queries, 2, apart=True)) == shown(learn.search(events, queries, 2))
+    tokens = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert tokens(learn.search(events, queries, 2, apart=True)) < tokens(learn.search(events, queries, 2))
