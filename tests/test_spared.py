@@ -126,3 +126,15 @@ def test_queries_of_edits_apart(spark):
     assert shown(learn.search(events, queries, 2, apart=True)) == shown(learn.search(events, queries, 2))
     tokens = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
     assert tokens(learn.search(events, queries, 2, apart=True)) < tokens(learn.search(events, queries, 2))
+
+
+def test_sections_of_schedules_are_searched_by_their_headings(spark):
+    """A text that names a schedule was searched for its sections; what has any of their headings still is."""
+    items = "\na. Pay the full premium amount to the title agent.\nb. Provide a survey of the land, and more of it.\n"
+    heads = [("I. Requirements", "II. Exceptions"), ("i.  requirement", "ii.\nexception"), ("SCHEDULE B - Section I of it", "schedule  B – SECTION II of it"), ("Requirements to issue policy", "EXCEPTIONS FROM COVERAGE")]
+    rows = spark.createDataFrame([(a + items, b + items) for a, b in heads] + [("Schedule B next" + items, "Schedule B next" + items)], "a string, b string")
+    found = rows.select(F.size(extract.requirements(F.col("a"))), F.size(extract.exceptions(F.col("b")))).collect()
+    assert [tuple(r) for r in found] == [(2, 2)] * 4 + [(0, 0)]
+    for f in (extract.requirements, extract.exceptions):
+        plan = rows.select(f(F.col("a")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert ", section)" in plan and ", schedule)" not in plan
